@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("views", "folds")
+MODULES = ("views", "folds", "accounts", "markets")
 
 
 def load():
