@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("views", "folds", "accounts", "markets")
+MODULES = ("views", "folds", "accounts", "markets", "aggregates", "people")
 
 
 def load():

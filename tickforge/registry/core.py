@@ -66,3 +66,19 @@ def spark_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def check_sql() -> dict[str, str]:
     return {k: compose(s) for k, s in SQL.items()}
+
+
+def rounded(df: DataFrame, two: str = "", four: str = "", six: str = "") -> DataFrame:
+    """Round the named columns (space separated) with the same tie shift the check SQL uses."""
+    for names, digits in ((two, 2), (four, 4), (six, 6)):
+        for c in names.split():
+            df = df.withColumn(c, nudged(c, digits))
+    return df
+
+
+def r2(expr: str, name: str | None = None) -> str:
+    return f"round({expr} + 1e-9, 2) AS {name or expr}"
+
+
+def r4(expr: str, name: str | None = None) -> str:
+    return f"round({expr} + 1e-9, 4) AS {name or expr}"
