@@ -11,9 +11,14 @@ from tickforge.functions.timeutil import (
 )
 from tickforge.plans.volume import _among
 
-# Running totals below run over one row per time bucket; their length is bounded by the time span.
-ALONG_TIME = Window.orderBy("timestamp")
-UP_TO_NOW = ALONG_TIME.rowsBetween(Window.unboundedPreceding, 0)
+
+def _along_time():
+    """Order of the bucket series; one row per time bucket, so its length is bounded by the time span."""
+    return Window.orderBy("timestamp")
+
+
+def _up_to_now():
+    return _along_time().rowsBetween(Window.unboundedPreceding, 0)
 
 
 def daily_user_activity(trades: DataFrame, commission_rate: float = 0.002) -> DataFrame:
@@ -38,7 +43,7 @@ def cumulative_users(users: DataFrame, period: str, interval: str, as_of: int) -
     totals = users.agg(F.struct(F.count(F.lit(1)).alias("everyone"), F.count(F.when(inside, 1)).alias("n")).alias("t"))
     per = users.filter(inside).groupBy(calendar_bucket("first_seen", interval).alias("timestamp")).agg(
         F.count(F.lit(1)).alias("new_users"))
-    return per.withColumn("cumulative_users", F.sum("new_users").over(UP_TO_NOW)).withColumn("t", totals.scalar()).select(
+    return per.withColumn("cumulative_users", F.sum("new_users").over(_up_to_now())).withColumn("t", totals.scalar()).select(
         "timestamp", "new_users", "cumulative_users", F.col("t.everyone").alias("total_users"),
         F.col("t.n").alias("new_users_in_period"), (ratio0("t.n", "t.everyone") * 100).alias("growth_rate"))
 
@@ -50,8 +55,8 @@ def cumulative_new_traders(trades: DataFrame, period: str, interval: str, as_of:
         bucket_index("first_seen", start, step).alias("idx")).agg(F.count(F.lit(1)).alias("n"))
     line = spine(trades.sparkSession, start, as_of, step).join(fresh, "idx", "left").select(
         "timestamp", F.coalesce("n", F.lit(0)).alias("new_users"))
-    run = line.withColumn("cumulative_users", F.sum("new_users").over(UP_TO_NOW)).withColumn(
-        "prev", F.lag("cumulative_users").over(ALONG_TIME))
+    run = line.withColumn("cumulative_users", F.sum("new_users").over(_up_to_now())).withColumn(
+        "prev", F.lag("cumulative_users").over(_along_time()))
     return run.select("timestamp", "new_users", "cumulative_users", F.when(
         F.col("prev") > 0, (F.col("cumulative_users") - F.col("prev")) * 100.0 / F.col("prev")).otherwise(0.0).alias("growth_rate"))
 
@@ -61,8 +66,8 @@ def cumulative_new_users_rollup(new_users: DataFrame, period: str, as_of: int) -
     d = new_users.filter(in_period("bucket", period, as_of)).select(F.col("bucket").alias("timestamp"), F.col("new_users_count").alias("new_users"))
     span = d.agg(F.struct(F.sum("new_users").alias("n"), F.avg("new_users").alias("mean"),
                           ((F.max("timestamp") - F.min("timestamp")) / 86400).alias("days")).alias("s"))
-    run = d.withColumn("cumulative_users", F.sum("new_users").over(UP_TO_NOW)).withColumn(
-        "prev", F.lag("cumulative_users", 1, 0).over(ALONG_TIME))
+    run = d.withColumn("cumulative_users", F.sum("new_users").over(_up_to_now())).withColumn(
+        "prev", F.lag("cumulative_users", 1, 0).over(_along_time()))
     return run.withColumn("s", span.scalar()).select(
         "timestamp", "new_users", "cumulative_users",
         F.when(F.col("prev") > 0, (F.col("cumulative_users") - F.col("prev")) * 100.0 / F.col("prev")).otherwise(0.0).alias("growth_rate"),
@@ -78,8 +83,8 @@ def mv_user_growth(trades: DataFrame, as_of: int, period: str = "90d") -> DataFr
         F.count(F.lit(1)).alias("fresh"))
     daily = seen.groupBy("timestamp").agg(F.count(F.lit(1)).alias("daily_active_users"), F.sum("n").alias("daily_trades"))
     return daily.join(first, "timestamp", "left").select(
-        "timestamp", "daily_active_users", "daily_trades", F.sum("daily_active_users").over(UP_TO_NOW).alias("sum_of_daily_actives"),
-        F.sum(F.coalesce("fresh", F.lit(0))).over(UP_TO_NOW).alias("cumulative_users"))
+        "timestamp", "daily_active_users", "daily_trades", F.sum("daily_active_users").over(_up_to_now()).alias("sum_of_daily_actives"),
+        F.sum(F.coalesce("fresh", F.lit(0))).over(_up_to_now()).alias("cumulative_users"))
 
 
 def _active(trades: DataFrame, keys: list[str], period: str, as_of: int, interval: str) -> DataFrame:
@@ -91,12 +96,10 @@ def _active(trades: DataFrame, keys: list[str], period: str, as_of: int, interva
     return act.join(first, keys).withColumn("begins", F.lit(start).cast("long") + F.col("idx") * step)
 
 
-NEW = F.col("first_seen") >= F.col("begins")
-
-
 def _people() -> list:
-    return [F.count(F.lit(1)).alias("unique_traders"), F.count(F.when(NEW, 1)).alias("new_traders"),
-            F.count(F.when(~NEW, 1)).alias("returning_traders")]
+    new = F.col("first_seen") >= F.col("begins")
+    return [F.count(F.lit(1)).alias("unique_traders"), F.count(F.when(new, 1)).alias("new_traders"),
+            F.count(F.when(~new, 1)).alias("returning_traders")]
 
 
 def unique_traders_series(trades: DataFrame, period: str, interval: str, as_of: int, min_trades: int = 1) -> DataFrame:

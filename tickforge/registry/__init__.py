@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("views", "folds", "accounts", "markets", "aggregates", "people")
+MODULES = ("views", "folds", "accounts", "markets", "aggregates", "people", "costs")
 
 
 def load():
