@@ -280,6 +280,6 @@ class Fixtures:
         sold = F.when(~F.col("is_buyer"), F.col("quote_qty")).otherwise(0.0)
         bought = F.when(F.col("is_buyer"), F.col("quote_qty")).otherwise(0.0)
         return self.trades.groupBy("user_id", "symbol").agg(
-            F.sum(signed).alias("quantity"), F.round(F.avg("price"), 4).alias("avg_cost"),
+            F.sum(signed).alias("quantity"), F.round(F.avg("price") + F.lit(1e-9), 4).alias("avg_cost"),
             F.round(F.sum(sold) - F.sum(bought), 2).alias("realized_pnl"),
             F.round(F.sum(signed) * 0.5, 2).alias("unrealized_pnl"), F.max("ts").alias("updated_at"))

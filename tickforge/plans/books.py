@@ -158,7 +158,7 @@ def book_history_hourly(orders: DataFrame, history: DataFrame, start: int, until
     """
     changes = _level_changes(orders, history, until, step)
     if seed is not None:
-        changes = changes.unionByName(seed.select(
+        changes = changes.filter(F.col("hour") >= start).unionByName(seed.select(
             "pool_id", "side", "price", F.lit(start - step).cast("long").alias("hour"),
             F.col("quantity").cast("long").alias("dq"), F.col("order_count").cast("long").alias("dc")))
     w = Window.partitionBy("pool_id", "side", "price").orderBy("hour")

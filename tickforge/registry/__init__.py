@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("views", "folds", "accounts", "markets", "aggregates", "people", "costs")
+MODULES = ("views", "folds", "accounts", "markets", "aggregates", "people", "costs", "depth", "pnl")
 
 
 def load():

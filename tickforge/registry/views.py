@@ -154,7 +154,7 @@ view("fx_hourly_pnl", """SELECT ts - ts % 3600 AS bucket, user_id,
   count(*) AS trades_count, round(sum(quote_qty), 2) AS volume_traded FROM fx_trades GROUP BY 1, 2""")
 
 view("fx_positions", """SELECT user_id, symbol, sum(CASE WHEN is_buyer THEN quantity ELSE -quantity END) AS quantity,
-  round(avg(price), 4) AS avg_cost,
+  round(avg(price) + 1e-9, 4) AS avg_cost,
   round(sum(CASE WHEN is_buyer THEN 0.0 ELSE quote_qty END) - sum(CASE WHEN is_buyer THEN quote_qty ELSE 0.0 END), 2) AS realized_pnl,
   round(sum(CASE WHEN is_buyer THEN quantity ELSE -quantity END) * 0.5, 2) AS unrealized_pnl, max(ts) AS updated_at
   FROM fx_trades GROUP BY user_id, symbol""")
