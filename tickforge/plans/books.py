@@ -26,7 +26,7 @@ def depth_rebuild(orders: DataFrame, pool: str | None = None, chain_id: int | No
 
 
 def order_deltas(log: DataFrame) -> DataFrame:
-    """Signed (quantity, count) change per order event on the order's own level.
+    """What each order adds to its own level after all its events.
 
     Placing adds the quantity and one order; a match removes the executed quantity of both orders; an
     order leaves the count when it is fully filled or ends, and ending removes what is left of it.
@@ -52,7 +52,7 @@ def order_deltas(log: DataFrame) -> DataFrame:
     left = F.col("placed_qty") - F.col("matched_qty")
     gone = F.col("ended") | (left <= 0)
     return per_order.select(
-        "pool_id", side_name("side_code").alias("side"), "price",
+        "pool_id", "order_id", side_name("side_code").alias("side"), "price",
         F.when(gone, F.lit(0)).otherwise(left).alias("d_qty"),
         F.when(gone, F.lit(0)).otherwise(F.lit(1)).alias("d_count"), "last_updated")
 

@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("views", "folds", "accounts", "markets", "aggregates", "people", "costs", "depth", "pnl")
+MODULES = ("views", "folds", "accounts", "markets", "aggregates", "people", "costs", "depth", "pnl", "ops", "live")
 
 
 def load():
