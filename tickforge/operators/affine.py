@@ -1,8 +1,9 @@
 """Order-dependent folds written as composable affine maps.
 
 A fold whose step is ``x' = a*x + b`` and ``y' = y + c*x + d`` (with coefficients that do not depend on x
-or y) is associative: steps compose into one map. Rows are composed inside (key, chunk) groups, the
-chunk maps are composed per key, and no group is longer than a chunk of rows or the list of chunks.
+or y) is associative: steps compose into one map. Rows are composed inside (key, chunk) groups, chunks
+inside (key, span) groups, spans per key, so the longest group is one chunk of rows, the chunks of a span
+or the spans of the history, whichever key is hot.
 """
 
 from __future__ import annotations
@@ -24,8 +25,15 @@ def _compose(order: str) -> Column:
         (m["c"] + s["c"] * m["a"]).alias("c"), (m["d"] + s["c"] * m["b"] + s["d"]).alias("d")))
 
 
-def compose_steps(steps: DataFrame, keys: Sequence[str], order: str, chunk: str) -> DataFrame:
-    """One map (a, b, c, d) per key from one map per row."""
+def compose_steps(steps: DataFrame, keys: Sequence[str], order: str, chunk: str, chunks_per_span: int = 1440,
+                  sums: Sequence[str] = (), maxima: Sequence[str] = ()) -> DataFrame:
+    """One map (a, b, c, d) per key from one map per row, with plain sums and maxima taken along."""
     keys = list(keys)
-    per_chunk = steps.groupBy(*keys, chunk).agg(_compose(order).alias("m")).select(*keys, chunk, "m.*")
-    return per_chunk.groupBy(*keys).agg(_compose(chunk).alias("m")).select(*keys, "m.*")
+    extra = [F.sum(c).alias(c) for c in sums] + [F.max(c).alias(c) for c in maxima]
+    out, level = steps, order
+    for group in ([*keys, chunk], [*keys, "span"], keys):
+        if group[-1] == "span":
+            out = out.withColumn("span", F.floor(F.col(chunk) / chunks_per_span))
+        out = out.groupBy(*group).agg(_compose(level).alias("m"), *extra).select(*group, "m.*", *sums, *maxima)
+        level = group[-1]
+    return out

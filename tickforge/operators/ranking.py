@@ -44,14 +44,16 @@ def top_ranked(df: DataFrame, order: Sequence[Column], n: int, rank: str = "rank
     return ranked.filter(F.col(rank) > offset) if offset else ranked
 
 
-def group_median(df: DataFrame, keys: Sequence[str], value: str, out: str = "median") -> DataFrame:
+def group_median(df: DataFrame, keys: Sequence[str], value: str, out: str = "median", weight: str | None = None) -> DataFrame:
     """Exact median (mean of the two middle values) of a non-negative column per group.
 
     Equal values are counted first. A coarse, order-preserving cell of the value (64 per octave) gives
     per-group prefix counts; only the one or two cells that hold the middle ranks are then sorted.
+    ``weight`` names a multiplicity column when equal values are already counted.
     """
     keys = list(keys)
-    counted = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("c")).withColumn(
+    times = F.count(F.lit(1)) if weight is None else F.sum(weight)
+    counted = df.groupBy(*keys, value).agg(times.alias("c")).withColumn(
         "cell", F.floor(F.log2(F.lit(1.0) + F.col(value)) * 64))
     cells = counted.groupBy(*keys, "cell").agg(F.sum("c").alias("cc"))
     along = Window.partitionBy(*keys).orderBy("cell").rowsBetween(Window.unboundedPreceding, 0)

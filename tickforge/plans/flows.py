@@ -22,8 +22,8 @@ def capital_flow(trades: DataFrame, periods: dict[str, int] | None = None, insti
                  institutional_trades: int = 100) -> DataFrame:
     """Flow metrics per symbol, period type and bucket (stamped with the bucket end).
 
-    Trades are first summed per (symbol, period, bucket, trader). A trader is institutional in a bucket
-    when the trailing seven buckets exceed both thresholds: one small window per trader, no lateral scan.
+    One pass: trades are summed per (symbol, period, bucket, trader). A trader is institutional in a bucket
+    when the trailing seven buckets, all symbols together, exceed both thresholds: a window over those sums.
     """
     keys = ["symbol", "period_type", "time_bucket"]
     q, buy = F.col("quote_qty"), is_buy()
@@ -41,24 +41,22 @@ def capital_flow(trades: DataFrame, periods: dict[str, int] | None = None, insti
         F.min_by("price", "seq").alias("open"), F.min("seq").alias("first_seq"),
         F.max_by("price", "seq").alias("close"), F.max("seq").alias("last_seq"))
     trail = Window.partitionBy("user_id", "period_type").orderBy("slot").rangeBetween(1 - LOOKBACK_PERIODS, 0)
-    traders = per_user.groupBy("user_id", "period_type", "time_bucket", "step").agg(
-        F.sum(F.col("inflow_volume") + F.col("outflow_volume")).alias("v"), F.sum("n").alias("n")
-    ).withColumn("slot", F.floor(F.col("time_bucket") / F.col("step"))).select(
-        "user_id", "period_type", "time_bucket",
-        ((F.sum("v").over(trail) > institutional_volume) & (F.sum("n").over(trail) > institutional_trades)).alias("inst"))
+    traded = F.col("inflow_volume") + F.col("outflow_volume")
+    per_user = per_user.withColumn("slot", F.floor(F.col("time_bucket") / F.col("step"))).withColumn(
+        "inst", (F.sum(traded).over(trail) > institutional_volume) & (F.sum("n").over(trail) > institutional_trades))
     net = F.col("inflow_volume") - F.col("outflow_volume")
-    flows = per_user.join(traders, ["user_id", "period_type", "time_bucket"]).groupBy(*keys).agg(
+    flows = per_user.groupBy(*keys).agg(
         *[F.sum(c).alias(c) for c in sums], F.sum("n").alias("trade_count"),
         F.count(F.when(F.col("buys") > 0, 1)).alias("unique_inflow_addresses"),
         F.count(F.when(F.col("sells") > 0, 1)).alias("unique_outflow_addresses"),
         sum_if(F.col("inst"), net).alias("institutional_flow"),
         F.min_by("open", "first_seq").alias("open"), F.max_by("close", "last_seq").alias("close"))
     flows = flows.withColumn("net_flow", net).withColumn("volume", F.col("inflow_volume") + F.col("outflow_volume"))
-    market = flows.groupBy("period_type", "time_bucket").agg(F.sum("volume").alias("market"))
+    flows = flows.withColumn("market", F.sum("volume").over(Window.partitionBy("period_type", "time_bucket")))
     whales = F.col("whale_inflows") + F.col("whale_outflows")
     large = F.col("large_inflows") + F.col("large_outflows")
     nf, v = F.col("net_flow"), F.col("volume")
-    return flows.join(market, ["period_type", "time_bucket"]).filter(v > 0).select(
+    return flows.filter(v > 0).select(
         *keys, "net_flow", *sums, "institutional_flow", F.lit(0.0).alias("dex_flow"), nf.alias("cex_flow"),
         "unique_inflow_addresses", "unique_outflow_addresses",
         ratio0(F.greatest(whales, large), v).alias("flow_concentration"), (ratio0("trade_count", v) * 1000).alias("flow_velocity"),

@@ -35,7 +35,7 @@ def balance_ledger(events: DataFrame) -> DataFrame:
         F.sum("d_amount").alias("amount"), F.sum("d_locked").alias("locked"), F.max("ts").alias("last_updated"))
 
 
-def balance_history(events: DataFrame, blocks_per_chunk: int = 43200) -> DataFrame:
+def balance_history(events: DataFrame, blocks_per_chunk: int = 1800) -> DataFrame:
     """Balance after every movement. Accounts are cut into block ranges, so a hot account is many tasks."""
     d = ledger_deltas(events).withColumn("k", F.col("seq") * 4 + F.col("leg")).withColumn(
         "chunk", F.floor(F.col("block_number") / blocks_per_chunk))

@@ -69,12 +69,12 @@ def _fold(trades: DataFrame, keys: list[str], step, chunk_seconds: int, start: D
         t = t.withColumn("q0", F.lit(0.0))
     else:
         t = t.join(start.select(*keys, F.col("quantity").alias("q0")), keys, "left").withColumn("q0", F.coalesce("q0", F.lit(0.0)))
-    steps = t.select(*keys, "chunk", "seq", *step(F.col("signed_before") + F.col("q0"), F.col("quantity"), F.col("price")))
-    totals = t.groupBy(*keys).agg(F.sum("signed").alias("net"), F.max("ts").alias("updated_at"))
-    return compose_steps(steps, keys, "seq", "chunk").join(totals, keys)
+    steps = t.select(*keys, "chunk", "seq", F.col("signed").alias("net"), F.col("ts").alias("updated_at"),
+                     *step(F.col("signed_before") + F.col("q0"), F.col("quantity"), F.col("price")))
+    return compose_steps(steps, keys, "seq", "chunk", sums=["net"], maxima=["updated_at"])
 
 
-def positions_fold(trades: DataFrame, state: DataFrame | None = None, chunk_seconds: int = 3600) -> DataFrame:
+def positions_fold(trades: DataFrame, state: DataFrame | None = None, chunk_seconds: int = 60) -> DataFrame:
     """Average-cost position per (user, symbol), optionally continued from a stored ``state``.
 
     The position before each trade is a chunked prefix sum; given it, every trade is an affine map of
@@ -97,7 +97,7 @@ def positions_fold(trades: DataFrame, state: DataFrame | None = None, chunk_seco
         "avg_cost", F.when(flat, 0.0).otherwise(F.abs(ratio("total_cost", "quantity")))).select(*POSITION)
 
 
-def positions_incremental(trades: DataFrame, state: DataFrame, cursor_seq: int, chunk_seconds: int = 3600) -> DataFrame:
+def positions_incremental(trades: DataFrame, state: DataFrame, cursor_seq: int, chunk_seconds: int = 60) -> DataFrame:
     """State after the trades past the cursor."""
     return positions_fold(trades.filter(F.col("seq") > cursor_seq), state, chunk_seconds)
 
@@ -159,7 +159,7 @@ def depth_mean_price(depth: DataFrame, pools: DataFrame) -> DataFrame:
 
 
 def pnl_backfill_hourly(trades: DataFrame, start: int, end: int, depth_prices: DataFrame | None = None,
-                        chunk_seconds: int = 300) -> DataFrame:
+                        chunk_seconds: int = 60) -> DataFrame:
     """PnL of each user-hour's own trades starting flat, marked at the hour's end; one pass, no loop over hours."""
     t = trades.filter((F.col("ts") >= start) & (F.col("ts") < end)).withColumn("bucket", bucket("ts", 3600))
     folded = _fold(t, ["user_id", "symbol", "bucket"], _average_steps, chunk_seconds).select(

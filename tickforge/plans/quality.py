@@ -9,6 +9,7 @@ from tickforge.functions.columns import at_least, format_duration, ratio
 from tickforge.operators.keyed import insert_ignore, upsert_replace
 from tickforge.operators.temporal import islands
 from tickforge.plans import volume
+from tickforge.session import settle
 from tickforge.sources import tables
 
 PROCESSING_RATE = 100  # fixed value: trades per second assumed by the sync estimates
@@ -25,16 +26,24 @@ def missed_trades(trades: DataFrame, sync_log: DataFrame, from_ts: int = 0, cap:
     return out if cap is None else out.orderBy("seq").limit(cap)
 
 
+def coverage_by_time(trades: DataFrame, sync_log: DataFrame) -> DataFrame:
+    """Trades and processed trades per second: the one pass over trades every health figure comes from."""
+    done = processed_ids(sync_log).withColumn("done", F.lit(1))
+    return trades.join(done, "trade_id", "left").groupBy("ts").agg(
+        F.count("done").alias("done"), F.count(F.lit(1)).alias("trades"))
+
+
 def data_gaps(trades: DataFrame, sync_log: DataFrame) -> DataFrame:
     """Runs of consecutive timestamps without a processed trade, labelled head, middle or tail.
 
     A run that reaches the newest trade is a tail even when it starts at the oldest.
     """
-    done = processed_ids(sync_log).withColumn("done", F.lit(1))
-    per_ts = trades.join(done, "trade_id", "left").groupBy("ts").agg(
-        F.max(F.coalesce("done", F.lit(0))).alias("done"), F.count(F.lit(1)).alias("trades"))
-    runs = islands(per_ts, "ts", "done", "trades").filter(F.col("done") == 0)
-    span = trades.agg(F.struct(F.min("ts").alias("lo"), F.max("ts").alias("hi")).alias("s")).scalar()
+    return gaps_from_coverage(settle(coverage_by_time(trades, sync_log)))
+
+
+def gaps_from_coverage(per_ts: DataFrame) -> DataFrame:
+    runs = islands(per_ts.withColumn("hit", (F.col("done") > 0).cast("int")), "ts", "hit", "trades").filter(F.col("hit") == 0)
+    span = per_ts.agg(F.struct(F.min("ts").alias("lo"), F.max("ts").alias("hi")).alias("s")).scalar()
     return runs.withColumn("s", span).select(
         F.when(F.col("end") == F.col("s.hi"), "tail").when(F.col("start") == F.col("s.lo"), "head").otherwise("middle").alias("type"),
         F.col("start").alias("from_ts"), F.col("end").alias("to_ts"), F.col("weight").alias("trade_count"))
@@ -62,28 +71,32 @@ def continuous_from_start(trades: DataFrame, sync_log: DataFrame) -> DataFrame:
     return hit.agg((F.count(F.lit(1)) > 0).alias("continuous_from_start"))
 
 
+def _score(done, total):
+    return F.round(F.coalesce(ratio(done, total) * 100, F.lit(100.0)), 2)
+
+
 def integrity_score(trades: DataFrame, sync_log: DataFrame) -> DataFrame:
     """Processed share in percent with two places; 100 when there is nothing to process."""
     done = processed_ids(sync_log).withColumn("done", F.lit(1))
     return trades.join(done, "trade_id", "left").agg(
         F.count(F.lit(1)).alias("total_trades"), F.count("done").alias("processed_trades")
-    ).withColumn("integrity_score", F.round(F.coalesce(ratio("processed_trades", "total_trades") * 100, F.lit(100.0)), 2)) \
+    ).withColumn("integrity_score", _score("processed_trades", "total_trades")) \
         .withColumn("status", at_least("integrity_score", [(98, "excellent"), (95, "good"), (90, "fair")], "poor"))
 
 
 def sync_health(trades: DataFrame, sync_log: DataFrame, etl_healthy: bool = True) -> DataFrame:
     """One row: lag, gaps, integrity and the recommended action."""
-    gaps = data_gaps(trades, sync_log).agg(F.struct(
+    per_ts = settle(coverage_by_time(trades, sync_log))
+    gaps = gaps_from_coverage(per_ts).agg(F.struct(
         F.count(F.lit(1)).alias("total"), F.count(F.when(F.col("type") == "tail", 1)).alias("tail"),
         F.count(F.when(F.col("type") == "middle", 1)).alias("middle"),
         F.coalesce(F.sum("trade_count"), F.lit(0)).alias("missed")).alias("g")).scalar()
-    score = integrity_score(trades, sync_log).select("integrity_score").scalar()
-    cont = continuous_from_start(trades, sync_log).scalar()
     cold = sync_log.filter((F.col("status") == "processed") & (F.col("service") == "analytics")).agg(F.count(F.lit(1)) == 0).scalar()
-    last = last_processed_ts(trades, sync_log).scalar()
-    base = trades.agg(F.max("ts").alias("latest_trade_ts")).select(
-        "latest_trade_ts", last.alias("last_processed_ts"), gaps.alias("g"), score.alias("integrity_score"),
-        cont.alias("continuous_from_start"), cold.alias("is_cold_start"))
+    done = F.col("done") > 0
+    base = per_ts.agg(
+        F.max("ts").alias("latest_trade_ts"), F.coalesce(F.max(F.when(done, F.col("ts"))), F.min("ts")).alias("last_processed_ts"),
+        _score(F.sum("done"), F.sum("trades")).alias("integrity_score"), F.min_by(done, "ts").alias("continuous_from_start")
+    ).withColumn("g", gaps).withColumn("is_cold_start", cold)
     lag = (F.col("latest_trade_ts") - F.col("last_processed_ts")) / 60
     return base.withColumn("lag_minutes", F.round(lag, 4)).select(
         "latest_trade_ts", "last_processed_ts", "lag_minutes", F.col("g.total").alias("total_gaps"),

@@ -11,6 +11,7 @@ from tickforge.operators.keyed import latest_per_key
 from tickforge.operators.ranking import group_median
 from tickforge.operators.temporal import asof_join, range_mean
 from tickforge.plans.volume import _among, _symbol
+from tickforge.session import settle
 
 # Upper bounds of the trade-size classes and of the quality and score bands.
 SIZE_CLASSES = [(1000, "small"), (10000, "medium"), (100000, "large")]
@@ -59,15 +60,20 @@ def slippage_hourly(trades: DataFrame, snapshots: DataFrame, tolerance: int = 30
     keys = ["symbol", "time_bucket", "trade_size_category"]
     t = slippage_bps(trades, snapshots, tolerance).withColumn("time_bucket", bucket("ts", 3600) + 3600).withColumn(
         "trade_size_category", size_class())
-    stats = t.groupBy(*keys).agg(
-        F.avg("slippage_bps").alias("avg_slippage_bps"), F.max("slippage_bps").alias("max_slippage_bps"),
-        F.min("slippage_bps").alias("min_slippage_bps"), F.count(F.lit(1)).alias("trades_count"),
-        F.sum("quote_qty").alias("total_volume"), F.avg("quote_qty").alias("avg_trade_size"),
-        F.covar_pop("quote_qty", "slippage_bps").alias("cov"), F.stddev_pop("quote_qty").alias("sx"),
-        F.stddev_pop("slippage_bps").alias("sy")).filter(F.col("trades_count") >= min_trades)
-    corr = F.when((F.col("sx") > 1e-6) & (F.col("sy") > 1e-6), F.col("cov") / (F.col("sx") * F.col("sy")))
-    median = group_median(t, keys, "slippage_bps", "median_slippage_bps")
-    return stats.join(median, keys).withColumn("price_impact_correlation", corr).drop("cov", "sx", "sy")
+    q, x, n = F.col("quote_qty"), F.col("slippage_bps"), F.col("n")
+    cells = settle(t.groupBy(*keys, "slippage_bps").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("quote_qty").alias("sq"), F.sum(q * q).alias("sqq")))
+    s = cells.groupBy(*keys).agg(
+        F.sum("n").alias("trades_count"), F.sum("sq").alias("total_volume"), F.sum("sqq").alias("qq"), F.sum(x * n).alias("sx"),
+        F.sum(x * x * n).alias("xx"), F.sum(x * F.col("sq")).alias("xq"), F.max(x).alias("max_slippage_bps"),
+        F.min(x).alias("min_slippage_bps")).filter(F.col("trades_count") >= min_trades)
+    mean_q, mean_x = F.col("total_volume") / F.col("trades_count"), F.col("sx") / F.col("trades_count")
+    var_q, var_x = F.col("qq") / F.col("trades_count") - mean_q * mean_q, F.col("xx") / F.col("trades_count") - mean_x * mean_x
+    corr = (F.col("xq") / F.col("trades_count") - mean_q * mean_x) / F.sqrt(var_q * var_x)
+    stats = s.select(*keys, "trades_count", "total_volume", mean_q.alias("avg_trade_size"), mean_x.alias("avg_slippage_bps"),
+                     "max_slippage_bps", "min_slippage_bps",
+                     F.when((var_q > 1e-6) & (var_x > 1e-6), corr).alias("price_impact_correlation"))
+    return stats.join(group_median(cells, keys, "slippage_bps", "median_slippage_bps", "n"), keys)
 
 
 def _sized(rows: DataFrame, symbols: list[str] | None, size: str | None) -> DataFrame:
@@ -102,13 +108,22 @@ def _percent(trades: DataFrame) -> DataFrame:
 
 
 def _stats(t: DataFrame, keys: list[str]) -> DataFrame:
-    s = t.groupBy(*keys).agg(
-        F.avg("slip").alias("avg_slippage"), F.max("slip").alias("max_slippage"), F.stddev_samp("slip").alias("slippage_std_dev"),
-        F.count(F.lit(1)).alias("trade_count"), F.count(F.when(F.col("slip") > 1.0, 1)).alias("impacted_trades"),
-        F.avg("quote_qty").alias("avg_trade_value"), F.min("quote_qty").alias("min_trade_value"),
-        F.max("quote_qty").alias("max_trade_value"), F.count(F.when(is_buy(), 1)).alias("buy_trades"),
-        F.count(F.when(~is_buy(), 1)).alias("sell_trades"), F.min("ts").alias("first_trade_time"), F.max("ts").alias("last_trade_time"))
-    return s.join(group_median(t, keys, "slip", "median_slippage"), keys).withColumn(
+    """Statistics of ``slip`` per key. Equal values collapse first; that frame feeds both the sums and the median."""
+    x, n = F.col("slip"), F.col("n")
+    cells = settle(t.groupBy(*keys, "slip").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("quote_qty").alias("q"), F.min("quote_qty").alias("q_min"),
+        F.max("quote_qty").alias("q_max"), F.count(F.when(is_buy(), 1)).alias("buys"), F.min("ts").alias("t_min"), F.max("ts").alias("t_max")))
+    s = cells.groupBy(*keys).agg(
+        F.sum(x * n).alias("sx"), F.sum(x * x * n).alias("xx"), F.max("slip").alias("max_slippage"), F.sum("n").alias("trade_count"),
+        F.sum(F.when(x > 1.0, n).otherwise(F.lit(0))).alias("impacted_trades"), (F.sum("q") / F.sum("n")).alias("avg_trade_value"),
+        F.min("q_min").alias("min_trade_value"), F.max("q_max").alias("max_trade_value"), F.sum("buys").alias("buy_trades"),
+        F.min("t_min").alias("first_trade_time"), F.max("t_max").alias("last_trade_time"))
+    c = F.col("trade_count")
+    mean = F.col("sx") / c
+    var = F.greatest(F.try_divide(F.col("xx") - c * mean * mean, c - 1), F.lit(0.0))
+    s = s.withColumn("avg_slippage", mean).withColumn("slippage_std_dev", F.when(c > 1, F.sqrt(var))).withColumn(
+        "sell_trades", c - F.col("buy_trades")).drop("sx", "xx")
+    return s.join(group_median(cells, keys, "slip", "median_slippage", "n"), keys).withColumn(
         "impact_rate", ratio0("impacted_trades", "trade_count") * 100).withColumn(
         "slippage_quality", below("avg_slippage", QUALITY, "poor")).withColumn(
         "liquidity_score", below("avg_slippage", SCORES, 50))

@@ -88,12 +88,16 @@ def mv_user_growth(trades: DataFrame, as_of: int, period: str = "90d") -> DataFr
 
 
 def _active(trades: DataFrame, keys: list[str], period: str, as_of: int, interval: str) -> DataFrame:
-    """(keys, bucket) activity inside the period with the key's first trade over all history."""
+    """(keys, bucket) activity inside the period with the key's first trade over all history.
+
+    One pass: history before the period collapses into a single bucket per key.
+    """
     start, step = period_start(period, as_of), interval_seconds(interval)
-    first = trades.groupBy(*keys).agg(F.min("ts").alias("first_seen"))
-    act = trades.filter(in_period("ts", period, as_of)).groupBy(*keys, bucket_index("ts", start, step).alias("idx")).agg(
-        F.count(F.lit(1)).alias("n"), F.sum("quote_qty").alias("volume"))
-    return act.join(first, keys).withColumn("begins", F.lit(start).cast("long") + F.col("idx") * step)
+    idx = F.greatest(bucket_index("ts", start, step), F.lit(-1).cast("long"))
+    per = trades.filter(F.col("ts") <= as_of).groupBy(*keys, idx.alias("idx")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum("quote_qty").alias("volume"), F.min("ts").alias("first_here"))
+    return per.withColumn("first_seen", F.min("first_here").over(Window.partitionBy(*keys))).filter("idx >= 0").withColumn(
+        "begins", F.lit(start).cast("long") + F.col("idx") * step)
 
 
 def _people() -> list:

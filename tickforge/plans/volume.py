@@ -12,6 +12,7 @@ from tickforge.functions.columns import is_buy, ratio0, sum_if
 from tickforge.functions.timeutil import (
     PERIOD_HOURS, bucket, bucket_index, calendar_bucket, in_period, interval_seconds, period_start, spine,
 )
+from tickforge.session import settle
 
 
 def bucket_metrics(trades: DataFrame, **keys: Column) -> DataFrame:
@@ -189,9 +190,10 @@ def symbol_volume_summary(trades: DataFrame, period: str, as_of: int, symbols: l
 
 def volume_report(trades: DataFrame, period: str, interval: str, as_of: int) -> DataFrame:
     """Share of the market per symbol next to the market's average and peak bucket."""
-    t = trades.filter(in_period("ts", period, as_of))
-    by_symbol = t.groupBy("symbol").agg(F.sum("quote_qty").alias("volume"), F.count(F.lit(1)).alias("trades"))
-    series = t.groupBy(calendar_bucket("ts", interval).alias("b")).agg(F.sum("quote_qty").alias("v"))
+    cells = settle(trades.filter(in_period("ts", period, as_of)).groupBy(
+        "symbol", calendar_bucket("ts", interval).alias("b")).agg(F.sum("quote_qty").alias("v"), F.count(F.lit(1)).alias("n")))
+    by_symbol = cells.groupBy("symbol").agg(F.sum("v").alias("volume"), F.sum("n").alias("trades"))
+    series = cells.groupBy("b").agg(F.sum("v").alias("v"))
     market = series.agg(F.struct(F.sum("v").alias("total"), F.avg("v").alias("mean"), F.max("v").alias("peak")).alias("m"))
     active = by_symbol.agg(F.count(F.lit(1)))
     return by_symbol.withColumn("m", market.scalar()).select(

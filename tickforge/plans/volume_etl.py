@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tickforge.functions.columns import is_buy, ratio, ratio0, sum_if
 from tickforge.functions.timeutil import FIRST_MONDAY, bucket
 from tickforge.plans.volume import _among
+from tickforge.session import settle
 
 VOLUME_INTERVALS = {"5m": 300, "15m": 900, "1h": 3600, "4h": 14400, "1d": 86400}
 LARGE, WHALE = 3.0, 10.0  # fixed values: multiples of the bucket's mean trade
@@ -25,28 +26,28 @@ def per_interval(trades: DataFrame, intervals: dict[str, int]) -> DataFrame:
 def volume_timeseries(trades: DataFrame, intervals: dict[str, int] | None = None) -> DataFrame:
     """One row per symbol, interval and bucket (stamped with the bucket end).
 
-    Large and whale counts compare each trade with its own bucket's mean. Trades of equal size are
-    counted together first, so the second join handles distinct sizes, and the history columns are
-    windows over the finished series rather than over trades.
+    Two passes over trades: the bucket statistics, kept once, and the distribution of trade sizes that
+    is compared with each bucket's mean for the large and whale counts. The history columns are windows
+    over the finished series rather than over trades.
     """
     keys = ["symbol", "interval_type", "time_bucket"]
     wide = per_interval(trades, intervals or VOLUME_INTERVALS)
-    stats = wide.groupBy(*keys).agg(
+    stats = settle(wide.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("trades_count"), F.count_distinct("user_id").alias("unique_traders"),
         F.sum("quote_qty").alias("volume"), sum_if(is_buy(), "quote_qty").alias("buy_volume"),
         sum_if(~is_buy(), "quote_qty").alias("sell_volume"), F.count(F.when(is_buy(), 1)).alias("buy_trades"),
         F.count(F.when(~is_buy(), 1)).alias("sell_trades"), F.sum("quantity").alias("qty"),
         F.min_by("price", "seq").alias("open_price"), F.max("price").alias("high_price"),
         F.min("price").alias("low_price"), F.max_by("price", "seq").alias("close_price"),
-        F.avg("quote_qty").alias("mean_size"), F.stddev_samp("price").alias("price_stddev"))
+        F.avg("quote_qty").alias("mean_size"), F.stddev_samp("price").alias("price_stddev")))
     sizes = wide.groupBy(*keys, "quote_qty").agg(F.count(F.lit(1)).alias("n"))
     big = sizes.join(stats.select(*keys, "mean_size"), keys).groupBy(*keys).agg(
         sum_if(F.col("quote_qty") > F.col("mean_size") * LARGE, "n").alias("large_trade_count"),
         sum_if(F.col("quote_qty") > F.col("mean_size") * WHALE, "n").alias("whale_trade_count"))
-    market = stats.groupBy("interval_type", "time_bucket").agg(F.sum("volume").alias("market_volume"))
+    peers = Window.partitionBy("interval_type", "time_bucket")
     w = Window.partitionBy("symbol", "interval_type").orderBy("time_bucket")
     series = (
-        stats.join(big, keys).join(market, ["interval_type", "time_bucket"])
+        stats.join(big, keys).withColumn("market_volume", F.sum("volume").over(peers))
         .withColumn("vwap", ratio(F.col("volume"), "qty"))
         .withColumn("sma", F.avg("volume").over(w.rowsBetween(-19, -1)))
         .withColumn("prev", F.lag("volume", 1).over(w)).withColumn("prev5", F.lag("volume", 5).over(w))

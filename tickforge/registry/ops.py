@@ -44,7 +44,7 @@ query("scan_state_tables", f"""SELECT 'pools' AS table_name, count(*) AS records
 @query("static_pool_json", """SELECT 'p' || p_partkey AS id, 1 AS chain_id, p_name AS coin, '0xbook' || p_partkey AS order_book, p_size AS base_decimals,
   cast(p_retailprice AS varchar) AS price, '0xaa' || p_partkey AS base_address, p_brand AS base_symbol, p_type AS quote_symbol FROM part""")
 def static_pool_json(fx):
-    """Documents of nested pools, one file per part size, read back flat."""
+    """Documents of at most a thousand nested pools, one per line, read back flat."""
     k = F.col("p_partkey").cast("string")
     currency = lambda addr, sym: F.struct(addr.alias("address"), F.lit(1).alias("chainId"), F.lit(18).alias("decimals"),
                                           F.col("p_name").alias("name"), addr.alias("id"), sym.alias("symbol"))
@@ -53,11 +53,11 @@ def static_pool_json(fx):
                     F.lit(6).alias("quoteDecimals"), F.col("p_retailprice").cast("string").alias("price"),
                     currency(F.concat(F.lit("0xAA"), k), F.col("p_brand")).alias("baseCurrency"),
                     currency(F.concat(F.lit("0xBB"), k), F.col("p_type")).alias("quoteCurrency"))
-    docs = fx.table("part").groupBy("p_size").agg(F.collect_list(item).alias("items")).select(
-        "p_size", F.to_json(F.struct(F.struct(F.struct("items").alias("poolss")).alias("data"))).alias("value"))
+    docs = fx.table("part").groupBy(F.floor(F.col("p_partkey") / 1000)).agg(F.collect_list(item).alias("items")).select(
+        F.to_json(F.struct(F.struct(F.struct("items").alias("poolss")).alias("data"))).alias("value"))
     path = scratch_path(fx.spark, "pools-json")
-    docs.repartition("p_size").write.partitionBy("p_size").text(path)
-    return event_log.static_pool_json(fx.spark, path).select(
+    docs.write.text(path)
+    return event_log.static_pool_json(fx.spark, path, multi_line=False).select(
         "id", "chain_id", "coin", "order_book", "base_decimals", "price", "base_address", "base_symbol", "quote_symbol")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "tickforge", master: str | None = None, **conf: str) -> SparkSession:
@@ -45,6 +45,16 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return target
 
 
+def settle(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint of a small intermediate result that several branches of a job read.
+
+    Column pruning gives every branch its own copy of the plan, so without it each branch would scan the
+    source again.
+    """
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path under the shared checkpoint folder for a written intermediate table."""
     return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -43,9 +43,9 @@ def live_gate(log: DataFrame, min_block: int) -> DataFrame:
     return log.filter(F.col("block_number") >= min_block)
 
 
-def static_pool_json(spark: SparkSession, path: str) -> DataFrame:
-    """Nested pools document to a flat pool dimension."""
-    doc = spark.read.schema(STATIC_POOLS).json(path, multiLine=True)
+def static_pool_json(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """Nested pools documents (one per file, or one per line) to a flat pool dimension."""
+    doc = spark.read.schema(STATIC_POOLS).json(path, multiLine=multi_line)
     p = F.col("p")
     flat = {"id": "id", "chainId": "chain_id", "coin": "coin", "orderBook": "order_book", "baseDecimals": "base_decimals",
             "quoteDecimals": "quote_decimals", "price": "price", "volume": "volume", "volumeInQuote": "volume_in_quote",
