@@ -60,6 +60,25 @@ def scaled(raw: str | Column, decimals: str | Column) -> Column:
     return col(raw).cast("double") / F.pow(F.lit(10.0), col(decimals).cast("double"))
 
 
+def mul_div_floor(quantity: str | Column, price: str | Column, decimals: str | Column) -> Column:
+    """floor(quantity * price / 10^decimals) on raw integers whose product would not fit 38 digits.
+
+    The quantity is split into whole units and a remainder, so every partial product is exact.
+    """
+    big = lambda c: col(c).cast("decimal(38,0)")
+    unit = F.pow(F.lit(10.0), col(decimals)).cast("decimal(38,0)")
+    q, p = big(quantity), big(price)
+    rest = q % unit
+    part = (rest * p).cast("decimal(38,0)")
+    whole = ((q - rest) / unit).cast("decimal(38,0)")
+    return ((whole * p).cast("decimal(38,0)") + ((part - part % unit) / unit).cast("decimal(38,0)")).cast("decimal(38,0)")
+
+
+def kind_of(df, name: str):
+    """Data type of a column, to keep raw amounts in the type they arrive in."""
+    return df.schema[name].dataType
+
+
 def seq(block: str | Column = "block_number", log_index: str | Column = "log_index") -> Column:
     """One long that orders events like (block, log index); keeps min_by/max_by in hash aggregation."""
     return F.shiftleft(col(block).cast("long"), 31) + col(log_index).cast("long")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickforge.functions.columns import is_buy, scaled
+from tickforge.functions.columns import is_buy, kind_of, scaled
 from tickforge.functions.timeutil import bucket
 from tickforge.operators.keyed import top_per_group
 from tickforge.plans.orders import OPEN_STATUSES
@@ -60,7 +60,7 @@ def order_deltas(log: DataFrame) -> DataFrame:
 def depth_incremental(log: DataFrame) -> DataFrame:
     """Level state after all events; empty levels are kept with quantity 0 as in an upserted table."""
     return order_deltas(log).groupBy("pool_id", "side", "price").agg(
-        F.sum("d_qty").cast("long").alias("quantity"), F.sum("d_count").cast("long").alias("order_count"),
+        F.sum("d_qty").cast(kind_of(log, "quantity")).alias("quantity"), F.sum("d_count").cast("long").alias("order_count"),
         F.max("last_updated").alias("last_updated"))
 
 
@@ -160,7 +160,7 @@ def book_history_hourly(orders: DataFrame, history: DataFrame, start: int, until
     if seed is not None:
         changes = changes.filter(F.col("hour") >= start).unionByName(seed.select(
             "pool_id", "side", "price", F.lit(start - step).cast("long").alias("hour"),
-            F.col("quantity").cast("long").alias("dq"), F.col("order_count").cast("long").alias("dc")))
+            F.col("quantity").alias("dq"), F.col("order_count").cast("long").alias("dc")))
     w = Window.partitionBy("pool_id", "side", "price").orderBy("hour")
     run = w.rowsBetween(Window.unboundedPreceding, 0)
     valid = (

@@ -5,15 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tickforge.functions.columns import kind_of
 from tickforge.operators.keyed import latest_per_key
 from tickforge.operators.temporal import running_sums
 
 
 def ledger_deltas(events: DataFrame) -> DataFrame:
     """One signed (amount, locked) movement per account touched by an event."""
-    a, fee, zero = F.col("amount"), F.col("fee"), F.lit(0).cast("long")
+    kind = kind_of(events, "amount")
+    a, fee, zero = F.col("amount"), F.col("fee"), F.lit(0).cast(kind)
     move = lambda user, free, locked, leg: F.struct(
-        F.col(user).alias("user_id"), free.cast("long").alias("d_amount"), locked.cast("long").alias("d_locked"),
+        F.col(user).alias("user_id"), free.cast(kind).alias("d_amount"), locked.cast(kind).alias("d_locked"),
         F.lit(leg).alias("leg"))
     op = F.col("op")
     received = [move("receiver", a - fee, zero, 1), move("operator", fee, zero, 2)]

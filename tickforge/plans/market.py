@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickforge.functions.columns import is_buy, ratio0
+from tickforge.functions.columns import is_buy, mul_div_floor, ratio0
 from tickforge.functions.timeutil import in_period
 from tickforge.operators.keyed import latest_per_key, top_per_group
 from tickforge.plans.orders import OPEN_STATUSES
@@ -80,7 +80,7 @@ def ticker_price(pools: DataFrame, trades: DataFrame) -> DataFrame:
 
 def _orders_view(orders: DataFrame, pools: DataFrame) -> DataFrame:
     dims = pools.select(F.col("order_book").alias("pool_id"), F.col("coin").alias("symbol"), "quote_decimals")
-    spent = F.floor(F.col("filled") * F.col("price") / F.pow(F.lit(10.0), F.col("quote_decimals")))
+    spent = mul_div_floor("filled", "price", "quote_decimals")
     return orders.join(dims, "pool_id").select(
         "user_id", "symbol", "order_id", "side", "type", "status", "price", "quantity", "filled",
         spent.alias("cum_quote_qty"), "ts", "seq")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickforge.functions.columns import row_key
+from tickforge.functions.columns import kind_of, mul_div_floor, row_key
 from tickforge.operators.keyed import first_per_key, latest_per_key
 
 # Order status names by on-chain code.
@@ -63,7 +63,7 @@ def order_fill_progress(orders: DataFrame, order_trades: DataFrame) -> DataFrame
     """Filled quantity and the status it implies, before any cancel or update."""
     filled = order_trades.groupBy("pool_id", "order_id").agg(F.sum("quantity").alias("filled"))
     return orders.join(filled, ["pool_id", "order_id"], "left").select(
-        "pool_id", "order_id", "quantity", F.coalesce("filled", F.lit(0)).cast("long").alias("filled"),
+        "pool_id", "order_id", "quantity", F.coalesce("filled", F.lit(0)).cast(kind_of(orders, "quantity")).alias("filled"),
         F.when(F.col("filled").isNull(), F.col("status"))
         .when(F.col("filled") == F.col("quantity"), "FILLED").otherwise("PARTIALLY_FILLED").alias("status"),
     )
@@ -108,7 +108,7 @@ def order_current_state(log: DataFrame, names: list[str] | None = None) -> DataF
     return state.select(
         "chain_id", "pool_id", "order_id", "user_id", side_name("side_code").alias("side"), "price", "quantity",
         F.when(F.col("is_market"), "Market").otherwise("Limit").alias("type"),
-        F.coalesce("filled", F.lit(0)).cast("long").alias("filled"),
+        F.coalesce("filled", F.lit(0)).cast(kind_of(log, "quantity")).alias("filled"),
         F.when(by_update, status_name("code", names))
         .when(F.col("filled").isNotNull(),
               F.when(F.col("filled") == F.col("quantity"), "FILLED").otherwise("PARTIALLY_FILLED"))
@@ -121,7 +121,7 @@ def order_history_log(log: DataFrame, names: list[str] | None = None) -> DataFra
     """One row per (order, transaction, filled); a later write of the same key replaces it."""
     rows = log.filter(F.col("event_name").isin("OrderPlaced", *UPDATE_EVENTS)).select(
         F.col("address").alias("pool_id"), "order_id", "tx_hash", F.col("block_timestamp").alias("ts"),
-        F.coalesce("filled", F.lit(0)).cast("long").alias("filled"),
+        F.coalesce("filled", F.lit(0)).cast(kind_of(log, "quantity")).alias("filled"),
         status_name("status_code", names).alias("status"), "seq",
     )
     return latest_per_key(rows, ["pool_id", "order_id", "tx_hash", "filled"], "seq")
@@ -155,12 +155,11 @@ def fold_pools(created: DataFrame, tokens: DataFrame) -> DataFrame:
 def pool_running_stats(pools: DataFrame, fill_rows: DataFrame) -> DataFrame:
     """Last price, base volume and quote volume per pool; each quote term is floored like the chain does."""
     dims = pools.select(F.col("order_book").alias("pool_id"), "coin", "base_decimals")
-    unit = F.pow(F.lit(10.0), F.col("base_decimals"))
     terms = fill_rows.join(dims.select("pool_id", "base_decimals"), "pool_id").withColumn(
-        "quote", F.floor(F.col("quantity").cast("decimal(38,0)") * F.col("price").cast("decimal(20,0)") / unit).cast("decimal(38,0)"))
+        "quote", mul_div_floor("quantity", "price", "base_decimals"))
     stats = terms.groupBy("pool_id").agg(
         F.max_by("price", "seq").alias("price"), F.sum("quantity").alias("volume"),
-        F.sum("quote").cast("long").alias("volume_in_quote"), F.max("ts").alias("timestamp"))
+        F.sum("quote").alias("volume_in_quote"), F.max("ts").alias("timestamp"))
     return dims.drop("base_decimals").join(stats, "pool_id", "left").select(
         "pool_id", "coin", F.coalesce("price", F.lit(0)).alias("price"),
         F.coalesce("volume", F.lit(0)).alias("volume"),
@@ -168,17 +167,17 @@ def pool_running_stats(pools: DataFrame, fill_rows: DataFrame) -> DataFrame:
 
 
 def user_stats(log: DataFrame, ledger: DataFrame) -> DataFrame:
-    """First and last activity, order and deposit counts and raw traded volume per user."""
+    """First and last activity, placed orders, deposits and raw traded volume (price x quantity) per user."""
     ev = F.col("event_name")
     placed = log.filter(ev.isin("OrderPlaced", "OrderMatched")).select(
         "chain_id", "user_id", F.col("block_timestamp").alias("ts"),
         (ev == "OrderPlaced").cast("long").alias("orders"), F.lit(0).cast("long").alias("deposits"),
-        F.when(ev == "OrderMatched", F.col("price") * F.col("quantity")).otherwise(F.lit(0)).alias("volume"))
+        F.when(ev == "OrderMatched", F.col("price").cast("double") * F.col("quantity").cast("double")).otherwise(0.0).alias("volume"))
     moved = ledger.select(
         "chain_id", F.explode(F.when(F.col("op").startswith("transfer"), F.array("user_id", "receiver", "operator"))
                               .otherwise(F.array("user_id"))).alias("user_id"), "ts",
         F.lit(0).cast("long").alias("orders"), (F.col("op") == "deposit").cast("long").alias("deposits"),
-        F.lit(0).cast("long").alias("volume"))
+        F.lit(0.0).alias("volume"))
     return placed.unionByName(moved).groupBy("chain_id", "user_id").agg(
         F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"), F.sum("orders").alias("total_orders"),
         F.sum("deposits").alias("total_deposits"), F.sum("volume").alias("total_volume"))

@@ -58,10 +58,10 @@ def fold_pools(fx):
 query("pool_running_stats", """SELECT p.order_book AS pool_id, p.coin, max_by(f.price, f.seq) AS price,
   cast(sum(f.quantity) AS bigint) AS volume, cast(sum(f.quantity * f.price) AS bigint) AS volume_in_quote, max(f.ts) AS timestamp
   FROM fx_pools p JOIN fx_fills f ON f.pool_id = p.order_book GROUP BY 1, 2""")(
-    lambda fx: orders.pool_running_stats(fx.pools, fx.fills))
+    lambda fx: orders.pool_running_stats(fx.pools, fx.fills).withColumn("volume_in_quote", F.col("volume_in_quote").cast("long")))
 
 query("user_stats", """SELECT chain_id, user_id, min(ts) AS first_seen, max(ts) AS last_seen, cast(sum(o) AS bigint) AS total_orders,
-  cast(sum(d) AS bigint) AS total_deposits, cast(sum(v) AS bigint) AS total_volume FROM (
+  cast(sum(d) AS bigint) AS total_deposits, cast(sum(v) AS double) AS total_volume FROM (
   SELECT chain_id, user_id, block_timestamp AS ts, CASE WHEN event_name = 'OrderPlaced' THEN 1 ELSE 0 END AS o, 0 AS d,
     CASE WHEN event_name = 'OrderMatched' THEN price * quantity ELSE 0 END AS v FROM fx_log WHERE event_name IN ('OrderPlaced', 'OrderMatched')
   UNION ALL SELECT chain_id, user_id, ts, 0, CASE WHEN op = 'deposit' THEN 1 ELSE 0 END, 0 FROM fx_ledger

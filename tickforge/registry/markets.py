@@ -51,9 +51,9 @@ query("ticker_price", "SELECT symbol, arg_max(price, seq) AS price FROM fx_trade
 view("fx_orders_view", """SELECT user_id, coin AS symbol, order_id, side, type, status, price, quantity, filled,
   cast(floor(filled * price / pow(10.0, quote_decimals)) AS bigint) AS cum_quote_qty, ts, seq FROM fx_orders o JOIN fx_pools p ON p.order_book = o.pool_id""")
 query("orders_by_user", """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY seq DESC) AS rn FROM fx_orders_view) WHERE rn <= 500""")(
-    lambda fx: market.orders_by_user(fx.orders, fx.pools))
+    lambda fx: market.orders_by_user(fx.orders, fx.pools).withColumn("cum_quote_qty", F.col("cum_quote_qty").cast("long")))
 query("open_orders", """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY seq DESC) AS rn FROM fx_orders_view
-  WHERE status IN ('NEW', 'OPEN', 'PARTIALLY_FILLED')) WHERE rn <= 500""")(lambda fx: market.open_orders(fx.orders, fx.pools))
+  WHERE status IN ('NEW', 'OPEN', 'PARTIALLY_FILLED')) WHERE rn <= 500""")(lambda fx: market.open_orders(fx.orders, fx.pools).withColumn("cum_quote_qty", F.col("cum_quote_qty").cast("long")))
 
 
 @query("trade_init_bundle", """SELECT 'orders' AS part, count(*) AS records FROM q_orders_by_user UNION ALL SELECT 'open_orders', count(*) FROM q_open_orders
@@ -75,7 +75,8 @@ query("markets", f"""SELECT replace(p.coin, '/', '') AS symbol, split_part(p.coi
   FROM fx_pools p JOIN q_pool_running_stats s ON s.pool_id = p.order_book LEFT JOIN (SELECT pool_id,
    cast(sum(CASE WHEN side = 'Buy' THEN quantity ELSE 0 END) AS bigint) AS bq, cast(sum(CASE WHEN side = 'Sell' THEN quantity ELSE 0 END) AS bigint) AS aq,
    cast(sum(CASE WHEN side = 'Buy' THEN quantity * price ELSE 0 END) AS bigint) AS bv FROM fx_depth GROUP BY 1) d ON d.pool_id = p.order_book""")(
-    lambda fx: market.markets(fx.pools, orders.pool_running_stats(fx.pools, fx.fills), fx.depth, AS_OF))
+    lambda fx: market.markets(fx.pools, orders.pool_running_stats(fx.pools, fx.fills), fx.depth, AS_OF).withColumn(
+        "volume_in_quote", F.col("volume_in_quote").cast("long")))
 query("user_order_count", "SELECT user_id, count(*) AS order_count FROM fx_orders GROUP BY 1")(lambda fx: market.user_order_count(fx.orders))
 
 _ADHOC = """SELECT o.pool_id, o.status, count(*) AS n, sum(o.quantity) AS quantity FROM {orders} o JOIN {pools} p ON p.order_book = o.pool_id
