@@ -34,8 +34,14 @@ class Fixtures:
 
     @cached_property
     def base(self) -> DataFrame:
-        """One row per event with the integers every other view is built from."""
-        return self.table("events").select(
+        """One row per event with the integers every other view is built from.
+
+        The test file is a single row group, which is one task; batch reads spread it over the cores.
+        """
+        raw = self.table("events")
+        if not raw.isStreaming:
+            raw = raw.repartition(self.spark.sparkContext.defaultParallelism, "event_id")
+        return raw.select(
             F.col("event_id").alias("e"), F.col("user_id").alias("u"), F.col("event_type").alias("pool"),
             F.col("value"), F.round(F.col("value") * 100).cast("bigint").alias("p"),
             (F.regexp_extract("props", "[0-9]+", 0).cast("bigint") + 1).alias("q"),

@@ -25,13 +25,17 @@ def _compose(order: str) -> Column:
         (m["c"] + s["c"] * m["a"]).alias("c"), (m["d"] + s["c"] * m["b"] + s["d"]).alias("d")))
 
 
-def compose_steps(steps: DataFrame, keys: Sequence[str], order: str, chunk: str, chunks_per_span: int = 1440,
+def compose_steps(steps: DataFrame, keys: Sequence[str], order: str, chunk: str, chunks_per_span: int | None = 1440,
                   sums: Sequence[str] = (), maxima: Sequence[str] = ()) -> DataFrame:
-    """One map (a, b, c, d) per key from one map per row, with plain sums and maxima taken along."""
+    """One map (a, b, c, d) per key from one map per row, with plain sums and maxima taken along.
+
+    ``chunks_per_span=None`` skips the middle level when the keys already bound the number of chunks.
+    """
     keys = list(keys)
     extra = [F.sum(c).alias(c) for c in sums] + [F.max(c).alias(c) for c in maxima]
     out, level = steps, order
-    for group in ([*keys, chunk], [*keys, "span"], keys):
+    middle = [] if chunks_per_span is None else [[*keys, "span"]]
+    for group in ([*keys, chunk], *middle, keys):
         if group[-1] == "span":
             out = out.withColumn("span", F.floor(F.col(chunk) / chunks_per_span))
         out = out.groupBy(*group).agg(_compose(level).alias("m"), *extra).select(*group, "m.*", *sums, *maxima)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -15,21 +17,42 @@ MAX_REQUESTS, WINDOW, COOLDOWN = 3, 3600, 4 * 3600
 
 
 def _windows(max_requests: int, window: int, cooldown: int):
-    """Pandas step: windows of one identifier from its (second, count) rows, jumping from window to window."""
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ts")
-        ts, total = pdf["ts"].to_numpy(), np.cumsum(pdf["n"].to_numpy())
-        starts, until, i = [], [], 0
-        while i < len(ts):
-            start = ts[i]
-            before = total[i - 1] if i else 0
-            quota_at = np.searchsorted(total, before + max_requests)
-            full = quota_at < len(ts) and ts[quota_at] - start <= window
-            blocked = ts[quota_at] + cooldown if full else start
-            starts.append(start)
-            until.append(blocked)
-            i = max(np.searchsorted(ts, start + window, side="right"), np.searchsorted(ts, blocked, side="left"))
-        return pd.DataFrame({"identifier": pdf["identifier"].iloc[0], "ts": starts, "cooldown_until": until})
+    """Step over (identifier, second, count) rows sorted by both: the windows of every identifier.
+
+    Only the open window is carried from batch to batch, and inside a batch the loop jumps from window to
+    window by binary search, so an identifier of any size streams through in constant memory.
+    """
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        who, start, until, used = None, None, 0, 0
+        for pdf in batches:
+            ids, ts, n = pdf["identifier"].to_numpy(), pdf["ts"].to_numpy(), pdf["n"].to_numpy()
+            cuts = [0, *(np.flatnonzero(ids[1:] != ids[:-1]) + 1), len(ids)]
+            closed = []
+            for lo, hi in zip(cuts[:-1], cuts[1:]):
+                if ids[lo] != who:
+                    if start is not None:
+                        closed.append((who, start, until))
+                    who, start = ids[lo], None
+                t, total, i = ts[lo:hi], np.cumsum(n[lo:hi]), 0
+                while i < len(t):
+                    if start is not None:
+                        end = np.searchsorted(t, start + window, side="right")
+                        if used < max_requests and end > i:
+                            before = total[i - 1] if i else 0
+                            quota = np.searchsorted(total, before + max_requests - used)
+                            if quota < end:
+                                used, until = max_requests, t[quota] + cooldown
+                            else:
+                                used += total[end - 1] - before
+                        i = max(i, end, np.searchsorted(t, until, side="left"))
+                        if i >= len(t):
+                            break
+                        closed.append((who, start, until))
+                    start = until = t[i]
+                    used = 0
+            yield pd.DataFrame(closed, columns=["identifier", "ts", "cooldown_until"])
+        if start is not None:
+            yield pd.DataFrame([(who, start, until)], columns=["identifier", "ts", "cooldown_until"])
     return fold
 
 
@@ -38,12 +61,11 @@ def rate_limit(requests: DataFrame, max_requests: int = MAX_REQUESTS, window: in
     """Decision per request (identifier, ts, seq): allowed, reason, remaining quota, reset time.
 
     Only accepted requests move the limiter, so a window is found from the number of requests per second:
-    requests collapse to one row per (identifier, second) before the shuffle, and the fold jumps from one
-    window to the next. Requests then look up their window and only the first ``max_requests`` of a window
-    are ranked. A window that uses up its quota starts the cooldown; requests inside it are refused.
+    requests collapse to one row per (identifier, second) before the shuffle, and the fold streams over those.
+    Requests then look up their window and only the first ``max_requests`` of a window are ranked. A window that uses up its quota starts the cooldown; requests inside it are refused.
     """
     per_second = requests.groupBy("identifier", "ts").agg(F.count(F.lit(1)).alias("n"))
-    windows = per_second.groupBy("identifier").applyInPandas(
+    windows = per_second.repartition("identifier").sortWithinPartitions("identifier", "ts").mapInPandas(
         _windows(max_requests, window, cooldown), "identifier string, ts bigint, cooldown_until bigint")
     found = asof_lookup(requests, windows, ["identifier"], "ts", ["cooldown_until"], "cooldown_until").select(
         "identifier", "ts", F.col("matched_ts").alias("window_start"), "cooldown_until")

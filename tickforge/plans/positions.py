@@ -59,7 +59,8 @@ def _average_steps(before: Column, q: Column, p: Column) -> list[Column]:
     ]
 
 
-def _fold(trades: DataFrame, keys: list[str], step, chunk_seconds: int, start: DataFrame | None = None) -> DataFrame:
+def _fold(trades: DataFrame, keys: list[str], step, chunk_seconds: int, start: DataFrame | None = None,
+          chunks_per_span: int | None = 1440) -> DataFrame:
     """Final (position, x, y) per key of an affine fold over trades ordered by seq."""
     t = trades.select(*keys, "side", "price", "quantity", "ts", "seq").withColumn(
         "chunk", F.floor(F.col("ts") / chunk_seconds)).withColumn(
@@ -71,7 +72,7 @@ def _fold(trades: DataFrame, keys: list[str], step, chunk_seconds: int, start: D
         t = t.join(start.select(*keys, F.col("quantity").alias("q0")), keys, "left").withColumn("q0", F.coalesce("q0", F.lit(0.0)))
     steps = t.select(*keys, "chunk", "seq", F.col("signed").alias("net"), F.col("ts").alias("updated_at"),
                      *step(F.col("signed_before") + F.col("q0"), F.col("quantity"), F.col("price")))
-    return compose_steps(steps, keys, "seq", "chunk", sums=["net"], maxima=["updated_at"])
+    return compose_steps(steps, keys, "seq", "chunk", chunks_per_span, sums=["net"], maxima=["updated_at"])
 
 
 def positions_fold(trades: DataFrame, state: DataFrame | None = None, chunk_seconds: int = 60) -> DataFrame:
@@ -162,7 +163,7 @@ def pnl_backfill_hourly(trades: DataFrame, start: int, end: int, depth_prices: D
                         chunk_seconds: int = 60) -> DataFrame:
     """PnL of each user-hour's own trades starting flat, marked at the hour's end; one pass, no loop over hours."""
     t = trades.filter((F.col("ts") >= start) & (F.col("ts") < end)).withColumn("bucket", bucket("ts", 3600))
-    folded = _fold(t, ["user_id", "symbol", "bucket"], _average_steps, chunk_seconds).select(
+    folded = _fold(t, ["user_id", "symbol", "bucket"], _average_steps, chunk_seconds, chunks_per_span=None).select(
         "user_id", "symbol", "bucket", F.col("net").alias("position"), F.col("b").alias("avg_cost"), F.col("d").alias("realized"))
     ends = t.select("symbol", (F.col("bucket") + 3600).alias("ts")).distinct()
     marks = mark_price_asof(ends, trades, depth_prices).select("symbol", (F.col("ts") - 3600).alias("bucket"), "mark_price")
