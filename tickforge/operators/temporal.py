@@ -81,7 +81,7 @@ def range_mean(df: DataFrame, by: Sequence[str], ts: str, value: str, radius: in
     means = (
         haloed.withColumn("rs", F.sum("s").over(w)).withColumn("rn", F.sum("n").over(w))
         .filter(F.col("chunk") == F.col("own"))
-        .select(*by, ts, (F.col("rs") / F.col("rn")).alias(out))
+        .select(*by, ts, F.try_divide("rs", "rn").alias(out))
     )
     return df.join(means, [*by, ts], "left")
 

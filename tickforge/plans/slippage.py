@@ -103,8 +103,9 @@ def slippage_list(rows: DataFrame, hours: int, as_of: int, limit: int = 100, sym
 
 
 def _percent(trades: DataFrame) -> DataFrame:
+    """Distance from the mid in percent; trades without a positive mid have no slippage and are left out."""
     mid = F.col("mid_price")
-    return trades.withColumn("slip", F.round(F.abs(F.col("price") - mid) / mid * 100, 6))
+    return trades.filter(mid > 0).withColumn("slip", F.round(F.abs(F.col("price") - mid) / mid * 100, 6))
 
 
 def _stats(t: DataFrame, keys: list[str]) -> DataFrame:

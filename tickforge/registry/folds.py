@@ -82,10 +82,12 @@ view("fx_depth_inc", """SELECT pool_id, side, price, cast(sum(CASE WHEN gone THE
     WHERE event_name IN ('OrderCancelled', 'UpdateOrder') GROUP BY 1, 2) u USING (pool_id, order_id)) GROUP BY 1, 2, 3""")
 query("depth_incremental", "SELECT * FROM fx_depth_inc")(lambda fx: books.depth_incremental(fx.event_log))
 
-view("fx_best20", """SELECT pool_id, side, level, price, quantity, order_count FROM (SELECT *, row_number() OVER (
+view("fx_best", """SELECT pool_id, side, level, price, quantity, order_count FROM (SELECT *, row_number() OVER (
   PARTITION BY pool_id, side ORDER BY CASE WHEN side = 'Buy' THEN -price ELSE price END) AS level FROM fx_depth WHERE price > 0 AND quantity > 0)""")
-query("depth_from_orders", "SELECT * FROM fx_best20 WHERE level <= 100")(lambda fx: books.depth_from_orders(fx.orders, 100))
-query("depth_from_levels", "SELECT * FROM fx_best20 WHERE level <= 20")(lambda fx: books.depth_from_levels(fx.depth, 20))
+query("depth_from_orders", "SELECT * FROM fx_best WHERE level <= 100")(lambda fx: books.depth_from_orders(fx.orders, 100))
+view("fx_best_any", """SELECT pool_id, side, row_number() OVER (PARTITION BY pool_id, side ORDER BY CASE WHEN side = 'Buy' THEN -price ELSE price END) AS level,
+  price, quantity, order_count FROM fx_depth WHERE quantity > 0""")
+query("depth_from_levels", "SELECT * FROM fx_best_any WHERE level <= 20")(lambda fx: books.depth_from_levels(fx.depth, 20))
 query("depth_from_raw_events", """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY pool_id, side
   ORDER BY CASE WHEN side = 'Buy' THEN -price ELSE price END) AS level FROM (SELECT pool_id, side, price,
   cast(sum(quantity) AS bigint) AS quantity, count(*) AS order_count FROM fx_placed WHERE status = 'OPEN' AND price > 0 GROUP BY 1, 2, 3)) WHERE level <= 100""")(
