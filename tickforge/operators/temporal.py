@@ -31,15 +31,16 @@ def asof_lookup(points: DataFrame, events: DataFrame, by: Sequence[str], ts: str
     )
     inside = Window.partitionBy(*by, "chunk").orderBy(ts).rowsBetween(Window.unboundedPreceding, 0)
     across = Window.partitionBy(*by).orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    # Both branches read the same columns of the timeline, so its shuffle is built once and reused.
     carry = (
-        timeline.groupBy(*by, "chunk").agg(F.max("m.mts").alias("mx"), F.max_by("m", F.col("m.mts")).alias("m"))
+        timeline.groupBy(*by, "chunk").agg(F.max_by("m", F.col("m.mts")).alias("m"), F.max("q").alias("asked"))
         .withColumn("carry", F.last("m", ignorenulls=True).over(across))
-        .select(*by, "chunk", "carry")
+        .select(*by, "chunk", "carry", "asked")
     )
     found = (
         timeline.withColumn("here", F.last("m", ignorenulls=True).over(inside))
         .filter(F.col("q") == 1)
-        .join(carry, [*by, "chunk"], "left")
+        .join(carry.filter("asked = 1"), [*by, "chunk"], "left")
         .withColumn("hit", F.coalesce("here", "carry"))
     )
     ok = F.col("hit").isNotNull()
