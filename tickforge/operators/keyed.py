@@ -32,7 +32,8 @@ def top_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n
                   rank: str = "rn") -> DataFrame:
     """First ``n`` rows per group; Spark prunes each partition to ``n`` rows before the shuffle."""
     w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn(rank, F.row_number().over(w)).filter(F.col(rank) <= n)
+    kept = df.withColumn(rank, F.row_number().over(w)).filter(F.col(rank) <= n)
+    return kept.withColumn(rank, F.col(rank).cast("long"))
 
 
 def insert_ignore(target: DataFrame, batch: DataFrame, keys: Sequence[str],

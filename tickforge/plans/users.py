@@ -220,7 +220,7 @@ def user_activity_hourly(trades: DataFrame, positions: DataFrame) -> DataFrame:
         F.coalesce("symbols_traded", F.array().cast("array<string>")).alias("symbols_traded"), z("winning_trades"),
         z("losing_trades"), zf("total_trades_profit"), zf("total_trades_loss")
     ).withColumn("total_pnl", F.col("realized_pnl") + F.col("unrealized_pnl")).withColumn(
-        "unique_symbols_count", F.size("symbols_traded")).withColumn("win_rate", ratio0("winning_trades", "trades_count") * 100)
+        "unique_symbols_count", F.size("symbols_traded").cast("long")).withColumn("win_rate", ratio0("winning_trades", "trades_count") * 100)
     pnl_abs = F.abs("total_pnl")
     return j.withColumn("avg_profit_per_trade", ratio0("total_trades_profit", "winning_trades")) \
         .withColumn("avg_loss_per_trade", ratio0("total_trades_loss", "losing_trades")) \
@@ -243,7 +243,7 @@ def user_activity_daily(hourly: DataFrame) -> DataFrame:
         F.lit("daily").alias("period_type"), *[F.sum(c).alias(c) for c in sums], *[F.avg(c).alias(c) for c in means],
         F.max("largest_trade").alias("largest_trade"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_set("symbols_traded")))).alias("symbols_traded"),
-    ).withColumn("unique_symbols_count", F.size("symbols_traded"))
+    ).withColumn("unique_symbols_count", F.size("symbols_traded").cast("long"))
 
 
 def _processed(rows: DataFrame, period_type: str, days: int, as_of: int) -> DataFrame:

@@ -15,7 +15,7 @@ DAY, WEEK, MONTH = since(24), since(168), since(720)
 _week = lambda c: f"{c} - ({c} - 345600) % 604800"
 
 query("period_window", " UNION ALL ".join(
-    f"SELECT '{p}' AS period, {0 if h is None else AS_OF - h * 3600} AS start, count(*) FILTER (WHERE ts >= {0 if h is None else AS_OF - h * 3600} AND ts <= {AS_OF}) AS trades FROM fx_trades"
+    f"SELECT '{p}' AS period, cast({0 if h is None else AS_OF - h * 3600} AS bigint) AS start, count(*) FILTER (WHERE ts >= {0 if h is None else AS_OF - h * 3600} AND ts <= {AS_OF}) AS trades FROM fx_trades"
     for p, h in {"1h": 1, "24h": 24, "7d": 168, "30d": 720, "90d": 2160, "1y": 8760, "all": None}.items()))(
     lambda fx: volume.period_counts(fx.trades, AS_OF))
 query("trades_summary", f"""SELECT count(*) AS total_trades, {r2('coalesce(sum(quote_qty), 0)', 'total_volume')}, count(DISTINCT user_id) AS unique_traders

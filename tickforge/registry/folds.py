@@ -39,7 +39,7 @@ view("fx_tokens", """SELECT 1 AS chain_id, '0xTOK' || s_suppkey AS address, 'T'
 
 @query("fold_pools", """SELECT sha256('1_' || order_book) AS id, c.chain_id, order_book, lower(base) AS base, lower(quote) AS quote,
   coalesce(b.symbol, 'UNKNOWN') || '/' || coalesce(q.symbol, 'UNKNOWN') AS coin, coalesce(b.decimals, 18) AS base_decimals,
-  coalesce(q.decimals, 18) AS quote_decimals, 0 AS price, 0 AS volume, 0 AS volume_in_quote, ts AS timestamp
+  coalesce(q.decimals, 18) AS quote_decimals, 0::bigint AS price, 0::bigint AS volume, 0::bigint AS volume_in_quote, ts AS timestamp
   FROM fx_pool_created c LEFT JOIN fx_tokens b ON lower(b.address) = lower(base) LEFT JOIN fx_tokens q ON lower(q.address) = lower(quote)""")
 def fold_pools(fx):
     k = F.col("p_partkey")
