@@ -8,10 +8,11 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry_points
+from tickforge.registry import load
 
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels "
           "conversations").split()
-KEYS = sorted(entry_points.queries())
+KEYS = sorted(load().spark_queries())
 ONLY = os.environ.get("TICKFORGE_KEYS")
 if ONLY:
     KEYS = [k for k in KEYS if k in ONLY.split(",")]
