@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tickforge.llm import token_output
+from tickforge.llm import byte_bpe, token_output
 from tickforge.llm.common import table
 from tickforge.session import scratch_path
 
@@ -24,6 +24,14 @@ def register(key: str, sql: str | None = None):
     return keep
 
 
+@register("op2_byte_bpe")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents encoded and decoded again, as digests."""
+    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    ids = byte_bpe.encode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
+    return byte_bpe.digests(byte_bpe.decode(ids, ranks))
+
+
 @register("op10_token_output")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents written as token ids in ORC, read back, with their place in the sequence and a checksum."""
