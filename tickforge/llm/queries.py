@@ -7,8 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tickforge.llm import byte_bpe, token_output
-from tickforge.llm.common import table
+from tickforge.llm import byte_bpe, quality_classifier, token_output
+from tickforge.llm.common import is_held_out, table
 from tickforge.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,6 +24,14 @@ def register(key: str, sql: str | None = None):
     return keep
 
 
+@register("op1_quality_classifier")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document scored by a classifier that has not seen the held-out fold."""
+    docs = table(spark, sf_dir, "documents")
+    model = quality_classifier.fit(docs, table(spark, sf_dir, "labels"))
+    return quality_classifier.score(docs, model).select("doc_id", is_held_out().alias("held_out"), "score", "predicted")
+
+
 @register("op2_byte_bpe")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents encoded and decoded again, as digests."""
