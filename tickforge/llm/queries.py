@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tickforge.llm import byte_bpe, quality_classifier, token_output
+from tickforge.llm import byte_bpe, language_id, quality_classifier, token_output
 from tickforge.llm.common import is_held_out, table
 from tickforge.session import scratch_path
 
@@ -40,6 +40,14 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(byte_bpe.decode(ids, ranks))
 
 
+@register("op4_language_id")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's language by profiles that have not seen the held-out fold."""
+    docs = table(spark, sf_dir, "documents")
+    found = language_id.predict(docs, language_id.fit(docs))
+    return found.select("doc_id", is_held_out().alias("held_out"), "lang_pred", "score")
+
+
 @register("op10_token_output")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents written as token ids in ORC, read back, with their place in the sequence and a checksum."""
