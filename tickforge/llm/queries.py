@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tickforge.llm import byte_bpe, language_id, quality_classifier, token_output
+from tickforge.llm import byte_bpe, language_id, quality_classifier, quality_rules, token_output
 from tickforge.llm.common import is_held_out, table
 from tickforge.session import scratch_path
 
@@ -48,6 +48,12 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", is_held_out().alias("held_out"), "lang_pred", "score")
 
 
+@register("op6_quality_rules")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base rules and robust outliers of every document, per language and source."""
+    return quality_rules.judge(table(spark, sf_dir, "documents"))
+
+
 @register("op10_token_output")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents written as token ids in ORC, read back, with their place in the sequence and a checksum."""
