@@ -34,8 +34,8 @@ MIN_WORDS, MAX_REPEAT_PERCENT = 20, 30
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 #: Transformed statistics and the least standard deviation each is given: a spread below it means nothing.
-STATISTICS = {"log_words": 0.25, "log_word_length": 0.05, "symbols": 0.04, "upper": 0.04, "marks": 0.04, "repeats": 0.08,
-              "dup_lines": 0.08}
+STATISTICS = {"log_words": 0.25, "log_word_length": 0.05, "symbols": 0.04, "upper": 0.04, "marks": 0.04, "repeats": 0.2,
+              "dup_lines": 0.2}
 KEPT_SHARE = 0.75
 STEPS = 6
 CELLS_PER_OCTAVE = 16

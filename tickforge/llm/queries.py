@@ -7,7 +7,9 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tickforge.llm import byte_bpe, language_id, quality_classifier, quality_rules, token_output
+from tickforge.llm import (
+    byte_bpe, language_id, license_scan, line_dedup, quality_classifier, quality_rules, source_mixing, token_output,
+)
 from tickforge.llm.common import is_held_out, table
 from tickforge.session import scratch_path
 
@@ -54,6 +56,24 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"))
 
 
+@register("op7_source_mixing", source_mixing.SQL)
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each document is taken when sources are mixed to their targets."""
+    return source_mixing.copies(table(spark, sf_dir, "documents"))
+
+
+@register("op8_line_dedup", line_dedup.SQL)
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's text without the lines that are boilerplate on its host."""
+    return line_dedup.dedup_pages(table(spark, sf_dir, "pages"))
+
+
+@register("op9_license_scan", license_scan.SQL)
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The licence notice that each document carries."""
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
 @register("op10_token_output")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents written as token ids in ORC, read back, with their place in the sequence and a checksum."""
