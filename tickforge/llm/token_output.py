@@ -9,6 +9,7 @@ skip stripes; stripes are the unit of parallel reading.
 
 from __future__ import annotations
 
+import functools
 import os
 import zlib
 from collections.abc import Iterator
@@ -22,7 +23,7 @@ from pyspark.sql import types as T
 
 from tickforge.llm.common import fields, text_list
 
-CACHED_WORDS = 400_000
+CACHED_WORDS = 1_000_000
 CONTROL_SEPARATORS = "\x1c\x1d\x1e\x1f"
 ORC_OPTIONS = {"compression": "zstd", "orc.stripe.size": str(64 << 20), "orc.row.index.stride": "1000",
                "orc.bloom.filter.fpp": "0.01"}
@@ -31,8 +32,8 @@ ORC_OPTIONS = {"compression": "zstd", "orc.stripe.size": str(64 << 20), "orc.row
 class WordEncoder:
     """Encodes texts with a vocabulary that drops white space, so that words are independent of each other.
 
-    Ids of words already seen in this task are kept, at most ``CACHED_WORDS`` of them; then the store starts
-    anew. Results never depend on what is kept.
+    Ids of words already seen by this worker process are kept, at most about ``CACHED_WORDS`` of them; then the
+    store starts anew. Results never depend on what is kept.
     """
 
     def __init__(self, tokenizer_file: str):
@@ -66,11 +67,17 @@ class WordEncoder:
         return [b"".join(map(get, words)) + end for words in split]
 
 
+@functools.lru_cache(maxsize=2)
+def word_encoder(tokenizer_file: str) -> WordEncoder:
+    """One encoder per worker process, so that its known words serve all tasks that run there."""
+    return WordEncoder(tokenizer_file)
+
+
 def token_rows(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id", text_col: str = "text",
                end_id: int | None = 1) -> DataFrame:
     """Columns id, ids, n_tokens, part, part_start; order and partitions are those of ``docs``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, before = WordEncoder(tokenizer_file), TaskContext.get().partitionId(), 0
+        encoder, part, before = word_encoder(tokenizer_file), TaskContext.get().partitionId(), 0
         for whole in batches:
             for at in range(0, whole.num_rows, 1000):
                 batch = whole.slice(at, 1000)
