@@ -1,31 +1,33 @@
 """Byte-level BPE by a global shuffle of distinct words.
 
 Documents are packed into blocks. A block keeps its distinct pre-tokens once and, for every position, the
-number of the pre-token there, so a word costs one shuffled row per block and not per occurrence. The exploded
-words of all blocks meet by word, every distinct word is encoded once, the ids go back to the blocks by
-number, and each document is put together by position. The block table is bucketed by block, so that only
-the words are shuffled, never the texts.
+number of the pre-token there, so a word is shuffled once per block and not per occurrence. The words of a
+block are dealt to buckets by a hash; the exploded packs of all blocks meet by bucket, every distinct word is
+encoded once, the ids go back to the blocks, and each document is put together by position. The block table
+is bucketed by block, so that only the words are shuffled, never the texts.
 """
 
 from __future__ import annotations
 
 import base64
 import functools
-import uuid
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import regex
+import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tickforge.llm.common import fields, text_list
-from tickforge.session import scratch_path
+from tickforge.llm.common import bucketed, fields, text_list
 
 BLOCK_CHARS = 8_000_000  # texts of a block, and so the memory of one cogroup; one longer text is a block of its own
+END = b"\xff"  # a byte that UTF-8 never contains, between the words of a pack
 PLANES = 4  # bytes of a pre-token's number, stored byte by byte because the upper ones are nearly constant
 
 
@@ -48,110 +50,154 @@ def token_bytes(path: str) -> dict[int, bytes]:
     return {i: b for b, i in ranks(path).items()}
 
 
-def _packed(numbers: list[np.ndarray]) -> bytes:
-    return np.concatenate(numbers or [np.empty(0, "<u4")]).astype("<u4").view("u1").reshape(-1, PLANES).T.tobytes()
+def _packed(numbers: np.ndarray) -> bytes:
+    return zstandard.compress(np.ascontiguousarray(numbers, "<u4").view("u1").reshape(-1, PLANES).T.tobytes())
 
 
 def _unpacked(packed: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(packed, "u1").reshape(PLANES, -1).T).view("<u4").ravel()
+    return np.ascontiguousarray(np.frombuffer(zstandard.decompress(packed), "u1").reshape(PLANES, -1).T).view("<u4").ravel()
 
 
-def blocks(docs: DataFrame, pattern: str, id_col: str = "doc_id", text_col: str = "text",
+class _Numbering(dict):
+    """Pre-tokens of the words of one block as numbers in order of appearance.
+
+    A space starts a new match of the pattern when the characters on both sides of it are no white space, so a
+    text is cut at its spaces and each distinct piece is matched once. Texts in which any piece starts or ends
+    with white space are matched as a whole.
+    """
+
+    def __init__(self, pattern: str):
+        self.find = regex.compile(pattern).findall
+        self.words: dict[str, int] = {}
+
+    def numbers(self, text: str) -> list[int]:
+        words = self.words
+        return [words.setdefault(w, len(words)) for w in self.find(text)]
+
+    def __missing__(self, piece: str) -> list[int] | None:
+        clean = piece and not piece[0].isspace() and not piece[-1].isspace()
+        found = self[piece] = self.numbers(" " + piece) if clean else None
+        return found
+
+    def of(self, text: str) -> np.ndarray:
+        first, *rest = text.split(" ")
+        parts = [self[x] for x in rest]
+        if not rest or (first and first[-1].isspace()) or None in parts:
+            found = self.numbers(text)
+        else:
+            found = [*self.numbers(first), *chain.from_iterable(parts)]
+        return np.array(found, "u4")
+
+
+def blocks(docs: DataFrame, pattern: str, buckets: int, id_col: str = "doc_id", text_col: str = "text",
            block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """One row per block: block, words (distinct pre-tokens, most frequent first), ids, sizes (pre-tokens of
-    each document) and numbers (the pre-token at each position)."""
+    """One row per block: block, ids, sizes (pre-tokens of each document), numbers (the pre-token at each
+    position), and by bucket its distinct words and their numbers."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find, part, count = regex.compile(pattern).findall, TaskContext.get().partitionId(), 0
-        words: dict[str, int] = {}
-        ids, numbers, held = [], [], 0
+        part, count = TaskContext.get().partitionId(), 0
+        held = _Numbering(pattern)
+        ids, numbers, chars = [], [], 0
 
         def close() -> pa.RecordBatch:
             flat = np.concatenate(numbers)
-            often = np.argsort(-np.bincount(flat, minlength=len(words)), kind="stable")
-            place = np.empty(len(words), "u4")
-            place[often] = np.arange(len(words), dtype="u4")
-            names = list(words)
+            often = np.argsort(-np.bincount(flat, minlength=len(held.words)), kind="stable")
+            place = np.empty(len(held.words), "u4")  # frequent words get small numbers, which pack well
+            place[often] = np.arange(len(held.words), dtype="u4")
+            dealt: dict[int, list[tuple[bytes, int]]] = {}
+            for w, n in held.words.items():
+                raw = w.encode()
+                dealt.setdefault(xxhash.xxh3_64_intdigest(raw) % buckets, []).append((raw, place[n]))
+            dealt = {b: sorted(x) for b, x in sorted(dealt.items())}
             return pa.RecordBatch.from_pydict({
-                "block": pa.array([part << 32 | count]), "words": pa.array([[names[i] for i in often]], pa.list_(pa.string())),
-                "ids": pa.array([ids], pa.list_(kind)), "sizes": pa.array([[len(x) for x in numbers]], pa.list_(pa.int32())),
-                "numbers": pa.array([_packed([place[flat]])], pa.binary())})
+                "block": pa.array([part << 32 | count]), "ids": pa.array([ids], pa.list_(kind)),
+                "sizes": pa.array([[len(x) for x in numbers]], pa.list_(pa.int32())), "numbers": pa.array([_packed(place[flat])]),
+                "buckets": pa.array([list(dealt)], pa.list_(pa.int32())),
+                "words": pa.array([[zstandard.compress(END.join(w for w, _ in x)) for x in dealt.values()]], pa.list_(pa.binary())),
+                "places": pa.array([[_packed(np.array([n for _, n in x], "u4")) for x in dealt.values()]], pa.list_(pa.binary()))})
 
         for batch in batches:
             kind = batch.column(0).type
             for i, text in zip(batch.column(0).to_pylist(), text_list(batch.column(1)), strict=True):
-                found = find(text)
-                for w in found:
-                    if w not in words:
-                        words[w] = len(words)
                 ids.append(i)
-                numbers.append(np.fromiter(map(words.__getitem__, found), "u4", len(found)))
-                held += len(text) + 1
-                if held >= block_chars:
+                numbers.append(held.of(text))
+                chars += len(text) + 1
+                if chars >= block_chars:
                     yield close()
-                    words, ids, numbers, held, count = {}, [], [], 0, count + 1
+                    held, ids, numbers, chars, count = _Numbering(pattern), [], [], 0, count + 1
         if ids:
             yield close()
 
     schema = T.StructType([
-        T.StructField("block", T.LongType()), T.StructField("words", T.ArrayType(T.StringType())),
-        T.StructField("ids", T.ArrayType(docs.schema[id_col].dataType)), T.StructField("sizes", T.ArrayType(T.IntegerType())),
-        T.StructField("numbers", T.BinaryType())])
+        T.StructField("block", T.LongType()), T.StructField("ids", T.ArrayType(docs.schema[id_col].dataType)),
+        T.StructField("sizes", T.ArrayType(T.IntegerType())), T.StructField("numbers", T.BinaryType()),
+        T.StructField("buckets", T.ArrayType(T.IntegerType())), T.StructField("words", T.ArrayType(T.BinaryType())),
+        T.StructField("places", T.ArrayType(T.BinaryType()))])
     return docs.select(id_col, text_col).mapInArrow(run, schema)
 
 
-def _bucketed(df: DataFrame, key: str, name: str) -> DataFrame:
-    spark = df.sparkSession
-    path, made = scratch_path(spark, name), f"{name}_{uuid.uuid4().hex}"
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    df.write.bucketBy(n, key).option("path", path).option("compression", "zstd").saveAsTable(made)
-    return spark.table(made)
-
+def word_ids(packs: DataFrame, path: str, pattern: str) -> DataFrame:
+    """(block, pack, bucket, words) to (block, pack, widths, token_ids).
 
-def word_ids(words: DataFrame, path: str, pattern: str) -> DataFrame:
-    """(block, number, word) to (block, number, token_ids). Equal words meet in one partition and follow each
-    other there, so each is encoded once; a word has at most one row per block, which keeps frequent ones small."""
+    Equal words meet in one bucket, whose packs follow each other in one partition, so each distinct word is
+    encoded once. Memory is one bucket's distinct words; a word stands at most once in a pack, so frequent
+    words weigh little more than others.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, last, ids = _word_encoder(path, pattern), None, b""
+        encode, bucket, known = _word_encoder(path, pattern), None, {}
         for batch in batches:
             out = []
-            for w in batch.column(2).to_pylist():
-                if w != last:
-                    last, ids = w, np.asarray(encode(w), "<u4").tobytes()
-                out.append(ids)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())],
-                                             names=["block", "number", "token_ids"])
-    met = words.select("block", "number", "word").repartition("word").sortWithinPartitions("word")
-    return met.mapInArrow(run, "block long, number int, token_ids binary")
+            for b, words in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                if b != bucket:
+                    bucket, known = b, {}
+                split = zstandard.decompress(words).split(END)
+                for w in split:
+                    if w not in known:
+                        known[w] = encode(w.decode())
+                ids = [known[w] for w in split]
+                out.append((_packed(np.array([len(x) for x in ids], "u4")), _packed(np.fromiter(chain.from_iterable(ids), "u4"))))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array([x[0] for x in out], pa.binary()), pa.array([x[1] for x in out], pa.binary())],
+                names=["block", "pack", "widths", "token_ids"])
+    met = packs.select("block", "pack", "bucket", "words").repartition("bucket").sortWithinPartitions("bucket")
+    return met.mapInArrow(run, "block long, pack int, widths binary, token_ids binary")
 
 
 def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text",
-           block_chars: int = BLOCK_CHARS) -> DataFrame:
+           block_chars: int = BLOCK_CHARS, buckets: int | None = None) -> DataFrame:
     """id and ids (array of int) of every whole text, in the ids of the rank file ``path``.
 
-    Null and empty texts give an empty array. Every input row gives one row: repeated rows and null or equal
-    ids are kept as they are. An empty table gives an empty table; other columns of ``docs`` are not read.
+    ``buckets`` (default: eight per shuffle partition) divides the vocabulary for encoding. Null and empty texts
+    give an empty array. Every input row gives one row: repeated rows and null or equal ids are kept as they
+    are. An empty table gives an empty table; other columns of ``docs`` are not read.
     """
-    held = _bucketed(blocks(docs, pattern, id_col, text_col, block_chars), "block", "bpe_blocks")
-    exploded = held.select("block", F.posexplode("words").alias("number", "word"))
-    found = word_ids(exploded, path, pattern)
+    n = buckets or 8 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    held = bucketed(blocks(docs, pattern, n, id_col, text_col, block_chars), "block", "bpe_blocks", "uncompressed")
+    packs = held.select("block", "buckets", F.posexplode("words").alias("pack", "words")).select(
+        "block", "pack", F.col("buckets")[F.col("pack")].alias("bucket"), "words")
+    found = word_ids(packs, path, pattern)
     schema = T.StructType([*fields(docs, id_col), T.StructField("ids", T.ArrayType(T.IntegerType()))])
     kind = T.StructType(fields(docs, id_col))
 
     def reassemble(block: pa.Table, known: pa.Table) -> pa.Table:
         from pyspark.sql.pandas.types import to_arrow_schema
 
-        by_number = dict(zip(known["number"].to_pylist(), known["token_ids"].to_pylist(), strict=True))
-        table = [by_number[n] for n in range(len(by_number))]
+        by_pack = {p: (w, t) for p, w, t in zip(known["pack"].to_pylist(), known["widths"].to_pylist(), known["token_ids"].to_pylist(), strict=True)}
+        places = [_unpacked(x) for x in block["places"][0].as_py()]
+        packs = [by_pack[p] for p in range(len(places))]
+        none = np.empty(0, "u4")
+        place = np.concatenate([none, *places])
+        width = np.concatenate([none, *(_unpacked(w) for w, _ in packs)]).astype("i8")
+        tokens = np.concatenate([none, *(_unpacked(t) for _, t in packs)])
+        begins, widths = np.zeros(len(place), "i8"), np.zeros(len(place), "i8")
+        begins[place], widths[place] = np.cumsum(width) - width, width
         flat = _unpacked(block["numbers"][0].as_py())
-        sizes = np.array(block["sizes"][0].as_py(), "i8")
-        widths = np.array([len(x) // 4 for x in table], "i8")
-        ends = np.concatenate([[0], np.cumsum(widths[flat] if len(flat) else widths[:0])])
-        ends = ends[np.concatenate([[0], np.cumsum(sizes)])]
-        values = np.frombuffer(b"".join(map(table.__getitem__, flat.tolist())), "<i4")
+        ends = np.concatenate([[0], np.cumsum(widths[flat])])
+        at = np.repeat(begins[flat] - ends[:-1], widths[flat]) + np.arange(ends[-1])
+        ends = ends[np.concatenate([[0], np.cumsum(np.array(block["sizes"][0].as_py(), "i8"))])]
         ids = pa.array(block["ids"][0].as_py(), to_arrow_schema(kind).field(0).type)
-        return pa.table({id_col: ids, "ids": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values))})
+        return pa.table({id_col: ids, "ids": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(tokens[at].astype("i4")))})
 
-    return held.select("block", "ids", "sizes", "numbers").groupBy("block").cogroup(found.groupBy("block")).applyInArrow(
+    return held.select("block", "ids", "sizes", "numbers", "places").groupBy("block").cogroup(found.groupBy("block")).applyInArrow(
         reassemble, schema)
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -30,6 +31,16 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, key: str, name: str, compression: str = "zstd") -> DataFrame:
+    """Write ``df`` to a fresh table bucketed by ``key`` without shuffling it, and read that: joins and groups on
+    the key need no exchange of this side."""
+    spark = df.sparkSession
+    made = f"{name}_{uuid.uuid4().hex}"
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.bucketBy(n, key).option("path", scratch_path(spark, name)).option("compression", compression).saveAsTable(made)
+    return spark.table(made)
+
+
 def fields(df: DataFrame, *names: str) -> list[T.StructField]:
     return [T.StructField(n, df.schema[n].dataType, True) for n in names]
 
