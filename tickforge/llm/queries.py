@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tickforge.llm import (
-    byte_bpe, language_id, license_scan, line_dedup, quality_classifier, quality_rules, source_mixing, token_output,
+    byte_bpe, jaccard_join, language_id, license_scan, line_dedup, quality_classifier, quality_rules, source_mixing, token_output,
+    topk_search,
 )
 from tickforge.llm.common import is_held_out, table
 from tickforge.session import scratch_path
@@ -42,6 +43,12 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(byte_bpe.decode(ids, ranks))
 
 
+@register("op3_jaccard_join")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The component of near copies that each document belongs to."""
+    return jaccard_join.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 @register("op4_language_id")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's language by profiles that have not seen the held-out fold."""
@@ -50,6 +57,13 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", is_held_out().alias("held_out"), "lang_pred", "score")
 
 
+@register("op5_topk_search", topk_search.SQL)
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest codes of every vector whose id is divisible by 100, among all vectors."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return topk_search.search(vectors, vectors.filter("vec_id % 100 = 0"))
+
+
 @register("op6_quality_rules")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base rules and robust outliers of every document, per language and source."""
