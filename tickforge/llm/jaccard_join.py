@@ -99,8 +99,9 @@ def shingle_sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 if len(seen) > 1_000_000:
                     seen.clear()
                 seen.add(node)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()),
-                                              pa.array(blobs, pa.binary())], names=[id_col, "_text", "n_shingles", "node", "blob"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), *(pa.array(x, pa.int64()) for x in (sizes, nodes, own)), pa.array(blobs, pa.binary())],
+                names=[id_col, "_text", "n_shingles", "node", "m", "blob"])
     schema = T.StructType([*fields(docs, id_col), *(T.StructField(c, T.LongType()) for c in ("_text", "n_shingles", "node", "m")),
                            T.StructField("blob", T.BinaryType())])
     return docs.select(id_col, F.xxhash64(text_col).alias("_text"), text_col).mapInArrow(run, schema)
@@ -161,8 +162,8 @@ def measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         *(joined.schema[c] for c in (*others, "a", "b")), *(T.StructField(c, T.LongType()) for c in ("inter", "na", "nb"))]))
 
 
-IS_LINK = F.expr(f"100 * inter >= {MIN_PERCENT} * (na + nb - inter)")
-DISTANCE = F.expr("1 - inter / (na + nb - inter)")
+IS_LINK = f"100 * inter >= {MIN_PERCENT} * (na + nb - inter)"
+DISTANCE = "1 - inter / (na + nb - inter)"
 
 
 SHOWN = "shingle long, search boolean, label long, node long, low int, high int, counted boolean"
@@ -298,7 +299,7 @@ def links(sets: DataFrame) -> DataFrame:
     sets = sets.filter("blob is not null")
     nodes = staged(sets.groupBy("node").agg(F.first("n_shingles").alias("n"), F.first("m").alias("m")), "nodes")
     followers = staged(measured(pivots(sets).select(F.col("node").alias("a"), F.col("pivot").alias("b")), sets), "followers")
-    members = staged(followers.filter(IS_LINK).select("a", "b", DISTANCE.alias("distance")), "members")
+    members = staged(followers.filter(IS_LINK).selectExpr("a", "b", f"{DISTANCE} as distance"), "members")
     own = members.select(F.col("a").alias("_n"), F.col("b").alias("label"))
     labels = staged(own.unionByName(own.select(F.col("label").alias("_n"), "label").distinct()), "regions")
     radius = members.groupBy(F.col("b").alias("region")).agg(F.max("distance").alias("radius"))
@@ -340,7 +341,7 @@ def links(sets: DataFrame) -> DataFrame:
     for more in found[1:]:
         all_found = all_found.unionByName(more)
     edges = staged(members.select("a", "b").unionByName(all_found.filter(IS_LINK).select("a", "b")), "links")
-    near = all_found.filter(~IS_LINK).withColumn("distance", DISTANCE).join(radius, F.col("b") == F.col("region")).filter(
+    near = all_found.filter(f"not ({IS_LINK})").withColumn("distance", F.expr(DISTANCE)).join(radius, F.col("b") == F.col("region")).filter(
         F.col("distance") <= F.col("radius") + RADIUS + 1e-9).select("a", "b", "na", "distance")
     near = staged(near, "boundary")
     if near.isEmpty():
@@ -358,7 +359,7 @@ def links(sets: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, _text, n_shingles and component_id (smallest id reachable by links) for every row of ``docs``.
+    """id, _text, n_shingles, _root (the component's node) and component_id (smallest id reachable by links) for every row.
 
     Null, empty and blank texts have no shingles and are linked with nothing, so their component is their own id. Rows
     with equal sets are linked; repeated rows and equal ids are kept. A null id is the smallest only where no other id
@@ -371,16 +372,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         roots, F.col("node") == F.col("_n"), "left").withColumn("root", F.coalesce("root", "node"))
     smallest = staged(smallest.select("node", "root", "_id"), "node-ids")
     classes = smallest.groupBy(F.col("root").alias("_root")).agg(F.min("_id").alias("_least"))
-    by_node = staged(smallest.join(classes, F.col("root") == F.col("_root")).select(F.col("node").alias("_n"), "_least"), "components")
+    by_node = staged(smallest.join(classes, F.col("root") == F.col("_root")).select(F.col("node").alias("_n"), "root", "_least"), "components")
     return rows.join(by_node, F.col("node") == F.col("_n"), "left").select(
-        id_col, "_text", "n_shingles", F.when(F.col("node").isNull(), F.col(id_col)).otherwise(F.col("_least")).alias("component_id"))
+        id_col, "_text", "n_shingles", F.col("root").alias("_root"), F.when(F.col("node").isNull(), F.col(id_col)).otherwise(F.col("_least")).alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of ``docs``, with all its columns, for each component: the one with the smallest id, and among rows with
     that id the one with the smallest hash of the text. Rows without shingles all stay; repeated rows become one."""
     found = near_duplicates(docs, id_col, text_col)
-    kept = found.filter("n_shingles > 0").groupBy("component_id").agg(F.min(F.struct(F.col(id_col).alias("i"), F.col("_text").alias("t"))).alias("k"))
+    kept = found.filter("n_shingles > 0").groupBy("_root").agg(F.min(F.struct(F.col(id_col).alias("i"), F.col("_text").alias("t"))).alias("k"))
     bare = found.filter("n_shingles = 0").select(F.col(id_col).alias("_i"), F.col("_text").alias("_t"))
     keys = staged(kept.select(F.col("k.i").alias("_i"), F.col("k.t").alias("_t")).unionByName(bare).distinct(), "kept-documents")
     hashed = docs.withColumn("_own_text", F.xxhash64(text_col))
