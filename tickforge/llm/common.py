@@ -41,6 +41,14 @@ def bucketed(df: DataFrame, key: str, name: str, compression: str = "zstd") -> D
     return spark.table(made)
 
 
+def spare(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until ``df`` has no column of that name."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def fields(df: DataFrame, *names: str) -> list[T.StructField]:
     return [T.StructField(n, df.schema[n].dataType, True) for n in names]
 

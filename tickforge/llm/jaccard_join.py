@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tickforge.llm.common import bucketed, bytes_list, fields, staged
+from tickforge.llm.common import bucketed, bytes_list, fields, spare, staged
 from tickforge.llm.words import WordHashes, windows
 
 SHINGLE_WORDS = 5
@@ -384,6 +384,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     kept = found.filter("n_shingles > 0").groupBy("_root").agg(F.min(F.struct(F.col(id_col).alias("i"), F.col("_text").alias("t"))).alias("k"))
     bare = found.filter("n_shingles = 0").select(F.col(id_col).alias("_i"), F.col("_text").alias("_t"))
     keys = staged(kept.select(F.col("k.i").alias("_i"), F.col("k.t").alias("_t")).unionByName(bare).distinct(), "kept-documents")
-    hashed = docs.withColumn("_own_text", F.xxhash64(text_col))
-    return hashed.join(keys, F.col(id_col).eqNullSafe(F.col("_i")) & (F.col("_own_text") == F.col("_t")), "left_semi").dropDuplicates(
-        [id_col, "_own_text"]).drop("_own_text")
+    name = spare(docs, "_own_text")
+    hashed = docs.withColumn(name, F.xxhash64(text_col))
+    same = F.col(id_col).eqNullSafe(F.col("_i")) & (F.col(name) == F.col("_t"))
+    return hashed.join(keys, same, "left_semi").dropDuplicates([id_col, name]).drop(name)

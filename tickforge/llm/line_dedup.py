@@ -59,8 +59,9 @@ def boilerplate(docs: DataFrame, host: Column, text: Column, max_ratio: float =
 
 
 def drop_lines(docs: DataFrame, host: Column, text_col: str = "text", max_ratio: float = MAX_RATIO,
-               min_pages: int = MIN_PAGES, text: Column | None = None) -> DataFrame:
-    """``docs`` with ``text_col`` rewritten, and the counts ``_n_lines`` and ``_n_dropped`` of lines that are not blank.
+               min_pages: int = MIN_PAGES, text: Column | None = None, counts: tuple[str, str, str] | None = None) -> DataFrame:
+    """``docs`` with ``text_col`` rewritten; ``counts`` names further columns for the host and the numbers of lines that
+    are not blank and of those dropped.
 
     Every row stays. Null hosts are one host with the empty one. Null texts stay null, with no lines; blank lines
     always stay. A line counts once per page however often it stands there, and a repeated row is a page of its
@@ -69,24 +70,26 @@ def drop_lines(docs: DataFrame, host: Column, text_col: str = "text", max_ratio:
     """
     host, text = F.coalesce(host, F.lit("")), F.col(text_col) if text is None else text
     drop = boilerplate(docs, host, text, max_ratio, min_pages)
-    renamed = docs.select("*", host.alias("_own_host"), text.alias("_own_text"))
-    joined = renamed.join(drop, F.col("_own_host") == F.col("_host"), "left")
+    own = docs.select(F.struct(*docs.columns).alias("_row"), host.alias("_own_host"), text.alias("_own_text"))
+    joined = own.join(drop, F.col("_own_host") == F.col("_host"), "left")
+    mine = F.col("_own_text")
     gone = F.coalesce(F.col("_drop"), F.array().cast("array<bigint>"))
-    kept = F.filter(F.split("_own_text", "\n", -1), lambda x: (_trimmed(x) == "") | ~F.array_contains(gone, F.xxhash64(_trimmed(x))))
-    n_lines = F.when(F.col("_own_text").isNull(), 0).otherwise(F.size(_keys(F.col("_own_text"))))
-    n_dropped = F.when(F.col("_own_text").isNull() | F.col("_drop").isNull(), 0).otherwise(
-        F.size(F.filter(_keys(F.col("_own_text")), lambda x: F.array_contains(gone, x))))
-    columns = [F.when(F.col("_drop").isNull(), F.col("_own_text")).otherwise(F.array_join(kept, "\n")).alias(c) if c == text_col
-               else F.col(c) for c in docs.columns]
-    return joined.select(*columns, n_lines.cast("long").alias("_n_lines"), n_dropped.cast("long").alias("_n_dropped"), "_own_host")
+    kept = F.filter(F.split(mine, "\n", -1), lambda x: (_trimmed(x) == "") | ~F.array_contains(gone, F.xxhash64(_trimmed(x))))
+    rewritten = F.when(F.col("_drop").isNull(), mine).otherwise(F.array_join(kept, "\n"))
+    n_lines = F.when(mine.isNull(), 0).otherwise(F.size(_keys(mine)))
+    n_dropped = F.when(mine.isNull() | F.col("_drop").isNull(), 0).otherwise(
+        F.size(F.filter(_keys(mine), lambda x: F.array_contains(gone, x))))
+    done = joined.select("_row", rewritten.alias("_rewritten"), F.col("_own_host").alias("_counts0"),
+                         n_lines.cast("long").alias("_counts1"), n_dropped.cast("long").alias("_counts2"))
+    columns = [(F.col("_rewritten") if c == text_col else F.col("_row")[c]).alias(c) for c in docs.columns]
+    return done.select(*columns, *(F.col(f"_counts{i}").alias(c) for i, c in enumerate(counts or ())))
 
 
 def dedup_pages(pages: DataFrame, max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
     """page_id, host, n_lines, n_dropped and the remaining text of every page."""
     known = pages.select("page_id", "url", F.col("html").alias("text"))
-    out = drop_lines(known, host_of("url"), "text", max_ratio, min_pages, text_of_html("text"))
-    return out.select("page_id", F.col("_own_host").alias("host"), F.col("_n_lines").alias("n_lines"),
-                      F.col("_n_dropped").alias("n_dropped"), "text")
+    out = drop_lines(known, host_of("url"), "text", max_ratio, min_pages, text_of_html("text"), ("host", "n_lines", "n_dropped"))
+    return out.select("page_id", "host", "n_lines", "n_dropped", "text")
 
 
 def _sql_text() -> str:

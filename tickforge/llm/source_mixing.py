@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickforge.llm.common import staged
+from tickforge.llm.common import spare, staged
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
@@ -80,10 +80,10 @@ def _expected(rows: DataFrame, weight: bool) -> DataFrame:
 
 
 def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-           weight_col: str | None = None, seed: str = SEED, keep: bool = False) -> DataFrame:
+           weight_col: str | None = None, seed: str = SEED, keep: str | None = None) -> DataFrame:
     """id, size, source_size, target, copies and taken (copies x size) for every row of ``docs``.
 
-    With ``keep`` the columns of ``docs`` and ``_copies`` come back instead. A source's taken words differ from its
+    With ``keep`` the columns of ``docs`` and the copies under that name come back instead. A source's taken words differ from its
     target by at most half of one document. Null texts have size 0; null is a source like any other, ordered last;
     null ids share one random number. Rows with the same random number are ordered by id, size and a digest of the
     text; equal rows are interchangeable. Sources without words have target 0.
@@ -122,7 +122,7 @@ def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sour
     last = placed.filter(at).select(*columns, (F.col("_whole") + fits.cast("int")).alias("_copies"))
     out = clear.unionByName(last)
     if keep:
-        return out.select(*(F.col(f"_d{i}").alias(c) for i, c in enumerate(docs.columns)), F.col("_copies").cast("int").alias("_copies"))
+        return out.select(*(F.col(f"_d{i}").alias(c) for i, c in enumerate(docs.columns)), F.col("_copies").cast("int").alias(keep))
     return out.select(F.col("_id").alias(id_col), F.col("_size").alias("size"), F.col("_source_size").alias("source_size"),
                       F.col("_target").alias("target"), F.col("_copies").cast("long").alias("copies"),
                       (F.col("_copies") * F.col("_size")).cast("long").alias("taken"))
@@ -130,8 +130,9 @@ def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sour
 
 def mixed(docs: DataFrame, text_col: str = "text", source_col: str = "source", id_col: str = "doc_id") -> DataFrame:
     """The mix itself: each row of ``docs``, with all its columns, as often as it is taken."""
-    taken = copies(docs, id_col, text_col, source_col, keep=True).filter("_copies > 0")
-    return taken.select(*docs.columns, F.explode(F.array_repeat(F.lit(0), F.col("_copies"))).alias("_copy")).drop("_copy")
+    name = spare(docs, "_copies")
+    taken = copies(docs, id_col, text_col, source_col, keep=name)
+    return taken.withColumn(name, F.explode(F.array_repeat(F.lit(0), F.col(name)))).drop(name)
 
 
 SQL = rf"""
