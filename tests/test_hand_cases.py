@@ -53,15 +53,28 @@ def test_depth_counts_only_orders_that_left(spark):
     assert rows(rebuilt, "side", "price", "quantity", "order_count") == [("Buy", 99, 6, 1)]
 
 
+def test_chains_with_equal_pools_and_order_ids_stay_apart(spark):
+    """One order 1 of the pool on each chain: the first is half filled, the second cancelled."""
+    log = event_log(spark, [placed(1, 10, 1, "a", 1, 100, 10), placed(2, 11, 2, "c", 0, 100, 5), matched(3, 12, 2, 1, 100, 5)])
+    other = event_log(spark, [placed(4, 5, 1, "b", 1, 100, 7), update(5, 6, 1, 3, name="OrderCancelled"), placed(6, 7, 9, "b", 1, 100, 2)])
+    both = log.unionByName(other.withColumn("chain_id", F.lit(2)))
+    assert rows(orders.order_current_state(both), "chain_id", "order_id", "user_id", "filled", "status") == [
+        (1, 1, "a", 5, "PARTIALLY_FILLED"), (1, 2, "c", 5, "FILLED"), (2, 1, "b", 0, "CANCELLED"), (2, 9, "b", 0, "OPEN")]
+    want = [(1, "Buy", 100, 0, 0), (1, "Sell", 100, 5, 1), (2, "Sell", 100, 2, 1)]
+    assert rows(books.depth_incremental(both), "chain_id", "side", "price", "quantity", "order_count") == want
+    assert rows(orders.order_status_updates(both), "chain_id", "order_id", "status") == [(2, 1, "CANCELLED")]
+    assert orders.order_history_log(both).count() == 5
+
+
 def test_book_replay_with_partial_fills_and_expiry(spark):
     """Order 1 (qty 10): open in hour 0, 4 then 7 filled in hours 1 and 2; order 2 (qty 3) expires in hour 2."""
     h = 3600
-    o = spark.createDataFrame([("p", 1, "Sell", 100, 10), ("p", 2, "Sell", 100, 3)],
-                              "pool_id string, order_id bigint, side string, price bigint, quantity bigint")
+    o = spark.createDataFrame([(1, "p", 1, "Sell", 100, 10), (1, "p", 2, "Sell", 100, 3)],
+                              "chain_id int, pool_id string, order_id bigint, side string, price bigint, quantity bigint")
     hist = spark.createDataFrame([
-        ("p", 1, 10, 0, "OPEN", 1), ("p", 2, 20, 0, "OPEN", 2), ("p", 1, h + 5, 2, "PARTIALLY_FILLED", 3), ("p", 1, h + 9, 4, "PARTIALLY_FILLED", 4),
-        ("p", 1, 2 * h + 1, 7, "PARTIALLY_FILLED", 5), ("p", 2, 2 * h + 2, 0, "EXPIRED", 6)],
-        "pool_id string, order_id bigint, ts bigint, filled bigint, status string, seq bigint")
+        (1, "p", 1, 10, 0, "OPEN", 1), (1, "p", 2, 20, 0, "OPEN", 2), (1, "p", 1, h + 5, 2, "PARTIALLY_FILLED", 3),
+        (1, "p", 1, h + 9, 4, "PARTIALLY_FILLED", 4), (1, "p", 1, 2 * h + 1, 7, "PARTIALLY_FILLED", 5), (1, "p", 2, 2 * h + 2, 0, "EXPIRED", 6)],
+        "chain_id int, pool_id string, order_id bigint, ts bigint, filled bigint, status string, seq bigint")
     got = books.book_history_hourly(o, hist, 0, 4 * h)
     assert rows(got, "hour", "quantity", "order_count") == [(0, 13, 2), (h, 9, 2), (2 * h, 3, 1), (3 * h, 3, 1)]
     stored = books.book_history_hourly(o, hist, 0, 2 * h)
@@ -69,11 +82,11 @@ def test_book_replay_with_partial_fills_and_expiry(spark):
     assert rows(again, "hour", "quantity") == rows(got, "hour", "quantity")
 
 
-TRADES = "user_id string, symbol string, side string, price double, quantity double, ts bigint, seq bigint"
+TRADES = "chain_id int, user_id string, symbol string, side string, price double, quantity double, ts bigint, seq bigint"
 
 
 def trade_rows(spark, steps, ts=None):
-    data = [("u", "s", side, float(p), float(q), (ts or (lambda i: i))(i), i) for i, (side, q, p) in enumerate(steps)]
+    data = [(1, "u", "s", side, float(p), float(q), (ts or (lambda i: i))(i), i) for i, (side, q, p) in enumerate(steps)]
     return spark.createDataFrame(data, TRADES).withColumn("is_buyer", F.col("side") == "Buy").withColumn(
         "quote_qty", F.col("price") * F.col("quantity"))
 
@@ -134,22 +147,22 @@ def test_whales(spark):
 
 
 def test_open_and_close_follow_log_order_inside_a_second(spark):
-    t = spark.createDataFrame([("s", "Buy", 5.0, 1.0, 5.0, 60, 2), ("s", "Buy", 7.0, 1.0, 7.0, 60, 1)],
-                              "symbol string, side string, price double, quantity double, quote_qty double, ts bigint, seq bigint")
+    t = spark.createDataFrame([(1, "s", "Buy", 5.0, 1.0, 5.0, 60, 2), (1, "s", "Buy", 7.0, 1.0, 7.0, 60, 1)],
+                              "chain_id int, symbol string, side string, price double, quantity double, quote_qty double, ts bigint, seq bigint")
     k = trades.klines(t, {"1m": 60}).head()
     assert (k["open"], k["close"], k["close_time"]) == (7.0, 5.0, 119)
 
 
 def test_crossed_and_one_sided_books(spark):
-    s = spark.createDataFrame([(0, "a", "A", "Buy", 10.0, 1, 1, 10.0), (0, "a", "A", "Sell", 9.0, 1, 1, 9.0), (0, "b", "B", "Buy", 5.0, 1, 1, 5.0)],
-                              "snapshot_ts bigint, pool_id string, symbol string, side string, price double, quantity bigint, order_count bigint, liquidity_value double")
+    s = spark.createDataFrame([(0, 1, "a", "A", "Buy", 10.0, 1, 1, 10.0), (0, 1, "a", "A", "Sell", 9.0, 1, 1, 9.0), (0, 1, "b", "B", "Buy", 5.0, 1, 1, 5.0)],
+                              "snapshot_ts bigint, chain_id int, pool_id string, symbol string, side string, price double, quantity bigint, order_count bigint, liquidity_value double")
     out = {r["pool_id"]: r for r in books.book_snapshot_aggregate(s).collect()}
     assert out["a"]["spread"] == 0.0125 and out["b"]["spread"] == 0.0125 and out["b"]["best_ask"] is None
 
 
 def test_best_bids_are_the_highest(spark):
-    d = spark.createDataFrame([("p", s, p, 1, 1) for s in ("Buy", "Sell") for p in (1, 2, 3)],
-                              "pool_id string, side string, price bigint, quantity bigint, order_count bigint")
+    d = spark.createDataFrame([(1, "p", s, p, 1, 1) for s in ("Buy", "Sell") for p in (1, 2, 3)],
+                              "chain_id int, pool_id string, side string, price bigint, quantity bigint, order_count bigint")
     assert rows(books.depth_from_levels(d, 2), "side", "price") == [("Buy", 2), ("Buy", 3), ("Sell", 1), ("Sell", 2)]
 
 

@@ -38,8 +38,8 @@ def test_candles_over_four_batches_with_repeats(spark, fx, tmp_path):
     clean = streams.stream_dedup(src, ["trade_id"])
     out, q = streams.run(streams.stream_klines(clean, "1 hour"), "k", "update", path=str(tmp_path / "out"))
     assert len([p for p in q.recentProgress if p.numInputRows > 0]) == 4
-    cols = ["symbol", "open_time", "open", "high", "low", "close", "trade_count"]
-    got = streams.read_latest(spark, out, ["symbol", "open_time"]).select(cols)
+    cols = ["chain_id", "symbol", "open_time", "open", "high", "low", "close", "trade_count"]
+    got = streams.read_latest(spark, out, ["chain_id", "symbol", "open_time"]).select(cols)
     assert same(got, trades.klines(t, {"1h": 3600}).select(cols))
 
 
@@ -51,19 +51,19 @@ def test_late_rows_are_dropped_past_the_watermark(spark, fx, tmp_path):
     out, _ = streams.run(streams.stream_klines(src, "1 hour"), "k", "append", path=str(tmp_path / "out"))
     closed = spark.read.parquet(out)
     assert closed.count() > 0 and closed.filter("high >= 1e9").count() == 0
-    batch = trades.klines(t, {"1h": 3600}).select("symbol", "open_time", "close", "trade_count")
-    assert closed.select("symbol", "open_time", "close", "trade_count").exceptAll(batch).count() == 0
+    batch = trades.klines(t, {"1h": 3600}).select("chain_id", "symbol", "open_time", "close", "trade_count")
+    assert closed.select("chain_id", "symbol", "open_time", "close", "trade_count").exceptAll(batch).count() == 0
 
 
 def test_depth_over_batches(spark, fx, tmp_path):
     log = fx.event_log
     src = feed(spark, log, str(tmp_path / "in"), cut(log, 3))
     out, _ = streams.run(streams.stream_depth(src), "d", "update", path=str(tmp_path / "out"))
-    cols = ["pool_id", "side", "price", "quantity", "order_count"]
+    cols = ["chain_id", "pool_id", "side", "price", "quantity", "order_count"]
     want = books.depth_incremental(log).filter("quantity > 0")
     assert same(streams.read_depth(spark, out).select(cols), want.select(cols))
     top = streams.read_depth(spark, out, 5)
-    assert top.filter("level > 5").count() == 0 and top.count() <= 5 * 10
+    assert top.filter("level > 5").count() == 0 and top.count() <= 5 * 20
 
 
 def test_balances_over_batches(spark, fx, tmp_path):

@@ -46,13 +46,14 @@ class Fixtures:
             F.col("value"), F.round(F.col("value") * 100).cast("bigint").alias("p"),
             (F.regexp_extract("props", "[0-9]+", 0).cast("bigint") + 1).alias("q"),
             F.unix_timestamp(F.col("ts").cast("timestamp")).alias("t"),
-        )
+        ).withColumn("chain", F.when(F.col("e") % 7 == 3, 2).otherwise(CHAIN)).withColumn(
+            "o", F.when(F.col("e") % 7 == 3, F.col("e") - 1).otherwise(F.col("e")))  # the second chain repeats order ids
 
     @cached_property
     def trades(self) -> DataFrame:
         buy = F.col("e") % 2 == 0
         return self.base.select(
-            F.col("e").alias("trade_id"), F.col("u").cast("string").alias("user_id"),
+            F.col("chain").alias("chain_id"), F.col("e").alias("trade_id"), F.col("u").cast("string").alias("user_id"),
             F.col("pool").alias("symbol"), F.col("pool").alias("pool_id"),
             F.when(buy, "Buy").otherwise("Sell").alias("side"), buy.alias("is_buyer"),
             F.col("value").alias("price"), F.col("q").cast("double").alias("quantity"),
@@ -77,20 +78,20 @@ class Fixtures:
                     f"{market}, {status}, {filled}, {buy}, {sell}) as {typed})")
 
         rows = [
-            row("OrderPlaced", 0, "t", "e * 3", taker, side, "p", "q", "e % 5 = 0", "0"),
-            row("OrderPlaced", 1, "t - 60", "e * 3 + 1", maker, f"1 - {side}", "p", "q + e % 3", "false", "0"),
-            row("OrderPlaced", 2, "t + 1", "e * 3 + 2", taker, passive, passive_price, "q", "false", "0"),
+            row("OrderPlaced", 0, "t", "o * 3", taker, side, "p", "q", "e % 5 = 0", "0"),
+            row("OrderPlaced", 1, "t - 60", "o * 3 + 1", maker, f"1 - {side}", "p", "q + e % 3", "false", "0"),
+            row("OrderPlaced", 2, "t + 1", "o * 3 + 2", taker, passive, passive_price, "q", "false", "0"),
             row("OrderMatched", 3, "t", n("bigint"), taker, side, "p", "q", "false", n("int"), n("bigint"),
-                "if(e % 2 = 0, e * 3, e * 3 + 1)", "if(e % 2 = 0, e * 3 + 1, e * 3)"),
-            f"if(e % 3 = 2, {row('OrderCancelled', 4, 't + 1 + (e % 72) * 3600', 'e * 3 + 1', maker, status='3')}, null)",
-            f"if(e % 4 = 1, {row('UpdateOrder', 5, 't + 2 + (e % 72) * 3600', 'e * 3 + 2', status='5', filled='0L')}, "
-            f"if(e % 4 = 2, {row('OrderCancelled', 5, 't + 2 + (e % 72) * 3600', 'e * 3 + 2', taker, status='3')}, null))",
-            row("UpdateOrder", 6, "t", "e * 3", status="2", filled="q"),
-            row("UpdateOrder", 7, "t", "e * 3 + 1", status="if(e % 3 = 0, 2, 1)", filled="q"),
+                "if(e % 2 = 0, o * 3, o * 3 + 1)", "if(e % 2 = 0, o * 3 + 1, o * 3)"),
+            f"if(e % 3 = 2, {row('OrderCancelled', 4, 't + 1 + (e % 72) * 3600', 'o * 3 + 1', maker, status='3')}, null)",
+            f"if(e % 4 = 1, {row('UpdateOrder', 5, 't + 2 + (e % 72) * 3600', 'o * 3 + 2', status='5', filled='0L')}, "
+            f"if(e % 4 = 2, {row('OrderCancelled', 5, 't + 2 + (e % 72) * 3600', 'o * 3 + 2', taker, status='3')}, null))",
+            row("UpdateOrder", 6, "t", "o * 3", status="2", filled="q"),
+            row("UpdateOrder", 7, "t", "o * 3 + 1", status="if(e % 3 = 0, 2, 1)", filled="q"),
         ]
         return (
-            self.base.select("pool", F.explode(F.expr(f"filter(array({', '.join(rows)}), x -> x is not null)")).alias("x"))
-            .select(F.lit(CHAIN).alias("chain_id"), F.col("pool").alias("address"), "x.*")
+            self.base.select("chain", "pool", F.explode(F.expr(f"filter(array({', '.join(rows)}), x -> x is not null)")).alias("x"))
+            .select(F.col("chain").alias("chain_id"), F.col("pool").alias("address"), "x.*")
             .withColumn("block_number", F.col("block_timestamp"))
             .withColumn("tx_hash", F.sha2(F.col("log_index").cast("string"), 256))
             .withColumn("seq", seq())
@@ -99,8 +100,8 @@ class Fixtures:
     @cached_property
     def pools(self) -> DataFrame:
         """Pool dimension: price has two decimals, quantity none."""
-        return self.trades.groupBy("symbol").agg(F.min("ts").alias("timestamp")).select(
-            F.sha2(F.concat(F.lit("1_"), "symbol"), 256).alias("id"), F.lit(CHAIN).alias("chain_id"),
+        return self.trades.groupBy("chain_id", "symbol").agg(F.min("ts").alias("timestamp")).select(
+            F.sha2(F.concat(F.col("chain_id").cast("string"), F.lit("_"), "symbol"), 256).alias("id"), "chain_id",
             F.concat("symbol", F.lit("/usd")).alias("coin"), F.col("symbol").alias("order_book"),
             F.lit(0).alias("base_decimals"), F.lit(2).alias("quote_decimals"), "timestamp",
         )
@@ -265,7 +266,7 @@ class Fixtures:
     def sync_log(self) -> DataFrame:
         done = ~((F.col("t") < 1704153600) | F.col("t").between(1704844800, 1704931200) | (F.col("t") >= 1706572800))
         return self.base.select(
-            F.col("e").alias("trade_id"), F.lit("analytics").alias("service"),
+            F.col("chain").alias("chain_id"), F.col("e").alias("trade_id"), F.lit("analytics").alias("service"),
             F.when(done, "processed").otherwise("pending").alias("status"), F.col("t").alias("processed_at"))
 
     @cached_property

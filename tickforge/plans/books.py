@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tickforge.functions.columns import is_buy, kind_of, scaled
 from tickforge.functions.timeutil import bucket
 from tickforge.operators.keyed import top_per_group
-from tickforge.plans.orders import OPEN_STATUSES
+from tickforge.plans.orders import OPEN_STATUSES, ORDER, POOL
 
 DEFAULT_SPREAD = 0.0125  # fixed value: spread reported for one-sided or crossed books
 
@@ -42,7 +42,7 @@ def order_deltas(log: DataFrame) -> DataFrame:
             "CANCELLED", "EXPIRED", "REJECTED"), F.lit(False)))
     )
     placed = ev == "OrderPlaced"
-    per_order = rows.groupBy(F.col("address").alias("pool_id"), "order_id").agg(
+    per_order = rows.groupBy("chain_id", F.col("address").alias("pool_id"), "order_id").agg(
         F.max(F.when(placed, F.col("side_code"))).alias("side_code"),
         F.max(F.when(placed, F.col("price"))).alias("price"),
         F.max(F.when(placed, F.col("quantity"))).alias("placed_qty"),
@@ -52,19 +52,19 @@ def order_deltas(log: DataFrame) -> DataFrame:
     left = F.col("placed_qty") - F.col("matched_qty")
     gone = F.col("ended") | (left <= 0)
     return per_order.select(
-        "pool_id", "order_id", side_name("side_code").alias("side"), "price",
+        *ORDER, side_name("side_code").alias("side"), "price",
         F.when(gone, F.lit(0)).otherwise(left).alias("d_qty"),
         F.when(gone, F.lit(0)).otherwise(F.lit(1)).alias("d_count"), "last_updated")
 
 
 def depth_incremental(log: DataFrame) -> DataFrame:
     """Level state after all events; empty levels are kept with quantity 0 as in an upserted table."""
-    return order_deltas(log).groupBy("pool_id", "side", "price").agg(
+    return order_deltas(log).groupBy(*POOL, "side", "price").agg(
         F.sum("d_qty").cast(kind_of(log, "quantity")).alias("quantity"), F.sum("d_count").cast("long").alias("order_count"),
         F.max("last_updated").alias("last_updated"))
 
 
-def best_levels(levels: DataFrame, limit: int, keys: tuple[str, ...] = ("pool_id", "side")) -> DataFrame:
+def best_levels(levels: DataFrame, limit: int, keys: tuple[str, ...] = (*POOL, "side")) -> DataFrame:
     """Best ``limit`` levels per side: bids from the top down, asks from the bottom up."""
     order = F.when(is_buy(), -F.col("price")).otherwise(F.col("price")).asc()
     return top_per_group(levels, keys, [order], limit, "level")
@@ -73,12 +73,12 @@ def best_levels(levels: DataFrame, limit: int, keys: tuple[str, ...] = ("pool_id
 def depth_from_orders(orders: DataFrame, limit: int = 100, pool: str | None = None) -> DataFrame:
     """Aggregate open quantity per price, then keep the best levels of each side."""
     levels = depth_rebuild(orders, pool).filter((F.col("price") > 0) & (F.col("quantity") > 0))
-    return best_levels(levels, limit).select("pool_id", "side", "level", "price", "quantity", "order_count")
+    return best_levels(levels, limit).select(*POOL, "side", "level", "price", "quantity", "order_count")
 
 
 def depth_from_levels(depth: DataFrame, limit: int = 20) -> DataFrame:
     return best_levels(depth.filter(F.col("quantity") > 0), limit).select(
-        "pool_id", "side", "level", "price", "quantity", "order_count")
+        *POOL, "side", "level", "price", "quantity", "order_count")
 
 
 def depth_from_raw_events(log: DataFrame, limit: int = 100) -> DataFrame:
@@ -86,13 +86,13 @@ def depth_from_raw_events(log: DataFrame, limit: int = 100) -> DataFrame:
     from tickforge.plans.orders import fold_orders_placed
 
     levels = fold_orders_placed(log).filter((F.col("status") == "OPEN") & (F.col("price") > 0)).groupBy(
-        "pool_id", "side", "price").agg(F.sum("quantity").alias("quantity"), F.count(F.lit(1)).alias("order_count"))
-    return best_levels(levels, limit).select("pool_id", "side", "level", "price", "quantity", "order_count")
+        *POOL, "side", "price").agg(F.sum("quantity").alias("quantity"), F.count(F.lit(1)).alias("order_count"))
+    return best_levels(levels, limit).select(*POOL, "side", "level", "price", "quantity", "order_count")
 
 
 def current_spread(depth: DataFrame) -> DataFrame:
     live = depth.filter(F.col("quantity") > 0)
-    return live.groupBy("pool_id").agg(
+    return live.groupBy(*POOL).agg(
         F.max(F.when(is_buy(), F.col("price"))).alias("best_bid"),
         F.min(F.when(~is_buy(), F.col("price"))).alias("best_ask"),
     ).withColumn("spread", F.col("best_ask") - F.col("best_bid"))
@@ -100,11 +100,11 @@ def current_spread(depth: DataFrame) -> DataFrame:
 
 def book_snapshot(depth: DataFrame, pools: DataFrame, at: int) -> DataFrame:
     """Current levels valued in quote units, stamped with the snapshot time."""
-    dims = pools.select(F.col("order_book").alias("pool_id"), F.col("coin").alias("symbol"), "base_decimals",
+    dims = pools.select("chain_id", F.col("order_book").alias("pool_id"), F.col("coin").alias("symbol"), "base_decimals",
                         "quote_decimals")
     return (
-        depth.filter((F.col("quantity") > 0) & (F.col("price") > 0)).join(dims, "pool_id")
-        .select(F.lit(at).cast("long").alias("snapshot_ts"), "pool_id", "symbol", "side", "price", "quantity",
+        depth.filter((F.col("quantity") > 0) & (F.col("price") > 0)).join(dims, POOL)
+        .select(F.lit(at).cast("long").alias("snapshot_ts"), *POOL, "symbol", "side", "price", "quantity",
                 "order_count", (scaled("quantity", "base_decimals") * scaled("price", "quote_decimals")).alias("liquidity_value"))
     )
 
@@ -113,7 +113,7 @@ def book_snapshot_aggregate(snapshots: DataFrame) -> DataFrame:
     """Per pool and snapshot: liquidity, order counts, best prices and relative spread."""
     bid = F.max(F.when(is_buy(), F.col("price")))
     ask = F.min(F.when(~is_buy(), F.col("price")))
-    out = snapshots.groupBy("snapshot_ts", "pool_id", "symbol").agg(
+    out = snapshots.groupBy("snapshot_ts", *POOL, "symbol").agg(
         F.sum(F.when(is_buy(), F.col("liquidity_value")).otherwise(0.0)).alias("bid_liquidity"),
         F.sum(F.when(~is_buy(), F.col("liquidity_value")).otherwise(0.0)).alias("ask_liquidity"),
         F.sum("liquidity_value").alias("total_liquidity"),
@@ -132,11 +132,10 @@ def _level_changes(orders: DataFrame, history: DataFrame, until: int, step: int)
     (order, hour); the change is that state minus the state of the order's previous hour.
     """
     state = history.filter((F.col("ts") < until)).withColumn("hour", bucket("ts", step)).groupBy(
-        "pool_id", "order_id", "hour").agg(
+        *ORDER, "hour").agg(
         F.max_by("status", "seq").alias("status"), F.max("filled").alias("filled"))
-    ledger = state.join(orders.select("pool_id", "order_id", "side", "price", "quantity").filter("price > 0"),
-                        ["pool_id", "order_id"])
-    w = Window.partitionBy("pool_id", "order_id").orderBy("hour")
+    ledger = state.join(orders.select(*ORDER, "side", "price", "quantity").filter("price > 0"), ORDER)
+    w = Window.partitionBy(*ORDER).orderBy("hour")
     live = F.col("status").isin(OPEN_STATUSES)
     run = w.rowsBetween(Window.unboundedPreceding, 0)
     rem = ledger.withColumn("filled", F.max("filled").over(run)).withColumn(
@@ -144,7 +143,7 @@ def _level_changes(orders: DataFrame, history: DataFrame, until: int, step: int)
     ).withColumn("cnt", (F.col("rem") > 0).cast("long"))
     return rem.withColumn("dq", F.col("rem") - F.lag("rem", 1, 0).over(w)).withColumn(
         "dc", F.col("cnt") - F.lag("cnt", 1, 0).over(w)
-    ).groupBy("pool_id", "side", "price", "hour").agg(F.sum("dq").alias("dq"), F.sum("dc").alias("dc"))
+    ).groupBy(*POOL, "side", "price", "hour").agg(F.sum("dq").alias("dq"), F.sum("dc").alias("dc"))
 
 
 def book_history_hourly(orders: DataFrame, history: DataFrame, start: int, until: int, step: int = 3600,
@@ -153,15 +152,15 @@ def book_history_hourly(orders: DataFrame, history: DataFrame, start: int, until
 
     Per level: running sum of the hourly changes gives the state, the next change bounds its validity,
     and only non-empty validity intervals are expanded into hours. The work is the size of the answer;
-    no order is expanded. ``seed`` (pool_id, side, price, quantity, order_count) is the book before
+    no order is expanded. ``seed`` (chain_id, pool_id, side, price, quantity, order_count) is the book before
     ``start``; then only history from ``start`` on is needed.
     """
     changes = _level_changes(orders, history, until, step)
     if seed is not None:
         changes = changes.filter(F.col("hour") >= start).unionByName(seed.select(
-            "pool_id", "side", "price", F.lit(start - step).cast("long").alias("hour"),
+            *POOL, "side", "price", F.lit(start - step).cast("long").alias("hour"),
             F.col("quantity").alias("dq"), F.col("order_count").cast("long").alias("dc")))
-    w = Window.partitionBy("pool_id", "side", "price").orderBy("hour")
+    w = Window.partitionBy(*POOL, "side", "price").orderBy("hour")
     run = w.rowsBetween(Window.unboundedPreceding, 0)
     valid = (
         changes.withColumn("quantity", F.sum("dq").over(run)).withColumn("order_count", F.sum("dc").over(run))
@@ -170,7 +169,7 @@ def book_history_hourly(orders: DataFrame, history: DataFrame, start: int, until
         .filter((F.col("quantity") > 0) & (F.col("order_count") > 0) & (F.col("to") >= F.col("from")))
     )
     return valid.select(
-        F.explode(F.sequence("from", "to", F.lit(step).cast("long"))).alias("hour"), "pool_id", "side", "price",
+        F.explode(F.sequence("from", "to", F.lit(step).cast("long"))).alias("hour"), *POOL, "side", "price",
         "quantity", "order_count")
 
 
@@ -192,10 +191,10 @@ def book_history_resume(orders: DataFrame, history: DataFrame, stored: DataFrame
 def history_since(orders: DataFrame, history: DataFrame, start: int) -> DataFrame:
     """History rows from ``start`` on, plus the last earlier row of the orders they touch."""
     recent = history.filter(F.col("ts") >= start)
-    touched = recent.select("pool_id", "order_id").distinct()
+    touched = recent.select(*ORDER).distinct()
     from tickforge.operators.keyed import latest_per_key
 
     before = latest_per_key(
-        history.filter(F.col("ts") < start).join(touched, ["pool_id", "order_id"], "left_semi"),
-        ["pool_id", "order_id"], "seq")
+        history.filter(F.col("ts") < start).join(touched, ORDER, "left_semi"),
+        ORDER, "seq")
     return recent.unionByName(before)

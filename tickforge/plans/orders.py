@@ -12,6 +12,8 @@ from tickforge.operators.keyed import first_per_key, latest_per_key
 ORDER_STATUS = ["OPEN", "PARTIALLY_FILLED", "FILLED", "CANCELLED", "REJECTED", "EXPIRED"]
 OPEN_STATUSES = ["NEW", "OPEN", "PARTIALLY_FILLED"]
 UPDATE_EVENTS = ["OrderCancelled", "UpdateOrder"]
+POOL = ["chain_id", "pool_id"]  # chains reuse pool addresses and order ids, and their event order is not comparable
+ORDER = [*POOL, "order_id"]
 
 
 def status_name(code: str | Column, names: list[str] | None = None) -> Column:
@@ -61,9 +63,9 @@ def explode_fills(log: DataFrame) -> DataFrame:
 
 def order_fill_progress(orders: DataFrame, order_trades: DataFrame) -> DataFrame:
     """Filled quantity and the status it implies, before any cancel or update."""
-    filled = order_trades.groupBy("pool_id", "order_id").agg(F.sum("quantity").alias("filled"))
-    return orders.join(filled, ["pool_id", "order_id"], "left").select(
-        "pool_id", "order_id", "quantity", F.coalesce("filled", F.lit(0)).cast(kind_of(orders, "quantity")).alias("filled"),
+    filled = order_trades.groupBy(*ORDER).agg(F.sum("quantity").alias("filled"))
+    return orders.join(filled, ORDER, "left").select(
+        *ORDER, "quantity", F.coalesce("filled", F.lit(0)).cast(kind_of(orders, "quantity")).alias("filled"),
         F.when(F.col("filled").isNull(), F.col("status"))
         .when(F.col("filled") == F.col("quantity"), "FILLED").otherwise("PARTIALLY_FILLED").alias("status"),
     )
@@ -72,9 +74,9 @@ def order_fill_progress(orders: DataFrame, order_trades: DataFrame) -> DataFrame
 def order_status_updates(log: DataFrame, names: list[str] | None = None) -> DataFrame:
     """Latest cancel or update per order."""
     last = log.filter(F.col("event_name").isin(UPDATE_EVENTS)).groupBy(
-        F.col("address").alias("pool_id"), "order_id"
+        "chain_id", F.col("address").alias("pool_id"), "order_id"
     ).agg(F.max_by("status_code", "seq").alias("code"), F.max_by("block_timestamp", "seq").alias("ts"))
-    return last.select("pool_id", "order_id", status_name("code", names).alias("status"), "ts")
+    return last.select(*ORDER, status_name("code", names).alias("status"), "ts")
 
 
 def order_current_state(log: DataFrame, names: list[str] | None = None) -> DataFrame:
@@ -93,8 +95,8 @@ def order_current_state(log: DataFrame, names: list[str] | None = None) -> DataF
     )
     at_place = lambda c: F.max(F.when(F.col("placed"), F.col(c)))
     upd_seq = F.when(F.col("updated"), F.col("seq"))
-    state = deltas.groupBy("pool_id", "order_id").agg(
-        at_place("chain_id").alias("chain_id"), at_place("user_id").alias("user_id"),
+    state = deltas.groupBy(*ORDER).agg(
+        at_place("user_id").alias("user_id"),
         at_place("side_code").alias("side_code"), at_place("price").alias("price"),
         at_place("quantity").alias("quantity"), at_place("is_market").alias("is_market"),
         at_place("status_code").alias("placed_code"), at_place("block_timestamp").alias("placed_at"),
@@ -120,11 +122,11 @@ def order_current_state(log: DataFrame, names: list[str] | None = None) -> DataF
 def order_history_log(log: DataFrame, names: list[str] | None = None) -> DataFrame:
     """One row per (order, transaction, filled); a later write of the same key replaces it."""
     rows = log.filter(F.col("event_name").isin("OrderPlaced", *UPDATE_EVENTS)).select(
-        F.col("address").alias("pool_id"), "order_id", "tx_hash", F.col("block_timestamp").alias("ts"),
+        "chain_id", F.col("address").alias("pool_id"), "order_id", "tx_hash", F.col("block_timestamp").alias("ts"),
         F.coalesce("filled", F.lit(0)).cast(kind_of(log, "quantity")).alias("filled"),
         status_name("status_code", names).alias("status"), "seq",
     )
-    return latest_per_key(rows, ["pool_id", "order_id", "tx_hash", "filled"], "seq")
+    return latest_per_key(rows, [*ORDER, "tx_hash", "filled"], "seq")
 
 
 def fold_pools(created: DataFrame, tokens: DataFrame) -> DataFrame:
@@ -154,14 +156,14 @@ def fold_pools(created: DataFrame, tokens: DataFrame) -> DataFrame:
 
 def pool_running_stats(pools: DataFrame, fill_rows: DataFrame) -> DataFrame:
     """Last price, base volume and quote volume per pool; each quote term is floored like the chain does."""
-    dims = pools.select(F.col("order_book").alias("pool_id"), "coin", "base_decimals")
-    terms = fill_rows.join(dims.select("pool_id", "base_decimals"), "pool_id").withColumn(
+    dims = pools.select("chain_id", F.col("order_book").alias("pool_id"), "coin", "base_decimals")
+    terms = fill_rows.join(dims.select(*POOL, "base_decimals"), POOL).withColumn(
         "quote", mul_div_floor("quantity", "price", "base_decimals"))
-    stats = terms.groupBy("pool_id").agg(
+    stats = terms.groupBy(*POOL).agg(
         F.max_by("price", "seq").alias("price"), F.sum("quantity").alias("volume"),
         F.sum("quote").alias("volume_in_quote"), F.max("ts").alias("timestamp"))
-    return dims.drop("base_decimals").join(stats, "pool_id", "left").select(
-        "pool_id", "coin", F.coalesce("price", F.lit(0)).alias("price"),
+    return dims.drop("base_decimals").join(stats, POOL, "left").select(
+        *POOL, "coin", F.coalesce("price", F.lit(0)).alias("price"),
         F.coalesce("volume", F.lit(0)).alias("volume"),
         F.coalesce("volume_in_quote", F.lit(0)).alias("volume_in_quote"), "timestamp")
 

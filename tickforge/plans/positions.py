@@ -9,9 +9,10 @@ from tickforge.functions.columns import is_buy, ratio, ratio0
 from tickforge.functions.timeutil import bucket, calendar_bucket, in_period
 from tickforge.operators.affine import compose_steps
 from tickforge.operators.temporal import asof_join, asof_lookup, running_sums
+from tickforge.plans.orders import POOL
 
 FILLED_STATUSES = ["FILLED", "PARTIALLY_FILLED"]
-POSITION = ["user_id", "symbol", "quantity", "avg_cost", "total_cost", "realized_pnl", "updated_at"]
+POSITION = ["chain_id", "user_id", "symbol", "quantity", "avg_cost", "total_cost", "realized_pnl", "updated_at"]
 
 
 def trade_user_asof(trades: DataFrame, orders: DataFrame) -> DataFrame:
@@ -20,8 +21,8 @@ def trade_user_asof(trades: DataFrame, orders: DataFrame) -> DataFrame:
     For logs without order ids on fills; with order ids use trades_enriched.
     """
     owners = orders.filter(F.col("user_id").isNotNull()).select(
-        "pool_id", "side", F.col("placed_at").alias("ts"), "seq", F.col("user_id").alias("owner"))
-    return asof_join(trades, owners, ["pool_id", "side"], "ts", ["owner"], "seq").filter(
+        *POOL, "side", F.col("placed_at").alias("ts"), "seq", F.col("user_id").alias("owner"))
+    return asof_join(trades, owners, [*POOL, "side"], "ts", ["owner"], "seq").filter(
         F.col("owner").isNotNull()).drop("matched_ts")
 
 
@@ -76,12 +77,12 @@ def _fold(trades: DataFrame, keys: list[str], step, chunk_seconds: int, start: D
 
 
 def positions_fold(trades: DataFrame, state: DataFrame | None = None, chunk_seconds: int = 60) -> DataFrame:
-    """Average-cost position per (user, symbol), optionally continued from a stored ``state``.
+    """Average-cost position per (chain, user, symbol), optionally continued from a stored ``state``.
 
     The position before each trade is a chunked prefix sum; given it, every trade is an affine map of
     (total cost, realised PnL), so a trader with a third of all rows is still many small groups.
     """
-    keys = ["user_id", "symbol"]
+    keys = ["chain_id", "user_id", "symbol"]
     m = _fold(trades, keys, _cost_steps, chunk_seconds, state)
     if state is None:
         out = m.select(*keys, F.col("net").alias("quantity"), F.col("b").alias("total_cost"),
@@ -155,7 +156,7 @@ def depth_mean_price(depth: DataFrame, pools: DataFrame) -> DataFrame:
     from tickforge.functions.columns import scaled
 
     d = depth.filter((F.col("quantity") > 0) & (F.col("price") > 0)).join(
-        pools.select(F.col("order_book").alias("pool_id"), "quote_decimals"), "pool_id")
+        pools.select("chain_id", F.col("order_book").alias("pool_id"), "quote_decimals"), POOL)
     return d.groupBy(F.col("pool_id").alias("symbol")).agg(F.avg(scaled("price", "quote_decimals")).alias("depth_price"))
 
 

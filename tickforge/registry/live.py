@@ -72,20 +72,20 @@ def topic_fanout_sink(fx):
     return streams.topic_trim(fx.spark.read.parquet(path)).groupBy("topic").agg(F.count(F.lit(1)).alias("n"), F.max("seq").alias("newest"))
 
 
-_K = f"""SELECT symbol, open_time, close_time, open, high, low, close, volume, quote_volume, trade_count, taker_buy_base_volume FROM fx_klines WHERE interval = '{{i}}'"""
+_K = f"""SELECT chain_id, symbol, open_time, close_time, open, high, low, close, volume, quote_volume, trade_count, taker_buy_base_volume FROM fx_klines WHERE interval = '{{i}}'"""
 
 
 def _klines(fx, interval):
-    """Update-mode candles, newest version per (symbol, open time)."""
+    """Update-mode candles, newest version per (chain, symbol, open time)."""
     path, _ = streams.run(streams.stream_klines(live(fx).trades, interval), "candles", "update")
-    return rounded(streams.read_latest(fx.spark, path, ["symbol", "open_time"]), "volume quote_volume taker_buy_base_volume")
+    return rounded(streams.read_latest(fx.spark, path, ["chain_id", "symbol", "open_time"]), "volume quote_volume taker_buy_base_volume")
 
 
 query("stream_klines", _K.format(i="1h"))(lambda fx: _klines(fx, "1 hour"))
 query("stream_klines_1m", _K.format(i="1m"))(lambda fx: _klines(fx, "1 minute"))
 
 
-@query("stream_depth", "SELECT pool_id, side, price, quantity, order_count FROM fx_depth_inc WHERE quantity > 0")
+@query("stream_depth", "SELECT chain_id, pool_id, side, price, quantity, order_count FROM fx_depth_inc WHERE quantity > 0")
 def stream_depth(fx):
     path, _ = streams.run(streams.stream_depth(live(fx).event_log), "depth", "update")
     return streams.read_depth(fx.spark, path)

@@ -13,16 +13,16 @@ M0, W0, D0 = AS_OF - 720 * 3600, AS_OF - 168 * 3600, AS_OF - 86400
 
 # --- positions -----------------------------------------------------------------------------------
 query("trade_user_asof", """SELECT f.fill_id, f.pool_id, f.side, f.ts, o.user_id AS owner FROM fx_fills f ASOF JOIN
-  (SELECT pool_id, side, placed_at, arg_max(user_id, seq) AS user_id FROM fx_orders GROUP BY 1, 2, 3) o ON o.pool_id = f.pool_id AND o.side = f.side AND f.ts >= o.placed_at""")(
+  (SELECT chain_id, pool_id, side, placed_at, arg_max(user_id, seq) AS user_id FROM fx_orders GROUP BY 1, 2, 3, 4) o ON o.chain_id = f.chain_id AND o.pool_id = f.pool_id AND o.side = f.side AND f.ts >= o.placed_at""")(
     lambda fx: pos.trade_user_asof(fx.fills, fx.orders).select("fill_id", "pool_id", "side", "ts", "owner"))
-view("fx_numbered", "SELECT *, row_number() OVER (PARTITION BY user_id, symbol ORDER BY seq) AS rn FROM fx_trades")
-view("fx_fold", """SELECT user_id, symbol, arg_max(q, rn) AS q, arg_max(c, rn) AS c, arg_max(r, rn) AS r, max(ts) AS updated_at FROM (WITH RECURSIVE f AS (
-   SELECT user_id, symbol, rn, ts, CASE WHEN is_buyer THEN quantity ELSE -quantity END AS q, CASE WHEN is_buyer THEN quote_qty ELSE -quote_qty END AS c, 0.0::double AS r FROM fx_numbered WHERE rn = 1
-   UNION ALL SELECT n.user_id, n.symbol, n.rn, n.ts, CASE WHEN n.is_buyer THEN q + quantity ELSE q - quantity END,
+view("fx_numbered", "SELECT *, row_number() OVER (PARTITION BY chain_id, user_id, symbol ORDER BY seq) AS rn FROM fx_trades")
+view("fx_fold", """SELECT chain_id, user_id, symbol, arg_max(q, rn) AS q, arg_max(c, rn) AS c, arg_max(r, rn) AS r, max(ts) AS updated_at FROM (WITH RECURSIVE f AS (
+   SELECT chain_id, user_id, symbol, rn, ts, CASE WHEN is_buyer THEN quantity ELSE -quantity END AS q, CASE WHEN is_buyer THEN quote_qty ELSE -quote_qty END AS c, 0.0::double AS r FROM fx_numbered WHERE rn = 1
+   UNION ALL SELECT n.chain_id, n.user_id, n.symbol, n.rn, n.ts, CASE WHEN n.is_buyer THEN q + quantity ELSE q - quantity END,
     CASE WHEN n.is_buyer THEN c + quantity * price WHEN q > 0 AND quantity > q THEN -((quantity - q) * price) WHEN q > 0 THEN c - c / q * quantity ELSE c - quantity * price END,
     CASE WHEN NOT n.is_buyer AND q > 0 THEN r + (price - c / q) * least(quantity, q) ELSE r END
-   FROM f JOIN fx_numbered n ON n.user_id = f.user_id AND n.symbol = f.symbol AND n.rn = f.rn + 1) SELECT * FROM f) GROUP BY 1, 2""")
-view("fx_pos_folded", f"""SELECT user_id, symbol, q AS quantity, {r4('CASE WHEN q <> 0 THEN abs(c / q) ELSE 0 END', 'avg_cost')}, {r2('CASE WHEN q <> 0 THEN c ELSE 0 END', 'total_cost')},
+   FROM f JOIN fx_numbered n ON n.chain_id = f.chain_id AND n.user_id = f.user_id AND n.symbol = f.symbol AND n.rn = f.rn + 1) SELECT * FROM f) GROUP BY 1, 2, 3""")
+view("fx_pos_folded", f"""SELECT chain_id, user_id, symbol, q AS quantity, {r4('CASE WHEN q <> 0 THEN abs(c / q) ELSE 0 END', 'avg_cost')}, {r2('CASE WHEN q <> 0 THEN c ELSE 0 END', 'total_cost')},
   {r2('r', 'realized_pnl')}, updated_at FROM fx_fold""")
 
 

@@ -6,9 +6,10 @@ AS_OF = 1706659200
 
 view("fx_base", """SELECT event_id AS e, user_id AS u, event_type AS pool, value,
   cast(round(value * 100) AS bigint) AS p, cast(regexp_extract(props, '[0-9]+') AS bigint) + 1 AS q,
-  cast(floor(epoch(ts)) AS bigint) AS t FROM events""")
+  cast(floor(epoch(ts)) AS bigint) AS t, CASE WHEN event_id % 7 = 3 THEN 2 ELSE 1 END AS chain,
+  CASE WHEN event_id % 7 = 3 THEN event_id - 1 ELSE event_id END AS o FROM events""")
 
-view("fx_trades", """SELECT e AS trade_id, cast(u AS varchar) AS user_id, pool AS symbol, pool AS pool_id,
+view("fx_trades", """SELECT chain AS chain_id, e AS trade_id, cast(u AS varchar) AS user_id, pool AS symbol, pool AS pool_id,
   CASE WHEN e % 2 = 0 THEN 'Buy' ELSE 'Sell' END AS side, e % 2 = 0 AS is_buyer, value AS price,
   cast(q AS double) AS quantity, value * cast(q AS double) AS quote_qty, t AS ts, e AS seq FROM fx_base""")
 
@@ -17,30 +18,30 @@ _LOG = "e * 8 + {k} AS log_index, {t} AS block_timestamp, {o} AS order_id, {u} A
 
 def _log(name, k, t, o, u="NULL", s="NULL", p="NULL", q="NULL", m="false", st="NULL", f="NULL", b="NULL", x="NULL", where=""):
     body = _LOG.format(k=k, t=t, o=o, u=u, s=s, p=p, q=q, m=m, st=st, f=f, b=b, x=x)
-    return f"SELECT '{name}' AS event_name, pool AS address, {body} FROM fx_base {where}"
+    return f"SELECT '{name}' AS event_name, chain AS chain_id, pool AS address, {body} FROM fx_base {where}"
 
 
 _TAKER, _MAKER = "cast(u AS varchar)", "cast(u + 1 + e % 7 AS varchar)"
 view("fx_log_rows", " UNION ALL ".join([
-    _log("OrderPlaced", 0, "t", "e * 3", _TAKER, "cast(e % 2 AS int)", "p", "q", "e % 5 = 0", "0"),
-    _log("OrderPlaced", 1, "t - 60", "e * 3 + 1", _MAKER, "1 - cast(e % 2 AS int)", "p", "q + e % 3", "false", "0"),
-    _log("OrderPlaced", 2, "t + 1", "e * 3 + 2", _TAKER, "cast((e // 2) % 2 AS int)",
+    _log("OrderPlaced", 0, "t", "o * 3", _TAKER, "cast(e % 2 AS int)", "p", "q", "e % 5 = 0", "0"),
+    _log("OrderPlaced", 1, "t - 60", "o * 3 + 1", _MAKER, "1 - cast(e % 2 AS int)", "p", "q + e % 3", "false", "0"),
+    _log("OrderPlaced", 2, "t + 1", "o * 3 + 2", _TAKER, "cast((e // 2) % 2 AS int)",
          "CASE WHEN (e // 2) % 2 = 0 THEN greatest(1, p * 9 // 10) ELSE p * 11 // 10 + 1 END", "q", "false", "0"),
     _log("OrderMatched", 3, "t", "NULL", _TAKER, "cast(e % 2 AS int)", "p", "q",
-         b="CASE WHEN e % 2 = 0 THEN e * 3 ELSE e * 3 + 1 END", x="CASE WHEN e % 2 = 0 THEN e * 3 + 1 ELSE e * 3 END"),
-    _log("OrderCancelled", 4, "t + 1 + (e % 72) * 3600", "e * 3 + 1", _MAKER, st="3", where="WHERE e % 3 = 2"),
-    _log("UpdateOrder", 5, "t + 2 + (e % 72) * 3600", "e * 3 + 2", st="5", f="0", where="WHERE e % 4 = 1"),
-    _log("OrderCancelled", 5, "t + 2 + (e % 72) * 3600", "e * 3 + 2", _TAKER, st="3", where="WHERE e % 4 = 2"),
-    _log("UpdateOrder", 6, "t", "e * 3", st="2", f="q"),
-    _log("UpdateOrder", 7, "t", "e * 3 + 1", st="CASE WHEN e % 3 = 0 THEN 2 ELSE 1 END", f="q"),
+         b="CASE WHEN e % 2 = 0 THEN o * 3 ELSE o * 3 + 1 END", x="CASE WHEN e % 2 = 0 THEN o * 3 + 1 ELSE o * 3 END"),
+    _log("OrderCancelled", 4, "t + 1 + (e % 72) * 3600", "o * 3 + 1", _MAKER, st="3", where="WHERE e % 3 = 2"),
+    _log("UpdateOrder", 5, "t + 2 + (e % 72) * 3600", "o * 3 + 2", st="5", f="0", where="WHERE e % 4 = 1"),
+    _log("OrderCancelled", 5, "t + 2 + (e % 72) * 3600", "o * 3 + 2", _TAKER, st="3", where="WHERE e % 4 = 2"),
+    _log("UpdateOrder", 6, "t", "o * 3", st="2", f="q"),
+    _log("UpdateOrder", 7, "t", "o * 3 + 1", st="CASE WHEN e % 3 = 0 THEN 2 ELSE 1 END", f="q"),
 ]))
-view("fx_log", """SELECT 1 AS chain_id, *, block_timestamp AS block_number, sha256(cast(log_index AS varchar)) AS tx_hash,
+view("fx_log", """SELECT *, block_timestamp AS block_number, sha256(cast(log_index AS varchar)) AS tx_hash,
   (cast(block_timestamp AS bigint) << 31) + log_index AS seq FROM fx_log_rows""")
 
-view("fx_pools", """SELECT sha256('1_' || symbol) AS id, 1 AS chain_id, symbol || '/usd' AS coin, symbol AS order_book,
-  0 AS base_decimals, 2 AS quote_decimals, min(ts) AS timestamp FROM fx_trades GROUP BY symbol""")
+view("fx_pools", """SELECT sha256(chain_id || '_' || symbol) AS id, chain_id, symbol || '/usd' AS coin, symbol AS order_book,
+  0 AS base_decimals, 2 AS quote_decimals, min(ts) AS timestamp FROM fx_trades GROUP BY chain_id, symbol""")
 
-view("fx_fills", """SELECT sha256('1_' || tx_hash || '_' || buy_order_id || '_' || sell_order_id) AS fill_id, chain_id,
+view("fx_fills", """SELECT sha256(chain_id || '_' || tx_hash || '_' || buy_order_id || '_' || sell_order_id) AS fill_id, chain_id,
   address AS pool_id, buy_order_id, sell_order_id, user_id AS taker, CASE WHEN side_code = 1 THEN 'Sell' ELSE 'Buy' END AS side,
   price, quantity, block_timestamp AS ts, block_number, log_index, tx_hash, seq FROM fx_log WHERE event_name = 'OrderMatched'""")
 
@@ -55,8 +56,8 @@ view("fx_placed", """SELECT chain_id, address AS pool_id, order_id, user_id, CAS
     WHEN 4 THEN 'REJECTED' WHEN 5 THEN 'EXPIRED' END AS status, block_timestamp AS ts, seq
   FROM fx_log WHERE event_name = 'OrderPlaced'""")
 
-view("fx_status_updates", """SELECT address AS pool_id, order_id, max_by(status_code, seq) AS code, max_by(block_timestamp, seq) AS ts,
-  max(seq) AS useq FROM fx_log WHERE event_name IN ('OrderCancelled', 'UpdateOrder') GROUP BY address, order_id""")
+view("fx_status_updates", """SELECT chain_id, address AS pool_id, order_id, max_by(status_code, seq) AS code, max_by(block_timestamp, seq) AS ts,
+  max(seq) AS useq FROM fx_log WHERE event_name IN ('OrderCancelled', 'UpdateOrder') GROUP BY chain_id, address, order_id""")
 
 view("fx_orders", """SELECT p.chain_id, p.pool_id, p.order_id, p.user_id, p.side, p.price, p.quantity, p.type,
   coalesce(f.filled, 0) AS filled,
@@ -67,22 +68,22 @@ view("fx_orders", """SELECT p.chain_id, p.pool_id, p.order_id, p.user_id, p.side
     ELSE p.status END AS status,
   p.ts AS placed_at, coalesce(u.ts, p.ts) AS ts, p.seq
   FROM fx_placed p
-  LEFT JOIN (SELECT pool_id, order_id, cast(sum(quantity) AS bigint) AS filled, max(seq) AS fseq FROM fx_order_trades
-             GROUP BY pool_id, order_id) f USING (pool_id, order_id)
-  LEFT JOIN fx_status_updates u USING (pool_id, order_id)""")
+  LEFT JOIN (SELECT chain_id, pool_id, order_id, cast(sum(quantity) AS bigint) AS filled, max(seq) AS fseq FROM fx_order_trades
+             GROUP BY chain_id, pool_id, order_id) f USING (chain_id, pool_id, order_id)
+  LEFT JOIN fx_status_updates u USING (chain_id, pool_id, order_id)""")
 
-view("fx_order_history", """SELECT pool_id, order_id, tx_hash, ts, filled, status, seq FROM (
-  SELECT address AS pool_id, order_id, tx_hash, block_timestamp AS ts, coalesce(filled, 0) AS filled,
+view("fx_order_history", """SELECT chain_id, pool_id, order_id, tx_hash, ts, filled, status, seq FROM (
+  SELECT chain_id, address AS pool_id, order_id, tx_hash, block_timestamp AS ts, coalesce(filled, 0) AS filled,
    CASE status_code WHEN 0 THEN 'OPEN' WHEN 1 THEN 'PARTIALLY_FILLED' WHEN 2 THEN 'FILLED' WHEN 3 THEN 'CANCELLED'
     WHEN 4 THEN 'REJECTED' WHEN 5 THEN 'EXPIRED' END AS status, seq,
-   row_number() OVER (PARTITION BY address, order_id, tx_hash, coalesce(filled, 0) ORDER BY seq DESC) AS rn
+   row_number() OVER (PARTITION BY chain_id, address, order_id, tx_hash, coalesce(filled, 0) ORDER BY seq DESC) AS rn
   FROM fx_log WHERE event_name IN ('OrderPlaced', 'UpdateOrder', 'OrderCancelled')) WHERE rn = 1""")
 
-view("fx_enriched", """SELECT t.fill_id, o.user_id, p.coin AS symbol, t.pool_id, t.side, t.order_id, t.is_maker,
+view("fx_enriched", """SELECT t.chain_id, t.fill_id, o.user_id, p.coin AS symbol, t.pool_id, t.side, t.order_id, t.is_maker,
   t.price / pow(10.0, p.quote_decimals) AS price, t.quantity / pow(10.0, p.base_decimals) AS quantity,
   t.price / pow(10.0, p.quote_decimals) * (t.quantity / pow(10.0, p.base_decimals)) AS quote_qty, t.ts, t.seq, o.status
-  FROM fx_order_trades t JOIN fx_orders o ON o.pool_id = t.pool_id AND o.order_id = t.order_id
-  JOIN fx_pools p ON p.order_book = t.pool_id""")
+  FROM fx_order_trades t JOIN fx_orders o ON o.chain_id = t.chain_id AND o.pool_id = t.pool_id AND o.order_id = t.order_id
+  JOIN fx_pools p ON p.chain_id = t.chain_id AND p.order_book = t.pool_id""")
 
 view("fx_depth", """SELECT chain_id, pool_id, side, price, cast(sum(greatest(quantity - filled, 0)) AS bigint) AS quantity,
   count(*) AS order_count, max(ts) AS last_updated FROM fx_orders

@@ -16,6 +16,7 @@ from pyspark.sql.streaming import StreamingQuery
 from tickforge.functions.columns import is_buy
 from tickforge.plans.books import best_levels, order_deltas
 from tickforge.plans.ledger import ledger_deltas
+from tickforge.plans.orders import ORDER, POOL
 from tickforge.session import scratch_path
 
 WATERMARK = "10 minutes"
@@ -83,12 +84,12 @@ def stream_dedup(rows: DataFrame, keys: list[str], ts: str = "ts", watermark: st
 def stream_klines(trades: DataFrame, interval: str, watermark: str = WATERMARK) -> DataFrame:
     """Tumbling candles; open and close follow the event order, not the arrival order."""
     timed = trades if "event_time" in trades.columns else with_event_time(trades, "ts", watermark)
-    agg = timed.groupBy(F.window("event_time", interval), "symbol").agg(
+    agg = timed.groupBy(F.window("event_time", interval), "chain_id", "symbol").agg(
         F.min_by("price", "seq").alias("open"), F.max("price").alias("high"), F.min("price").alias("low"),
         F.max_by("price", "seq").alias("close"), F.sum("quantity").alias("volume"), F.sum("quote_qty").alias("quote_volume"),
         F.count(F.lit(1)).alias("trade_count"),
         F.sum(F.when(is_buy(), F.col("quantity")).otherwise(0.0)).alias("taker_buy_base_volume"))
-    return agg.select("symbol", F.unix_timestamp("window.start").alias("open_time"),
+    return agg.select("chain_id", "symbol", F.unix_timestamp("window.start").alias("open_time"),
                       (F.unix_timestamp("window.end") - 1).alias("close_time"), "open", "high", "low", "close", "volume",
                       "quote_volume", "trade_count", "taker_buy_base_volume")
 
@@ -231,8 +232,8 @@ def stream_depth(log: DataFrame) -> DataFrame:
 
 def read_depth(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
     """Book from the newest contribution of every order, optionally the best levels per side."""
-    orders = read_latest(spark, path, ["pool_id", "order_id"])
-    levels = orders.groupBy("pool_id", "side", "price").agg(
+    orders = read_latest(spark, path, ORDER)
+    levels = orders.groupBy(*POOL, "side", "price").agg(
         F.sum("d_qty").cast("long").alias("quantity"), F.sum("d_count").cast("long").alias("order_count")).filter(F.col("quantity") > 0)
     return levels if limit is None else best_levels(levels, limit)
 
