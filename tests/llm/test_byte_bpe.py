@@ -5,8 +5,6 @@ import hashlib
 import public_tokenizers
 import pytest
 import tiktoken
-from hypothesis import given, settings
-from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tests.llm.cases import ODD_TEXTS, documents, empty, odd_docs
@@ -40,17 +38,6 @@ def test_odd_rows(spark, direct, block_chars):
     assert len(rows) > len(ODD_TEXTS)
 
 
-@given(st.lists(st.text(" \n\t\r\x1c\u00a0ab1.'sé", max_size=40), max_size=8))
-@settings(max_examples=300, deadline=None)
-def test_cutting_at_spaces_changes_no_pre_token(texts):
-    import regex
-
-    held = byte_bpe._Numbering(PATTERN)
-    for text in texts:
-        numbers, names = held.of(text), list(held.words)
-        assert [names[n] for n in numbers] == regex.findall(PATTERN, text)
-
-
 def test_empty_table(spark, sf):
     assert byte_bpe.decode(byte_bpe.encode(empty(documents(spark, sf)), FILE, PATTERN), FILE).count() == 0
 

@@ -27,6 +27,7 @@ from pyspark.sql import types as T
 from tickforge.llm.common import bucketed, fields, text_list
 
 BLOCK_CHARS = 8_000_000  # texts of a block, and so the memory of one cogroup; one longer text is a block of its own
+DECODED_ROWS = 500  # rows decoded at once
 END = b"\xff"  # a byte that UTF-8 never contains, between the words of a pack
 PLANES = 4  # bytes of a pre-token's number, stored byte by byte because the upper ones are nearly constant
 
@@ -45,9 +46,12 @@ def _word_encoder(path: str, pattern: str):
 
 
 @functools.lru_cache(maxsize=2)
-def token_bytes(path: str) -> dict[int, bytes]:
-    """The token-byte table; it has as many rows as the vocabulary file."""
-    return {i: b for b, i in ranks(path).items()}
+def token_bytes(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The token-byte table by id: all bytes, and where each token begins and how long it is (0: no such id)."""
+    by_id = {i: b for b, i in ranks(path).items()}
+    tokens = [by_id.get(i, b"") for i in range(max(by_id, default=-1) + 1)]
+    widths = np.array([len(t) for t in tokens], "i8")
+    return np.frombuffer(b"".join(tokens), "u1"), np.cumsum(widths) - widths, widths
 
 
 def _packed(numbers: np.ndarray) -> bytes:
@@ -59,34 +63,11 @@ def _unpacked(packed: bytes) -> np.ndarray:
 
 
 class _Numbering(dict):
-    """Pre-tokens of the words of one block as numbers in order of appearance.
+    """Words of one block as numbers in order of appearance."""
 
-    A space starts a new match of the pattern when the characters on both sides of it are no white space, so a
-    text is cut at its spaces and each distinct piece is matched once. Texts in which any piece starts or ends
-    with white space are matched as a whole.
-    """
-
-    def __init__(self, pattern: str):
-        self.find = regex.compile(pattern).findall
-        self.words: dict[str, int] = {}
-
-    def numbers(self, text: str) -> list[int]:
-        words = self.words
-        return [words.setdefault(w, len(words)) for w in self.find(text)]
-
-    def __missing__(self, piece: str) -> list[int] | None:
-        clean = piece and not piece[0].isspace() and not piece[-1].isspace()
-        found = self[piece] = self.numbers(" " + piece) if clean else None
-        return found
-
-    def of(self, text: str) -> np.ndarray:
-        first, *rest = text.split(" ")
-        parts = [self[x] for x in rest]
-        if not rest or (first and first[-1].isspace()) or None in parts:
-            found = self.numbers(text)
-        else:
-            found = [*self.numbers(first), *chain.from_iterable(parts)]
-        return np.array(found, "u4")
+    def __missing__(self, word: str) -> int:
+        number = self[word] = len(self)
+        return number
 
 
 def blocks(docs: DataFrame, pattern: str, buckets: int, id_col: str = "doc_id", text_col: str = "text",
@@ -94,17 +75,17 @@ def blocks(docs: DataFrame, pattern: str, buckets: int, id_col: str = "doc_id",
     """One row per block: block, ids, sizes (pre-tokens of each document), numbers (the pre-token at each
     position), and by bucket its distinct words and their numbers."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, count = TaskContext.get().partitionId(), 0
-        held = _Numbering(pattern)
+        find, part, count = regex.compile(pattern).findall, TaskContext.get().partitionId(), 0
+        held = _Numbering()
         ids, numbers, chars = [], [], 0
 
         def close() -> pa.RecordBatch:
             flat = np.concatenate(numbers)
-            often = np.argsort(-np.bincount(flat, minlength=len(held.words)), kind="stable")
-            place = np.empty(len(held.words), "u4")  # frequent words get small numbers, which pack well
-            place[often] = np.arange(len(held.words), dtype="u4")
+            often = np.argsort(-np.bincount(flat, minlength=len(held)), kind="stable")
+            place = np.empty(len(held), "u4")  # frequent words get small numbers, which pack well
+            place[often] = np.arange(len(held), dtype="u4")
             dealt: dict[int, list[tuple[bytes, int]]] = {}
-            for w, n in held.words.items():
+            for w, n in held.items():
                 raw = w.encode()
                 dealt.setdefault(xxhash.xxh3_64_intdigest(raw) % buckets, []).append((raw, place[n]))
             dealt = {b: sorted(x) for b, x in sorted(dealt.items())}
@@ -119,11 +100,12 @@ def blocks(docs: DataFrame, pattern: str, buckets: int, id_col: str = "doc_id",
             kind = batch.column(0).type
             for i, text in zip(batch.column(0).to_pylist(), text_list(batch.column(1)), strict=True):
                 ids.append(i)
-                numbers.append(held.of(text))
+                found = find(text)
+                numbers.append(np.fromiter(map(held.__getitem__, found), "u4", len(found)))
                 chars += len(text) + 1
                 if chars >= block_chars:
                     yield close()
-                    held, ids, numbers, chars, count = _Numbering(pattern), [], [], 0, count + 1
+                    held, ids, numbers, chars, count = _Numbering(), [], [], 0, count + 1
         if ids:
             yield close()
 
@@ -192,7 +174,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
         begins[place], widths[place] = np.cumsum(width) - width, width
         flat = _unpacked(block["numbers"][0].as_py())
         ends = np.concatenate([[0], np.cumsum(widths[flat])])
-        at = np.repeat(begins[flat] - ends[:-1], widths[flat]) + np.arange(ends[-1])
+        at = np.repeat((begins[flat] - ends[:-1]).astype("i4"), widths[flat]) + np.arange(ends[-1], dtype="i4")
         ends = ends[np.concatenate([[0], np.cumsum(np.array(block["sizes"][0].as_py(), "i8"))])]
         ids = pa.array(block["ids"][0].as_py(), to_arrow_schema(kind).field(0).type)
         return pa.table({id_col: ids, "ids": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(tokens[at].astype("i4")))})
@@ -205,11 +187,19 @@ def decode(rows: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "i
     """id, ids and the bytes they stand for, by a map-side join with the token-byte table (one row per entry of
     the vocabulary file, which bounds it). Null ids give no bytes; an id outside the vocabulary is an error."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get = token_bytes(path).__getitem__
-        for batch in batches:
-            text = [b"".join(map(get, ids or ())) for ids in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(text, pa.binary())],
-                                             names=[id_col, ids_col, "decoded"])
+        text, begins, widths = token_bytes(path)
+        for whole in batches:
+            for first in range(0, whole.num_rows, DECODED_ROWS):
+                batch = whole.slice(first, DECODED_ROWS)
+                ids = batch.column(1).flatten().to_numpy()
+                sizes = np.asarray(batch.column(1).value_lengths().fill_null(0), "i8")
+                if len(ids) and (ids.min() < 0 or ids.max() >= len(widths) or not widths[ids].all()):
+                    raise ValueError("an id is not in the vocabulary")
+                ends = np.concatenate([[0], np.cumsum(widths[ids], dtype="i8")])
+                at = np.repeat((begins[ids] - ends[:-1]).astype("i4"), widths[ids]) + np.arange(ends[-1], dtype="i4")
+                offsets = ends[np.concatenate([[0], np.cumsum(sizes)])].astype("i4")
+                decoded = pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, pa.py_buffer(offsets), pa.py_buffer(text[at])])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), decoded], names=[id_col, ids_col, "decoded"])
     schema = T.StructType([*fields(rows, id_col, ids_col), T.StructField("decoded", T.BinaryType())])
     return rows.select(id_col, ids_col).mapInArrow(run, schema)
 
