@@ -3,11 +3,12 @@
 The Jaccard distance is a metric, so two documents within ``1 - MIN_JACCARD`` = 1/4 of each other are at most that
 far apart in their distance to any third one, the pivot.
 
-* Equal sets are one node. A shingle is 48 bits of a hash, kept sorted, so a set is a compact blob; the table of
-  blobs is bucketed by node and is never shuffled as a whole.
-* Pivots: of the nodes that share their smallest shingles the smallest node leads; a node that follows nobody is a
-  pivot, and the others go to the pivot they share most of those shingles with. Its Voronoi region is every
-  follower whose verified distance is at most 1/4. All other nodes are regions of their own.
+* Equal sets are one node. A set is a compact blob of sorted shingle hashes; the table of blobs is shuffled once, by
+  node, and bucketed so that no join on the node moves it again.
+* Pivots: among the nodes that share one of their smallest shingles, the one whose smallest shingles are the most
+  common leads, since it lies in the middle of its copies; a node that follows nobody is a pivot, and the others go to
+  the pivot they share most of those shingles with. Its Voronoi region is every follower whose verified distance is at
+  most 1/4. All other nodes are regions of their own.
 * Windows: a node shares at least three quarters of its shingles with anything it is linked to, so counting the
   shingles that it shares with a foreign region, under a common bound of the hash, names without loss every
   region it may reach. The distance to that region's pivot is then computed: within 1/4 it is a link; beyond the
@@ -30,6 +31,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -40,37 +42,42 @@ from tickforge.llm.words import WordHashes, windows
 SHINGLE_WORDS = 5
 MIN_PERCENT = 75  # of the union, in the intersection
 RADIUS = 1 - MIN_PERCENT / 100
-BITS, BYTES = 48, 6
-ANCHORS = 8  # smallest shingles by which pivots are found
-LEAST_ANCHORS = 2  # of them that a follower shares with its pivot
-REGIONS = 32  # regions of a shingle that is still counted, at the first level; times eight at each further one
+BITS, BYTES = 40, 5  # of a shingle's 64-bit hash, kept to compare sets: two of n shingles differ by chance in n^2 / 2^40 cases
+ANCHORS = 16  # smallest shingles by which pivots are found
+LEAST_ANCHORS = 8  # of them, or half of all for a smaller set, that a follower shares with its pivot
+REGIONS = 32  # regions of a shingle that is still counted
+TARGETS = 256  # such regions in the last steps, where few are left; times eight while any node is without an exact count
+SINGLE, REGION, MEMBER = 0, 1, 2  # roles of a row, in the order in which a shingle's rows follow each other
 KEPT_COUNTS = 300_000  # counts a task sums before it passes them on
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
 def shingles(raw: bytes, hashes: WordHashes) -> np.ndarray:
-    """Sorted distinct shingle hashes of a text; one for the whole sequence if it has fewer words."""
+    """Sorted distinct 64-bit shingle hashes of a text; one for the whole sequence if it has fewer words."""
     words = raw.translate(LOWER).split()
     found = windows(hashes.of(words), min(SHINGLE_WORDS, len(words))) if words else np.empty(0, "u8")
     if 0 < len(words) < SHINGLE_WORDS:
         found = found ^ np.uint64(len(words) << 56)  # another hash than that of any longer run
-    return np.unique(found >> np.uint64(64 - BITS))
+    return np.unique(found)
 
 
 def _blob(hashes: np.ndarray) -> bytes:
-    return np.ascontiguousarray(hashes).view("u1").reshape(-1, 8)[:, :BYTES].T.tobytes()
+    """The upper bits of sorted hashes, byte by byte, because the first byte hardly varies along them."""
+    kept = np.ascontiguousarray(hashes >> np.uint64(64 - BITS))
+    return zstandard.compress(kept.view("u1").reshape(-1, 8)[:, :BYTES].T.tobytes())
 
 
 def _unblob(blob: bytes) -> np.ndarray:
-    wide = np.zeros((len(blob) // BYTES, 8), "u1")
-    wide[:, :BYTES] = np.frombuffer(blob, "u1").reshape(BYTES, -1).T
+    raw = zstandard.decompress(blob)
+    wide = np.zeros((len(raw) // BYTES, 8), "u1")
+    wide[:, :BYTES] = np.frombuffer(raw, "u1").reshape(BYTES, -1).T
     return wide.view("<u8").ravel()
 
 
 def _share(n: float) -> float:
     """Part of the hash range below which a set of n shingles counts: a quarter, which a linked set may lack, and so
-    much more that chance does not leave less. Falls with n."""
-    return min(1.0, 1 - MIN_PERCENT / 100 + 0.02 + 2.0 / max(n, 1) ** 0.5)
+    much more that chance seldom leaves less. Falls with n."""
+    return min(1.0, 1 - MIN_PERCENT / 100 + 0.01 + 1.2 / max(n, 1) ** 0.5)
 
 
 def _below(hashes: np.ndarray, share: float) -> int:
@@ -81,32 +88,47 @@ def _signed(value: int) -> int:
     return value - (1 << 64) if value >= 1 << 63 else value
 
 
-def shingle_sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, _text (hash of the text), n_shingles, node (hash of the set, null for none), m (shingles that the node counts
-    at the first level), and once per task and node the blob."""
+def _node(found: np.ndarray) -> int | None:
+    return _signed(xxhash.xxh3_64_intdigest(found.tobytes())) if len(found) else None
+
+
+def nodes_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id, _text (hash of the text), n_shingles and node (hash of the set, null for none) of every row."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, seen = WordHashes(), set()
+        hashes = WordHashes()
         for batch in batches:
-            sizes, nodes, own, blobs = [], [], [], []
-            for raw in bytes_list(batch.column(2)):
-                found = shingles(raw, hashes)
-                blob = _blob(found) if len(found) else None
-                node = _signed(xxhash.xxh3_64_intdigest(blob)) if blob else None
-                sizes.append(len(found))
-                nodes.append(node)
-                own.append(_below(found, _share(len(found))))
-                blobs.append(None if node in seen else blob)
-                if len(seen) > 1_000_000:
-                    seen.clear()
-                seen.add(node)
+            found = [shingles(raw, hashes) for raw in bytes_list(batch.column(2))]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), *(pa.array(x, pa.int64()) for x in (sizes, nodes, own)), pa.array(blobs, pa.binary())],
-                names=[id_col, "_text", "n_shingles", "node", "m", "blob"])
-    schema = T.StructType([*fields(docs, id_col), *(T.StructField(c, T.LongType()) for c in ("_text", "n_shingles", "node", "m")),
-                           T.StructField("blob", T.BinaryType())])
+                [batch.column(0), batch.column(1), pa.array([len(x) for x in found], pa.int64()), pa.array([_node(x) for x in found], pa.int64())],
+                names=[id_col, "_text", "n_shingles", "node"])
+    schema = T.StructType([*fields(docs, id_col), *(T.StructField(c, T.LongType()) for c in ("_text", "n_shingles", "node"))])
     return docs.select(id_col, F.xxhash64(text_col).alias("_text"), text_col).mapInArrow(run, schema)
 
 
+def shingle_sets(docs: DataFrame, text_col: str) -> DataFrame:
+    """One row per node: node, n (shingles), m (those it counts at the first level) and blob; bucketed by node.
+
+    A task passes a set on once, so a set with any number of copies is at most one row per task.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, seen = WordHashes(), set()
+        for batch in batches:
+            rows = []
+            for raw in bytes_list(batch.column(0)):
+                found = shingles(raw, hashes)
+                node = _node(found)
+                if node is not None and node not in seen:
+                    seen.add(node)
+                    rows.append((node, len(found), _below(found >> np.uint64(64 - BITS), _share(len(found))), _blob(found)))
+            if len(seen) > 1_000_000:
+                seen.clear()
+            yield pa.RecordBatch.from_arrays([*(pa.array([r[i] for r in rows], pa.int64()) for i in range(3)), pa.array([r[3] for r in rows], pa.binary())],
+                                             names=["node", "n", "m", "blob"])
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sets = docs.select(text_col).mapInArrow(run, "node long, n long, m long, blob binary").repartition(n, "node")
+    return bucketed(sets.dropDuplicates(["node"]), "node", "shingle_sets", "uncompressed")
+
+
 def _flat(column: pa.Array) -> list[np.ndarray]:
     return [_unblob(b) for b in column.to_pylist()]
 
@@ -119,19 +141,46 @@ def pivots(sets: DataFrame) -> DataFrame:
             nodes = np.repeat(batch.column(0).to_numpy(), [len(x) for x in first])
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(np.concatenate(first), pa.int64())], names=["node", "anchor"])
     anchors = staged(sets.select("node", "blob").mapInArrow(run, "node long, anchor long"), "anchors")
-    leaders = staged(anchors.groupBy("anchor").agg(F.min("node").alias("leader"), F.max("node").alias("last")).filter("leader < last").select(
-        F.col("anchor").alias("at"), "leader"), "leaders")
-    shared = anchors.distinct().join(leaders, F.col("anchor") == F.col("at")).filter("node <> leader").groupBy("node", "leader").agg(
-        F.count(F.lit(1)).alias("n"))
-    follows = staged(shared.filter(F.col("n") >= LEAST_ANCHORS), "follows")
+    common = anchors.groupBy("anchor").agg(F.count(F.lit(1)).alias("often")).filter("often > 1").select(F.col("anchor").alias("at"), "often")
+    shared = staged(anchors.join(staged(common, "common-anchors"), F.col("anchor") == F.col("at")).select("node", "anchor", "often"), "shared-anchors")
+    weight = shared.groupBy("node").agg(F.sum("often").alias("weight")).select(F.col("node").alias("of"), "weight")
+    leaders = shared.join(weight, F.col("node") == F.col("of")).groupBy("anchor").agg(F.max_by("node", F.struct("weight", "node")).alias("leader"))
+    leaders = staged(leaders.select(F.col("anchor").alias("at"), "leader"), "leaders")
+    counted = shared.join(leaders, F.col("anchor") == F.col("at")).filter("node <> leader").groupBy("node", "leader").agg(F.count(F.lit(1)).alias("c"))
+    sizes = sets.select(F.col("node").alias("of"), "n")
+    follows = staged(counted.join(sizes, F.col("node") == F.col("of")).filter(
+        F.col("c") >= F.least(F.lit(LEAST_ANCHORS), F.ceil(F.col("n") / 2))).select("node", "leader", "c"), "follows")
     roots = follows.select(F.col("leader").alias("root")).distinct().join(
         follows.select(F.col("node").alias("root")).distinct(), "root", "left_anti")
     to_root = follows.join(roots, F.col("leader") == F.col("root"), "left_semi")
-    return to_root.groupBy("node").agg(F.max_by("leader", F.struct("n", -F.col("leader"))).alias("pivot"))
+    chosen = staged(to_root.groupBy("node").agg(F.max_by("leader", F.struct("c", -F.col("leader"))).alias("pivot")), "pivots")
+    return central(chosen, sets)
 
 
-def measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """``pairs`` (columns a, b and any others) with ``inter``, ``na`` and ``nb``: sizes of intersection and sets.
+def central(chosen: DataFrame, sets: DataFrame) -> DataFrame:
+    """(node, pivot) where every group of more than ``REGIONS`` followers gets the pivot whose shingles are the most common
+    in the group. All shingles of such a group are counted, which the few smallest cannot replace: the middle of many
+    copies is the one that most of them lie within reach of."""
+    large = chosen.groupBy(F.col("pivot").alias("old")).agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > REGIONS).select("old")
+    inside = chosen.join(large, F.col("pivot") == F.col("old")).select(F.col("node").alias("of"), "old").unionByName(
+        large.select(F.col("old").alias("of"), "old"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = _flat(batch.column(2))
+            sizes = [len(x) for x in held]
+            yield pa.RecordBatch.from_arrays([*(pa.array(np.repeat(batch.column(i).to_numpy(), sizes)) for i in range(2)),
+                                              pa.array(np.concatenate(held).astype("i8"))], names=["of", "old", "shingle"])
+    held = sets.join(inside, F.col("node") == F.col("of")).select("of", "old", "blob").mapInArrow(run, "of long, old long, shingle long")
+    often = held.groupBy(F.col("old").alias("group"), F.col("shingle").alias("at")).agg(F.count(F.lit(1)).alias("often"))
+    weight = held.join(often, (F.col("old") == F.col("group")) & (F.col("shingle") == F.col("at"))).groupBy("old", "of").agg(F.avg("often").alias("weight"))
+    middle = staged(weight.groupBy(F.col("old").alias("group")).agg(F.max_by("of", F.struct("weight", "of")).alias("middle")), "middles")
+    everyone = chosen.unionByName(middle.select(F.col("group").alias("node"), F.col("group").alias("pivot")))
+    return everyone.join(middle, F.col("pivot") == F.col("group"), "left").select("node", F.coalesce("middle", "pivot").alias("pivot")).filter("node <> pivot")
+
+
+def _with_blobs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """``pairs`` (columns a, b and any others) with the blobs of both, others first.
 
     Blobs of a stay where they are bucketed; those of b that occur are copied once, and both sides of the second
     join are plain shuffles, so that a b with very many partners can be split.
@@ -141,38 +190,56 @@ def measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
     def of(side: str) -> DataFrame:
         wanted = pairs.select(F.col(side).alias("wanted")).distinct()
-        return blobs.join(wanted, F.col("node") == F.col("wanted"), "left_semi").dropDuplicates(["node"])
+        return blobs.join(wanted, F.col("node") == F.col("wanted"), "left_semi")
     right = staged(of("b").select(F.col("node").alias("_b"), F.col("blob").alias("_right")), "pivot-blobs")
     left = pairs.join(of("a").select(F.col("node").alias("_a"), F.col("blob").alias("_left")), F.col("a") == F.col("_a"))
-    joined = left.join(right, F.col("b") == F.col("_b")).select(*others, "a", "b", "_left", "_right")
+    return left.join(right, F.col("b") == F.col("_b")).select(*others, "a", "b", "_left", "_right")
+
+
+def _both(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The two sets of each row; rows of one b follow each other."""
+    last, other = None, None
+    for x, y in zip(batch.column(batch.num_columns - 2).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True):
+        if y != last:
+            last, other = y, _unblob(y)
+        yield _unblob(x), other
+
+
+def measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """``pairs`` with ``inter``, ``na`` and ``nb``: sizes of intersection and sets."""
+    joined = _with_blobs(pairs, sets)
+    names = [*joined.columns[:-2], "inter", "na", "nb"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            left, right = (batch.column(len(others) + i).to_pylist() for i in (2, 3))
-            kept: dict[bytes, np.ndarray] = {}
-            inter = []
-            for x, y in zip(left, right, strict=True):
-                if y not in kept:
-                    kept = {y: _unblob(y)}
-                inter.append(len(np.intersect1d(_unblob(x), kept[y], assume_unique=True)))
-            sizes = [pa.array([len(x) // BYTES for x in side], pa.int64()) for side in (left, right)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:len(others) + 2], pa.array(inter, pa.int64()), *sizes],
-                                             names=[*others, "a", "b", "inter", "na", "nb"])
-    return joined.mapInArrow(run, T.StructType([
-        *(joined.schema[c] for c in (*others, "a", "b")), *(T.StructField(c, T.LongType()) for c in ("inter", "na", "nb"))]))
+            sizes = [(len(np.intersect1d(x, y)), len(x), len(y)) for x, y in _both(batch)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], *(pa.array([r[i] for r in sizes], pa.int64()) for i in range(3))], names=names)
+    return joined.mapInArrow(run, T.StructType([*joined.schema.fields[:-2], *(T.StructField(c, T.LongType()) for c in names[-3:])]))
 
 
-IS_LINK = f"100 * inter >= {MIN_PERCENT} * (na + nb - inter)"
-DISTANCE = "1 - inter / (na + nb - inter)"
+def outside(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """A row per shingle of a that b lacks: the columns of ``pairs`` and ``shingle``."""
+    joined = _with_blobs(pairs, sets)
+    names = [*joined.columns[:-2], "shingle"]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            extra = [np.setdiff1d(x, y) for x, y in _both(batch)]
+            repeat = pa.array(np.repeat(np.arange(len(extra)), [len(e) for e in extra]))
+            yield pa.RecordBatch.from_arrays([*(c.take(repeat) for c in batch.columns[:-2]), pa.array(np.concatenate(extra).astype("i8"))],
+                                             names=names)
+    return joined.mapInArrow(run, T.StructType([*joined.schema.fields[:-2], T.StructField("shingle", T.LongType())]))
 
-SHOWN = "shingle long, search boolean, label long, node long, low int, high int, counted boolean"
+
+IS_LINK = f"100 * inter >= {MIN_PERCENT} * (na + nb - inter)"
+DISTANCE = "1 - inter / (na + nb - inter)"
 
 
-def _shown(sets: DataFrame, everything: bool) -> DataFrame:
-    """(shingle, node, label, n, counted, single) from ``sets`` with a null label for singles.
+def _shown(sets: DataFrame, everything: bool, role: int) -> DataFrame:
+    """(shingle, role, label, node, info) from ``sets`` (node, blob, label); a null label makes the node a single.
 
-    A node shows what its smallest possible partner counts, and counts what its largest possible one shows.
+    A node shows what its smallest possible partner counts, and counts what its largest possible one shows. ``info``
+    is twice the node's size, plus one where it counts the shingle.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -181,34 +248,32 @@ def _shown(sets: DataFrame, everything: bool) -> DataFrame:
             shown = np.array([len(h) if everything else _below(h, _share(len(h) * MIN_PERCENT / 100)) for h in held])
             own = np.array([len(h) if everything else _below(h, _share(len(h))) for h in held])
             at = np.repeat(np.arange(len(n)), shown)
-            place = np.arange(len(at)) - np.repeat(np.cumsum(shown) - shown, shown)
+            counted = np.arange(len(at)) - np.repeat(np.cumsum(shown) - shown, shown) < own[at]
             repeat = pa.array(at)
+            label = batch.column(2).take(repeat)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate([h[:k] for h, k in zip(held, shown, strict=True)]).astype("i8")), batch.column(0).take(repeat),
-                 batch.column(2).take(repeat), pa.array(n[at].astype("i4")), pa.array(place < own[at])],
-                names=["shingle", "node", "label", "n", "counted"])
-    return sets.select("node", "blob", "label").mapInArrow(run, "shingle long, node long, label long, n int, counted boolean")
-
-
-def _rows(search: bool, label: str, node: str, counted: str = "counted") -> list:
-    low, high = ("n", "n") if node == "node" else ("low", "high")
-    return [F.col("shingle"), F.lit(search).alias("search"), F.col(label).alias("label"), F.expr(node).cast("long").alias("node"),
-            F.col(low).alias("low"), F.col(high).alias("high"), F.expr(counted).alias("counted")]
+                [pa.array(np.concatenate([h[:k] for h, k in zip(held, shown, strict=True)]).astype("i8")),
+                 pa.array(np.where(label.is_null().to_numpy(zero_copy_only=False), 0, role).astype("i4")), label,
+                 batch.column(0).take(repeat), pa.array(2 * n[at] + counted)], names=["shingle", "role", "label", "node", "info"])
+    return sets.select("node", "blob", "label").mapInArrow(run, "shingle long, role int, label long, node long, info long")
 
 
 def _regions_of(shown: DataFrame) -> DataFrame:
-    """One row per shingle and region, with the sizes of the nodes that show it."""
+    """One row per shingle and region instead of one per node; ``info`` is the largest size, ``node`` the smallest."""
     spans = shown.withColumn("label", F.coalesce("label", "node")).groupBy("shingle", "label").agg(
-        F.min("n").alias("low"), F.max("n").alias("high"))
-    return spans.select(*_rows(False, "label", "null", "false"))
+        F.min(F.expr("info div 2")).alias("node"), F.max(F.expr("info div 2")).alias("info"))
+    return spans.select("shingle", F.lit(REGION).alias("role"), "label", "node", "info")
 
 
-def _shared(rows: DataFrame, regions: int) -> DataFrame:
+def _shared(rows: DataFrame, limit: int | None = None) -> DataFrame:
     """(node, label, c): the node shares c shingles with that foreign region; without label, c shingles that are not
-    counted because more than ``regions`` regions have them.
+    counted because more than ``limit`` regions have them.
 
-    The rows of a shingle follow each other, its regions first, so that nothing is held but ``regions`` of those.
+    The rows of a shingle follow each other, its regions and singles first, so that nothing is held but ``limit`` of
+    those. Only regions that could hold a partner of the node's size count.
     """
+    limit = limit or REGIONS
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[tuple[int, int | None], int] = {}
         spans: dict[int, tuple[int, int]] = {}
@@ -244,23 +309,23 @@ def _shared(rows: DataFrame, regions: int) -> DataFrame:
             kept = batch.take(pa.array(at))  # rows alone with their shingle, here and in the next batch, share nothing
             for row in zip(*(c.to_pylist() for c in kept.columns), strict=True):
                 if row == last:
-                    continue  # a set held by two tasks
+                    continue  # two equal shortened hashes of one set
                 last = row
-                key, search, label, node, low, high, counted = row
+                key, role, label, node, info = row
                 if key != open_shingle:
                     told()
                     open_shingle, many = key, False
                     spans.clear()
-                if search:
+                if role == MEMBER:
                     told()
-                    if counted:
-                        searched(node, node if label is None else label, low)
+                    if info & 1:
+                        searched(node, node if label is None else label, info >> 1)
                     continue
                 if not many:
-                    spans[label] = (low, high)
-                if node is not None and counted:
-                    singles.append((node, low))
-                if len(spans) > regions:
+                    spans[node if label is None else label] = (node, info) if role == REGION else (info >> 1, info >> 1)
+                if role == SINGLE and info & 1:
+                    singles.append((node, info >> 1))
+                if len(spans) > limit:
                     many = True
                     spans.clear()
                 if many:
@@ -270,7 +335,7 @@ def _shared(rows: DataFrame, regions: int) -> DataFrame:
         told()
         if counts:
             yield flush()
-    met = rows.repartition("shingle").sortWithinPartitions("shingle", "search", "label", "node")
+    met = rows.repartition("shingle").sortWithinPartitions("shingle", "role", "label", "node")
     return met.mapInArrow(run, "node long, label long, c long").groupBy("node", "label").agg(F.sum("c").alias("c"))
 
 
@@ -294,12 +359,33 @@ def components(edges: DataFrame) -> DataFrame:
     return label
 
 
+def _towards_pure(sets: DataFrame, nodes: DataFrame, labelled, left: DataFrame) -> list[DataFrame]:
+    """Measured pairs of what is still left with the regions of nodes that consist of uncounted shingles nearly alone.
+
+    Every linked pair that is not found yet has such a node for its smaller part. The limit grows until every node
+    that searches has an exact count.
+    """
+    pure = sets.join(left.filter("seventh <= 0").select(F.col("_r").alias("_p")), F.col("node") == F.col("_p"), "left_semi")
+    targets = staged(_regions_of(_shown(labelled(pure), True, MEMBER)), "targets")
+    rest, found, limit = staged(left.filter("quarter <= 0").select("_r"), "rest"), [], TARGETS
+    while not rest.isEmpty() and not targets.isEmpty():
+        some = labelled(sets.join(rest, F.col("node") == F.col("_r"), "left_semi"))
+        shown = _shown(some, True, MEMBER).withColumn("role", F.lit(MEMBER))
+        shared = staged(_shared(shown.unionByName(targets), limit), "shared")
+        uncounted = shared.filter("label is null").select(F.col("node").alias("_h"), F.col("c").alias("h"))
+        state = staged(rest.join(nodes, F.col("_r") == F.col("node")).join(uncounted, F.col("node") == F.col("_h"), "left").selectExpr(
+            "_r", f"n - coalesce(h, 0) - n * {100 - MIN_PERCENT} div 100 as quarter"), "left")
+        counted = shared.filter("label is not null").join(state, F.col("node") == F.col("_r")).filter("quarter >= 1 and c >= quarter")
+        found.append(staged(measured(counted.select(F.col("node").alias("a"), F.col("label").alias("b")), sets), "measured"))
+        rest, limit = staged(state.filter("quarter <= 0").select("_r"), "rest"), 8 * limit
+    return found
+
+
 def links(sets: DataFrame) -> DataFrame:
-    """(a, b): verified links between nodes whose closure is that of all links. ``sets`` is bucketed by node."""
-    sets = sets.filter("blob is not null")
-    nodes = staged(sets.groupBy("node").agg(F.first("n_shingles").alias("n"), F.first("m").alias("m")), "nodes")
+    """(a, b): verified links between nodes whose closure is that of all links. ``sets`` has one row per node."""
+    nodes = sets.select("node", "n", "m")
     followers = staged(measured(pivots(sets).select(F.col("node").alias("a"), F.col("pivot").alias("b")), sets), "followers")
-    members = staged(followers.filter(IS_LINK).selectExpr("a", "b", f"{DISTANCE} as distance"), "members")
+    members = followers.filter(IS_LINK).selectExpr("a", "b", "na", "inter", f"{DISTANCE} as distance")
     own = members.select(F.col("a").alias("_n"), F.col("b").alias("label"))
     labels = staged(own.unionByName(own.select(F.col("label").alias("_n"), "label").distinct()), "regions")
     radius = members.groupBy(F.col("b").alias("region")).agg(F.max("distance").alias("radius"))
@@ -307,57 +393,75 @@ def links(sets: DataFrame) -> DataFrame:
     def labelled(some: DataFrame) -> DataFrame:
         return some.join(labels, F.col("node") == F.col("_n"), "left").select("node", "blob", "label")
 
-    # all nodes: singles are regions and search at once, members search their regions' rows
-    shown = _shown(labelled(sets), False)
-    in_regions = _shown(sets.join(labels, F.col("node") == F.col("_n")).select("node", "blob", "label"), False)
-    rows = shown.select(F.col("shingle"), F.col("label").isNotNull().alias("search"), F.coalesce("label", "node").alias("label"), "node",
-                        F.col("n").alias("low"), F.col("n").alias("high"), "counted").unionByName(_regions_of(in_regions))
-    shared = staged(_shared(rows, REGIONS), "shared")
-    state = staged(nodes.join(shared.filter("label is null").select(F.col("node").alias("_n"), F.col("c").alias("h")), F.col("node") == F.col("_n"), "left")
-                   .selectExpr("node", "n", f"m - coalesce(h, 0) - n * {100 - MIN_PERCENT} div 100 as quarter", "m - coalesce(h, 0) - n div 7 as seventh"), "counts")
-    wanted = state.selectExpr("node as _n", "case when quarter >= 1 then quarter else greatest(1, seventh) end as least")
-    counted = shared.filter("label is not null").join(wanted, F.col("node") == F.col("_n")).filter("c >= least")
-    found = [staged(measured(counted.select(F.col("node").alias("a"), F.col("label").alias("b")), sets), "measured")]
-
-    # what has too little left to count: among itself, towards the nodes that are nearly nothing else
-    rest = staged(state.filter("quarter <= 0").selectExpr("node as _r", "seventh <= 0 as pure"), "rest")
-    limit = REGIONS
-    if not rest.filter("pure").isEmpty():
-        pure = sets.join(rest.filter("pure"), F.col("node") == F.col("_r"), "left_semi")
-        targets = staged(_regions_of(_shown(labelled(pure), True)), "targets")
-        while not rest.isEmpty():
-            limit *= 8
-            searching = _shown(labelled(sets.join(rest, F.col("node") == F.col("_r"), "left_semi")), True)
-            rows = searching.select(*_rows(True, "label", "node")).unionByName(targets)
-            shared = staged(_shared(rows, limit), "shared")
-            uncounted = shared.filter("label is null").selectExpr("node as _n", "c as h")
-            left = staged(rest.join(nodes, F.col("_r") == F.col("node")).join(uncounted, F.col("node") == F.col("_n"), "left").selectExpr(
-                "_r", "pure", f"n - coalesce(h, 0) - n * {100 - MIN_PERCENT} div 100 as quarter"), "rest")
-            counted = shared.filter("label is not null").join(left, F.col("node") == F.col("_r")).filter("quarter >= 1 and c >= quarter")
-            found.append(staged(measured(counted.select(F.col("node").alias("a"), F.col("label").alias("b")), sets), "measured"))
-            rest = left.filter("quarter <= 0").select("_r", "pure")
+    def counts(shown: DataFrame, targets: DataFrame, have: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """What nodes share, and what is left of the shingles they count beyond those a linked set may lack: a quarter,
+        or a seventh for a partner of at least the same size. ``have``: node, n, m."""
+        shared = staged(_shared(shown.unionByName(targets)), "shared")
+        uncounted = shared.filter("label is null").select(F.col("node").alias("_h"), F.col("c").alias("h"))
+        left = have.join(uncounted, F.col("node") == F.col("_h"), "left").selectExpr(
+            "node as _r", f"m - coalesce(h, 0) - n * {100 - MIN_PERCENT} div 100 as quarter", "m - coalesce(h, 0) - n div 7 as seventh")
+        left = staged(left, "left")
+        least = left.selectExpr("_r", "case when quarter >= 1 then quarter else greatest(1, seventh) end as least")
+        counted = shared.filter("label is not null").join(least, F.col("node") == F.col("_r")).filter("c >= least")
+        return left, measured(counted.select(F.col("node").alias("a"), F.col("label").alias("b")), sets)
+
+    # all nodes, on the shingles below a bound: singles are regions and search at once, members search
+    in_regions = _shown(sets.join(labels, F.col("node") == F.col("_n")).select("node", "blob", "label"), False, MEMBER)
+    left, near = counts(_shown(labelled(sets), False, MEMBER), _regions_of(in_regions), nodes)
+    found = [staged(near, "measured")]
+
+    # those with too little left, among themselves and on all shingles
+    rest = staged(left.filter("quarter <= 0").select("_r"), "rest")
+    if not rest.isEmpty():
+        some = sets.join(rest, F.col("node") == F.col("_r"), "left_semi")
+        whole = nodes.join(rest, F.col("node") == F.col("_r"), "left_semi").selectExpr("node", "n", "n as m")
+        in_regions = _shown(some.join(labels, F.col("node") == F.col("_n")).select("node", "blob", "label"), True, MEMBER)
+        left, near = counts(_shown(labelled(some), True, MEMBER), _regions_of(in_regions), whole)
+        found.append(staged(near, "measured"))
+        found += _towards_pure(sets, nodes, labelled, left)
 
     all_found = found[0]
     for more in found[1:]:
         all_found = all_found.unionByName(more)
     edges = staged(members.select("a", "b").unionByName(all_found.filter(IS_LINK).select("a", "b")), "links")
     near = all_found.filter(f"not ({IS_LINK})").withColumn("distance", F.expr(DISTANCE)).join(radius, F.col("b") == F.col("region")).filter(
-        F.col("distance") <= F.col("radius") + RADIUS + 1e-9).select("a", "b", "na", "distance")
+        F.col("distance") <= F.col("radius") + RADIUS + 1e-9).select("a", "b", "na", "inter", "distance")
     near = staged(near, "boundary")
     if near.isEmpty():
         return edges
     # boundary documents that are not connected to the region by other links yet
     roots = components(edges)
     of_a, of_b = (roots.select(F.col("node").alias(f"_{x}"), F.col("root").alias(f"root_{x}")) for x in "ab")
-    apart = near.join(of_a, F.col("a") == F.col("_a"), "left").join(of_b, F.col("b") == F.col("_b"), "left").filter(
-        F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select(F.col("a").alias("x"), F.col("b").alias("region"), F.col("na").alias("nx"), F.col("distance").alias("dx"))
-    inside = members.join(nodes, F.col("a") == F.col("node")).select(F.col("a").alias("y"), F.col("b").alias("at"), F.col("n").alias("ny"), F.col("distance").alias("dy"))
-    pairs = apart.join(inside, (F.col("region") == F.col("at")) & (F.col("dx") - F.col("dy") <= RADIUS + 1e-9)
-                       & (100 * F.col("nx") >= MIN_PERCENT * F.col("ny")) & (100 * F.col("ny") >= MIN_PERCENT * F.col("nx")))
-    exact = measured(pairs.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), sets)
+    apart = staged(near.join(of_a, F.col("a") == F.col("_a"), "left").join(of_b, F.col("b") == F.col("_b"), "left").filter(
+        F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select(near.columns), "apart")
+    if apart.isEmpty():
+        return edges
+    pairs = _boundary_pairs(apart, members, sets)
+    exact = measured(pairs, sets)
     return staged(edges.unionByName(exact.filter(IS_LINK).select("a", "b")), "links")
 
 
+def _boundary_pairs(apart: DataFrame, members: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b): boundary documents and the members of the region that they can be linked to.
+
+    Both distances to the pivot are known, so is what each shares with it. The two can share no more of the pivot's
+    shingles than the lesser of that; the rest of the intersection a link needs lies outside the pivot, where
+    documents of a region have little in common and are joined by what they share.
+    """
+    inside = members.join(apart.select(F.col("b").alias("_b")).distinct(), F.col("b") == F.col("_b"), "left_semi")
+    need = F.expr("(3 * (nx + ny) + 6) div 7 - least(ix, iy)")
+    fits = (F.col("dx") - F.col("dy") <= RADIUS + 1e-9) & (100 * F.col("nx") >= MIN_PERCENT * F.col("ny")) & (100 * F.col("ny") >= MIN_PERCENT * F.col("nx"))
+
+    def named(rows: DataFrame, x: str) -> DataFrame:
+        return rows.select(F.col("a").alias(x), F.col("b").alias(f"r{x}"), F.col("na").alias(f"n{x}"), F.col("inter").alias(f"i{x}"),
+                           F.col("distance").alias(f"d{x}"), *([F.col("shingle").alias(f"s{x}")] if "shingle" in rows.columns else []))
+    same = F.col("rx") == F.col("ry")
+    within = named(apart, "x").join(named(inside, "y"), same & fits & (need <= 0)).select("x", "y")
+    shared = named(outside(apart, sets), "x").join(named(outside(inside, sets), "y"), same & (F.col("sx") == F.col("sy")) & fits & (need > 0))
+    enough = shared.groupBy("rx", "x", "y").agg(F.count(F.lit(1)).alias("c"), F.first(need).alias("need")).filter("c >= need").select("x", "y")
+    return within.unionByName(enough).filter("x <> y").distinct().select(F.col("x").alias("a"), F.col("y").alias("b"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, _text, n_shingles, _root (the component's node) and component_id (smallest id reachable by links) for every row.
 
@@ -365,12 +469,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     with equal sets are linked; repeated rows and equal ids are kept. A null id is the smallest only where no other id
     is reachable. Other columns of ``docs`` are not read.
     """
-    sets = bucketed(shingle_sets(docs, id_col, text_col), "node", "shingle_sets")
-    roots = components(links(sets)).select(F.col("node").alias("_n"), "root")
-    rows = sets.select(id_col, "_text", "n_shingles", "node")
+    roots = components(links(shingle_sets(docs, text_col))).select(F.col("node").alias("_n"), "root")
+    rows = staged(nodes_of(docs, id_col, text_col), "document-nodes")
     smallest = rows.filter("node is not null").groupBy("node").agg(F.min(id_col).alias("_id")).join(
-        roots, F.col("node") == F.col("_n"), "left").withColumn("root", F.coalesce("root", "node"))
-    smallest = staged(smallest.select("node", "root", "_id"), "node-ids")
+        roots, F.col("node") == F.col("_n"), "left").select("node", F.coalesce("root", "node").alias("root"), "_id")
+    smallest = staged(smallest, "node-ids")
     classes = smallest.groupBy(F.col("root").alias("_root")).agg(F.min("_id").alias("_least"))
     by_node = staged(smallest.join(classes, F.col("root") == F.col("_root")).select(F.col("node").alias("_n"), "root", "_least"), "components")
     return rows.join(by_node, F.col("node") == F.col("_n"), "left").select(
