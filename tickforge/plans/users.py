@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickforge.functions.columns import at_least, ratio, ratio0, sum_if
@@ -246,6 +246,11 @@ def user_activity_daily(hourly: DataFrame) -> DataFrame:
     ).withColumn("unique_symbols_count", F.size("symbols_traded").cast("long"))
 
 
+def shown_score(score: str | Column) -> Column:
+    """Six places; the shift is far above the noise of a sum and far below a place, so ties always go up."""
+    return F.round((F.col(score) if isinstance(score, str) else score) + F.lit(1e-9), 6)
+
+
 def _processed(rows: DataFrame, period_type: str, days: int, as_of: int) -> DataFrame:
     return rows.filter((F.col("period_type") == period_type) & (F.col("time_bucket") >= as_of - days * 86400)
                        & (F.col("time_bucket") <= as_of))
@@ -260,7 +265,7 @@ def user_activity_summary(rows: DataFrame, period_type: str, days: int, as_of: i
 def top_traders_by_activity(rows: DataFrame, period_type: str, days: int, as_of: int, limit: int = 100) -> DataFrame:
     return _processed(rows, period_type, days, as_of).groupBy("user_id").agg(
         F.sum("total_volume").alias("total_volume"), F.sum("total_pnl").alias("total_pnl"),
-        F.round(F.avg("activity_score"), 6).alias("avg_activity_score"), F.avg("win_rate").alias("avg_win_rate"),
+        shown_score(F.avg("activity_score")).alias("avg_activity_score"), F.avg("win_rate").alias("avg_win_rate"),
         F.sum("trades_count").alias("total_trades"), F.avg("unique_symbols_count").alias("avg_symbols")).orderBy(
         F.col("avg_activity_score").desc(), "user_id").limit(limit)
 
@@ -269,5 +274,5 @@ def user_activity_list(rows: DataFrame, period_type: str, days: int, as_of: int,
                        users: list[str] | None = None) -> DataFrame:
     p = _processed(rows, period_type, days, as_of)
     p = p.filter(F.col("user_id").isin(users)) if users else p
-    return p.withColumn("activity_score", F.round("activity_score", 6)).orderBy(
+    return p.withColumn("activity_score", shown_score("activity_score")).orderBy(
         F.col("time_bucket").desc(), F.col("activity_score").desc(), "user_id").limit(limit)

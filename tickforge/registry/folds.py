@@ -33,8 +33,8 @@ query("trades_enriched", """SELECT chain_id, fill_id, user_id, symbol, pool_id,
 
 view("fx_pool_created", """SELECT 1 AS chain_id, '0xPool' || p_partkey AS order_book, '0xTok' || (p_partkey % 97) AS base,
   '0xtok' || (p_partkey % 13 + 90) AS quote, p_partkey AS ts, p_partkey AS seq FROM part""")
-view("fx_tokens", """SELECT 1 AS chain_id, '0xTOK' || s_suppkey AS address, 'T' || s_suppkey AS symbol,
-  cast(s_suppkey % 18 AS int) AS decimals FROM supplier WHERE s_suppkey < 95""")
+view("fx_tokens", """SELECT 1 AS chain_id, CASE WHEN s_suppkey < 95 THEN '0xTOK' ELSE '0xOTHER' END || s_suppkey AS address, 'T' || s_suppkey AS symbol,
+  cast(s_suppkey % 18 AS int) AS decimals FROM supplier""")
 
 
 @query("fold_pools", """SELECT sha256('1_' || order_book) AS id, c.chain_id, order_book, lower(base) AS base, lower(quote) AS quote,
@@ -48,9 +48,9 @@ def fold_pools(fx):
         F.lit(1).alias("chain_id"), text("0xPool", k).alias("order_book"), text("0xTok", k % 97).alias("base"),
         text("0xtok", k % 13 + 90).alias("quote"), k.alias("ts"), k.alias("seq"))
     s = F.col("s_suppkey")
-    listed = fx.table("supplier").filter(s < 95)  # tokens past 94 stay unlisted, so their pools show UNKNOWN
-    tokens = listed.select(
-        F.lit(1).alias("chain_id"), text("0xTOK", s).alias("address"), text("T", s).alias("symbol"),
+    prefix = F.when(s < 95, "0xTOK").otherwise("0xOTHER")  # no pool has the others, so some pools show UNKNOWN
+    tokens = fx.table("supplier").select(
+        F.lit(1).alias("chain_id"), F.concat(prefix, s.cast("string")).alias("address"), text("T", s).alias("symbol"),
         (s % 18).cast("int").alias("decimals"))
     return orders.fold_pools(created, tokens)
 

@@ -127,10 +127,10 @@ query("user_activity_summary", f"""SELECT user_id, time_bucket, trades_count, {r
   FROM fx_ua_daily WHERE time_bucket BETWEEN {M0} AND {AS_OF}""")(
     lambda fx: rounded(users.user_activity_summary(_daily(fx), "daily", 30, AS_OF), "total_volume total_pnl", "win_rate activity_score risk_score"))
 query("top_traders_by_activity", f"""SELECT user_id, {r2('sum(total_volume)', 'total_volume')}, {r2('sum(total_pnl)', 'total_pnl')},
-  round(avg(activity_score), 6) AS avg_activity_score, {r4('avg(win_rate)', 'avg_win_rate')}, cast(sum(trades_count) AS bigint) AS total_trades,
+  round(avg(activity_score) + 1e-9, 6) AS avg_activity_score, {r4('avg(win_rate)', 'avg_win_rate')}, cast(sum(trades_count) AS bigint) AS total_trades,
   {r4('avg(unique_symbols_count)', 'avg_symbols')} FROM fx_ua_daily WHERE time_bucket BETWEEN {W0} AND {AS_OF} GROUP BY 1 ORDER BY avg_activity_score DESC, user_id LIMIT 100""")(
     lambda fx: rounded(users.top_traders_by_activity(_daily(fx), "daily", 7, AS_OF), "total_volume total_pnl", "avg_win_rate avg_symbols"))
-query("user_activity_list", _shown("daily").replace(r4("activity_score"), "round(activity_score, 6) AS activity_score") +
-      f" FROM fx_ua_daily WHERE time_bucket BETWEEN {M0} AND {AS_OF} ORDER BY time_bucket DESC, round(activity_score, 6) DESC, user_id LIMIT 100")(
+query("user_activity_list", _shown("daily").replace(r4("activity_score"), "round(activity_score + 1e-9, 6) AS activity_score") +
+      f" FROM fx_ua_daily WHERE time_bucket BETWEEN {M0} AND {AS_OF} ORDER BY time_bucket DESC, round(activity_score + 1e-9, 6) DESC, user_id LIMIT 100")(
     lambda fx: rounded(users.user_activity_list(_daily(fx), "daily", 30, AS_OF), _TWO, _FOUR.replace(" activity_score", ""))
     .withColumn("symbols_traded", F.array_join("symbols_traded", ",")))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -33,13 +34,19 @@ def pin_utc(spark: SparkSession) -> SparkSession:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; a local one only when it is unset."""
+    """The shared folder named by ``spark.checkpoint.dir``.
+
+    Only a session that runs in one process may leave it unset and gets a temporary folder; on a cluster the
+    executors could not see that, so it is an error there.
+    """
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
         "spark.checkpoint.dir"
     )
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return configured or current
+    if not configured and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     target = configured or tempfile.mkdtemp(prefix="tickforge-checkpoint-")
     spark.sparkContext.setCheckpointDir(target)
     return target

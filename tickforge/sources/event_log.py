@@ -26,9 +26,13 @@ def read_event_log(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def write_event_log(log: DataFrame, path: str) -> None:
-    """Store the log by event name, sorted by block inside files so that block ranges skip row groups."""
-    log.repartition("event_name", F.floor(F.col("block_number") / 86400)).sortWithinPartitions(
+def write_event_log(log: DataFrame, path: str, files_per_day: int = 16) -> None:
+    """Store the log by event name, sorted by block inside files so that block ranges skip row groups.
+
+    Events of one kind and day are spread over up to ``files_per_day`` tasks and files.
+    """
+    spread = F.pmod(F.xxhash64("chain_id", "block_number", "log_index"), F.lit(files_per_day))
+    log.repartition("event_name", F.floor(F.col("block_number") / 86400), spread).sortWithinPartitions(
         "event_name", "block_number", "log_index").write.mode("overwrite").partitionBy("event_name").parquet(path)
 
 

@@ -2,37 +2,53 @@
 
 from __future__ import annotations
 
+import datetime
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 from tickforge.functions.timeutil import interval_seconds
 
+FILES_PER_DAY = 8
+
 
 def with_date(rows: DataFrame, bucket: str) -> DataFrame:
     return rows.withColumn("date", F.to_date(F.timestamp_seconds(bucket)))
 
 
-def replace_bucket(rows: DataFrame, path: str, bucket: str = "bucket", extra: tuple[str, ...] = ()) -> None:
-    """Write rows by (extra..., date) and replace exactly the partitions present in ``rows``; re-runs are no-ops."""
+def replace_bucket(rows: DataFrame, path: str, bucket: str = "bucket", extra: tuple[str, ...] = (),
+                   files_per_day: int = FILES_PER_DAY) -> None:
+    """Write rows by (extra..., date) and replace exactly the partitions present in ``rows``; re-runs are no-ops.
+
+    A day is spread by a hash of its rows over up to ``files_per_day`` tasks and files; raise it with the rows of a day.
+    """
     keys = [*extra, "date"]
     dated = with_date(rows, bucket)
-    (dated.repartition(*keys).sortWithinPartitions(*keys, bucket).write.mode("overwrite")
+    spread = F.pmod(F.xxhash64(*rows.columns), F.lit(files_per_day))
+    (dated.repartition(*keys, spread).sortWithinPartitions(*keys, bucket).write.mode("overwrite")
      .option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(path))
 
 
-def append_bucket(rows: DataFrame, path: str, bucket: str = "bucket") -> None:
-    with_date(rows, bucket).write.mode("append").partitionBy("date").parquet(path)
+def _folder(spark: SparkSession, path: str):
+    """The path and the file system that holds it."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder, folder.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame | None:
-    """The stored table without its partition column, or None before the first write."""
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException:
-        return None
+    """The stored table, or None before the first write; a table that cannot be read is an error."""
+    folder, files = _folder(spark, path)
+    return spark.read.parquet(path) if files.exists(folder) else None
+
+
+def clear_days(spark: SparkSession, path: str, start: int, end: int, keep: set[datetime.date]) -> None:
+    """Remove the stored days in ``[start, end)`` that are not in ``keep``."""
+    for day in range(start // 86400, -(-end // 86400)):
+        date = datetime.date(1970, 1, 1) + datetime.timedelta(days=day)
+        if date not in keep:
+            folder, files = _folder(spark, f"{path}/date={date.isoformat()}")
+            files.delete(folder, True)
 
 
 def incremental_bucket_refresh(source: DataFrame, path: str, aggregate: Callable[[DataFrame], DataFrame], as_of: int,
@@ -41,13 +57,15 @@ def incremental_bucket_refresh(source: DataFrame, path: str, aggregate: Callable
     """Recompute the whole days touched by ``[as_of - start_offset, as_of - end_offset]`` and replace them.
 
     Days are the storage partitions, so the source filter covers complete partitions and the replaced
-    partitions are complete too.
+    partitions are complete too. A touched day that has no rows any more is removed.
     """
     step = max(interval_seconds(interval), 86400)
     lo = (as_of - start_offset) // step * step
     hi = ((as_of - end_offset) // step + 1) * step
     fresh = aggregate(source.filter((F.col(ts_col) >= lo) & (F.col(ts_col) < hi)))
     replace_bucket(fresh, path, bucket)
+    days = with_date(fresh, bucket).select("date").distinct().collect()  # at most the days of the refreshed span
+    clear_days(source.sparkSession, path, lo, hi, {r["date"] for r in days})
 
 
 def incremental_since_max(source: DataFrame, path: str, aggregate: Callable[[DataFrame], DataFrame], ts_col: str = "ts",
@@ -64,21 +82,8 @@ def retention_filter(rows: DataFrame, ts_col: str, keep_seconds: int, as_of: int
     return rows.filter(F.col(ts_col) >= as_of - keep_seconds)
 
 
-def retention_rewrite(spark: SparkSession, path: str, out_path: str, ts_col: str, keep_seconds: int, as_of: int) -> None:
-    """Write the rows inside the retention to a new location; the caller swaps locations."""
-    kept = retention_filter(spark.read.parquet(path), ts_col, keep_seconds, as_of)
-    kept.write.mode("errorifexists").partitionBy("date").parquet(out_path)
-
-
 def backup_table(spark: SparkSession, path: str, suffix: str) -> str:
     """Copy of a table beside it, refused if the copy exists."""
     target = f"{path.rstrip('/')}_backup_{suffix}"
     spark.read.parquet(path).write.mode("errorifexists").parquet(target)
     return target
-
-
-def merge_into(spark: SparkSession, target: str, batch: DataFrame, keys: list[str]) -> None:
-    """MERGE for catalogues with a row-level table format; plain Parquet uses the upsert operators."""
-    cond = " AND ".join(f"t.{k} = s.{k}" for k in keys)
-    (batch.alias("s").mergeInto(target, F.expr(cond.replace("t.", f"{target}."))).whenMatched().updateAll()
-     .whenNotMatched().insertAll().merge())
