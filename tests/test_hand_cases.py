@@ -7,7 +7,7 @@ from tickforge.functions.columns import currency_address, format_amount, format_
 from tickforge.operators.keyed import insert_ignore
 from tickforge.operators.ranking import global_rank, group_median
 from tickforge.operators.temporal import asof_join, islands, range_mean, running_sums
-from tickforge.plans import books, bridge, ledger, lending, limits, orders, positions, slippage, trades, volume
+from tickforge.plans import books, bridge, ledger, lending, limits, orders, positions, slippage, trades, users, volume
 from tickforge.sources.event_log import factory_filter, static_pool_json
 
 LOG = """event_name string, chain_id int, address string, block_number bigint, block_timestamp bigint, tx_hash string, log_index bigint,
@@ -292,3 +292,13 @@ def test_pool_document(spark, tmp_path):
     (tmp_path / "pools.json").write_text(doc)
     got = static_pool_json(spark, str(tmp_path)).head()
     assert (got["coin"], got["base_address"], got["quote_symbol"], got["base_decimals"]) == ("A/B", "0xaa", "B", 18)
+
+
+def test_a_series_without_limit_starts_with_the_first_row(spark):
+    t = trade_rows(spark, [("Buy", 1, 10), ("Sell", 1, 10)], ts=lambda i: 1_700_000_000 + i * 7200)
+    as_of = 1_700_000_000 + 4 * 3600
+    for series in (users.cumulative_new_traders, users.unique_traders_series):
+        out = series(t, "all", "1h", as_of)
+        assert out.count() == 5 and out.agg(F.min("timestamp")).head()[0] == 1_700_000_000 // 3600 * 3600
+    assert slippage.slippage_series(t, "all", "1h", as_of).count() == 5
+    assert volume.symbol_volume_series(t, "all", "1h", as_of).count() == 2

@@ -59,6 +59,14 @@ def spine(spark: SparkSession, start: int, end: int, step: int) -> DataFrame:
     )
 
 
+def series_start(rows: DataFrame, period: str, as_of: int, step: int, ts: str = "ts") -> int:
+    """Where a period's series begins; a period without a limit begins with the first row's bucket."""
+    if PERIOD_HOURS.get(period, 24) is not None:
+        return period_start(period, as_of)
+    first = rows.agg(F.min(ts)).head()[0]
+    return as_of - as_of % step if first is None else first - first % step
+
+
 def bucket_index(ts: str | Column, start: int, step: int) -> Column:
     """Position of ``ts`` on a spine that begins at ``start``: turns a range join into an equi-join."""
     c = F.col(ts) if isinstance(ts, str) else ts

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tickforge.functions.columns import above, is_buy, ratio, ratio0, scaled, sum_if
 from tickforge.functions.timeutil import (
-    bucket, bucket_index, calendar_bucket, in_period, interval_seconds, period_start, spine,
+    bucket, bucket_index, calendar_bucket, in_period, interval_seconds, period_start, spine, series_start,
 )
 from tickforge.plans.ledger import ledger_deltas
 from tickforge.plans.volume import _among
@@ -114,7 +114,8 @@ def inflow_series(ledger: DataFrame, trades: DataFrame, period: str, interval: s
 
     The market trend compares the mean traded volume of the second half of the period with the first.
     """
-    start, step = period_start(period, as_of), interval_seconds(interval)
+    step = interval_seconds(interval)
+    start = min(series_start(rows, period, as_of, step) for rows in (ledger, trades))
     idx = bucket_index("ts", start, step).alias("idx")
     ups = ledger_deltas(ledger).filter((F.col("d_amount") > 0) & in_period("ts", period, as_of)).groupBy(idx).agg(
         F.sum("d_amount").alias("deposits"), F.count_distinct("user_id").alias("unique_depositors"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickforge.functions.columns import below, is_buy, ratio0
-from tickforge.functions.timeutil import bucket, bucket_index, in_period, interval_seconds, period_start, spine
+from tickforge.functions.timeutil import bucket, bucket_index, in_period, interval_seconds, period_start, series_start, spine
 from tickforge.operators.keyed import latest_per_key
 from tickforge.operators.ranking import group_median
 from tickforge.operators.temporal import asof_join, range_mean
@@ -133,7 +133,8 @@ def _stats(t: DataFrame, keys: list[str]) -> DataFrame:
 def slippage_series(trades: DataFrame, period: str, interval: str, as_of: int, radius: int = 60, symbol: str | None = None,
                     size: str | None = None) -> DataFrame:
     """Gap-filled series of slippage against nearby trades; buckets without trades report zeros."""
-    start, step = period_start(period, as_of), interval_seconds(interval)
+    step = interval_seconds(interval)
+    start = series_start(trades, period, as_of, step)
     t = _percent(mid_price_window(_symbol(trades.filter(in_period("ts", period, as_of)), symbol), radius))
     t = trade_size_filter(t, size).withColumn("idx", bucket_index("ts", start, step))
     s = _stats(t, ["idx"])

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tickforge.functions.columns import at_least, ratio, ratio0, sum_if
 from tickforge.functions.timeutil import (
-    bucket, bucket_index, calendar_bucket, in_period, interval_seconds, period_start, spine,
+    bucket, bucket_index, calendar_bucket, in_period, interval_seconds, period_start, series_start, spine,
 )
 from tickforge.plans.volume import _among
 
@@ -50,7 +50,8 @@ def cumulative_users(users: DataFrame, period: str, interval: str, as_of: int) -
 
 def cumulative_new_traders(trades: DataFrame, period: str, interval: str, as_of: int) -> DataFrame:
     """Gap-filled spine of new traders, running total and growth over the previous bucket."""
-    start, step = period_start(period, as_of), interval_seconds(interval)
+    step = interval_seconds(interval)
+    start = series_start(trades, period, as_of, step)
     fresh = first_trades(trades).filter(in_period("first_seen", period, as_of)).groupBy(
         bucket_index("first_seen", start, step).alias("idx")).agg(F.count(F.lit(1)).alias("n"))
     line = spine(trades.sparkSession, start, as_of, step).join(fresh, "idx", "left").select(
@@ -92,7 +93,8 @@ def _active(trades: DataFrame, keys: list[str], period: str, as_of: int, interva
 
     One pass: history before the period collapses into a single bucket per key.
     """
-    start, step = period_start(period, as_of), interval_seconds(interval)
+    step = interval_seconds(interval)
+    start = series_start(trades, period, as_of, step)
     idx = F.greatest(bucket_index("ts", start, step), F.lit(-1).cast("long"))
     per = trades.filter(F.col("ts") <= as_of).groupBy(*keys, idx.alias("idx")).agg(
         F.count(F.lit(1)).alias("n"), F.sum("quote_qty").alias("volume"), F.min("ts").alias("first_here"))
@@ -111,7 +113,8 @@ def unique_traders_series(trades: DataFrame, period: str, interval: str, as_of:
 
     Buckets with trades but fewer than ``min_trades`` are dropped, empty buckets are kept.
     """
-    start, step = period_start(period, as_of), interval_seconds(interval)
+    step = interval_seconds(interval)
+    start = series_start(trades, period, as_of, step)
     per = _active(trades, ["user_id"], period, as_of, interval).groupBy("idx").agg(*_people(), F.sum("n").alias("n"))
     z = lambda c: F.coalesce(F.col(c), F.lit(0))
     line = spine(trades.sparkSession, start, as_of, step).join(per, "idx", "left")
@@ -152,8 +155,8 @@ def unique_traders_lag(activity: DataFrame, period: str, interval: str, as_of: i
 def symbol_unique_traders_series(trades: DataFrame, period: str, interval: str, as_of: int,
                                  symbols: list[str] | None = None, min_trades: int = 1) -> DataFrame:
     """Symbol x bucket version with trades and volume; ``min_trades=0`` keeps empty cells."""
-    start, step = period_start(period, as_of), interval_seconds(interval)
-    t = _among(trades, symbols)
+    step, t = interval_seconds(interval), _among(trades, symbols)
+    start = series_start(t, period, as_of, step)
     per = _active(t, ["symbol", "user_id"], period, as_of, interval).groupBy("symbol", "idx").agg(
         *_people(), F.sum("n").alias("total_trades"), F.sum("volume").alias("total_volume"))
     if min_trades == 0:

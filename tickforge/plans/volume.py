@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tickforge.functions.columns import is_buy, ratio0, sum_if
 from tickforge.functions.timeutil import (
-    PERIOD_HOURS, bucket, bucket_index, calendar_bucket, in_period, interval_seconds, period_start, spine,
+    PERIOD_HOURS, bucket, bucket_index, calendar_bucket, in_period, interval_seconds, period_start, series_start, spine,
 )
 from tickforge.session import settle
 
@@ -173,7 +173,8 @@ def mv_trade_counts_24h(trades: DataFrame, as_of: int) -> DataFrame:
 
 def symbol_volume_series(trades: DataFrame, period: str, interval: str, as_of: int, symbols: list[str] | None = None) -> DataFrame:
     """Spine buckets x symbols that have trades. Each trade finds its bucket by arithmetic, not by a range join."""
-    start, step = period_start(period, as_of), interval_seconds(interval)
+    step = interval_seconds(interval)
+    start = series_start(trades, period, as_of, step)
     t = _among(trades.filter(in_period("ts", period, as_of)), symbols)
     m = bucket_metrics(t, idx=bucket_index("ts", start, step), symbol=F.col("symbol"))
     line = spine(trades.sparkSession, start, as_of, step)
