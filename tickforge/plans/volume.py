@@ -62,7 +62,7 @@ def trades_count_series(trades: DataFrame, period: str, interval: str, as_of: in
 def symbol_stats(pools: DataFrame, trades: DataFrame, period: str, as_of: int) -> DataFrame:
     """Per symbol with trades in the period, by volume. The period is part of the join side, not a filter after it."""
     m = bucket_metrics(trades.filter(in_period("ts", period, as_of)), symbol=F.col("symbol"))
-    names = pools.select(F.col("order_book").alias("symbol"), "coin")
+    names = pools.select(F.col("order_book").alias("symbol"), "coin").distinct()  # one book per chain
     return names.join(m, "symbol").select(
         "symbol", "coin", F.col("volume").alias("total_volume"), F.col("trades_count").alias("total_trades"),
         "unique_traders", "low_price", "high_price", "avg_price").orderBy(F.col("total_volume").desc(), "symbol")
