@@ -39,7 +39,7 @@ def balance_ledger(events: DataFrame) -> DataFrame:
 
 def balance_history(events: DataFrame, blocks_per_chunk: int = 1800) -> DataFrame:
     """Balance after every movement. Accounts are cut into block ranges, so a hot account is many tasks."""
-    d = ledger_deltas(events).withColumn("k", F.col("seq") * 4 + F.col("leg")).withColumn(
+    d = ledger_deltas(events).withColumn("k", F.struct("seq", "leg")).withColumn(
         "chunk", F.floor(F.col("block_number") / blocks_per_chunk))
     out = running_sums(d, ["chain_id", "user_id", "currency"], "k", ["d_amount", "d_locked"], "chunk")
     return out.select("chain_id", "user_id", "currency", "ts", "seq", "leg", "d_amount", "d_locked",

@@ -173,10 +173,10 @@ def table_counts(frames: dict[str, DataFrame]) -> DataFrame:
 
 
 def metrics_trend(metrics: DataFrame, cols: list[str]) -> DataFrame:
-    """Change of every counter against the previous entry of the log (one entry per monitoring tick)."""
+    """Change of every counter against the previous entry of its source (one entry per monitoring tick)."""
     from pyspark.sql import Window
 
-    w = Window.partitionBy("source").orderBy("ts") if "source" in metrics.columns else Window.orderBy("ts")
+    w = Window.partitionBy("source").orderBy("ts")
     return metrics.select("*", *[(F.col(c) - F.lag(c).over(w)).alias(f"{c}_change") for c in cols])
 
 

@@ -205,11 +205,13 @@ def topic_fanout(topic: Column, path: str) -> Callable[[DataFrame, int], None]:
     return write
 
 
-def topic_trim(entries: DataFrame, keep: int = TOPIC_KEEP) -> DataFrame:
-    """Newest ``keep`` entries per topic: the retention job of the capped topics."""
+def topic_trim(entries: DataFrame, keep: int = TOPIC_KEEP, keep_depth: int = TOPIC_KEEP_DEPTH) -> DataFrame:
+    """Newest entries per topic: the retention job, for those who want topics capped; nothing else trims them."""
     from tickforge.operators.keyed import top_per_group
 
-    return top_per_group(entries, ["topic"], [F.col("seq").desc()], keep).drop("rn")
+    depth = F.element_at(F.split("topic", ":"), -1) == "depth"
+    kept = top_per_group(entries, ["topic"], [F.col("seq").desc()], max(keep, keep_depth))
+    return kept.filter(F.col("rn") <= F.when(depth, keep_depth).otherwise(keep)).drop("rn")
 
 
 def quarantine(kind: str, required: tuple[str, ...], good_path: str, bad_path: str) -> Callable[[DataFrame, int], None]:
