@@ -28,7 +28,7 @@ def test_entry_points_import_without_a_session():
 
 def test_entry_runs(spark):
     df = entry_points.entry(spark)
-    assert df.columns[:3] == ["symbol", "interval", "open_time"] and df.count() > 0
+    assert df.columns[:4] == ["chain_id", "symbol", "interval", "open_time"] and df.count() > 0
 
 
 @pytest.mark.parametrize("key", [
@@ -69,7 +69,7 @@ def hot(spark, n=60_000):
 
 def test_hot_position_is_folded_in_small_groups(spark):
     t = hot(spark)
-    p = positions.positions_fold(t).filter("user_id = 'hot'").head()
+    p = positions.positions_fold(t.withColumn("chain_id", F.lit(1))).filter("user_id = 'hot'").head()
     want = t.filter("user_id = 'hot'").agg(F.sum(F.when(F.col("is_buyer"), F.col("quantity")).otherwise(-F.col("quantity")))).head()[0]
     assert p["quantity"] == pytest.approx(want)
     biggest = t.groupBy("user_id", "symbol", F.floor(F.col("ts") / 60)).count().agg(F.max("count")).head()[0]
