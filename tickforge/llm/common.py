@@ -53,6 +53,13 @@ def fields(df: DataFrame, *names: str) -> list[T.StructField]:
     return [T.StructField(n, df.schema[n].dataType, True) for n in names]
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of at most ``rows`` rows, which bounds what a piece is unpacked to."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def text_list(column: pa.Array) -> list[str]:
     """The column's texts, empty for null."""
     return [x or "" for x in column.to_pylist()]

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tickforge.llm.common import bucketed, bytes_list, fields, spare, staged
+from tickforge.llm.common import bucketed, bytes_list, fields, slices, spare, staged
 from tickforge.llm.words import WordHashes, windows
 
 SHINGLE_WORDS = 5
@@ -48,7 +48,8 @@ LEAST_ANCHORS = 8  # of them, or half of all for a smaller set, that a follower
 REGIONS = 32  # regions of a shingle that is still counted
 TARGETS = 256  # such regions in the last steps, where few are left; times eight while any node is without an exact count
 SINGLE, REGION, MEMBER = 0, 1, 2  # roles of a row, in the order in which a shingle's rows follow each other
-KEPT_COUNTS = 300_000  # counts a task sums before it passes them on
+KEPT_COUNTS = 100_000  # counts a task sums before it passes them on
+ROWS = 500  # rows unpacked at once
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
@@ -96,7 +97,7 @@ def nodes_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """id, _text (hash of the text), n_shingles and node (hash of the set, null for none) of every row."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        for batch in batches:
+        for batch in slices(batches, ROWS):
             found = [shingles(raw, hashes) for raw in bytes_list(batch.column(2))]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array([len(x) for x in found], pa.int64()), pa.array([_node(x) for x in found], pa.int64())],
@@ -112,7 +113,7 @@ def shingle_sets(docs: DataFrame, text_col: str) -> DataFrame:
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, seen = WordHashes(), set()
-        for batch in batches:
+        for batch in slices(batches, ROWS):
             rows = []
             for raw in bytes_list(batch.column(0)):
                 found = shingles(raw, hashes)
@@ -136,7 +137,7 @@ def _flat(column: pa.Array) -> list[np.ndarray]:
 def pivots(sets: DataFrame) -> DataFrame:
     """(node, pivot): followers and the pivot they are to be measured against."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, ROWS):
             first = [h[:ANCHORS].astype("i8") for h in _flat(batch.column(1))]
             nodes = np.repeat(batch.column(0).to_numpy(), [len(x) for x in first])
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(np.concatenate(first), pa.int64())], names=["node", "anchor"])
@@ -166,7 +167,7 @@ def central(chosen: DataFrame, sets: DataFrame) -> DataFrame:
         large.select(F.col("old").alias("of"), "old"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, ROWS):
             held = _flat(batch.column(2))
             sizes = [len(x) for x in held]
             yield pa.RecordBatch.from_arrays([*(pa.array(np.repeat(batch.column(i).to_numpy(), sizes)) for i in range(2)),
@@ -211,7 +212,7 @@ def measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     names = [*joined.columns[:-2], "inter", "na", "nb"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, ROWS):
             sizes = [(len(np.intersect1d(x, y)), len(x), len(y)) for x, y in _both(batch)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-2], *(pa.array([r[i] for r in sizes], pa.int64()) for i in range(3))], names=names)
     return joined.mapInArrow(run, T.StructType([*joined.schema.fields[:-2], *(T.StructField(c, T.LongType()) for c in names[-3:])]))
@@ -223,7 +224,7 @@ def outside(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     names = [*joined.columns[:-2], "shingle"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, ROWS):
             extra = [np.setdiff1d(x, y) for x, y in _both(batch)]
             repeat = pa.array(np.repeat(np.arange(len(extra)), [len(e) for e in extra]))
             yield pa.RecordBatch.from_arrays([*(c.take(repeat) for c in batch.columns[:-2]), pa.array(np.concatenate(extra).astype("i8"))],
@@ -242,7 +243,7 @@ def _shown(sets: DataFrame, everything: bool, role: int) -> DataFrame:
     is twice the node's size, plus one where it counts the shingle.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, ROWS):
             held = _flat(batch.column(1))
             n = np.array([len(h) for h in held])
             shown = np.array([len(h) if everything else _below(h, _share(len(h) * MIN_PERCENT / 100)) for h in held])

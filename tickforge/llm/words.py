@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
-KEPT_HASHES = 1_000_000  # word hashes a task keeps; past that it starts anew, which changes no result
+KEPT_HASHES = 250_000  # word hashes a task keeps; past that it starts anew, which changes no result
 STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
