@@ -80,7 +80,8 @@ def _round(queries: DataFrame, index: DataFrame, segments: int, radius: int) ->
     for j in range(segments):
         earlier = functools.reduce(Column.__and__, [d > radius for d in _apart(segments, j)], F.lit(True))
         first = first & ((F.col("segment") != j) | earlier)
-    found = _probes(queries, segments, radius).join(index, (F.col("segment") == F.col("at")) & (F.col("value") == F.col("held")) &
+    # probes are many times the queries they come from, which is all that size estimates see: never broadcast them
+    found = _probes(queries, segments, radius).hint("merge").join(index, (F.col("segment") == F.col("at")) & (F.col("value") == F.col("held")) &
                                                     (distance <= covered) & first)
     return found.select("query", "code", "rows", distance.cast("int").alias("distance"))
 
