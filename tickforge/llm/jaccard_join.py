@@ -486,9 +486,8 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     that id the one with the smallest hash of the text. Rows without shingles all stay; repeated rows become one."""
     found = near_duplicates(docs, id_col, text_col)
     kept = found.filter("n_shingles > 0").groupBy("_root").agg(F.min(F.struct(F.col(id_col).alias("i"), F.col("_text").alias("t"))).alias("k"))
-    bare = found.filter("n_shingles = 0").select(F.col(id_col).alias("_i"), F.col("_text").alias("_t"))
-    keys = staged(kept.select(F.col("k.i").alias("_i"), F.col("k.t").alias("_t")).unionByName(bare).distinct(), "kept-documents")
-    name = spare(docs, "_own_text")
-    hashed = docs.withColumn(name, F.xxhash64(text_col))
-    same = F.col(id_col).eqNullSafe(F.col("_i")) & (F.col(name) == F.col("_t"))
-    return hashed.join(keys, same, "left_semi").dropDuplicates([id_col, name]).drop(name)
+    bare = found.filter("n_shingles = 0").select(F.xxhash64(id_col, "_text").alias("_k"))
+    keys = staged(kept.select(F.xxhash64("k.i", "k.t").alias("_k")).unionByName(bare).distinct(), "kept-documents")
+    name = spare(docs, "_own_key")  # one column, so that the join and the removal of repeats share a shuffle
+    hashed = docs.withColumn(name, F.xxhash64(F.col(id_col), F.xxhash64(text_col)))
+    return hashed.join(keys, F.col(name) == F.col("_k"), "left_semi").dropDuplicates([name]).drop(name)

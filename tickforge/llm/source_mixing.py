@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tickforge.llm.common import spare, staged
 
@@ -80,15 +81,15 @@ def _expected(rows: DataFrame, weight: bool) -> DataFrame:
 
 
 def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-           weight_col: str | None = None, seed: str = SEED, keep: str | None = None) -> DataFrame:
+           weight_col: str | None = None, seed: str = SEED, row_key: Column | None = None) -> DataFrame:
     """id, size, source_size, target, copies and taken (copies x size) for every row of ``docs``.
 
-    With ``keep`` the columns of ``docs`` and the copies under that name come back instead. A source's taken words differ from its
+    ``row_key`` comes back as ``_row``. A source's taken words differ from its
     target by at most half of one document. Null texts have size 0; null is a source like any other, ordered last;
     null ids share one random number. Rows with the same random number are ordered by id, size and a digest of the
     text; equal rows are interchangeable. Sources without words have target 0.
     """
-    held = [F.col(c).alias(f"_d{i}") for i, c in enumerate(docs.columns)] if keep else []
+    held = [] if row_key is None else [row_key.alias("_row")]
     own = docs.select(
         F.col(id_col).alias("_id"), F.col(source_col).alias("_source"), word_count(F.col(text_col)).alias("_size"),
         uniform(F.col(id_col), seed).alias("_u"), F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary")).alias("_text"),
@@ -112,7 +113,7 @@ def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sour
     ends = cells.filter(F.col("_cell").isNotNull() & (F.col("_before") <= F.col("_left"))).groupBy(F.col("_source").alias("_s")).agg(
         F.max_by(F.struct("_cell", "_before", "_left"), "_cell").alias("_end"))
     placed = ranked.join(ends, F.col("_source").eqNullSafe(F.col("_s")), "left")
-    columns = [*(f"_d{i}" for i in range(len(held))), "_id", "_size", "_source_size", "_target"]
+    columns = [*(["_row"] if held else []), "_id", "_size", "_source_size", "_target"]
     at = F.col("_cell") == F.col("_end._cell")
     clear = placed.filter(~F.coalesce(at, F.lit(False))).select(
         *columns, (F.col("_whole") + F.coalesce((F.col("_cell") < F.col("_end._cell")).cast("int"), F.lit(0))).alias("_copies"))
@@ -121,18 +122,24 @@ def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sour
     fits = (2 * earlier + F.col("_size")).cast("double") <= 2 * F.col("_end._left")
     last = placed.filter(at).select(*columns, (F.col("_whole") + fits.cast("int")).alias("_copies"))
     out = clear.unionByName(last)
-    if keep:
-        return out.select(*(F.col(f"_d{i}").alias(c) for i, c in enumerate(docs.columns)), F.col("_copies").cast("int").alias(keep))
     return out.select(F.col("_id").alias(id_col), F.col("_size").alias("size"), F.col("_source_size").alias("source_size"),
                       F.col("_target").alias("target"), F.col("_copies").cast("long").alias("copies"),
-                      (F.col("_copies") * F.col("_size")).cast("long").alias("taken"))
+                      (F.col("_copies") * F.col("_size")).cast("long").alias("taken"), *(["_row"] if held else []))
 
 
 def mixed(docs: DataFrame, text_col: str = "text", source_col: str = "source", id_col: str = "doc_id") -> DataFrame:
-    """The mix itself: each row of ``docs``, with all its columns, as often as it is taken."""
-    name = spare(docs, "_copies")
-    taken = copies(docs, id_col, text_col, source_col, keep=name)
-    return taken.withColumn(name, F.explode(F.array_repeat(F.lit(0), F.col(name)))).drop(name)
+    """The mix itself: each row of ``docs``, with all its columns, as often as it is taken.
+
+    Copies are found from narrow rows and come back by a 64-bit hash of the row, so texts are shuffled once. Equal rows
+    are interchangeable: one of them stands for the copies of all.
+    """
+    key = F.xxhash64(*(f.name for f in docs.schema.fields if not isinstance(f.dataType, T.MapType)))
+    taken = copies(docs, id_col, text_col, source_col, row_key=key).groupBy(F.col("_row").alias("_k")).agg(
+        F.sum("copies").cast("int").alias("_times")).filter("_times > 0")
+    name = spare(docs, "_row_key")
+    keyed = docs.withColumn(name, key).dropDuplicates([name])
+    found = keyed.join(staged(taken, "mix-copies"), F.col(name) == F.col("_k"))
+    return found.select(*docs.columns, F.explode(F.array_repeat(F.lit(0), F.col("_times"))).alias(name)).drop(name)
 
 
 SQL = rf"""
