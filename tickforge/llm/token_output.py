@@ -10,12 +10,16 @@ skip stripes; stripes are the unit of parallel reading.
 from __future__ import annotations
 
 import functools
+import json
 import os
+import re
+import struct
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -23,17 +27,43 @@ from pyspark.sql import types as T
 
 from tickforge.llm.common import fields, text_list
 
-CACHED_WORDS = 1_000_000
+CACHED_WORDS = 700_000
 CONTROL_SEPARATORS = "\x1c\x1d\x1e\x1f"
 ORC_OPTIONS = {"compression": "zstd", "orc.stripe.size": str(64 << 20), "orc.row.index.stride": "1000",
                "orc.bloom.filter.fpp": "0.01"}
 
 
+#: How the vocabulary file prepares a text. With these, pieces of Latin words go straight to the model.
+PREPARATION = {
+    "normalizer": {"type": "Sequence", "normalizers": [
+        {"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"},
+         "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]},
+}
+PIECES = regex.compile(PREPARATION["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
+#: Printable Latin characters that no normal form changes; without the capital dotted I, whose lower case is two.
+LATIN = re.compile("[!-~\u00a1-\u00ac\u00ae-\u012f\u0131-\u024f]+")
+
+
+def byte_characters() -> dict[int, str]:
+    """The byte-level alphabet: printable bytes stand for themselves, the others follow from code point 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+BYTE_CHARACTERS = byte_characters()
+
+
 class WordEncoder:
     """Encodes texts with a vocabulary that drops white space, so that words are independent of each other.
 
-    Ids of words already seen by this worker process are kept, at most about ``CACHED_WORDS`` of them; then the
-    store starts anew. Results never depend on what is kept.
+    Ids of the first ``CACHED_WORDS`` words that this worker process meets are kept, and as many pieces; frequent words
+    are among them. Latin words are cut into the pieces that the vocabulary's preparation gives, and pieces are
+    shared between words; other words, and those with a special token's string, take the whole way. Results never
+    depend on what is kept.
     """
 
     def __init__(self, tokenizer_file: str):
@@ -41,30 +71,55 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
+        self.model = Tokenizer(self.tokenizer.model)
+        with open(tokenizer_file, encoding="utf-8") as f:
+            given = json.load(f)
+        self.plain = all(given[k] == v for k, v in PREPARATION.items()) and all(t["content"][:2] == "<|" for t in given["added_tokens"])
         self.known: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
 
     @staticmethod
     def words(text: str) -> list[str]:
         """Split at Unicode white space. str.split() also splits at four control characters that are none."""
         if any(c in text for c in CONTROL_SEPARATORS):
-            import regex
-
             return regex.findall(r"[^\p{White_Space}]+", text)
         return text.split()
 
+    @staticmethod
+    def _encoded(tokenizer, words: list[str]) -> list[bytes]:
+        out = []
+        for at in range(0, len(words), 20_000):
+            for e in tokenizer.encode_batch_fast(words[at:at + 20_000], add_special_tokens=False):
+                ids = e.ids
+                out.append(struct.pack(f"<{len(ids)}I", *ids))
+        return out
+
+    def learn(self, words: set[str]) -> dict[str, bytes]:
+        """Ids of words that are not known."""
+        cut = {w: PIECES.findall(w.lower()) for w in words if self.plain and "<|" not in w and LATIN.fullmatch(w)}
+        rest = [w for w in words if w not in cut]
+        pieces = self.pieces
+        new = list({p for x in cut.values() for p in x if p not in pieces})
+        found = dict(zip(new, self._encoded(self.model, [p.encode().decode("latin-1").translate(BYTE_CHARACTERS) for p in new]), strict=True))
+        if len(pieces) < CACHED_WORDS:
+            pieces.update(found)
+        out = {w: b"".join([found[p] if p in found else pieces[p] for p in x]) for w, x in cut.items()}
+        out.update(zip(rest, self._encoded(self.tokenizer, rest), strict=True))
+        if len(self.known) < CACHED_WORDS:
+            self.known.update(out)
+        return out
+
     def encode(self, texts: list[str], end_id: int | None) -> list[bytes]:
         """Ids of each text as little-endian 32-bit integers."""
         split = [self.words(t) for t in texts]
-        if len(self.known) > CACHED_WORDS:
-            self.known = {}
-        new = list({w for words in split for w in words if w not in self.known})
-        for at in range(0, len(new), 20_000):
-            part = new[at:at + 20_000]
-            found = self.tokenizer.encode_batch_fast(part, add_special_tokens=False)
-            self.known.update((w, np.asarray(e.ids, "<u4").tobytes()) for w, e in zip(part, found, strict=True))
+        parts = [list(map(self.known.get, words)) for words in split]
+        holes = [[i for i, x in enumerate(found) if x is None] for found in parts]
+        new = self.learn({words[i] for words, empty in zip(split, holes, strict=True) for i in empty})
         end = b"" if end_id is None else np.uint32(end_id).astype("<u4").tobytes()
-        get = self.known.__getitem__
-        return [b"".join(map(get, words)) + end for words in split]
+        for words, found, empty in zip(split, parts, holes, strict=True):
+            for i in empty:
+                found[i] = new[words[i]]
+        return [b"".join(found) + end for found in parts]
 
 
 @functools.lru_cache(maxsize=2)
