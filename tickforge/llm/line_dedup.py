@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 MAX_RATIO = 0.1
 MIN_PAGES = 5  # a line on fewer pages of its host is no boilerplate, whatever its ratio
 BLANKS = " \t\n\r\x0b\x0c"
+FILLED = "(?m)^[ \\t\\r\\x0B\\f]*[^ \\t\\n\\r\\x0B\\f][^\\n]*$"  # a line that is not blank
 
 HTML_DROPPED = r"(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->"
 HTML_BREAKS = (r"(?i)</?(p|div|br|li|ul|ol|nav|h[1-6]|article|aside|footer|header|head|title|section|main|form|tr|td|th|table|"
@@ -53,7 +54,9 @@ def boilerplate(docs: DataFrame, host: Column, text: Column, max_ratio: float =
     """(_host, _drop): for each host with boilerplate, the hashes of its lines above the ratio."""
     pages = docs.select(host.alias("_host"), F.array_distinct(_keys(text)).alias("_keys"))
     totals = docs.select(host.alias("_host")).groupBy("_host").agg(F.count(F.lit(1)).alias("_pages"))
-    counts = pages.select("_host", F.explode("_keys").alias("_line")).groupBy("_host", "_line").agg(F.count(F.lit(1)).alias("_n"))
+    # the outer form, because a filter on the array's size would compute the array once more
+    lines = pages.select("_host", F.explode_outer("_keys").alias("_line")).filter("_line is not null")
+    counts = lines.groupBy("_host", "_line").agg(F.count(F.lit(1)).alias("_n"))
     often = counts.filter(F.col("_n") >= min_pages).join(totals, "_host").filter(F.col("_n") / F.col("_pages") > max_ratio)
     return often.groupBy("_host").agg(F.sort_array(F.collect_list("_line")).alias("_drop"))
 
@@ -72,15 +75,13 @@ def drop_lines(docs: DataFrame, host: Column, text_col: str = "text", max_ratio:
     drop = boilerplate(docs, host, text, max_ratio, min_pages)
     own = docs.select(F.struct(*docs.columns).alias("_row"), host.alias("_own_host"), text.alias("_own_text"))
     joined = own.join(drop, F.col("_own_host") == F.col("_host"), "left")
-    mine = F.col("_own_text")
-    gone = F.coalesce(F.col("_drop"), F.array().cast("array<bigint>"))
+    mine, gone = F.col("_own_text"), F.coalesce(F.col("_drop"), F.array().cast("array<bigint>"))
     kept = F.filter(F.split(mine, "\n", -1), lambda x: (_trimmed(x) == "") | ~F.array_contains(gone, F.xxhash64(_trimmed(x))))
     rewritten = F.when(F.col("_drop").isNull(), mine).otherwise(F.array_join(kept, "\n"))
-    n_lines = F.when(mine.isNull(), 0).otherwise(F.size(_keys(mine)))
-    n_dropped = F.when(mine.isNull() | F.col("_drop").isNull(), 0).otherwise(
-        F.size(F.filter(_keys(mine), lambda x: F.array_contains(gone, x))))
-    done = joined.select("_row", rewritten.alias("_rewritten"), F.col("_own_host").alias("_counts0"),
-                         n_lines.cast("long").alias("_counts1"), n_dropped.cast("long").alias("_counts2"))
+    done = joined.select("_row", F.col("_own_host").alias("_counts0"), rewritten.alias("_rewritten"), "_own_text")
+    if counts:
+        filled = lambda c: F.coalesce(F.regexp_count(c, F.lit(FILLED)), F.lit(0)).cast("long")
+        done = done.withColumn("_counts1", filled(F.col("_own_text"))).withColumn("_counts2", F.col("_counts1") - filled(F.col("_rewritten")))
     columns = [(F.col("_rewritten") if c == text_col else F.col("_row")[c]).alias(c) for c in docs.columns]
     return done.select(*columns, *(F.col(f"_counts{i}").alias(c) for i, c in enumerate(counts or ())))
 
