@@ -25,9 +25,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tickforge.llm.common import fields, text_list
+from tickforge.llm.common import fields, slices, text_list
 
-CACHED_WORDS = 700_000
+CACHED_WORDS, CACHED_PIECES = 600_000, 250_000
+ENCODED_ROWS = 400  # texts encoded at once
 CONTROL_SEPARATORS = "\x1c\x1d\x1e\x1f"
 ORC_OPTIONS = {"compression": "zstd", "orc.stripe.size": str(64 << 20), "orc.row.index.stride": "1000",
                "orc.bloom.filter.fpp": "0.01"}
@@ -60,8 +61,8 @@ BYTE_CHARACTERS = byte_characters()
 class WordEncoder:
     """Encodes texts with a vocabulary that drops white space, so that words are independent of each other.
 
-    Ids of the first ``CACHED_WORDS`` words that this worker process meets are kept, and as many pieces; frequent words
-    are among them. Latin words are cut into the pieces that the vocabulary's preparation gives, and pieces are
+    Ids of the first ``CACHED_WORDS`` words and ``CACHED_PIECES`` pieces that this worker process meets are kept; frequent
+    ones are among them. Latin words are cut into the pieces that the vocabulary's preparation gives, and pieces are
     shared between words; other words, and those with a special token's string, take the whole way. Results never
     depend on what is kept.
     """
@@ -101,7 +102,7 @@ class WordEncoder:
         pieces = self.pieces
         new = list({p for x in cut.values() for p in x if p not in pieces})
         found = dict(zip(new, self._encoded(self.model, [p.encode().decode("latin-1").translate(BYTE_CHARACTERS) for p in new]), strict=True))
-        if len(pieces) < CACHED_WORDS:
+        if len(pieces) < CACHED_PIECES:
             pieces.update(found)
         out = {w: b"".join([found[p] if p in found else pieces[p] for p in x]) for w, x in cut.items()}
         out.update(zip(rest, self._encoded(self.tokenizer, rest), strict=True))
@@ -133,18 +134,16 @@ def token_rows(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id", tex
     """Columns id, ids, n_tokens, part, part_start; order and partitions are those of ``docs``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part, before = word_encoder(tokenizer_file), TaskContext.get().partitionId(), 0
-        for whole in batches:
-            for at in range(0, whole.num_rows, 1000):
-                batch = whole.slice(at, 1000)
-                packed = encoder.encode(text_list(batch.column(1)), end_id)
-                sizes = np.array([len(x) // 4 for x in packed], "i8")
-                ends = np.concatenate([[0], np.cumsum(sizes)])
-                values = pa.array(np.frombuffer(b"".join(packed), "<i4"))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values), pa.array(sizes),
-                     pa.array(np.full(len(sizes), part, "i4")), pa.array(before + ends[:-1])],
-                    names=[id_col, "ids", "n_tokens", "part", "part_start"])
-                before += int(ends[-1])
+        for batch in slices(batches, ENCODED_ROWS):
+            packed = encoder.encode(text_list(batch.column(1)), end_id)
+            sizes = np.array([len(x) // 4 for x in packed], "i8")
+            ends = np.concatenate([[0], np.cumsum(sizes)])
+            values = pa.array(np.frombuffer(b"".join(packed), "<i4"))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values), pa.array(sizes),
+                 pa.array(np.full(len(sizes), part, "i4")), pa.array(before + ends[:-1])],
+                names=[id_col, "ids", "n_tokens", "part", "part_start"])
+            before += int(ends[-1])
     return docs.select(id_col, text_col).mapInArrow(run, token_schema(docs, id_col))
 
 
