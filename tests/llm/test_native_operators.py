@@ -92,6 +92,17 @@ def test_line_dedup_drops_by_host_ratio(spark):
     assert out[10].text == "menu\nrest" and out[100].text == "menu" and out[101].text is None and out[101].n == 0
 
 
+def test_line_dedup_by_ratio_on_small_hosts(spark, tmp_path):
+    rows = [(10 * n + i, f"https://h{n}.example/{i}", f"<p>menu</p><p>own {i}</p><p>{'some' if i < 2 else 'rest'}</p>") for n in (1, 2, 3, 4, 20, 30) for i in range(n)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    out = {r.page_id: r for r in queries.QUERIES["op8_line_dedup_by_ratio"](spark, str(tmp_path)).collect()}
+    assert "menu" in out[10].text and out[10].n_dropped == 0  # a host of one page repeats nothing
+    for n in (2, 3, 4):
+        assert all("menu" not in out[10 * n + i].text and f"own {i}" in out[10 * n + i].text for i in range(n))
+    assert all("some" not in out[k].text for k in (20, 30, 31, 40, 41)) and "rest" in out[32].text and "rest" not in out[42].text
+    assert all("some" in out[k].text and "menu" not in out[k].text for k in (200, 201, 300, 301))  # 2 of 20 is not above a tenth
+
+
 def test_pages_with_nulls_and_odd_urls(spark):
     rows = [(1, None, "<p>a</p>"), (2, "http://User@Host.example:80/x", None), (3, "no url", "text only"), (None, "https://h.example/?q", "<br>&lt;b&gt;&amp;lt;")]
     out = {r.page_id: r for r in line_dedup.dedup_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 MAX_RATIO = 0.1
 MIN_PAGES = 5  # a line on fewer pages of its host is no boilerplate, whatever its ratio
+REPEATED = 2  # with this least number the ratio alone decides: a line on a single page repeats nothing
 BLANKS = " \t\n\r\x0b\x0c"
 FILLED = "(?m)^[ \\t\\r\\x0B\\f]*[^ \\t\\n\\r\\x0B\\f][^\\n]*$"  # a line that is not blank
 
@@ -101,14 +102,18 @@ def _sql_text() -> str:
 
 
 _BLANKS_SQL = "' ' || chr(9) || chr(10) || chr(13) || chr(11) || chr(12)"
-SQL = rf"""
+
+
+def sql(max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES) -> str:
+    """``dedup_pages`` for DuckDB."""
+    return rf"""
 WITH p AS (SELECT row_number() OVER () AS k, page_id, lower(coalesce(regexp_extract(url, '{HOST}', 1), '')) AS host, {_sql_text()} AS text FROM pages),
   s AS (SELECT k, page_id, host, text, string_split(text, chr(10)) AS lines FROM p),
   e AS (SELECT k, host, unnest(lines) AS line, generate_subscripts(lines, 1) AS i FROM s),
   n AS (SELECT k, host, line, i, trim(line, {_BLANKS_SQL}) AS t FROM e),
   t AS (SELECT host, count(*) AS pages FROM p GROUP BY host),
   b AS (SELECT n.host, n.t FROM n JOIN t ON n.host = t.host WHERE n.t <> '' GROUP BY n.host, n.t, t.pages
-        HAVING count(DISTINCT k) >= {MIN_PAGES} AND count(DISTINCT k)::DOUBLE / t.pages > {MAX_RATIO}),
+        HAVING count(DISTINCT k) >= {min_pages} AND count(DISTINCT k)::DOUBLE / t.pages > {max_ratio}),
   f AS (SELECT n.k, n.line, n.i, n.t <> '' AS counted, b.t IS NOT NULL AS gone FROM n LEFT JOIN b ON n.host = b.host AND n.t = b.t),
   g AS (SELECT k, sum(counted::INT)::BIGINT AS n_lines, sum((counted AND gone)::INT)::BIGINT AS n_dropped,
           coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '') AS text FROM f GROUP BY k)
@@ -116,3 +121,6 @@ SELECT p.page_id, p.host, coalesce(g.n_lines, 0) AS n_lines, coalesce(g.n_droppe
   CASE WHEN p.text IS NOT NULL THEN coalesce(g.text, '') END AS text
 FROM p LEFT JOIN g ON p.k = g.k
 """
+
+
+SQL = sql()
