@@ -14,6 +14,10 @@ from pyspark.sql import functions as F
 from tickforge.llm import byte_bpe, jaccard_join, line_dedup, quality_classifier, source_mixing
 from tickforge.llm.common import staged, table
 
+#: A line on at least ``line_dedup.MIN_PAGES`` documents and more than this share of those of its source is boilerplate.
+#: Shared lines of `documents` stand on up to a tenth of a source's documents and most on more than a hundredth; a line
+#: that is there in a few copies of a text only stays below, the more so the larger the source.
+LINE_RATIO = 0.01
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
@@ -28,7 +32,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A document that consists of such lines alone stays, with an empty text.
     """
-    out = line_dedup.drop_lines(docs, F.col("source"), "text")
+    out = line_dedup.drop_lines(docs, F.col("source"), "text", LINE_RATIO)
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
 
 

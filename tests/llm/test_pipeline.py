@@ -9,7 +9,7 @@ import tiktoken
 from pyspark.sql import functions as F
 
 import corpus_pipeline as cp
-from tests.llm.cases import documents, empty, odd_docs
+from tests.llm.cases import DOCS, documents, empty, odd_docs
 from tests.llm.test_jaccard_join import plain_components
 from tickforge.llm import byte_bpe, line_dedup, quality_classifier, source_mixing
 
@@ -50,6 +50,15 @@ def test_lines(stages):
     assert all(r.n_chars == len(r.text) for r in done)
 
 
+def test_lines_shared_by_few_of_a_large_source_go(spark):
+    texts = [f"own {i}" + "\nshared" * (i < 9) + "\nrare" * (i < 5) + "\nseldom" * (i < 4) for i in range(300)]
+    texts += [f"mine {i}" + "\nrare" * (i < 5) for i in range(500)]
+    docs = spark.createDataFrame([(i, t, "en", "a" if i < 300 else "b", len(t)) for i, t in enumerate(texts)], DOCS)
+    out = {r.doc_id: r.text for r in cp.lines(spark, docs, SF).collect()}
+    assert out[0] == "own 0\nseldom" and out[8] == "own 8"  # 9 and 5 of 300 are above a hundredth, 4 are too few
+    assert out[300] == "mine 0\nrare" and len(out) == 800  # 5 of 500 are not above it
+
+
 def test_near_duplicates(stages):
     docs, done = (x.collect() for x in stages[2])
     sets, roots = plain_components([d.text for d in docs])
