@@ -47,8 +47,9 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every text, one row per row."""
-    return byte_bpe.encode(docs, RANKS, public_tokenizers.PATTERN)
+    """Token ids of every text and the sha256 of the bytes that they decode to, one row per row."""
+    decoded = byte_bpe.decode(byte_bpe.encode(docs, RANKS, public_tokenizers.PATTERN), RANKS)
+    return decoded.select("doc_id", "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 STAGES = [("quality classifier", quality), ("line dedup", lines), ("n-gram Jaccard join", near_duplicates),

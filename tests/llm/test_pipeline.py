@@ -1,5 +1,6 @@
 """Every stage of the pipeline against a plain version on its own input."""
 
+import hashlib
 import importlib
 from collections import Counter
 
@@ -82,6 +83,16 @@ def test_tokens(stages):
     assert sorted((r.doc_id, r.ids) for r in done.collect()) == sorted((d.doc_id, direct.encode_ordinary(d.text)) for d in docs.collect())
 
 
+def test_tokens_decode_to_their_texts(spark, stages, monkeypatch):
+    docs, done = stages[4]
+    want = {(d.doc_id, hashlib.sha256(d.text.encode()).hexdigest()) for d in docs.collect()}
+    assert {(r.doc_id, r.decoded_sha256) for r in done.collect()} == want
+    few, real = docs.limit(20), byte_bpe.decode
+    monkeypatch.setattr(byte_bpe, "decode", lambda rows, path: real(rows.withColumn("ids", F.reverse("ids")), path))
+    broken = {(r.doc_id, r.decoded_sha256) for r in cp.tokens(spark, few, SF).collect()}
+    assert broken and not broken <= want  # a fault in the round trip shows
+
+
 def test_run_is_the_stages(spark, stages):
     assert sorted(cp.run(spark, SF).collect()) == sorted(stages[-1][1].collect())
 
