@@ -74,6 +74,22 @@ def test_balances_over_batches(spark, fx, tmp_path):
     assert same(streams.read_latest(spark, out, ["user_id", "currency"]).select(want.columns), want)
 
 
+def test_mini_ticker_of_every_minute(spark, tmp_path):
+    """Every minute of the 24 hours after a trade, not one in 360, and trades at the borders of minutes, hours and days."""
+    times = [0, 59, 60, 3540, 3599, 3600, 7199, 86399, 86400, 86460, 90000, 172799, 172800, 300000]
+    rows = [(s, 86400 * 19000 + t, n, float(n * 7 % 11 + k), 1.0 + n) for k, s in enumerate("ab") for n, t in enumerate(times) if n % (k + 1) == 0]
+    t = spark.createDataFrame(rows, "symbol string, ts long, seq long, price double, quantity double")
+    out, _ = streams.run(streams.stream_minutes(feed(spark, t, str(tmp_path / "in"), cut(t, 3))), "m", "update", path=str(tmp_path / "out"))
+    got = streams.ticker_of_minutes(streams.read_latest(spark, out, ["symbol", "minute"])).collect()
+    want = {}
+    for s, ts, n, price, q in rows:
+        for k in range(1, 1441):
+            want.setdefault((s, ts - ts % 60 + 60 * k), []).append((n, price, q))
+    assert {(r.symbol, r.as_of): (r.close, r.high, r.low, r.volume, r.trade_count) for r in got} == {
+        k: (max(v)[1], max(p for _, p, _ in v), min(p for _, p, _ in v), sum(q for *_, q in v), len(v)) for k, v in want.items()}
+    assert len(got) == len(want)
+
+
 def test_restart_continues_from_the_offsets(spark, fx, tmp_path):
     t = fx.trades
     parts = cut(t, 2)

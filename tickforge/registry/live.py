@@ -130,6 +130,14 @@ def stream_mini_ticker(fx):
     return rounded(streams.read_latest(fx.spark, path, ["symbol", "as_of"]), "volume")
 
 
+@query("stream_mini_ticker_minutely", """SELECT symbol, as_of, arg_max(price, seq) AS close, max(price) AS high, min(price) AS low, round(sum(quantity) + 1e-9, 2) AS volume, count(*) AS trade_count
+  FROM (SELECT *, unnest(range(ts - ts % 60 + 60, ts - ts % 60 + 86401, 60)) AS as_of FROM fx_trades) GROUP BY 1, 2""")
+def stream_mini_ticker_minutely(fx):
+    """24-hour windows that slide by a minute, from the stream's one-minute rows."""
+    path, _ = streams.run(streams.stream_minutes(live(fx).trades), "minutes", "update")
+    return rounded(streams.ticker_of_minutes(streams.read_latest(fx.spark, path, ["symbol", "minute"])), "volume")
+
+
 query("stream_price_updates", "SELECT token, price, coalesce(decimals, 18) AS decimals, coalesce(source, 'CHAINLINK') AS source, ts FROM fx_oracle_events")(
     lambda fx: drained(fx, streams.stream_price_updates(live(fx).oracle_events), "prices"))
 query("stream_lending_events", "SELECT lower(action) AS action, user_id AS user, token, amount, CASE WHEN action = 'LIQUIDATE' THEN liquidator END AS liquidator, ts FROM fx_lending_raw")(
