@@ -89,3 +89,16 @@ def test_a_day_is_several_files_and_an_emptied_day_goes(spark, fx, tmp_path):
     tables.incremental_bucket_refresh(source, path, count, day + 2 * 86400, "1m", 3 * 86400)
     left = sorted(d for d in os.listdir(path) if d.startswith("date="))
     assert set(days) - set(left) == {"date=2024-01-06"} and tables.read_table(spark, str(tmp_path / "none")) is None
+
+
+def test_book_histories_over_the_whole_span(spark, sf, fx):
+    from tickforge.registry import load
+
+    run = load().spark_queries()
+    whole, days = run["book_history_hourly_all"](spark, sf), run["book_history_hourly"](spark, sf)
+    first = fx.order_history.agg(F.min("ts")).head()[0]
+    start = days.agg(F.min("hour")).head()[0]
+    early = whole.filter(F.col("hour") < start)
+    assert whole.agg(F.min("hour")).head()[0] < first + 86400 < start and early.count() > 0
+    assert whole.filter(F.col("hour") >= start).select(days.columns).exceptAll(days).count() == 0 and whole.count() == early.count() + days.count()
+    assert run["liquidity_metrics_all"](spark, sf).filter(F.col("snapshot_ts") <= start).count() > 0

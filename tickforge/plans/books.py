@@ -173,6 +173,17 @@ def book_history_hourly(orders: DataFrame, history: DataFrame, start: int, until
         "quantity", "order_count")
 
 
+def book_history_all(orders: DataFrame, history: DataFrame, until: int, step: int = 3600) -> DataFrame:
+    """``book_history_hourly`` from the hour of the first event on; empty without events."""
+    first = first_hour(history, step)
+    return book_history_hourly(orders, history, until if first is None else first, until, step)
+
+
+def first_hour(history: DataFrame, step: int = 3600) -> int | None:
+    first = history.agg(F.min("ts")).head()[0]
+    return None if first is None else first - first % step
+
+
 def book_history_resume(orders: DataFrame, history: DataFrame, stored: DataFrame, until: int,
                         fresh: int = 300, step: int = 3600) -> DataFrame:
     """Continue from the last stored hour; nothing to do when it is younger than ``fresh`` seconds."""

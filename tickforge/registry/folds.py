@@ -134,6 +134,12 @@ view("fx_book_hours", f"""SELECT hour, chain_id, pool_id, side, price, cast(sum(
   WHERE rem > 0 GROUP BY 1, 2, 3, 4, 5""")
 _book = lambda fx: books.book_history_hourly(fx.orders, fx.order_history, HISTORY_FROM, HISTORY_UNTIL)
 query("book_history_hourly", "SELECT * FROM fx_book_hours")(_book)
+view("fx_all_hours", f"SELECT unnest(range(min(ts) - min(ts) % 3600, {HISTORY_UNTIL}, 3600)) AS hour FROM fx_order_history")
+view("fx_book_all", """SELECT hour, chain_id, pool_id, side, price, cast(sum(rem) AS bigint) AS quantity, count(*) AS order_count
+  FROM fx_all_hours g JOIN fx_order_hours o ON o.ts < hour + 3600 AND o.until >= hour + 3600
+  WHERE rem > 0 GROUP BY 1, 2, 3, 4, 5""")
+query("book_history_hourly_all", "SELECT * FROM fx_book_all")(
+    lambda fx: books.book_history_all(fx.orders, fx.order_history, HISTORY_UNTIL))
 
 # --- candles -------------------------------------------------------------------------------------
 _INTERVALS = "(VALUES ('1m', 60), ('5m', 300), ('30m', 1800), ('1h', 3600), ('1d', 86400)) i(interval, step)"
