@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tickforge.llm import (
-    byte_bpe, jaccard_join, language_id, license_scan, line_dedup, quality_classifier, quality_rules, source_mixing, token_output,
+    byte_bpe, chat_format, fill_in_middle, jaccard_join, language_id, license_scan, line_dedup, quality_classifier, quality_rules, source_mixing, token_output,
     topk_search,
 )
 from tickforge.llm.common import is_held_out, table
@@ -101,3 +102,22 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = token_output.write_token_ids(table(spark, sf_dir, "documents"), path,
                                           public_tokenizers.path("word_bpe_49k.json"))
     return token_output.id_checksums(token_output.read_token_ids(spark, path, schema))
+
+
+@register("op12_chat_format", chat_format.SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations formatted and read back, as digests of their turns and of the text under the loss mask."""
+    chats = chat_format.format_chats(chat_format.with_injection(table(spark, sf_dir, "conversations")))
+    lines = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
+    return chat_format.read_back(chats).select(
+        "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(F.array_join(lines, ""), 256).alias("turns_sha256"),
+        F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"))
+
+
+@register("op13_fill_in_middle", fill_in_middle.SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents rearranged for filling in their middle and put together again, as digests."""
+    rows = fill_in_middle.restore(fill_in_middle.transform(table(spark, sf_dir, "documents")))
+    return rows.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+                       F.sha2("restored", 256).alias("restored_sha256"))
