@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tickforge.llm import (
     byte_bpe, chat_format, fill_in_middle, jaccard_join, language_id, license_scan, line_dedup, quality_classifier, quality_rules, source_mixing, token_output,
-    topk_search,
+    tokenizer_alignment, topk_search,
 )
 from tickforge.llm.common import is_held_out, table
 from tickforge.session import scratch_path
@@ -104,6 +104,14 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.id_checksums(token_output.read_token_ids(spark, path, schema))
 
 
+@register("op11_tokenizer_alignment")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document aligned between two vocabularies; its groups as a digest, its links against the corpus."""
+    paths = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    rows = tokenizer_alignment.align(table(spark, sf_dir, "documents"), *paths, kept=lambda groups: F.sha2(groups, 256))
+    return rows.withColumnRenamed("groups", "groups_sha256")
+
+
 @register("op12_chat_format", chat_format.SQL)
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations formatted and read back, as digests of their turns and of the text under the loss mask."""
