@@ -27,24 +27,44 @@ from pyspark.sql import types as T
 from tickforge.llm.common import bucketed, text_list
 from tickforge.llm.token_output import BYTE_CHARACTERS
 
-BLOCK_CHARS = 6_000_000  # texts of a block, and so the memory of one cogroup; one longer text is a block of its own
-KNOWN_STRETCHES = 150_000  # stretches whose alignment a worker process keeps
-KNOWN_CHARS = 48  # longer stretches are seldom met twice
+BLOCK_CHARS = 4_000_000  # texts of a block, and so the memory of one cogroup; one longer text is a block of its own
+SLICE_CHARS = 500_000  # texts aligned at once
+RUN_CHARS = 50_000  # stretches encoded at once
 MEASURES = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
 
-#: White space before which neither vocabulary can join anything (see ``Pair.cuts``), a word, and so on.
+#: White space before which neither vocabulary can join anything (see ``Pair.cuts``), and a word.
 STRETCH = re.compile("[ \n\t]*[^ \n\t]+|[ \n\t]+")
 OTHER_SPACE = re.compile(r"[^\S \n\t]")
+ANCHOR = " a"
 #: Fixed value: how vocabulary A must cut a text for stretches to be independent of each other.
 CUT = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
+COMMA, BAR, SEMICOLON = b",|;"
+
+
+def _ragged(begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Positions of all pieces given by begin and size, one after the other."""
+    ends = np.cumsum(sizes, dtype="i8")
+    return np.repeat(begins - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
+
+
+class Table:
+    """Strings by number in one buffer."""
+
+    def __init__(self, strings: list[bytes]):
+        self.sizes = np.array([len(x) for x in strings], "i8")
+        self.begins = np.cumsum(self.sizes) - self.sizes
+        self.data = np.frombuffer(b"".join(strings), "u1")
+
+    def joined(self, numbers: np.ndarray) -> np.ndarray:
+        return self.data[_ragged(self.begins[numbers], self.sizes[numbers])]
 
 
 class Pair:
-    """Both tokenizers, the bytes of their tokens, and the alignments of stretches already seen.
+    """Both tokenizers and the bytes of their tokens.
 
     A stretch is a word with the white space before it. Where both vocabularies end their tokens at every such border,
-    a text's alignment is that of its stretches one after the other; texts with other white space, or all texts if a
-    vocabulary does not have that property, are one stretch. What is kept never changes a result.
+    a text's tokens are those of its stretches one after the other, so a block encodes each distinct stretch once.
+    Texts with other white space, or all texts if a vocabulary does not have that property, are one stretch.
     """
 
     def __init__(self, file_a: str, file_b: str):
@@ -55,80 +75,83 @@ class Pair:
         self.a, self.b = Tokenizer.from_file(file_a), SentencePieceProcessor(model_file=file_b)
         self.a.encode_special_tokens = True
         back = {c: bytes([b]) for b, c in BYTE_CHARACTERS.items()}
-        self.bytes_a: list[bytes] = [b""] * (max(self.a.get_vocab(with_added_tokens=True).values()) + 1)
+        bytes_a = [b""] * (max(self.a.get_vocab(with_added_tokens=True).values()) + 1)
         for token, i in self.a.get_vocab(with_added_tokens=False).items():
-            self.bytes_a[i] = b"".join(back[c] for c in token)
+            bytes_a[i] = b"".join(back[c] for c in token)
         pieces = [self.b.id_to_piece(i) for i in range(self.b.vocab_size())]
-        self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
-        self.space = self.b.piece_to_id("▁")
+        self.bytes_a = Table(bytes_a)
+        self.bytes_b = Table([bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)])
+        self.digits = Table([b"%d," % i for i in range(max(len(bytes_a), len(pieces)))])
         with open(file_a, encoding="utf-8") as f:
             given = json.load(f)
         self.cuts = (given["normalizer"] is None and given["pre_tokenizer"] == CUT
-                     and not any(re.search("[\n\t ]|[^▁]▁", p) for p in pieces) and self._keeps_text())
-        self.known: dict[str, tuple] = {}
-
-    def _keeps_text(self) -> bool:
-        """Whether B leaves blanks and compatibility characters as they are."""
-        probe = " ﬁ  x  Ĳ "
-        return b"".join(self.bytes_b[i] for i in self.b.encode(probe)) == b" " + probe.encode()
+                     and not any(re.search("[\n\t ]|[^▁]▁", p) for p in pieces) and self._ids([" ﬁ  x", " Ĳ"], ANCHOR) is not None)
 
     def stretches(self, text: str) -> list[str]:
         """Of a text behind one space."""
         return STRETCH.findall(" " + text) if self.cuts and not OTHER_SPACE.search(text) else [" " + text]
 
-    def aligned(self, stretches: list[str]) -> dict[str, tuple]:
-        """By stretch: tokens of A, of B, groups, links as codes, and the groups as text."""
-        found = {s: x for s in stretches if (x := self.known.get(s)) is not None}
-        new = [s for s in stretches if s not in found]
-        for at in range(0, len(new), 5_000):
-            part = new[at:at + 5_000]
-            encoded = self.a.encode_batch_fast(part, add_special_tokens=False)
-            pieces = self.b.encode([s.removeprefix(" ") for s in part], num_threads=1)
-            for s, a, b in zip(part, encoded, pieces, strict=True):
-                found[s] = x = self.align(s, a.ids, self.own(s, b))
-                if len(s) <= KNOWN_CHARS and len(self.known) < KNOWN_STRETCHES:
-                    self.known[s] = x
-        return found
-
-    def own(self, stretch: str, pieces: list[int]) -> list[int]:
-        """B puts a space before what it encodes, except for nothing: it is the stretch's own first one or too much."""
-        if stretch == " ":
-            return [self.space]
-        return pieces[1:] if stretch[0] != " " and pieces[:1] == [self.space] else pieces
-
-    def align(self, stretch: str, a: list[int], b: list[int]) -> tuple:
-        """Groups end where tokens of both end; a link is a pair of tokens whose byte ranges overlap."""
-        raw, bytes_a, bytes_b, width = stretch.encode(), self.bytes_a, self.bytes_b, len(self.bytes_b)
-        if b"".join([bytes_a[i] for i in a]) != raw or b"".join([bytes_b[i] for i in b]) != raw:
-            return FAILED
-        links, groups, i, j, of_a, of_b = [], [], 0, 0, [], []
-        end_a, end_b, n_a, n_b = 0, 0, len(a), len(b)
-        while i < n_a or j < n_b:
-            if end_a == end_b:
-                if of_a:
-                    groups.append(",".join(of_a) + "|" + ",".join(of_b))
-                of_a, of_b = [str(a[i])], [str(b[j])]
-                end_a, end_b = end_a + len(bytes_a[a[i]]), end_b + len(bytes_b[b[j]])
-                links.append(a[i] * width + b[j])
-                i, j = i + 1, j + 1
-            elif end_a < end_b:
-                of_a.append(str(a[i]))
-                links.append(a[i] * width + b[j - 1])
-                end_a, i = end_a + len(bytes_a[a[i]]), i + 1
-            else:
-                of_b.append(str(b[j]))
-                links.append(a[i - 1] * width + b[j])
-                end_b, j = end_b + len(bytes_b[b[j]]), j + 1
-        groups.append(",".join(of_a) + "|" + ",".join(of_b))
-        return n_a, n_b, len(groups), np.array(links, "i8"), ";".join(groups)
-
-
-FAILED = (-1, 0, 0, np.empty(0, "i8"), "")
+    def _ids(self, run: list[str], anchor: str) -> tuple | None:
+        """Ids of A and B for stretches that follow each other, with what each stretch has of them; None if one of the
+        two does not give the bytes back. The anchor takes the space that B puts before what it encodes."""
+        text = anchor + "".join(run)
+        raw = np.frombuffer(text.encode(), "u1")
+        ends = np.cumsum([len(x.encode()) for x in run]) + len(anchor)
+        out = []
+        for ids, table in ((self.a.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.bytes_a),
+                           (self.b.encode(text[1:], num_threads=1), self.bytes_b)):
+            ids = np.array(ids, "i8")
+            upto = np.cumsum(table.sizes[ids])
+            if not len(ids) or upto[-1] != len(raw) or not np.array_equal(table.joined(ids), raw):
+                return None
+            cut = np.searchsorted(upto, np.concatenate([[len(anchor)], ends]), "right")
+            out += [ids[cut[0]:], np.diff(cut)]
+        return out[0], out[2], out[1], out[3]
+
+    def encoded(self, stretches: list[str]) -> tuple[np.ndarray, ...]:
+        """Ids of A and of B for all stretches, how many each stretch has of either, and whether it has any.
+
+        White space at the end would join what follows in a run, so such a stretch makes a run of its own.
+        """
+        n = len(stretches)
+        of_a, of_b, good = np.zeros(n, "i8"), np.zeros(n, "i8"), np.zeros(n, bool)
+        ids_a, ids_b, order = [], [], []
+
+        def take(run: list[int]) -> None:
+            found = self._ids([stretches[i] for i in run], ANCHOR if self.cuts else "")
+            if found is None:
+                if len(run) > 1:
+                    take(run[:len(run) // 2])
+                    take(run[len(run) // 2:])
+                return
+            ids_a.append(found[0])
+            ids_b.append(found[1])
+            of_a[run], of_b[run], good[run] = found[2], found[3], True
+            order.extend(run)
+
+        run, chars = [], 0
+        for i, s in enumerate(stretches):
+            if not self.cuts or s[-1].isspace():
+                take([i])
+                continue
+            run.append(i)
+            chars += len(s)
+            if chars >= RUN_CHARS:
+                take(run)
+                run, chars = [], 0
+        if run:
+            take(run)
+        place = np.array(order, "i8")  # runs by themselves came before the run around them
+        out = []
+        for ids, sizes in ((ids_a, of_a), (ids_b, of_b)):
+            begins = np.zeros(n, "i8")
+            begins[place] = np.cumsum(sizes[place]) - sizes[place]
+            out.append(np.concatenate([np.empty(0, "i8"), *ids])[_ragged(begins, sizes)])
+        return out[0], out[1], of_a, of_b, good
 
 
 @functools.lru_cache(maxsize=2)
 def pair(file_a: str, file_b: str) -> Pair:
-    """One pair per worker process, so that its known stretches serve all tasks that run there."""
     return Pair(file_a, file_b)
 
 
@@ -141,39 +164,74 @@ def _unpacked(packed: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(zstandard.decompress(packed), "u1").reshape(4, -1).T).view("<u4").ravel()
 
 
-def _ragged(begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Positions of all stretches given by begin and size, one after the other."""
-    ends = np.cumsum(sizes)
-    return np.repeat(begins - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
+class _Numbering(dict):
+    """Stretches of one block as numbers in order of appearance."""
 
+    def __missing__(self, stretch: str) -> int:
+        number = self[stretch] = len(self)
+        return number
 
-def _block(tokens: Pair, texts: list[str]) -> dict[str, list]:
-    """Per text: measures and groups; of the block: distinct codes, and each text's links as numbers of those."""
-    number: dict[str, int] = {}
-    flat, sizes = [], []
+
+def _aligned(tokens: Pair, a: np.ndarray, b: np.ndarray, text_ends: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Links as codes, how many links and groups each text has, and the groups as bytes with their size by text.
+
+    ``text_ends``: bytes up to the end of each text. Where a token of A or B ends, one link ends: between two such
+    places there is one token of either. Where both end, a group ends.
+    """
+    end_a, end_b = np.cumsum(tokens.bytes_a.sizes[a]), np.cumsum(tokens.bytes_b.sizes[b])
+    at = np.zeros((2, (text_ends[-1] if len(text_ends) else 0) + 1), bool)
+    at[0, end_a] = at[1, end_b] = True
+    links, groups = np.flatnonzero(at[0] | at[1]), np.flatnonzero(at[0] & at[1])
+    codes = a[np.searchsorted(end_a, links)] * len(tokens.bytes_b.sizes) + b[np.searchsorted(end_b, links)]
+    n_links, n_groups = (np.diff(np.searchsorted(x, text_ends, "right"), prepend=0) for x in (links, groups))
+
+    # the ids of a group stand in order, those of A first
+    upto_a, upto_b = np.searchsorted(end_a, groups, "right"), np.searchsorted(end_b, groups, "right")
+    group_a, group_b = np.searchsorted(groups, end_a), np.searchsorted(groups, end_b)
+    place_a = np.arange(len(a)) + np.concatenate([[0], upto_b])[group_a]
+    place_b = np.arange(len(b)) + upto_a[group_b]
+    ids = np.empty(len(a) + len(b), "i8")
+    ids[place_a], ids[place_b] = a, b
+    ends = np.cumsum(tokens.digits.sizes[ids])
+    out = tokens.digits.joined(ids)
+    out[ends[place_a[upto_a - 1]] - 1] = BAR
+    out[ends[place_b[upto_b - 1]] - 1] = SEMICOLON
+    last = np.cumsum(n_groups)[n_groups > 0] - 1  # nothing follows a text's last group
+    closing = ends[place_b[upto_b[last] - 1]]
+    sizes = np.zeros(len(text_ends), "i8")
+    sizes[n_groups > 0] = np.diff(closing, prepend=0) - 1
+    return codes, n_links, n_groups, np.delete(out, closing - 1), sizes
+
+
+def _block(tokens: Pair, texts: list[str]) -> dict[str, np.ndarray]:
+    """Per text: measures and groups; of the block: distinct codes, and each text's links as sorted numbers of those."""
+    number, flat = _Numbering(), []
     for text in texts:
         found = tokens.stretches(text)
-        flat.append(np.fromiter((number.setdefault(s, len(number)) for s in found), "i8", len(found)))
-        sizes.append(len(found))
-    aligned = tokens.aligned(list(number))
-    held = [aligned[s] for s in number]
-    counts = np.array([x[:3] for x in held], "i8")
-    width = np.array([len(x[3]) for x in held], "i8")
-    codes, of = np.unique(np.concatenate([x[3] for x in held]), return_inverse=True)
-    flat, sizes = np.concatenate(flat), np.array(sizes)
-    ends = np.cumsum(sizes)
-    failed = np.add.reduceat(counts[flat, 0] < 0, ends - sizes) > 0
-    summed = np.where(failed[:, None], 0, np.add.reduceat(counts[flat], ends - sizes, axis=0))
-    n_links = np.where(failed, 0, np.add.reduceat(width[flat], ends - sizes))
-    kept = flat[np.repeat(~failed, sizes)]
-    links = of[_ragged((np.cumsum(width) - width)[kept], width[kept])]
+        flat.append(np.fromiter(map(number.__getitem__, found), "i8", len(found)))
+    ids_a, ids_b, of_a, of_b, good = tokens.encoded(list(number))
+    bytes_of = np.array([len(s.encode()) for s in number], "i8")
+    begin_a, begin_b = np.cumsum(of_a) - of_a, np.cumsum(of_b) - of_b
+    flat = [f if good[f].all() else f[:0] for f in flat]  # a text with a stretch that is not given back has no tokens
+    chars = np.cumsum([len(t) + 1 for t in texts])
+    cuts = np.unique(np.concatenate([[0], np.searchsorted(chars, np.arange(SLICE_CHARS, chars[-1], SLICE_CHARS)), [len(texts)]]))
+    made: dict[str, list] = {m: [] for m in ("n_a", "n_b", "n_groups", "n_links", "codes", "groups", "sizes")}
+    for first, last in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        some = np.concatenate(flat[first:last])
+        ends = np.cumsum([len(f) for f in flat[first:last]])
+
+        def per_text(values: np.ndarray) -> np.ndarray:
+            return np.concatenate([[0], np.cumsum(values)])[ends]
+        a, b = ids_a[_ragged(begin_a[some], of_a[some])], ids_b[_ragged(begin_b[some], of_b[some])]
+        codes, n_links, n_groups, groups, sizes = _aligned(tokens, a, b, per_text(bytes_of[some]))
+        for m, x in zip(made, (np.diff(per_text(of_a[some]), prepend=0), np.diff(per_text(of_b[some]), prepend=0), n_groups, n_links, codes, groups, sizes),
+                        strict=True):
+            made[m].append(x)
+    out = {m: np.concatenate(x) for m, x in made.items()}
+    out["codes"], link = np.unique(out["codes"], return_inverse=True)
     # sums do not ask for the links' order; sorted within a text they pack better
-    text = np.repeat(np.arange(len(texts)), n_links)
-    order = np.sort(text << 32 | links)
-    strings, groups = [x[4] for x in held], []
-    for first, last, bad in zip((ends - sizes).tolist(), ends.tolist(), failed.tolist(), strict=True):
-        groups.append("" if bad else ";".join([strings[i] for i in flat[first:last].tolist()]))
-    return {"n_a": summed[:, 0], "n_b": summed[:, 1], "n_groups": summed[:, 2], "n_links": n_links, "groups": groups, "codes": codes, "links": order}
+    out["links"] = np.sort(np.repeat(np.arange(len(texts)), out["n_links"]) << 32 | link)
+    return out
 
 
 def blocks(texts: DataFrame, file_a: str, file_b: str, block_chars: int = BLOCK_CHARS) -> DataFrame:
@@ -188,14 +246,13 @@ def blocks(texts: DataFrame, file_a: str, file_b: str, block_chars: int = BLOCK_
             text, number = made["links"] >> 32, made["links"] & 0xFFFFFFFF
             first = np.diff(made["links"], prepend=-1) > 0  # a pair counts once per text
             weights = np.bincount(number[first], np.array(copies, "i8")[text[first]], len(made["codes"])).astype("i8")
-            used = weights > 0  # the others stand in texts without tokens
-            number = (np.cumsum(used) - 1)[number]
             steps = np.where(np.diff(text, prepend=-1) > 0, number, np.diff(number, prepend=0))
-            one = lambda x, kind: pa.array([x], pa.list_(kind))
+            offsets = np.concatenate([[0], np.cumsum(made["sizes"])]).astype("i4")
+            groups = pa.Array.from_buffers(pa.string(), len(held), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(made["groups"]))])
+            one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x))
             return pa.RecordBatch.from_pydict({
-                "block": pa.array([part << 32 | count]), "keys": one(keys, pa.binary()),
-                **{m: one(made[m], pa.int64()) for m in MEASURES[:4]}, "groups": one(made["groups"], pa.string()),
-                "links": pa.array([_packed(steps)]), "codes": one(made["codes"][used], pa.int64()), "weights": one(weights[used], pa.int64())})
+                "block": pa.array([part << 32 | count]), "keys": one(pa.array(keys, pa.binary())), **{m: one(made[m]) for m in MEASURES[:4]},
+                "groups": one(groups), "links": pa.array([_packed(steps)]), "codes": one(made["codes"]), "weights": one(weights)})
 
         for batch in batches:
             for key, text, n in zip(batch.column(0).to_pylist(), text_list(batch.column(1)), batch.column(2).to_pylist(), strict=True):
