@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+from bisect import bisect_right
 from collections import Counter, defaultdict
 
 import public_tokenizers
@@ -53,9 +54,10 @@ def plain(rows, tokens):
                 owner = [i for i, (_, s, e) in enumerate(spans[1]) for _ in range(s, e)]
                 links = [(i, spans[1][j][0]) for i, s, e in spans[0] for j in sorted(set(owner[s:e]))]
                 common = sorted({e for _, _, e in spans[0]} & {e for _, _, e in spans[1]})
-                groups, low = [], 0
-                for high in common:
-                    groups.append("|".join(",".join(str(i) for i, s, e in side if low <= s and e <= high) for side in spans))
+                groups, low = [], [0, 0]
+                for end in common:
+                    high = [bisect_right(side, end, key=lambda x: x[2]) for side in spans]
+                    groups.append("|".join(",".join(str(x[0]) for x in side[a:b]) for side, a, b in zip(spans, low, high, strict=True)))
                     low = high
                 per_text[text] = (len(ids_a), len(ids_b), groups, links)
         if text and per_text[text]:
