@@ -7,7 +7,7 @@ from tickforge.functions.columns import currency_address, format_amount, format_
 from tickforge.operators.keyed import insert_ignore
 from tickforge.operators.ranking import global_rank, group_median
 from tickforge.operators.temporal import asof_join, islands, range_mean, running_sums
-from tickforge.plans import books, bridge, ledger, lending, limits, orders, positions, slippage, trades, users, volume
+from tickforge.plans import books, bridge, flows, ledger, lending, limits, orders, positions, slippage, trades, users, volume, volume_etl
 from tickforge.sources.event_log import factory_filter, static_pool_json
 
 LOG = """event_name string, chain_id int, address string, block_number bigint, block_timestamp bigint, tx_hash string, log_index bigint,
@@ -131,12 +131,26 @@ def test_hourly_rule_resets_the_average_when_a_buy_ends_flat(spark):
 def test_fold_over_many_chunks_equals_the_sequential_fold(spark):
     steps = [(("Buy", "Sell")[(i * 7) % 3 % 2], 1 + i % 5, 90 + (i * 37) % 23) for i in range(400)]
     t = trade_rows(spark, steps, ts=lambda i: i * 50)
-    p = positions.positions_fold(t, chunk_seconds=60).head()
+    p = positions.positions_fold(t, rows=7).head()
     q, c, r = sequential(steps)
     assert (p["quantity"], p["realized_pnl"]) == pytest.approx((q, r))
     assert p["total_cost"] == pytest.approx(c)
     half = positions.positions_fold(t.filter("seq < 150"))
-    assert positions.positions_incremental(t, half, 149).head()["realized_pnl"] == pytest.approx(r)
+    assert positions.positions_incremental(t, half, {1: 149}).head()["realized_pnl"] == pytest.approx(r)
+
+
+def test_chains_meet_by_time(spark):
+    """One pool address on two chains whose block numbers differ: the chain with higher blocks is not the later one."""
+    t = spark.createDataFrame([(1, "u", "s", "Buy", 10.0, 1.0, 100, 900, 1), (2, "u", "s", "Buy", 15.0, 1.0, 150, 3, 2), (2, "u", "s", "Sell", 20.0, 1.0, 200, 5, 3)],
+                              TRADES + ", trade_id bigint").withColumn("is_buyer", F.col("side") == "Buy").withColumn("quote_qty", F.col("price") * F.col("quantity"))
+    assert positions.latest_prices(t, ["symbol"]).head()["last_price"] == 20.0
+    assert rows(positions.latest_prices(t), "chain_id", "last_price") == [(1, 10.0), (2, 20.0)]
+    m = volume.trading_metrics(t, "1h").head()
+    assert (m["open_price"], m["close_price"]) == (10.0, 20.0)
+    assert {(r["open_price"], r["close_price"]) for r in volume_etl.volume_timeseries(t).collect()} == {(10.0, 20.0)}
+    assert flows.capital_flow(t).filter("price_correlation <> 1.0 and net_flow > 0").count() == 0
+    back = positions.pnl_backfill_hourly(t, 0, 3600).head()
+    assert back["total_realized_pnl"] == 5.0  # bought at 15 and sold at 20 on chain 2; chain 1 keeps its own
 
 
 def test_whales(spark):
@@ -216,7 +230,7 @@ def test_ledger_legs(spark):
         ("transfer", 1, "a", "c", 20, 2, "b", "o", 4, 4, 4), ("transfer_locked", 1, "a", "c", 30, 3, "b", "o", 5, 5, 5), ("withdraw", 1, "a", "c", 5, 0, "", "", 6, 6, 6)],
         "op string, chain_id int, user_id string, currency string, amount bigint, fee bigint, receiver string, operator string, ts bigint, block_number bigint, seq bigint")
     assert rows(ledger.balance_ledger(e), "user_id", "amount", "locked") == [("a", 45, 0), ("b", 45, 0), ("o", 5, 0)]
-    last = ledger.balance_history(e, blocks_per_chunk=2).filter("user_id = 'a'").orderBy(F.col("seq").desc()).head()
+    last = ledger.balance_history(e, partitions=5).filter("user_id = 'a'").orderBy(F.col("seq").desc()).head()
     assert (last["available"], last["locked"]) == (45, 0)
 
 
@@ -233,9 +247,29 @@ def test_range_mean_crosses_chunk_borders(spark):
     assert got == {3590: 2.0, 3610: 2.0, 3700: 100.0}
 
 
-def test_running_sums_over_chunks(spark):
-    df = spark.range(100).select(F.lit("k").alias("k"), F.col("id").alias("o"), F.floor(F.col("id") / 7).alias("c"), F.lit(1).cast("long").alias("x"))
-    assert rows(running_sums(df, ["k"], "o", ["x"], "c"), "o", "x_after") == [(i, i + 1) for i in range(100)]
+def test_running_sums_over_partitions(spark):
+    df = spark.range(100).select(F.lit("k").alias("k"), F.col("id").alias("o"), F.lit(1).cast("long").alias("x"))
+    assert rows(running_sums(df, ["k"], "o", ["x"], partitions=7), "o", "x_after") == [(i, i + 1) for i in range(100)]
+    assert rows(running_sums(df, ["k"], "o", ["x"], "_before", True, 3), "o", "x_before") == [(i, i) for i in range(100)]
+
+
+def test_refused_by_ip_uses_no_address_quota(spark):
+    """Three of b use up the shared IP; a's request there is refused and leaves a all three of its own elsewhere."""
+    asked = [("b", "x", 0), ("b", "x", 1), ("B", "x", 2), ("a", "x", 3), ("a", "y", 4), ("a", "y", 5), ("a", "z", 6), ("a", "y", 7), ("c", "x", 3700), ("c", "x", 2 + 4 * 3600)]
+    req = spark.createDataFrame([(a, ip, t, i) for i, (a, ip, t) in enumerate(asked)], "address string, ip string, ts bigint, seq bigint")
+    for n in (1, 1_000_000):
+        got = {r["seq"]: (r["allowed"], r["reason"], r["remaining"], r["reset_ts"]) for r in limits.both_limits(req, rows=n).collect()}
+        assert got == {0: (True, None, 2, 3600), 1: (True, None, 1, 3600), 2: (True, None, 0, 3600), 3: (False, "IP_RATE_LIMIT", 0, 3600),
+                       4: (True, None, 2, 3604), 5: (True, None, 1, 3604), 6: (True, None, 0, 3604), 7: (False, "ADDRESS_RATE_LIMIT", 0, 3604),
+                       8: (False, "IP_COOLDOWN", 0, 2 + 4 * 3600), 9: (True, None, 2, 2 + 5 * 3600)}
+
+
+def test_split_windows_equal_the_streamed_ones(spark):
+    """A hot identifier over many chunks, one with bursts and one with gaps: pointers against the plain fold."""
+    ids = [("hot", t) for t in range(0, 400_000, 97)] + [("burst", t // 5) for t in range(3000)] + [("gap", t * t) for t in range(600)]
+    req = spark.createDataFrame([(a, t, i) for i, (a, t) in enumerate(ids)], "identifier string, ts bigint, seq bigint")
+    split, plain = limits.rate_limit(req, rows=1), limits.rate_limit(req)
+    assert split.exceptAll(plain).count() == 0 and plain.exceptAll(split).count() == 0 and plain.count() == len(ids)
 
 
 def test_islands_across_days(spark):

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_points
 from tickforge.fixtures import AS_OF
+from tickforge.operators.affine import ROWS
 from tickforge.operators.temporal import asof_lookup
-from tickforge.plans import positions, trades, volume
+from tickforge.plans import flows, positions, trades, volume, volume_etl
 
 
 def plan(df, mode="formatted"):
@@ -68,12 +69,36 @@ def hot(spark, n=60_000):
 
 
 def test_hot_position_is_folded_in_small_groups(spark):
-    t = hot(spark)
-    p = positions.positions_fold(t.withColumn("chain_id", F.lit(1))).filter("user_id = 'hot'").head()
-    want = t.filter("user_id = 'hot'").agg(F.sum(F.when(F.col("is_buyer"), F.col("quantity")).otherwise(-F.col("quantity")))).head()[0]
-    assert p["quantity"] == pytest.approx(want)
-    biggest = t.groupBy("user_id", "symbol", F.floor(F.col("ts") / 60)).count().agg(F.max("count")).head()[0]
-    assert biggest <= 60
+    """100,000 trades of one user in one minute: no array and no window partition above its bound."""
+    n, i = 100_000, F.col("id")
+    t = spark.range(n).select(
+        F.lit(1).alias("chain_id"), F.lit("hot").alias("user_id"), F.lit("HOT").alias("symbol"), F.when(i % 5 < 3, "Buy").otherwise("Sell").alias("side"),
+        (100 + i % 7).cast("double").alias("price"), (1 + i % 3).cast("double").alias("quantity"), F.lit(60).cast("long").alias("ts"), i.alias("seq"))
+    p = positions.positions_fold(t).head()
+    q = c = r = 0.0
+    for k in range(n):
+        price, size = 100.0 + k % 7, 1.0 + k % 3
+        if k % 5 < 3:
+            q, c = q + size, c + size * price
+        elif q > 0:
+            some, avg = min(size, q), c / q
+            r, c, q = r + (price - avg) * some, c - avg * some, q - some
+            if size > some:
+                q, c = some - size, (some - size) * price
+        else:
+            q, c = q - size, c - size * price
+    assert (p["quantity"], p["total_cost"], p["realized_pnl"]) == pytest.approx((q, c, r))
+    parts = t.repartitionByRange(8, "chain_id", "user_id", "symbol", "seq").groupBy(F.spark_partition_id()).count()
+    assert parts.agg(F.max("count")).head()[0] < n / 4  # the window of a partition, not of the key
+    numbers = t.groupBy(F.expr(f"seq div {ROWS}")).count().agg(F.max("count")).head()[0]
+    assert numbers <= ROWS
+
+
+def test_trades_are_not_exploded(spark, fx):
+    for df in (volume_etl.volume_timeseries(fx.trades), flows.capital_flow(fx.trades)):
+        tree = df._jdf.queryExecution().optimizedPlan().toString()
+        for part in tree.split("Generate explode")[1:]:
+            assert part.find("Aggregate") >= 0 or "LogicalRDD" in part  # what is copied per interval is a partial aggregate
 
 
 def test_hot_symbol_asof_is_exact(spark):

@@ -1,9 +1,9 @@
 """Order-dependent folds written as composable affine maps.
 
 A fold whose step is ``x' = a*x + b`` and ``y' = y + c*x + d`` (with coefficients that do not depend on x
-or y) is associative: steps compose into one map. Rows are composed inside (key, chunk) groups, chunks
-inside (key, span) groups, spans per key, so the longest group is one chunk of rows, the chunks of a span
-or the spans of the history, whichever key is hot.
+or y) is associative: steps compose into one map. Rows of a key are numbered; runs of ``ROWS`` numbers are composed,
+then runs of as many of those, then what is left of the key, so no array holds more than ``ROWS`` maps up to
+``ROWS`` cubed rows of one key, however they lie in time.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 COEFFICIENTS = ("a", "b", "c", "d")
+ROWS = 4096
 
 
 def _compose(order: str) -> Column:
@@ -25,19 +26,19 @@ def _compose(order: str) -> Column:
         (m["c"] + s["c"] * m["a"]).alias("c"), (m["d"] + s["c"] * m["b"] + s["d"]).alias("d")))
 
 
-def compose_steps(steps: DataFrame, keys: Sequence[str], order: str, chunk: str, chunks_per_span: int | None = 1440,
-                  sums: Sequence[str] = (), maxima: Sequence[str] = ()) -> DataFrame:
+def compose_steps(steps: DataFrame, keys: Sequence[str], number: str, sums: Sequence[str] = (), maxima: Sequence[str] = (),
+                  rows: int = ROWS) -> DataFrame:
     """One map (a, b, c, d) per key from one map per row, with plain sums and maxima taken along.
 
-    ``chunks_per_span=None`` skips the middle level when the keys already bound the number of chunks.
+    ``number``: position of the row in its key, from 0.
     """
     keys = list(keys)
     extra = [F.sum(c).alias(c) for c in sums] + [F.max(c).alias(c) for c in maxima]
-    out, level = steps, order
-    middle = [] if chunks_per_span is None else [[*keys, "span"]]
-    for group in ([*keys, chunk], *middle, keys):
-        if group[-1] == "span":
-            out = out.withColumn("span", F.floor(F.col(chunk) / chunks_per_span))
-        out = out.groupBy(*group).agg(_compose(level).alias("m"), *extra).select(*group, "m.*", *sums, *maxima)
-        level = group[-1]
+    out, order = steps, number
+    for group in ("_run", "_span", None):
+        at = [*keys] if group is None else [*keys, group]
+        if group is not None:
+            out = out.withColumn(group, F.expr(f"{order} div {rows}"))
+        out = out.groupBy(*at).agg(_compose(order).alias("m"), *extra).select(*at, "m.*", *sums, *maxima)
+        order = group
     return out

@@ -3,6 +3,7 @@
 A key that holds a third of all rows would otherwise be one window partition. Each operator first
 reduces its input to one row per (key, instant), works inside fixed time chunks of a key, and carries
 one summary row per chunk across chunk borders, so the largest group is bounded by the chunk width.
+Running sums, which cannot merge instants, cut keys by rows instead.
 """
 
 from __future__ import annotations
@@ -12,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tickforge.session import checkpoint_dir
+
 
 def asof_lookup(points: DataFrame, events: DataFrame, by: Sequence[str], ts: str, values: Sequence[str],
                 tie: str, tolerance: int | None = None, chunk: int = 3600) -> DataFrame:
@@ -87,28 +90,33 @@ def range_mean(df: DataFrame, by: Sequence[str], ts: str, value: str, radius: in
     return df.join(means, [*by, ts], "left")
 
 
-def running_sums(df: DataFrame, by: Sequence[str], order: str, cols: Sequence[str], chunk: str,
-                 suffix: str = "_after", before: bool = False) -> DataFrame:
-    """Running totals of ``cols`` per key along ``order``, chunk by chunk.
+def running_sums(df: DataFrame, by: Sequence[str], order: str, cols: Sequence[str], suffix: str = "_after",
+                 before: bool = False, partitions: int | None = None) -> DataFrame:
+    """Running totals of ``cols`` per key along a ``order`` that is unique per key.
 
-    ``chunk`` is a column that never decreases along ``order`` (for example the block number divided
-    by a constant); its totals are prefix-summed per key and added to the sum inside the chunk.
+    Rows are range-partitioned by (key, order) and checkpointed, so that the partition bounds stay; a key's rows are summed
+    inside each partition and shifted by its totals in the partitions before. No window holds more rows than a partition,
+    whatever a key or an instant of it has; ``partitions`` defaults to the shuffle partitions.
     """
     by = list(by)
-    totals = df.groupBy(*by, chunk).agg(*[F.sum(c).alias(f"_t_{c}") for c in cols])
-    earlier = Window.partitionBy(*by).orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1)
+    spark = df.sparkSession
+    checkpoint_dir(spark)
+    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    placed = df.repartitionByRange(n, *by, order).withColumn("_part", F.spark_partition_id()).checkpoint(eager=True)
+    totals = placed.groupBy(*by, "_part").agg(*[F.sum(c).alias(f"_t_{c}") for c in cols])
+    earlier = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row per partition
     prefix = totals.select(
-        *by, chunk, *[F.coalesce(F.sum(f"_t_{c}").over(earlier), F.lit(0)).alias(f"_p_{c}") for c in cols]
+        *by, "_part", *[F.coalesce(F.sum(f"_t_{c}").over(earlier), F.lit(0)).alias(f"_p_{c}") for c in cols]
     )
-    inside = Window.partitionBy(*by, chunk).orderBy(order).rowsBetween(
+    inside = Window.partitionBy("_part", *by).orderBy(order).rowsBetween(
         Window.unboundedPreceding, -1 if before else 0)
-    out = df
+    out = placed
     for c in cols:
         out = out.withColumn(f"_r_{c}", F.coalesce(F.sum(c).over(inside), F.lit(0)))
-    out = out.join(prefix, [*by, chunk], "left")
+    out = out.join(prefix, [*by, "_part"], "left")
     for c in cols:
         out = out.withColumn(f"{c}{suffix}", F.col(f"_r_{c}") + F.col(f"_p_{c}"))
-    return out.drop(*[f"_r_{c}" for c in cols], *[f"_p_{c}" for c in cols])
+    return out.drop("_part", *[f"_r_{c}" for c in cols], *[f"_p_{c}" for c in cols])
 
 
 def islands(points: DataFrame, ts: str, flag: str, weight: str, chunk: int = 86400) -> DataFrame:

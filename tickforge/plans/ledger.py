@@ -37,11 +37,10 @@ def balance_ledger(events: DataFrame) -> DataFrame:
         F.sum("d_amount").alias("amount"), F.sum("d_locked").alias("locked"), F.max("ts").alias("last_updated"))
 
 
-def balance_history(events: DataFrame, blocks_per_chunk: int = 1800) -> DataFrame:
-    """Balance after every movement. Accounts are cut into block ranges, so a hot account is many tasks."""
-    d = ledger_deltas(events).withColumn("k", F.struct("seq", "leg")).withColumn(
-        "chunk", F.floor(F.col("block_number") / blocks_per_chunk))
-    out = running_sums(d, ["chain_id", "user_id", "currency"], "k", ["d_amount", "d_locked"], "chunk")
+def balance_history(events: DataFrame, partitions: int | None = None) -> DataFrame:
+    """Balance after every movement. Accounts are cut by rows, so a hot account is many tasks."""
+    d = ledger_deltas(events).withColumn("k", F.struct("seq", "leg"))
+    out = running_sums(d, ["chain_id", "user_id", "currency"], "k", ["d_amount", "d_locked"], partitions=partitions)
     return out.select("chain_id", "user_id", "currency", "ts", "seq", "leg", "d_amount", "d_locked",
                       F.col("d_amount_after").alias("available"), F.col("d_locked_after").alias("locked"))
 

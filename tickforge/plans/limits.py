@@ -6,14 +6,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickforge.operators.keyed import top_per_group
-from tickforge.operators.temporal import asof_lookup
+from tickforge.operators.ranking import global_rank
+from tickforge.operators.temporal import asof_lookup, running_sums
+from tickforge.session import settle
 
 # Requests per window, window and cooldown in seconds.
 MAX_REQUESTS, WINDOW, COOLDOWN = 3, 3600, 4 * 3600
+SECONDS_PER_TASK = 1_000_000  # seconds with requests that one identifier may have in one task
 
 
 def _windows(max_requests: int, window: int, cooldown: int):
@@ -56,23 +59,104 @@ def _windows(max_requests: int, window: int, cooldown: int):
     return fold
 
 
-def rate_limit(requests: DataFrame, max_requests: int = MAX_REQUESTS, window: int = WINDOW,
-               cooldown: int = COOLDOWN) -> DataFrame:
-    """Decision per request (identifier, ts, seq): allowed, reason, remaining quota, reset time.
+def _exits(pdf: pd.DataFrame) -> pd.DataFrame:
+    """In one chunk of an identifier: where the path of windows that begins at each second leaves the chunk."""
+    pdf = pdf.sort_values("ts")
+    ts, leave = pdf["ts"].to_numpy(), pdf["to"].fillna(-1).to_numpy().astype("i8")
+    place = np.searchsorted(ts, leave)
+    for i in range(len(ts) - 1, -1, -1):
+        if leave[i] >= 0 and leave[i] <= ts[-1]:
+            leave[i] = leave[place[i]]
+    return pd.DataFrame({"identifier": pdf["identifier"].to_numpy(), "ts": ts, "leave": pd.Series(leave, dtype="Int64").where(leave >= 0)})
 
-    Only accepted requests move the limiter, so a window is found from the number of requests per second:
-    requests collapse to one row per (identifier, second) before the shuffle, and the fold streams over those.
-    Requests then look up their window and only the first ``max_requests`` of a window are ranked. A window that uses up its quota starts the cooldown; requests inside it are refused.
+
+def _walk(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The windows of one chunk, from the second at which the path enters it."""
+    pdf = pdf.sort_values("ts")
+    ts, to = pdf["ts"].to_numpy(), pdf["to"].fillna(-1).to_numpy().astype("i8")
+    at = np.flatnonzero(pdf["entered"].to_numpy())
+    taken = []
+    i = int(at[0]) if len(at) else len(ts)
+    while i < len(ts):
+        taken.append(i)
+        i = int(np.searchsorted(ts, to[i])) if to[i] >= 0 else len(ts)
+    return pdf.iloc[taken][["identifier", "ts", "cooldown_until"]]
+
+
+def _split_windows(per_second: DataFrame, max_requests: int, window: int, cooldown: int, chunk: int) -> DataFrame:
+    """Windows (identifier, ts, cooldown_until) of identifiers that are too large for one task.
+
+    The window that begins at a second, and so the second at which the next one begins, depends on the requests from
+    there on only. These pointers are found for every second by joins, composed inside chunks of ``chunk`` seconds, and
+    followed from chunk to chunk by doubling: the steps are the logarithm of the number of chunks, and no group holds
+    more than ``chunk`` rows.
     """
-    per_second = requests.groupBy("identifier", "ts").agg(F.count(F.lit(1)).alias("n"))
-    windows = per_second.repartition("identifier").sortWithinPartitions("identifier", "ts").mapInPandas(
-        _windows(max_requests, window, cooldown), "identifier string, ts bigint, cooldown_until bigint")
+    few = per_second.select("identifier", "ts", F.least("n", F.lit(max_requests)).alias("n"))  # more never matter
+    numbered = running_sums(few, ["identifier"], "ts", ["n"], suffix="_before", before=True)
+    slots = numbered.select("identifier", F.col("ts").alias("quota_ts"), F.explode(F.sequence(
+        F.col("n_before") + 1, F.col("n_before") + F.col("n"))).alias("slot"))
+    quota = numbered.withColumn("slot", F.col("n_before") + max_requests).join(slots, ["identifier", "slot"], "left")
+    full = F.coalesce(F.col("quota_ts") - F.col("ts") <= window, F.lit(False))
+    ends = quota.select("identifier", "ts", F.when(full, F.col("quota_ts") + cooldown).otherwise(F.col("ts")).alias("cooldown_until")).withColumn(
+        "free", F.greatest(F.col("ts") + window + 1, F.col("cooldown_until")))
+    # the first second at or after ``free`` is the last one at or before it when time runs backwards
+    back = ends.select("identifier", (-F.col("ts")).alias("t"), "ts")
+    found = asof_lookup(ends.select("identifier", (-F.col("free")).alias("t")), back, ["identifier"], "t", ["ts"], "ts")
+    nodes = settle(ends.join(found.select("identifier", (-F.col("t")).alias("free"), F.col("ts").alias("to")), ["identifier", "free"], "left").select(
+        "identifier", "ts", "to", "cooldown_until", F.floor(F.col("ts") / chunk).alias("chunk")))
+    firsts = nodes.groupBy("identifier").agg(F.min("ts").alias("ts"))
+    exits = settle(nodes.groupBy("identifier", "chunk").applyInPandas(_exits, "identifier string, ts bigint, leave bigint"))
+    entries = exits.filter("leave is not null").select("identifier", F.col("leave").alias("ts")).unionByName(firsts).distinct()
+    jumps = settle(exits.join(entries, ["identifier", "ts"], "left_semi").filter("leave is not null"))
+    reached = settle(firsts)
+    while True:
+        further = settle(reached.join(jumps, ["identifier", "ts"]).select("identifier", F.col("leave").alias("ts")))
+        if further.isEmpty():
+            break
+        reached = settle(reached.unionByName(further))
+        twice = jumps.select("identifier", F.col("ts").alias("leave"), F.col("leave").alias("end"))
+        jumps = settle(jumps.join(twice, ["identifier", "leave"]).select("identifier", "ts", F.col("end").alias("leave")))
+    marked = nodes.join(reached.withColumn("entered", F.lit(True)), ["identifier", "ts"], "left").withColumn(
+        "entered", F.coalesce("entered", F.lit(False)))
+    return marked.groupBy("identifier", "chunk").applyInPandas(_walk, "identifier string, ts bigint, cooldown_until bigint")
+
+
+def _limiter_windows(requests: DataFrame, max_requests: int, window: int, cooldown: int, rows: int) -> DataFrame:
+    """The windows of every identifier: streamed over in one task up to ``rows`` seconds with requests, beyond that split
+    into many."""
+    per_second = settle(requests.groupBy("identifier", "ts").agg(F.count(F.lit(1)).alias("n")))
+    large = settle(per_second.groupBy("identifier").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > rows).select("identifier"))
+    fold = _windows(max_requests, window, cooldown)
+    fields = "identifier string, ts bigint, cooldown_until bigint"
+    if large.isEmpty():
+        return per_second.repartition("identifier").sortWithinPartitions("identifier", "ts").mapInPandas(fold, fields)
+    small = per_second.join(large, "identifier", "left_anti").repartition("identifier").sortWithinPartitions("identifier", "ts")
+    hot = _split_windows(per_second.join(large, "identifier", "left_semi"), max_requests, window, cooldown, 24 * window)
+    return small.mapInPandas(fold, fields).unionByName(hot)
+
+
+def _placed(requests: DataFrame, max_requests: int, window: int, cooldown: int, rows: int) -> tuple[DataFrame, DataFrame]:
+    """Requests with their window, and the accepted ones (identifier, seq, rn): the first of each window."""
+    windows = _limiter_windows(requests, max_requests, window, cooldown, rows)
     found = asof_lookup(requests, windows, ["identifier"], "ts", ["cooldown_until"], "cooldown_until").select(
         "identifier", "ts", F.col("matched_ts").alias("window_start"), "cooldown_until")
     inside = requests.join(found, ["identifier", "ts"]).withColumn("in_window", F.col("ts") - F.col("window_start") <= window)
     accepted = top_per_group(inside.filter("in_window"), ["identifier", "window_start"],
-                             [F.col("ts").asc(), F.col("seq").asc()], max_requests).select("identifier", "seq", "rn")
-    j = inside.join(accepted, ["identifier", "seq"], "left")
+                             [F.col("ts").asc(), F.col("seq").asc()], max_requests)
+    return inside, accepted
+
+
+def rate_limit(requests: DataFrame, max_requests: int = MAX_REQUESTS, window: int = WINDOW, cooldown: int = COOLDOWN,
+               rows: int = SECONDS_PER_TASK) -> DataFrame:
+    """Decision per request (identifier, ts, seq): allowed, reason, remaining quota, reset time.
+
+    Only accepted requests move the limiter, so a window is found from the number of requests per second:
+    requests collapse to one row per (identifier, second) before the shuffle, and windows are found from those.
+    Requests then look up their window and only the first ``max_requests`` of a window are ranked. A window that uses up
+    its quota starts the cooldown; requests inside it are refused.
+    """
+    inside, accepted = _placed(requests, max_requests, window, cooldown, rows)
+    j = inside.join(accepted.select("identifier", "seq", "rn"), ["identifier", "seq"], "left")
     ok = F.col("rn").isNotNull()
     return j.select(
         "identifier", "ts", "seq", ok.alias("allowed"),
@@ -81,12 +165,55 @@ def rate_limit(requests: DataFrame, max_requests: int = MAX_REQUESTS, window: in
         F.when(ok | F.col("in_window"), F.col("window_start") + window).otherwise(F.col("cooldown_until")).alias("reset_ts"))
 
 
-def both_limits(requests: DataFrame, **limits) -> DataFrame:
-    """Address and IP limits together; the address verdict is reported first. Needs address, ip, ts, seq."""
-    one = lambda c, name: rate_limit(requests.select(F.lower(c).alias("identifier"), "ts", "seq"), **limits).select(
-        "seq", F.col("allowed").alias(f"{name}_ok"), F.concat(F.lit(f"{name.upper()}_"), "reason").alias(f"{name}_reason"),
-        F.col("remaining").alias(f"{name}_left"))
-    j = requests.join(one("address", "address"), "seq").join(one("ip", "ip"), "seq")
-    return j.select("address", "ip", "ts", "seq", (F.col("address_ok") & F.col("ip_ok")).alias("allowed"),
-                    F.coalesce("address_reason", "ip_reason").alias("reason"),
-                    F.least("address_left", "ip_left").alias("remaining"))
+def both_limits(requests: DataFrame, max_requests: int = MAX_REQUESTS, window: int = WINDOW, cooldown: int = COOLDOWN,
+                rows: int = SECONDS_PER_TASK) -> DataFrame:
+    """Address and IP limits together, for (address, ip, ts, seq) with a unique seq; addresses compare without case.
+
+    A request passes if both limiters let it pass, and only then does either count it. Whether a request passes depends
+    on earlier accepted ones only, so the accepted requests are the one set that both limiters reproduce: the IP limiter
+    is run over the requests that the address limiter would let pass given the set found before, until the set stays.
+    Every round settles at least the first request that was decided wrongly.
+    """
+    settings = (max_requests, window, cooldown, rows)
+    ranked = global_rank(requests.select(F.lower("address").alias("address"), "ip", "ts", "seq"), [F.col("ts").asc(), F.col("seq").asc()], "pos")
+    r = settle(ranked)
+
+    def limited(some: DataFrame, by: str) -> DataFrame:
+        """Accepted requests of one limiter: by, pos, and the state that each leaves behind."""
+        accepted = _placed(some.select(F.col(by).alias("identifier"), "ts", F.col("pos").alias("seq")), *settings)[1]
+        return settle(accepted.select(F.col("identifier").alias(by), F.col("seq").alias("pos"), F.col("rn").alias("used"), "window_start",
+                                      F.when(F.col("rn") == max_requests, F.col("ts") + cooldown).otherwise(F.lit(0)).alias("until")))
+
+    def before(accepted: DataFrame, by: str) -> DataFrame:
+        """pos and the limiter's state that each request meets: what the last accepted one before it left."""
+        points = r.select(by, (F.col("pos") - 1).alias("pos"))
+        found = asof_lookup(points, accepted, [by], "pos", ["used", "window_start", "until"], "pos", chunk=4096)
+        return found.select(by, (F.col("pos") + 1).alias("pos"), F.struct("used", "window_start", "until").alias(f"{by}_state"))
+
+    def passes(by: str) -> Column:
+        s = F.col(f"{by}_state")
+        inside = F.col("ts") - s["window_start"] <= window
+        return s["used"].isNull() | (inside & (s["used"] < max_requests)) | (~inside & (F.col("ts") >= s["until"]))
+
+    accepted = limited(r, "ip")
+    while True:
+        met = r.join(before(limited(r.join(accepted.select("pos"), "pos", "left_semi"), "address"), "address"), ["address", "pos"])
+        again = limited(met.filter(passes("address")), "ip")
+        changed = again.select("pos").exceptAll(accepted.select("pos")).unionByName(accepted.select("pos").exceptAll(again.select("pos")))
+        accepted, done = again, changed.isEmpty()
+        if done:
+            break
+    by_address = limited(r.join(accepted.select("pos"), "pos", "left_semi"), "address")
+    met = r.join(before(by_address, "address"), ["address", "pos"]).join(before(accepted, "ip"), ["ip", "pos"])
+    own = accepted.select("pos", F.col("used").alias("ip_used"), F.col("window_start").alias("ip_start")).join(
+        by_address.select("pos", F.col("used").alias("address_used"), F.col("window_start").alias("address_start")), "pos")
+    j = met.join(own, "pos", "left")
+    ok, a, i = F.col("ip_used").isNotNull(), F.col("address_state"), F.col("ip_state")
+    spent = lambda s: (F.col("ts") - s["window_start"] <= window) & (s["used"] >= max_requests)
+    rules = [(~passes("address") & spent(a), "ADDRESS_RATE_LIMIT", a["window_start"] + window), (~passes("ip") & spent(i), "IP_RATE_LIMIT", i["window_start"] + window),
+             (~passes("address"), "ADDRESS_COOLDOWN", a["until"]), (~passes("ip"), "IP_COOLDOWN", i["until"])]
+    reason, reset = F.when(ok, F.lit(None).cast("string")), F.when(ok, F.least("ip_start", "address_start") + window)
+    for cond, name, at in rules:
+        reason, reset = reason.when(cond, name), reset.when(cond, at)
+    return j.select("address", "ip", "ts", "seq", ok.alias("allowed"), reason.alias("reason"),
+                    F.when(ok, max_requests - F.greatest("ip_used", "address_used")).otherwise(0).cast("long").alias("remaining"), reset.alias("reset_ts"))

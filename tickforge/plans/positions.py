@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickforge.functions.columns import is_buy, ratio, ratio0
+from tickforge.functions.columns import is_buy, ratio, ratio0, time_order
 from tickforge.functions.timeutil import bucket, calendar_bucket, in_period
-from tickforge.operators.affine import compose_steps
+from tickforge.operators.affine import ROWS, compose_steps
+from tickforge.operators.keyed import insert_ignore
 from tickforge.operators.temporal import asof_join, asof_lookup, running_sums
 from tickforge.plans.orders import POOL
 
@@ -60,30 +63,29 @@ def _average_steps(before: Column, q: Column, p: Column) -> list[Column]:
     ]
 
 
-def _fold(trades: DataFrame, keys: list[str], step, chunk_seconds: int, start: DataFrame | None = None,
-          chunks_per_span: int | None = 1440) -> DataFrame:
+def _fold(trades: DataFrame, keys: list[str], step, start: DataFrame | None = None, rows: int = ROWS) -> DataFrame:
     """Final (position, x, y) per key of an affine fold over trades ordered by seq."""
-    t = trades.select(*keys, "side", "price", "quantity", "ts", "seq").withColumn(
-        "chunk", F.floor(F.col("ts") / chunk_seconds)).withColumn(
+    t = trades.select(*keys, "side", "price", "quantity", "ts", "seq", F.lit(1).cast("long").alias("number")).withColumn(
         "signed", F.when(is_buy(), F.col("quantity")).otherwise(-F.col("quantity")))
-    t = running_sums(t, keys, "seq", ["signed"], "chunk", suffix="_before", before=True)
+    t = running_sums(t, keys, "seq", ["signed", "number"], suffix="_before", before=True)
     if start is None:
         t = t.withColumn("q0", F.lit(0.0))
     else:
         t = t.join(start.select(*keys, F.col("quantity").alias("q0")), keys, "left").withColumn("q0", F.coalesce("q0", F.lit(0.0)))
-    steps = t.select(*keys, "chunk", "seq", F.col("signed").alias("net"), F.col("ts").alias("updated_at"),
+    steps = t.select(*keys, "number_before", F.col("signed").alias("net"), F.col("ts").alias("updated_at"),
                      *step(F.col("signed_before") + F.col("q0"), F.col("quantity"), F.col("price")))
-    return compose_steps(steps, keys, "seq", "chunk", chunks_per_span, sums=["net"], maxima=["updated_at"])
+    return compose_steps(steps, keys, "number_before", sums=["net"], maxima=["updated_at"], rows=rows)
 
 
-def positions_fold(trades: DataFrame, state: DataFrame | None = None, chunk_seconds: int = 60) -> DataFrame:
+def positions_fold(trades: DataFrame, state: DataFrame | None = None, rows: int = ROWS) -> DataFrame:
     """Average-cost position per (chain, user, symbol), optionally continued from a stored ``state``.
 
-    The position before each trade is a chunked prefix sum; given it, every trade is an affine map of
-    (total cost, realised PnL), so a trader with a third of all rows is still many small groups.
+    The position before each trade is a running sum over range partitions; given it, every trade is an affine map of
+    (total cost, realised PnL), and at most ``rows`` maps are composed at once. So a trader with a third of all rows, or
+    with very many in one instant, is still many small groups.
     """
     keys = ["chain_id", "user_id", "symbol"]
-    m = _fold(trades, keys, _cost_steps, chunk_seconds, state)
+    m = _fold(trades, keys, _cost_steps, state, rows)
     if state is None:
         out = m.select(*keys, F.col("net").alias("quantity"), F.col("b").alias("total_cost"),
                        F.col("d").alias("realized_pnl"), "updated_at")
@@ -99,18 +101,22 @@ def positions_fold(trades: DataFrame, state: DataFrame | None = None, chunk_seco
         "avg_cost", F.when(flat, 0.0).otherwise(F.abs(ratio("total_cost", "quantity")))).select(*POSITION)
 
 
-def positions_incremental(trades: DataFrame, state: DataFrame, cursor_seq: int, chunk_seconds: int = 60) -> DataFrame:
-    """State after the trades past the cursor."""
-    return positions_fold(trades.filter(F.col("seq") > cursor_seq), state, chunk_seconds)
+def positions_incremental(trades: DataFrame, state: DataFrame, cursors: dict[int, int], rows: int = ROWS) -> DataFrame:
+    """State after the trades past each chain's cursor; a chain without one has not been read yet."""
+    fresh = trades
+    for chain, seq in cursors.items():
+        fresh = fresh.filter((F.col("chain_id") != chain) | (F.col("seq") > seq))
+    return positions_fold(fresh, state, rows)
 
 
-def latest_prices(trades: DataFrame) -> DataFrame:
-    return trades.groupBy("symbol").agg(F.max_by("price", "seq").alias("last_price"))
+def latest_prices(trades: DataFrame, keys: Sequence[str] = ("chain_id", "symbol")) -> DataFrame:
+    """Price of the last trade per key, by time where a key spans chains."""
+    return trades.groupBy(*keys).agg(F.max_by("price", time_order(trades)).alias("last_price"))
 
 
 def mark_to_market(positions: DataFrame, prices: DataFrame) -> DataFrame:
-    """Unrealised PnL of open positions at the latest prices."""
-    p = positions.drop("unrealized_pnl").join(prices, "symbol", "left")
+    """Unrealised PnL of open positions at the latest prices, on what both sides have of chain and symbol."""
+    p = positions.drop("unrealized_pnl").join(prices, [c for c in ("chain_id", "symbol") if c in prices.columns], "left")
     open_ = (F.col("quantity") != 0) & F.col("last_price").isNotNull()
     return p.withColumn("unrealized_pnl", F.when(open_, (F.col("last_price") - F.col("avg_cost")) * F.col("quantity")).otherwise(0.0)).drop("last_price")
 
@@ -140,16 +146,17 @@ def pnl_hourly_snapshot(positions: DataFrame, enriched: DataFrame, as_of: int) -
         F.coalesce("volume_traded", F.lit(0.0)).alias("volume_traded"))
 
 
-def mark_price_asof(points: DataFrame, trades: DataFrame, depth_prices: DataFrame | None = None, max_age: int = 86400) -> DataFrame:
-    """Price per (symbol, ts): last trade within a day, else the mean positive depth price, else 0.
+def mark_price_asof(points: DataFrame, trades: DataFrame, depth_prices: DataFrame | None = None, max_age: int = 86400,
+                    keys: Sequence[str] = ("symbol",)) -> DataFrame:
+    """Price per (keys, ts): last trade within a day, else the mean positive depth price, else 0.
 
-    ``depth_prices``: symbol, depth_price.
+    ``depth_prices``: keys, depth_price.
     """
-    hits = asof_lookup(points, trades, ["symbol"], "ts", ["price"], "seq", max_age).select("symbol", "ts", "price")
+    hits = asof_lookup(points, trades, keys, "ts", ["price"], "seq", max_age).select(*keys, "ts", "price")
     if depth_prices is None:
-        return hits.select("symbol", "ts", F.coalesce("price", F.lit(0.0)).alias("mark_price"))
-    return hits.join(depth_prices, "symbol", "left").select(
-        "symbol", "ts", F.coalesce("price", "depth_price", F.lit(0.0)).alias("mark_price"))
+        return hits.select(*keys, "ts", F.coalesce("price", F.lit(0.0)).alias("mark_price"))
+    return hits.join(depth_prices, list(keys), "left").select(
+        *keys, "ts", F.coalesce("price", "depth_price", F.lit(0.0)).alias("mark_price"))
 
 
 def depth_mean_price(depth: DataFrame, pools: DataFrame) -> DataFrame:
@@ -161,19 +168,27 @@ def depth_mean_price(depth: DataFrame, pools: DataFrame) -> DataFrame:
 
 
 def pnl_backfill_hourly(trades: DataFrame, start: int, end: int, depth_prices: DataFrame | None = None,
-                        chunk_seconds: int = 60) -> DataFrame:
-    """PnL of each user-hour's own trades starting flat, marked at the hour's end; one pass, no loop over hours."""
+                        stored: DataFrame | None = None, rows: int = ROWS) -> DataFrame:
+    """PnL of each user-hour's own trades starting flat, marked at the hour's end; one pass, no loop over hours.
+
+    Positions and marks are kept per chain and symbol. With a ``status`` column only trades of filled and partially
+    filled orders count. Rows of ``stored`` (same columns) stay as they are: a user-hour is written once.
+    """
     t = trades.filter((F.col("ts") >= start) & (F.col("ts") < end)).withColumn("bucket", bucket("ts", 3600))
-    folded = _fold(t, ["user_id", "symbol", "bucket"], _average_steps, chunk_seconds, chunks_per_span=None).select(
-        "user_id", "symbol", "bucket", F.col("net").alias("position"), F.col("b").alias("avg_cost"), F.col("d").alias("realized"))
-    ends = t.select("symbol", (F.col("bucket") + 3600).alias("ts")).distinct()
-    marks = mark_price_asof(ends, trades, depth_prices).select("symbol", (F.col("ts") - 3600).alias("bucket"), "mark_price")
+    if "status" in trades.columns:
+        t = t.filter(F.col("status").isin(FILLED_STATUSES))
+    at = ["chain_id", "symbol"]
+    folded = _fold(t, [*at, "user_id", "bucket"], _average_steps, rows=rows).select(
+        *at, "user_id", "bucket", F.col("net").alias("position"), F.col("b").alias("avg_cost"), F.col("d").alias("realized"))
+    ends = t.select(*at, (F.col("bucket") + 3600).alias("ts")).distinct()
+    marks = mark_price_asof(ends, trades, depth_prices, keys=at).select(*at, (F.col("ts") - 3600).alias("bucket"), "mark_price")
     open_ = (F.abs("position") > 1e-9) & (F.col("mark_price") > 0)
-    pnl = folded.join(marks, ["symbol", "bucket"], "left").groupBy("bucket", "user_id").agg(
+    pnl = folded.join(marks, [*at, "bucket"], "left").groupBy("bucket", "user_id").agg(
         F.sum("realized").alias("total_realized_pnl"),
         F.sum(F.when(open_, (F.col("mark_price") - F.col("avg_cost")) * F.col("position")).otherwise(0.0)).alias("total_unrealized_pnl"))
     act = t.groupBy("bucket", "user_id").agg(F.count(F.lit(1)).alias("trades_count"), F.sum("quote_qty").alias("volume_traded"))
-    return pnl.join(act, ["bucket", "user_id"]).withColumn("total_pnl", F.col("total_realized_pnl") + F.col("total_unrealized_pnl"))
+    fresh = pnl.join(act, ["bucket", "user_id"]).withColumn("total_pnl", F.col("total_realized_pnl") + F.col("total_unrealized_pnl"))
+    return fresh if stored is None else insert_ignore(stored, fresh, ["bucket", "user_id"], "bucket")
 
 
 def hourly_pnl_metrics_agg(positions: DataFrame) -> DataFrame:

@@ -219,3 +219,22 @@ query("rate_limit", f"""SELECT identifier, ts, seq, allowed, reason, remaining,
    FROM (SELECT r.*, s.w, s.n, s.until, r.ts - s.w > {W} AND r.ts >= s.until AS fresh, r.ts - s.w <= {W} AND s.n < 3 AS ok FROM s JOIN fx_requests r ON r.identifier = s.identifier AND r.rn = s.rn + 1) r)
   SELECT * FROM s)""")(
     lambda fx: limits.rate_limit(fx.trades.select(F.col("user_id").alias("identifier"), "ts", "seq"), 3, W, C))
+
+# Six users share two addresses of the network each way, so both limiters refuse requests that the other would let pass.
+view("fx_asked", """SELECT 'A' || u AS address, 'ip' || (u // 6 * 2 + e % 2) AS ip, ts, seq, u // 6 AS g, row_number() OVER (PARTITION BY u // 6 ORDER BY ts, seq) AS rn
+  FROM (SELECT cast(user_id AS bigint) AS u, trade_id AS e, ts, seq FROM fx_trades)""")
+_state = lambda s: f"CASE WHEN {s}.w IS NULL OR (ts - {s}.w > {W} AND ts >= {s}.until) THEN 'new' WHEN ts - {s}.w <= {W} AND {s}.n < 3 THEN 'more' WHEN ts - {s}.w <= {W} THEN 'spent' ELSE 'cooling' END"
+_next = lambda s, k: f"CASE WHEN {k} = 'new' THEN {{'w': ts, 'n': 1, 'until': 0}} ELSE {{'w': {s}.w, 'n': {s}.n + 1, 'until': CASE WHEN {s}.n = 2 THEN ts + {C} ELSE 0 END}} END"
+_passes = "ka IN ('new', 'more') AND ki IN ('new', 'more')"
+query("rate_limit_both", f"""SELECT lower(address) AS address, ip, ts, seq, allowed, reason, remaining, reset_ts FROM (WITH RECURSIVE s AS (
+   SELECT g, cast(0 AS bigint) AS rn, cast(MAP {{}} AS MAP(VARCHAR, STRUCT(w BIGINT, n INTEGER, until BIGINT))) AS m, cast(NULL AS varchar) AS address, cast(NULL AS varchar) AS ip,
+    cast(NULL AS bigint) AS ts, cast(NULL AS bigint) AS seq, false AS allowed, cast(NULL AS varchar) AS reason, cast(0 AS bigint) AS remaining, cast(0 AS bigint) AS reset_ts FROM (SELECT DISTINCT g FROM fx_asked)
+   UNION ALL SELECT g, rn, CASE WHEN {_passes} THEN map_concat(m, MAP {{address: na, ip: ni}}) ELSE m END, address, ip, ts, seq, {_passes},
+    CASE WHEN ka = 'spent' THEN 'ADDRESS_RATE_LIMIT' WHEN ki = 'spent' THEN 'IP_RATE_LIMIT' WHEN ka = 'cooling' THEN 'ADDRESS_COOLDOWN' WHEN ki = 'cooling' THEN 'IP_COOLDOWN' END,
+    CASE WHEN {_passes} THEN 3 - greatest(na.n, ni.n) ELSE 0 END,
+    CASE WHEN ka = 'spent' THEN a.w + {W} WHEN ki = 'spent' THEN i.w + {W} WHEN ka = 'cooling' THEN a.until WHEN ki = 'cooling' THEN i.until ELSE least(na.w, ni.w) + {W} END
+   FROM (SELECT *, {_next('a', 'ka')} AS na, {_next('i', 'ki')} AS ni FROM (SELECT *, {_state('a')} AS ka, {_state('i')} AS ki FROM (
+    SELECT r.*, s.m, s.m[r.address] AS a, s.m[r.ip] AS i FROM s JOIN fx_asked r ON r.g = s.g AND r.rn = s.rn + 1)))) SELECT * FROM s WHERE rn > 0)""")(
+    lambda fx: limits.both_limits(fx.trades.select(
+        F.concat(F.lit("A"), "user_id").alias("address"), "ts", "seq",
+        F.concat(F.lit("ip"), (F.expr("cast(user_id as bigint) div 6 * 2") + F.col("trade_id") % 2).cast("string")).alias("ip")), 3, W, C))

@@ -36,13 +36,16 @@ query("positions_fold", "SELECT * FROM fx_pos_folded")(lambda fx: _show(pos.posi
 @query("positions_incremental", "SELECT * FROM fx_pos_folded")
 def positions_incremental(fx):
     """State at mid-month, then the rest applied to it: must equal one full fold."""
-    cut = fx.trades.agg(F.floor(F.max("seq") / 2)).head()[0]
-    return _show(pos.positions_incremental(fx.trades, pos.positions_fold(fx.trades.filter(F.col("seq") <= cut)), cut))
+    cut = {r["chain_id"]: r["at"] for r in fx.trades.groupBy("chain_id").agg(F.floor((F.min("seq") + F.max("seq")) / 2).alias("at")).collect()}
+    read = F.lit(False)
+    for chain, at in cut.items():
+        read = read | ((F.col("chain_id") == chain) & (F.col("seq") <= at))
+    return _show(pos.positions_incremental(fx.trades, pos.positions_fold(fx.trades.filter(read)), cut))
 
 
 query("mark_to_market", f"""SELECT user_id, symbol, quantity, {r2('CASE WHEN quantity <> 0 THEN (last - avg_cost) * quantity ELSE 0 END', 'unrealized_pnl')} FROM fx_positions
-  JOIN (SELECT symbol, arg_max(price, seq) AS last FROM fx_trades GROUP BY 1) USING (symbol)""")(
-    lambda fx: rounded(pos.mark_to_market(fx.positions, pos.latest_prices(fx.trades)).select("user_id", "symbol", "quantity", "unrealized_pnl"), "unrealized_pnl"))
+  JOIN (SELECT symbol, arg_max(price, (ts, seq, chain_id)) AS last FROM fx_trades GROUP BY 1) USING (symbol)""")(
+    lambda fx: rounded(pos.mark_to_market(fx.positions, pos.latest_prices(fx.trades, ["symbol"])).select("user_id", "symbol", "quantity", "unrealized_pnl"), "unrealized_pnl"))
 query("positions_queries", "SELECT user_id, symbol, quantity, avg_cost, realized_pnl, unrealized_pnl, updated_at FROM fx_positions WHERE quantity <> 0 AND symbol = 'click'")(
     lambda fx: pos.positions_query(fx.positions, symbol="click"))
 view("fx_hour_activity", f"""SELECT user_id, ts - ts % 3600 AS bucket, count(*) AS trades_count, {r2('sum(quote_qty)', 'volume_traded')} FROM fx_enriched
@@ -54,20 +57,25 @@ query("pnl_hourly_snapshot", f"""SELECT cast({SNAP - SNAP % 3600} AS bigint) AS
   coalesce(trades_count, 0) AS trades_count, coalesce(volume_traded, 0.0) AS volume_traded FROM (SELECT user_id, sum(realized_pnl) AS r, sum(unrealized_pnl) AS u FROM fx_positions
   WHERE quantity <> 0 OR realized_pnl <> 0 OR unrealized_pnl <> 0 GROUP BY 1) LEFT JOIN (SELECT * EXCLUDE bucket FROM fx_hour_activity WHERE bucket = {SNAP - SNAP % 3600}) USING (user_id)""")(
     lambda fx: rounded(pos.pnl_hourly_snapshot(fx.positions, fx.trades_enriched, SNAP), "total_pnl total_realized_pnl total_unrealized_pnl volume_traded"))
-view("fx_hnum", f"SELECT *, ts - ts % 3600 AS bucket, row_number() OVER (PARTITION BY user_id, symbol, ts - ts % 3600 ORDER BY seq) AS rn FROM fx_trades WHERE ts >= {M0} AND ts < {AS_OF}")
-view("fx_hfold", """SELECT user_id, symbol, bucket, arg_max(q, rn) AS q, arg_max(a, rn) AS a, arg_max(r, rn) AS r FROM (WITH RECURSIVE f AS (
-   SELECT user_id, symbol, bucket, rn, CASE WHEN is_buyer THEN quantity ELSE -quantity END AS q, price AS a, 0.0::double AS r FROM fx_hnum WHERE rn = 1
-   UNION ALL SELECT n.user_id, n.symbol, n.bucket, n.rn, CASE WHEN n.is_buyer THEN q + quantity ELSE q - quantity END,
-    CASE WHEN n.is_buyer THEN CASE WHEN q + quantity > 0 THEN (q * a + quantity * price) / (q + quantity) ELSE price END
+view("fx_hnum", f"SELECT *, ts - ts % 3600 AS bucket, row_number() OVER (PARTITION BY chain_id, user_id, symbol, ts - ts % 3600 ORDER BY seq) AS rn, side = 'Buy' AS buys FROM fx_enriched WHERE ts >= {M0} AND ts < {AS_OF} AND status IN ('FILLED', 'PARTIALLY_FILLED')")
+view("fx_hfold", """SELECT chain_id, user_id, symbol, bucket, arg_max(q, rn) AS q, arg_max(a, rn) AS a, arg_max(r, rn) AS r FROM (WITH RECURSIVE f AS (
+   SELECT chain_id, user_id, symbol, bucket, rn, CASE WHEN buys THEN quantity ELSE -quantity END AS q, price AS a, 0.0::double AS r FROM fx_hnum WHERE rn = 1
+   UNION ALL SELECT n.chain_id, n.user_id, n.symbol, n.bucket, n.rn, CASE WHEN n.buys THEN q + quantity ELSE q - quantity END,
+    CASE WHEN n.buys THEN CASE WHEN q + quantity > 0 THEN (q * a + quantity * price) / (q + quantity) ELSE price END
       WHEN q > 0 THEN CASE WHEN quantity > q THEN price ELSE a END ELSE (abs(q) * a + quantity * price) / (abs(q) + quantity) END,
-    CASE WHEN NOT n.is_buyer AND q > 0 THEN r + (price - a) * least(quantity, q) ELSE r END
-   FROM f JOIN fx_hnum n ON n.user_id = f.user_id AND n.symbol = f.symbol AND n.bucket = f.bucket AND n.rn = f.rn + 1) SELECT * FROM f) GROUP BY 1, 2, 3""")
-view("fx_hmark", """SELECT e.symbol, e.bucket, t.price AS mark FROM (SELECT DISTINCT symbol, bucket, bucket + 3600 AS at FROM fx_hnum) e
-  ASOF LEFT JOIN (SELECT symbol, ts, arg_max(price, seq) AS price FROM fx_trades GROUP BY 1, 2) t ON t.symbol = e.symbol AND e.at >= t.ts""")
-query("pnl_backfill_hourly", f"""SELECT bucket, user_id, {r2('r', 'total_realized_pnl')}, {r2('u', 'total_unrealized_pnl')}, trades_count, volume_traded, {r2('r + u', 'total_pnl')} FROM
-  (SELECT bucket, user_id, sum(r) AS r, sum(CASE WHEN q <> 0 AND mark > 0 THEN (mark - a) * q ELSE 0.0 END) AS u FROM fx_hfold LEFT JOIN fx_hmark USING (symbol, bucket) GROUP BY 1, 2) JOIN
-  (SELECT bucket, user_id, count(*) AS trades_count, round(sum(quote_qty) + 1e-9, 2) AS volume_traded FROM fx_hnum GROUP BY 1, 2) USING (bucket, user_id)""")(
-    lambda fx: rounded(pos.pnl_backfill_hourly(fx.trades, M0, AS_OF), "total_realized_pnl total_unrealized_pnl volume_traded total_pnl"))
+    CASE WHEN NOT n.buys AND q > 0 THEN r + (price - a) * least(quantity, q) ELSE r END
+   FROM f JOIN fx_hnum n ON n.chain_id = f.chain_id AND n.user_id = f.user_id AND n.symbol = f.symbol AND n.bucket = f.bucket AND n.rn = f.rn + 1) SELECT * FROM f) GROUP BY 1, 2, 3, 4""")
+view("fx_hmark", """SELECT e.chain_id, e.symbol, e.bucket, t.price AS mark FROM (SELECT DISTINCT chain_id, symbol, bucket, bucket + 3600 AS at FROM fx_hnum) e
+  ASOF LEFT JOIN (SELECT chain_id, symbol, ts, arg_max(price, seq) AS price FROM fx_enriched GROUP BY 1, 2, 3) t ON t.chain_id = e.chain_id AND t.symbol = e.symbol AND e.at >= t.ts""")
+_STORED = M0 + 2 * 86400  # user-hours before it are stored already, with other figures
+_HOURS = "bucket, user_id, total_realized_pnl, total_unrealized_pnl, trades_count, volume_traded, total_pnl"
+query("pnl_backfill_hourly", f"""SELECT {_HOURS} FROM fx_hourly_pnl WHERE bucket < {_STORED} UNION ALL
+  SELECT bucket, user_id, {r2('r', 'total_realized_pnl')}, {r2('u', 'total_unrealized_pnl')}, trades_count, volume_traded, {r2('r + u', 'total_pnl')} FROM
+  (SELECT bucket, user_id, sum(r) AS r, sum(CASE WHEN q <> 0 AND mark > 0 THEN (mark - a) * q ELSE 0.0 END) AS u FROM fx_hfold LEFT JOIN fx_hmark USING (chain_id, symbol, bucket) GROUP BY 1, 2) JOIN
+  (SELECT bucket, user_id, count(*) AS trades_count, round(sum(quote_qty) + 1e-9, 2) AS volume_traded FROM fx_hnum GROUP BY 1, 2) USING (bucket, user_id)
+  WHERE (bucket, user_id) NOT IN (SELECT bucket, user_id FROM fx_hourly_pnl WHERE bucket < {_STORED})""")(
+    lambda fx: rounded(pos.pnl_backfill_hourly(fx.trades_enriched, M0, AS_OF, stored=fx.hourly_pnl.filter(F.col("bucket") < _STORED).select(_HOURS.split(", "))),
+                       "total_realized_pnl total_unrealized_pnl volume_traded total_pnl"))
 
 
 @query("mark_price_asof", f"""SELECT e.symbol, e.ts, round(coalesce(CASE WHEN e.ts - t.ts <= 3600 THEN t.price END, d.p, 0.0) + 1e-9, 4) AS mark_price FROM (SELECT s.symbol, g.ts FROM (SELECT DISTINCT symbol FROM fx_trades) s, range({M0}, {AS_OF + 1}, 3600) g(ts)) e
