@@ -57,8 +57,8 @@ class Fixtures:
             F.col("pool").alias("symbol"), F.col("pool").alias("pool_id"),
             F.when(buy, "Buy").otherwise("Sell").alias("side"), buy.alias("is_buyer"),
             F.col("value").alias("price"), F.col("q").cast("double").alias("quantity"),
-            (F.col("value") * F.col("q").cast("double")).alias("quote_qty"),
-            F.col("t").alias("ts"), F.col("e").alias("seq"),
+            (F.col("value") * F.col("q").cast("double")).alias("quote_qty"), F.col("t").alias("ts"),
+            F.when(F.col("chain") == 2, F.col("e") - 1_000_000_000).otherwise(F.col("e")).alias("seq"),  # each chain counts its own blocks
         )
 
     @cached_property

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from decimal import Decimal
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -84,6 +85,18 @@ def seq(block: str | Column = "block_number", log_index: str | Column = "log_ind
     return F.shiftleft(col(block).cast("long"), 31) + col(log_index).cast("long")
 
 
+def time_order(df) -> Column:
+    """One number that orders rows by (ts, seq, chain): event order inside a chain, time where chains meet.
+
+    ``seq`` counts a chain's own blocks, so it says nothing across chains. A decimal, unlike a struct, keeps
+    min_by/max_by in hash aggregation. Seconds up to 11 digits, seq up to 19; equal (ts, seq) go by chain id.
+    """
+    order = F.col("ts").cast("decimal(11,0)") * F.lit(Decimal(10**19)) + F.col("seq").cast("decimal(19,0)")
+    if "chain_id" not in df.columns:
+        return order.cast("decimal(38,0)")
+    return (order * F.lit(Decimal(10**7)) + F.pmod(F.col("chain_id"), F.lit(10**7)).cast("decimal(8,0)")).cast("decimal(38,0)")
+
+
 def row_key(*parts: str | Column) -> Column:
     """sha-256 of the parts joined by ``_``; null parts become the word ``null`` instead of vanishing."""
     texts = [F.coalesce(col(p).cast("string"), F.lit("null")) for p in parts]

@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickforge.functions.columns import above, is_buy, ratio, ratio0, scaled, sum_if
+from tickforge.functions.columns import above, is_buy, ratio, ratio0, scaled, sum_if, time_order
 from tickforge.functions.timeutil import (
     bucket, bucket_index, calendar_bucket, in_period, interval_seconds, period_start, spine, series_start,
 )
 from tickforge.plans.ledger import ledger_deltas
 from tickforge.plans.volume import _among
-from tickforge.plans.volume_etl import per_interval
+from tickforge.plans.volume_etl import base_step, per_interval
 
 FLOW_PERIODS = {"1h": 3600, "4h": 14400, "1d": 86400, "1w": 604800}
 LARGE, WHALE, RETAIL = 10_000, 100_000, 1_000  # fixed values: trade-size bounds
@@ -22,12 +22,13 @@ def capital_flow(trades: DataFrame, periods: dict[str, int] | None = None, insti
                  institutional_trades: int = 100) -> DataFrame:
     """Flow metrics per symbol, period type and bucket (stamped with the bucket end).
 
-    One pass: trades are summed per (symbol, period, bucket, trader). A trader is institutional in a bucket
-    when the trailing seven buckets, all symbols together, exceed both thresholds: a window over those sums.
+    One pass: trades are summed per (symbol, trader, cell of the base step), and the cells per (symbol, period, bucket,
+    trader). A trader is institutional in a bucket when the trailing seven buckets, all symbols together, exceed both
+    thresholds: a window over those sums.
     """
     keys = ["symbol", "period_type", "time_bucket"]
-    q, buy = F.col("quote_qty"), is_buy()
-    wide = per_interval(trades, periods or FLOW_PERIODS).withColumnRenamed("interval_type", "period_type")
+    periods = periods or FLOW_PERIODS
+    q, buy, order = F.col("quote_qty"), is_buy(), time_order(trades)
     split = lambda cond: [sum_if(buy & cond, q), sum_if(~buy & cond, q)]
     named = {"inflow_volume": split(F.lit(True)), "large": split(q > LARGE), "whale": split(q > WHALE), "retail": split(q < RETAIL)}
     aggs = []
@@ -36,10 +37,13 @@ def capital_flow(trades: DataFrame, periods: dict[str, int] | None = None, insti
         aggs += [i.alias(a), o.alias(b)]
     sums = ["inflow_volume", "outflow_volume", "large_inflows", "large_outflows", "whale_inflows", "whale_outflows",
             "retail_inflows", "retail_outflows"]
-    per_user = wide.groupBy(*keys, "step", "user_id").agg(
+    cells = trades.groupBy("symbol", "user_id", bucket("ts", base_step(periods)).alias("cell")).agg(
         *aggs, F.count(F.lit(1)).alias("n"), F.count(F.when(buy, 1)).alias("buys"), F.count(F.when(~buy, 1)).alias("sells"),
-        F.min_by("price", "seq").alias("open"), F.min("seq").alias("first_seq"),
-        F.max_by("price", "seq").alias("close"), F.max("seq").alias("last_seq"))
+        F.min_by("price", order).alias("open"), F.min(order).alias("first"), F.max_by("price", order).alias("close"), F.max(order).alias("last"))
+    wide = per_interval(cells, "cell", periods).withColumnRenamed("interval_type", "period_type")
+    per_user = wide.groupBy(*keys, "step", "user_id").agg(
+        *[F.sum(c).alias(c) for c in [*sums, "n", "buys", "sells"]], F.min_by("open", "first").alias("open"), F.min("first").alias("first"),
+        F.max_by("close", "last").alias("close"), F.max("last").alias("last"))
     trail = Window.partitionBy("user_id", "period_type").orderBy("slot").rangeBetween(1 - LOOKBACK_PERIODS, 0)
     traded = F.col("inflow_volume") + F.col("outflow_volume")
     per_user = per_user.withColumn("slot", F.floor(F.col("time_bucket") / F.col("step"))).withColumn(
@@ -50,7 +54,7 @@ def capital_flow(trades: DataFrame, periods: dict[str, int] | None = None, insti
         F.count(F.when(F.col("buys") > 0, 1)).alias("unique_inflow_addresses"),
         F.count(F.when(F.col("sells") > 0, 1)).alias("unique_outflow_addresses"),
         sum_if(F.col("inst"), net).alias("institutional_flow"),
-        F.min_by("open", "first_seq").alias("open"), F.max_by("close", "last_seq").alias("close"))
+        F.min_by("open", "first").alias("open"), F.max_by("close", "last").alias("close"))
     flows = flows.withColumn("net_flow", net).withColumn("volume", F.col("inflow_volume") + F.col("outflow_volume"))
     flows = flows.withColumn("market", F.sum("volume").over(Window.partitionBy("period_type", "time_bucket")))
     whales = F.col("whale_inflows") + F.col("whale_outflows")

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickforge.functions.columns import is_buy, ratio0, sum_if
+from tickforge.functions.columns import is_buy, ratio0, sum_if, time_order
 from tickforge.functions.timeutil import (
     PERIOD_HOURS, bucket, bucket_index, calendar_bucket, in_period, interval_seconds, period_start, series_start, spine,
 )
@@ -16,12 +16,16 @@ from tickforge.session import settle
 
 
 def bucket_metrics(trades: DataFrame, **keys: Column) -> DataFrame:
-    """The common aggregate set per key; unused columns are pruned by the optimizer."""
+    """The common aggregate set per key; unused columns are pruned by the optimizer.
+
+    Keys may hold trades of several chains, so the first and last trade are those by time.
+    """
+    order = time_order(trades)
     return trades.groupBy(*[c.alias(n) for n, c in keys.items()]).agg(
         F.sum("quote_qty").alias("volume"), F.count(F.lit(1)).alias("trades_count"),
         F.count_distinct("user_id").alias("unique_traders"), F.avg("price").alias("avg_price"),
         F.max("price").alias("high_price"), F.min("price").alias("low_price"),
-        F.min_by("price", "seq").alias("open_price"), F.max_by("price", "seq").alias("close_price"),
+        F.min_by("price", order).alias("open_price"), F.max_by("price", order).alias("close_price"),
         F.avg("quote_qty").alias("avg_trade_size"), F.max("quote_qty").alias("largest_trade"),
         F.min("ts").alias("first_trade_time"), F.max("ts").alias("last_trade_time"),
         sum_if(is_buy(), "quote_qty").alias("buy_volume"), sum_if(~is_buy(), "quote_qty").alias("sell_volume"))

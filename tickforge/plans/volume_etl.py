@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickforge.functions.columns import is_buy, ratio, ratio0, sum_if
+from tickforge.functions.columns import is_buy, ratio, ratio0, sum_if, time_order
 from tickforge.functions.timeutil import FIRST_MONDAY, bucket
 from tickforge.plans.volume import _among
 from tickforge.session import settle
@@ -14,40 +16,98 @@ VOLUME_INTERVALS = {"5m": 300, "15m": 900, "1h": 3600, "4h": 14400, "1d": 86400}
 LARGE, WHALE = 3.0, 10.0  # fixed values: multiples of the bucket's mean trade
 
 
-def per_interval(trades: DataFrame, intervals: dict[str, int]) -> DataFrame:
-    """Every trade once per interval with the end of its bucket as ``time_bucket``."""
-    steps = F.array(*[F.struct(
-        F.lit(n).alias("interval_type"), F.lit(s).cast("long").alias("step"),
-        F.lit(FIRST_MONDAY if s == 604800 else 0).cast("long").alias("origin")) for n, s in intervals.items()])
-    return trades.withColumn("i", F.explode(steps)).select("*", "i.interval_type", "i.step", "i.origin").withColumn(
-        "time_bucket", F.col("ts") - F.pmod(F.col("ts") - F.col("origin"), F.col("step")) + F.col("step"))
+def origin_of(step: int) -> int:
+    """Weeks begin on Monday, everything else at the epoch."""
+    return FIRST_MONDAY if step % 604800 == 0 else 0
+
+
+def bucket_end(at: Column, step: int) -> Column:
+    return bucket(at, step, origin_of(step)) + step
+
+
+def per_interval(cells: DataFrame, at: str, intervals: dict[str, int]) -> DataFrame:
+    """Every cell (a partial aggregate stamped with its start ``at``) once per interval, with the end of its bucket."""
+    steps = F.array(*[F.struct(F.lit(n).alias("interval_type"), F.lit(s).cast("long").alias("step"),
+                               bucket_end(F.col(at), s).alias("time_bucket")) for n, s in intervals.items()])
+    return cells.withColumn("i", F.explode(steps)).select("*", "i.interval_type", "i.step", "i.time_bucket").drop("i")
+
+
+def base_step(intervals: dict[str, int]) -> int:
+    """The widest cell that every interval is made of."""
+    return math.gcd(*intervals.values())
+
+
+def _cells(trades: DataFrame, step: int) -> DataFrame:
+    """Sums and moments per (symbol, cell): the one frame that all intervals are merged from."""
+    order = time_order(trades)
+    return trades.groupBy("symbol", bucket("ts", step).alias("cell")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum("quote_qty").alias("volume"), sum_if(is_buy(), "quote_qty").alias("buy_volume"),
+        sum_if(~is_buy(), "quote_qty").alias("sell_volume"), F.count(F.when(is_buy(), 1)).alias("buy_trades"), F.sum("quantity").alias("qty"),
+        F.min_by("price", order).alias("open_price"), F.max("price").alias("high_price"), F.min("price").alias("low_price"),
+        F.max_by("price", order).alias("close_price"), F.avg("price").alias("mean"), (F.var_pop("price") * F.count(F.lit(1))).alias("m2"))
+
+
+def _traders(trades: DataFrame, step: int, intervals: dict[str, int]) -> DataFrame:
+    """Distinct traders per (symbol, interval, bucket).
+
+    A trader's cells are gathered per widest interval, which bounds the set, and only the distinct buckets of every
+    interval are counted.
+    """
+    widest = max(intervals.values())
+    sets = trades.groupBy("symbol", "user_id", bucket("ts", widest, origin_of(widest)).alias("span")).agg(
+        F.collect_set(bucket("ts", step)).alias("cells"))
+
+    def hits(name: str, s: int) -> Column:
+        buckets = F.array_distinct(F.transform("cells", lambda c: bucket_end(c, s)))
+        return F.transform(buckets, lambda b: F.struct(F.lit(name).alias("interval_type"), b.alias("time_bucket")))
+    return sets.select("symbol", F.explode(F.concat(*[hits(n, s) for n, s in intervals.items()])).alias("h")).groupBy("symbol", "h.interval_type", "h.time_bucket").agg(
+        F.count(F.lit(1)).alias("unique_traders"))
+
+
+def _large(trades: DataFrame, cells: DataFrame, step: int, intervals: dict[str, int]) -> DataFrame:
+    """Large and whale trades per (symbol, interval, bucket).
+
+    Equal sizes of a cell are counted once and meet the mean sizes of all buckets that hold the cell in one row, so the
+    sizes are compared where they lie and only counts are merged upwards.
+    """
+    means = cells
+    for n, s in intervals.items():
+        w = Window.partitionBy("symbol", bucket_end(F.col("cell"), s))
+        means = means.withColumn(f"mean_{n}", F.sum("volume").over(w) / F.sum("n").over(w))
+    sizes = trades.groupBy("symbol", bucket("ts", step).alias("cell"), "quote_qty").agg(F.count(F.lit(1)).alias("n"))
+    over = lambda n, times: sum_if(F.col("quote_qty") > F.col(f"mean_{n}") * times, "n")
+    counts = sizes.join(means.select("symbol", "cell", *[f"mean_{n}" for n in intervals]), ["symbol", "cell"]).groupBy("symbol", "cell").agg(
+        *[F.struct(over(n, LARGE).alias("large"), over(n, WHALE).alias("whale")).alias(f"c_{n}") for n in intervals])
+    rows = F.array(*[F.struct(F.lit(n).alias("interval_type"), bucket_end(F.col("cell"), s).alias("time_bucket"),
+                              F.col(f"c_{n}").alias("c")) for n, s in intervals.items()])
+    return counts.select("symbol", F.explode(rows).alias("r")).groupBy("symbol", "r.interval_type", "r.time_bucket").agg(
+        F.sum("r.c.large").alias("large_trade_count"), F.sum("r.c.whale").alias("whale_trade_count"))
 
 
 def volume_timeseries(trades: DataFrame, intervals: dict[str, int] | None = None) -> DataFrame:
     """One row per symbol, interval and bucket (stamped with the bucket end).
 
-    Two passes over trades: the bucket statistics, kept once, and the distribution of trade sizes that
-    is compared with each bucket's mean for the large and whale counts. The history columns are windows
-    over the finished series rather than over trades.
+    Trades are reduced to cells of the base step; sums, moments, distinct traders and size counts of every interval are
+    merged from cells, never from trades. The history columns are windows over the finished series.
     """
     keys = ["symbol", "interval_type", "time_bucket"]
-    wide = per_interval(trades, intervals or VOLUME_INTERVALS)
-    stats = settle(wide.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("trades_count"), F.count_distinct("user_id").alias("unique_traders"),
-        F.sum("quote_qty").alias("volume"), sum_if(is_buy(), "quote_qty").alias("buy_volume"),
-        sum_if(~is_buy(), "quote_qty").alias("sell_volume"), F.count(F.when(is_buy(), 1)).alias("buy_trades"),
-        F.count(F.when(~is_buy(), 1)).alias("sell_trades"), F.sum("quantity").alias("qty"),
-        F.min_by("price", "seq").alias("open_price"), F.max("price").alias("high_price"),
-        F.min("price").alias("low_price"), F.max_by("price", "seq").alias("close_price"),
-        F.avg("quote_qty").alias("mean_size"), F.stddev_samp("price").alias("price_stddev")))
-    sizes = wide.groupBy(*keys, "quote_qty").agg(F.count(F.lit(1)).alias("n"))
-    big = sizes.join(stats.select(*keys, "mean_size"), keys).groupBy(*keys).agg(
-        sum_if(F.col("quote_qty") > F.col("mean_size") * LARGE, "n").alias("large_trade_count"),
-        sum_if(F.col("quote_qty") > F.col("mean_size") * WHALE, "n").alias("whale_trade_count"))
+    intervals = intervals or VOLUME_INTERVALS
+    step = base_step(intervals)
+    cells = settle(_cells(trades, step))
+    n, mean = F.col("n"), F.sum(F.col("n") * F.col("mean")) / F.sum("n")
+    m2 = F.greatest(F.sum("m2") + F.sum(n * F.col("mean") * F.col("mean")) - F.sum("n") * mean * mean, F.lit(0.0))
+    stats = per_interval(cells, "cell", intervals).groupBy(*keys).agg(
+        F.sum("n").alias("trades_count"), F.sum("volume").alias("volume"), F.sum("buy_volume").alias("buy_volume"),
+        F.sum("sell_volume").alias("sell_volume"), F.sum("buy_trades").alias("buy_trades"),
+        (F.sum("n") - F.sum("buy_trades")).alias("sell_trades"), F.sum("qty").alias("qty"),
+        F.min_by("open_price", "cell").alias("open_price"), F.max("high_price").alias("high_price"),
+        F.min("low_price").alias("low_price"), F.max_by("close_price", "cell").alias("close_price"),
+        F.when(F.sum("n") > 1, F.sqrt(m2 / (F.sum("n") - 1))).alias("price_stddev"))
+    series = stats.join(_traders(trades, step, intervals), keys).join(_large(trades, cells, step, intervals), keys)
     peers = Window.partitionBy("interval_type", "time_bucket")
     w = Window.partitionBy("symbol", "interval_type").orderBy("time_bucket")
     series = (
-        stats.join(big, keys).withColumn("market_volume", F.sum("volume").over(peers))
+        series.withColumn("market_volume", F.sum("volume").over(peers))
         .withColumn("vwap", ratio(F.col("volume"), "qty"))
         .withColumn("sma", F.avg("volume").over(w.rowsBetween(-19, -1)))
         .withColumn("prev", F.lag("volume", 1).over(w)).withColumn("prev5", F.lag("volume", 5).over(w))

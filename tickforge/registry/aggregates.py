@@ -31,18 +31,18 @@ query("symbol_stats", f"""SELECT symbol, symbol || '/usd' AS coin, {r2('sum(quot
     lambda fx: rounded(volume.symbol_stats(fx.pools, fx.trades, "30d", AS_OF), "total_volume", "avg_price"))
 _H = AS_OF - 5 * 3600
 query("hourly_trading_stats", f"""SELECT symbol, {r2('sum(quote_qty)', 'volume_1h')}, count(*) AS trades_1h, count(DISTINCT user_id) AS unique_traders_1h,
-  {r4('avg(price)', 'avg_price_1h')}, min(price) AS low_1h, max(price) AS high_1h, arg_min(price, seq) AS open_1h, arg_max(price, seq) AS close_1h
+  {r4('avg(price)', 'avg_price_1h')}, min(price) AS low_1h, max(price) AS high_1h, arg_min(price, (ts, seq, chain_id)) AS open_1h, arg_max(price, (ts, seq, chain_id)) AS close_1h
   FROM fx_trades WHERE ts >= {_H} AND ts < {_H + 3600} GROUP BY 1""")(
     lambda fx: rounded(volume.hourly_trading_stats(fx.trades, _H, _H + 3600), "volume_1h", "avg_price_1h"))
 
 _METRICS = f"""{r2('sum(quote_qty)', 'volume')}, count(*) AS trades_count, count(DISTINCT user_id) AS unique_traders, {r4('avg(price)', 'avg_price')},
-  max(price) AS high_price, min(price) AS low_price, arg_min(price, seq) AS open_price, arg_max(price, seq) AS close_price"""
+  max(price) AS high_price, min(price) AS low_price, arg_min(price, (ts, seq, chain_id)) AS open_price, arg_max(price, (ts, seq, chain_id)) AS close_price"""
 for _name, _step in (("hourly", 3600), ("daily", 86400)):
     view(f"fx_metrics_{_name}", f"SELECT ts - ts % {_step} AS bucket, symbol, {_METRICS} FROM fx_trades GROUP BY 1, 2")
     query(f"trading_metrics_{_name}", f"SELECT * FROM fx_metrics_{_name}")(
         lambda fx, i=_name: rounded(volume.trading_metrics(fx.trades, i), "volume", "avg_price"))
     query(f"volume_by_pool_{'1h' if _step == 3600 else '1d'}", f"""SELECT ts - ts % {_step} AS bucket, pool_id, count(*) AS trade_count, {r2('sum(quote_qty)', 'volume')},
-      {r4('avg(quote_qty)', 'avg_trade_size')}, min(price) AS min_price, max(price) AS max_price, arg_min(price, seq) AS open_price, arg_max(price, seq) AS close_price
+      {r4('avg(quote_qty)', 'avg_trade_size')}, min(price) AS min_price, max(price) AS max_price, arg_min(price, (ts, seq, chain_id)) AS open_price, arg_max(price, (ts, seq, chain_id)) AS close_price
       FROM fx_trades GROUP BY 1, 2""")(lambda fx, i=_name: rounded(volume.volume_by_pool(fx.trades, i), "volume", "avg_trade_size"))
 _hourly = lambda fx: rounded(volume.trading_metrics(fx.trades, "hourly"), "volume", "avg_price")
 _daily = lambda fx: rounded(volume.trading_metrics(fx.trades, "daily"), "volume", "avg_price")
@@ -107,7 +107,7 @@ view("fx_vol_base", """SELECT t.*, i.interval_type, ts - ts % i.step + i.step AS
 view("fx_vol_stats", """SELECT symbol, interval_type, time_bucket, count(*) AS trades_count, count(DISTINCT user_id) AS unique_traders, sum(quote_qty) AS volume,
   sum(CASE WHEN is_buyer THEN quote_qty ELSE 0.0 END) AS buy_volume, sum(CASE WHEN is_buyer THEN 0.0 ELSE quote_qty END) AS sell_volume,
   count(*) FILTER (WHERE is_buyer) AS buy_trades, count(*) FILTER (WHERE NOT is_buyer) AS sell_trades, sum(quote_qty) / sum(quantity) AS vwap,
-  arg_min(price, seq) AS open_price, max(price) AS high_price, min(price) AS low_price, arg_max(price, seq) AS close_price, avg(quote_qty) AS mean_size,
+  arg_min(price, (ts, seq, chain_id)) AS open_price, max(price) AS high_price, min(price) AS low_price, arg_max(price, (ts, seq, chain_id)) AS close_price, avg(quote_qty) AS mean_size,
   stddev_samp(price) AS sd FROM fx_vol_base GROUP BY 1, 2, 3""")
 view("fx_vol_big", """SELECT symbol, interval_type, time_bucket, count(*) FILTER (WHERE quote_qty > mean_size * 3) AS large_trade_count,
   count(*) FILTER (WHERE quote_qty > mean_size * 10) AS whale_trade_count FROM fx_vol_base JOIN fx_vol_stats USING (symbol, interval_type, time_bucket) GROUP BY 1, 2, 3""")

@@ -95,7 +95,7 @@ view("fx_flow_sum", f"""SELECT symbol, f.period_type, f.time_bucket, {_cs('is_bu
   {_cs('is_buyer AND quote_qty < 1000', 'retail_inflows')}, {_cs('NOT is_buyer AND quote_qty < 1000', 'retail_outflows')},
   sum(CASE WHEN inst THEN CASE WHEN is_buyer THEN quote_qty ELSE -quote_qty END ELSE 0.0 END) AS institutional_flow, count(*) AS n, sum(quote_qty) AS v,
   sum(CASE WHEN is_buyer THEN quote_qty ELSE -quote_qty END) AS nf, count(DISTINCT CASE WHEN is_buyer THEN user_id END) AS unique_inflow_addresses,
-  count(DISTINCT CASE WHEN NOT is_buyer THEN user_id END) AS unique_outflow_addresses, arg_min(price, seq) AS o, arg_max(price, seq) AS c
+  count(DISTINCT CASE WHEN NOT is_buyer THEN user_id END) AS unique_outflow_addresses, arg_min(price, (ts, seq, chain_id)) AS o, arg_max(price, (ts, seq, chain_id)) AS c
   FROM fx_flow_base f JOIN fx_flow_inst USING (user_id, period_type, time_bucket) GROUP BY 1, 2, 3""")
 _VOLS = "inflow_volume outflow_volume large_inflows large_outflows whale_inflows whale_outflows retail_inflows retail_outflows institutional_flow".split()
 view("fx_flow", f"""SELECT symbol, period_type, time_bucket, {r2('nf', 'net_flow')}, {', '.join(r2(c) for c in _VOLS)}, 0.0::double AS dex_flow, {r2('nf', 'cex_flow')}, unique_inflow_addresses,

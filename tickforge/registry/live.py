@@ -122,7 +122,7 @@ def stream_balances(fx):
     return streams.read_latest(fx.spark, path, ["user_id", "currency"])
 
 
-@query("stream_mini_ticker", """SELECT symbol, g.as_of, arg_max(price, seq) AS close, max(price) AS high, min(price) AS low, round(sum(quantity) + 1e-9, 2) AS volume, count(*) AS trade_count
+@query("stream_mini_ticker", """SELECT symbol, g.as_of, arg_max(price, (ts, seq, chain_id)) AS close, max(price) AS high, min(price) AS low, round(sum(quantity) + 1e-9, 2) AS volume, count(*) AS trade_count
   FROM fx_trades t JOIN (SELECT DISTINCT unnest([ts - ts % 21600 + 21600 * k for k in range(1, 5)]) AS as_of FROM fx_trades) g ON t.ts >= g.as_of - 86400 AND t.ts < g.as_of GROUP BY 1, 2""")
 def stream_mini_ticker(fx):
     """24-hour windows that slide by six hours (by a minute in production)."""
@@ -130,7 +130,7 @@ def stream_mini_ticker(fx):
     return rounded(streams.read_latest(fx.spark, path, ["symbol", "as_of"]), "volume")
 
 
-@query("stream_mini_ticker_minutely", """SELECT symbol, as_of, arg_max(price, seq) AS close, max(price) AS high, min(price) AS low, round(sum(quantity) + 1e-9, 2) AS volume, count(*) AS trade_count
+@query("stream_mini_ticker_minutely", """SELECT symbol, as_of, arg_max(price, (ts, seq, chain_id)) AS close, max(price) AS high, min(price) AS low, round(sum(quantity) + 1e-9, 2) AS volume, count(*) AS trade_count
   FROM (SELECT *, unnest(range(ts - ts % 60 + 60, ts - ts % 60 + 86401, 60)) AS as_of FROM fx_trades) GROUP BY 1, 2""")
 def stream_mini_ticker_minutely(fx):
     """24-hour windows that slide by a minute, from the stream's one-minute rows."""

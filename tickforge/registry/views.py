@@ -11,7 +11,7 @@ view("fx_base", """SELECT event_id AS e, user_id AS u, event_type AS pool, value
 
 view("fx_trades", """SELECT chain AS chain_id, e AS trade_id, cast(u AS varchar) AS user_id, pool AS symbol, pool AS pool_id,
   CASE WHEN e % 2 = 0 THEN 'Buy' ELSE 'Sell' END AS side, e % 2 = 0 AS is_buyer, value AS price,
-  cast(q AS double) AS quantity, value * cast(q AS double) AS quote_qty, t AS ts, e AS seq FROM fx_base""")
+  cast(q AS double) AS quantity, value * cast(q AS double) AS quote_qty, t AS ts, CASE WHEN chain = 2 THEN e - 1000000000 ELSE e END AS seq FROM fx_base""")
 
 _LOG = "e * 8 + {k} AS log_index, {t} AS block_timestamp, {o} AS order_id, {u} AS user_id, {s} AS side_code, {p} AS price, {q} AS quantity, {m} AS is_market, {st} AS status_code, {f} AS filled, {b} AS buy_order_id, {x} AS sell_order_id"
 
@@ -106,25 +106,25 @@ view("fx_lending_raw", """SELECT CASE pool WHEN 'signup' THEN 'SUPPLY' WHEN 'vie
   cast(u + 3 AS varchar) AS liquidator, t AS ts, sha256(cast(e AS varchar)) AS tx_hash, e AS seq FROM fx_base""")
 
 view("fx_oracle_events", """SELECT 1 AS chain_id, 't' || (e % 40) AS token, p AS price,
-  CASE WHEN e % 3 = 0 THEN 'TWAP' END AS source, CASE WHEN e % 4 = 0 THEN 6 END AS decimals, t AS ts, e AS seq FROM fx_base""")
+  CASE WHEN e % 3 = 0 THEN 'TWAP' END AS source, CASE WHEN e % 4 = 0 THEN 6 END AS decimals, t AS ts, CASE WHEN chain = 2 THEN e - 1000000000 ELSE e END AS seq FROM fx_base""")
 
 view("fx_asset_config_events", """SELECT 1 AS chain_id, 't' || (e % 40) AS token,
   cast(6000 + (q * 41) % 3000 AS hugeint) * 100000000000000 AS collateral_factor,
   cast(7000 + (q * 37) % 2000 AS hugeint) * 100000000000000 AS liquidation_threshold,
   cast(500 + q AS hugeint) * 100000000000000 AS liquidation_bonus,
-  cast((q % 20) * 100 AS hugeint) * 100000000000000 AS reserve_factor, t AS ts, e AS seq FROM fx_base""")
+  cast((q % 20) * 100 AS hugeint) * 100000000000000 AS reserve_factor, t AS ts, CASE WHEN chain = 2 THEN e - 1000000000 ELSE e END AS seq FROM fx_base""")
 
 view("fx_bridge_messages", """SELECT CASE WHEN e % 3 = 1 THEN e - 1 ELSE e END AS message_id,
   CASE WHEN e % 3 = 1 THEN 'PROCESS' ELSE 'DISPATCH' END AS type, CASE WHEN e % 3 = 1 THEN 2 ELSE 1 END AS chain_id,
-  'tx' || e AS tx_hash, cast(u AS varchar) AS user_id, t AS ts, e AS seq FROM fx_base""")
+  'tx' || e AS tx_hash, cast(u AS varchar) AS user_id, t AS ts, CASE WHEN chain = 2 THEN e - 1000000000 ELSE e END AS seq FROM fx_base""")
 
 view("fx_bridge_deposits", """SELECT e AS deposit_id, 1 AS chain_id, cast(u AS varchar) AS user_id, 'c' || (e % 5) AS token,
-  p AS amount, 'tx' || e AS tx_hash, t AS ts, e AS seq FROM fx_base""")
+  p AS amount, 'tx' || e AS tx_hash, t AS ts, CASE WHEN chain = 2 THEN e - 1000000000 ELSE e END AS seq FROM fx_base""")
 
 view("fx_chain_balance", """SELECT CASE pool WHEN 'signup' THEN 'deposit' WHEN 'purchase' THEN 'withdraw'
     WHEN 'click' THEN 'unlock' WHEN 'view' THEN 'claim' ELSE 'whitelist' END AS op, 1 AS chain_id,
   cast(u AS varchar) AS user_id, 'c' || (e % 5) AS token, p AS amount, q % 2 = 0 AS is_whitelisted,
-  sha256(cast(e AS varchar)) AS tx_hash, e AS log_index, t AS ts, e AS seq FROM fx_base""")
+  sha256(cast(e AS varchar)) AS tx_hash, e AS log_index, t AS ts, CASE WHEN chain = 2 THEN e - 1000000000 ELSE e END AS seq FROM fx_base""")
 
 view("fx_registry", """SELECT op, cast(token % 3 + 1 AS int) AS source_chain, '0x' || token AS source_token,
   cast(token % 2 + 100 AS int) AS target_chain, CASE WHEN op IN ('register', 'update') THEN '0xs' || k END AS synthetic_token,
@@ -142,7 +142,7 @@ view("fx_currencies", """SELECT 'c' || p_partkey AS address, 1 AS chain_id,
 view("fx_faucet", """SELECT e // 3 AS request_id, '0xAb' || ((e // 3) % 50) AS address, cast((e // 3) % 2 + 1 AS int) AS chain_id,
   CASE e % 3 WHEN 0 THEN 'pending' WHEN 1 THEN NULL ELSE CASE WHEN q % 4 = 0 THEN 'failed' ELSE 'completed' END END AS status,
   CASE WHEN e % 3 = 1 THEN 'tx' || e END AS tx_hash, CASE WHEN e % 3 = 2 AND q % 4 = 0 THEN 'rejected' END AS error,
-  t AS ts, e AS seq FROM fx_base""")
+  t AS ts, CASE WHEN chain = 2 THEN e - 1000000000 ELSE e END AS seq FROM fx_base""")
 
 view("fx_sync_log", """SELECT e AS trade_id, 'analytics' AS service, CASE WHEN t < 1704153600
     OR t BETWEEN 1704844800 AND 1704931200 OR t >= 1706572800 THEN 'pending' ELSE 'processed' END AS status,
