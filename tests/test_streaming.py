@@ -5,7 +5,7 @@ import os
 from pyspark.sql import functions as F
 
 from tickforge.plans import books, ledger, trades
-from tickforge.streaming import streams
+from tickforge.streaming import late, stateful, streams
 
 
 def feed(spark, df, path, files):
@@ -21,9 +21,10 @@ def feed(spark, df, path, files):
 
 
 def cut(df, n):
-    lo, hi = df.agg(F.min("seq"), F.max("seq")).head()
+    at = F.col("block_timestamp" if "block_timestamp" in df.columns else "ts")
+    lo, hi = df.agg(F.min(at), F.max(at)).head()
     step = (hi - lo) // n + 1
-    return [df.filter((F.col("seq") >= lo + i * step) & (F.col("seq") < lo + (i + 1) * step)) for i in range(n)]
+    return [df.filter((at >= lo + i * step) & (at < lo + (i + 1) * step)) for i in range(n)]
 
 
 def same(a, b):
@@ -55,41 +56,103 @@ def test_late_rows_are_dropped_past_the_watermark(spark, fx, tmp_path):
     assert closed.select("chain_id", "symbol", "open_time", "close", "trade_count").exceptAll(batch).count() == 0
 
 
+def totals(q):
+    return [s.numRowsTotal for p in q.recentProgress for s in p.stateOperators]
+
+
 def test_depth_over_batches(spark, fx, tmp_path):
+    """The book after every event, compacted on the way, with a restart in between; state falls when orders close."""
     log = fx.event_log
-    src = feed(spark, log, str(tmp_path / "in"), cut(log, 3))
-    out, _ = streams.run(streams.stream_depth(src), "d", "update", path=str(tmp_path / "out"))
+    parts = cut(log, 4)
+    path, out = str(tmp_path / "in"), str(tmp_path / "out")
+    sink = stateful.merged_sink(out, stateful.merge_levels, every=3)
+    streams.run(stateful.stream_depth(feed(spark, log, path, parts[:2])), "d", each=sink, path=out)
+    for i, part in enumerate(parts[2:]):
+        part.coalesce(1).write.parquet(str(tmp_path / f"more{i}"))
+        name = next(n for n in os.listdir(tmp_path / f"more{i}") if n.endswith(".parquet"))
+        os.rename(tmp_path / f"more{i}" / name, f"{path}/f90{i}.parquet")
+    again = streams.stream_source(spark, path, log.schema, 1, "f*.parquet")
+    _, q = streams.run(stateful.stream_depth(again), "d", each=sink, path=out)
     cols = ["chain_id", "pool_id", "side", "price", "quantity", "order_count"]
     want = books.depth_incremental(log).filter("quantity > 0")
-    assert same(streams.read_depth(spark, out).select(cols), want.select(cols))
-    top = streams.read_depth(spark, out, 5)
+    assert same(stateful.read_depth(spark, out).select(cols), want.select(cols))
+    top = stateful.read_depth(spark, out, 5)
     assert top.filter("level > 5").count() == 0 and top.count() <= 5 * 20
+    assert stateful._parts(spark, out)[1] >= 2  # a base took the place of the first batches
+    placed = log.filter("event_name = 'OrderPlaced'").count()
+    live = want.agg(F.sum("order_count")).head()[0]
+    assert totals(q)[-1] < placed and totals(q)[-1] <= live + log.filter("event_name <> 'OrderPlaced'").count()
+
+
+def test_state_falls_when_orders_close(spark, tmp_path):
+    rows = [("OrderPlaced", 1, "p", 1000 + i, i, 0, 100, 5, None, None, None) for i in range(50)]
+    done = [("OrderCancelled", 1, "p", 90_000 + i, i, None, None, None, 3, None, None) for i in range(40)]
+    lost = [("OrderMatched", 1, "p", 90_100, None, 0, 100, 1, None, 900, 901)]
+    tick = [("OrderPlaced", 1, "p", 200_000, 999, 0, 100, 5, None, None, None)]
+    log = spark.createDataFrame(rows + done + lost + tick, "event_name string, chain_id int, address string, block_timestamp long, order_id long, side_code int, price long, quantity long, status_code int, buy_order_id long, sell_order_id long")
+    files = [log.filter("block_timestamp < 90000"), log.filter("block_timestamp between 90000 and 199999"), log.filter("block_timestamp >= 200000")]
+    out = str(tmp_path / "out")
+    _, q = streams.run(stateful.stream_depth(feed(spark, log, str(tmp_path / "in"), files)), "d", each=stateful.merged_sink(out, stateful.merge_levels), path=out)
+    held = totals(q)
+    assert max(held) >= 50 and held[-1] == 11  # ten open orders and the last one; the match of unknown orders is forgotten
+    assert [(r.quantity, r.order_count) for r in stateful.read_depth(spark, out).collect()] == [(55, 11)]
 
 
 def test_balances_over_batches(spark, fx, tmp_path):
     e = fx.ledger_events
+    out = str(tmp_path / "out")
     src = feed(spark, e, str(tmp_path / "in"), cut(e, 3))
-    out, _ = streams.run(streams.stream_balances(src), "b", "update", path=str(tmp_path / "out"))
-    want = ledger.balance_ledger(e).select("user_id", "currency", F.col("amount").alias("available"), "locked")
-    assert same(streams.read_latest(spark, out, ["user_id", "currency"]).select(want.columns), want)
+    streams.run(stateful.stream_balances(src), "b", each=stateful.merged_sink(out, stateful.merge_balances, every=2), path=out)
+    want = ledger.balance_ledger(e).select("chain_id", "user_id", "currency", F.col("amount").alias("available"), "locked")
+    assert same(stateful.read_merged(spark, out, stateful.merge_balances).select(want.columns), want)
 
 
 def test_mini_ticker_of_every_minute(spark, tmp_path):
-    """Every minute of the 24 hours after a trade, not one in 360, and trades at the borders of minutes, hours and days."""
-    times = [0, 59, 60, 3540, 3599, 3600, 7199, 86399, 86400, 86460, 90000, 172799, 172800, 300000]
-    rows = [(s, 86400 * 19000 + t, n, float(n * 7 % 11 + k), 1.0 + n) for k, s in enumerate("ab") for n, t in enumerate(times) if n % (k + 1) == 0]
-    t = spark.createDataFrame(rows, "symbol string, ts long, seq long, price double, quantity double")
-    out, _ = streams.run(streams.stream_minutes(feed(spark, t, str(tmp_path / "in"), cut(t, 3))), "m", "update", path=str(tmp_path / "out"))
-    got = streams.ticker_of_minutes(streams.read_latest(spark, out, ["symbol", "minute"])).collect()
-    want = {}
-    for s, ts, n, price, q in rows:
+    """Every minute up to the watermark, trades at the borders of minutes and days, days without trades, two chains."""
+    times = [0, 59, 60, 3540, 3599, 3600, 7199, 86399, 86400, 86460, 90000, 172799, 172800, 300000, 300700, 420000]
+    rows = [(c, s, 86400 * 19000 + t, n, float(n * 7 % 11 + k + c), 1.0 + n) for k, (c, s) in enumerate([(1, "a"), (1, "b"), (2, "a")]) for n, t in enumerate(times) if n % (k + 1) == 0]
+    t = spark.createDataFrame(rows, "chain_id int, symbol string, ts long, seq long, price double, quantity double")
+    out, q = streams.run(stateful.stream_mini_ticker(feed(spark, t, str(tmp_path / "in"), cut(t, 3))), "m", path=str(tmp_path / "out"))
+    got = spark.read.parquet(out).collect()
+    end, want = (86400 * 19000 + 420000 - 600) // 60 * 60, {}
+    for c, s, ts, n, price, quantity in rows:
         for k in range(1, 1441):
-            want.setdefault((s, ts - ts % 60 + 60 * k), []).append((n, price, q))
-    assert {(r.symbol, r.as_of): (r.close, r.high, r.low, r.volume, r.trade_count) for r in got} == {
+            at = ts - ts % 60 + 60 * k
+            if at <= end:
+                want.setdefault((c, s, at), []).append((n, price, quantity))
+    assert {(r.chain_id, r.symbol, r.as_of): (r.close, r.high, r.low, r.volume, r.trade_count) for r in got} == {
         k: (max(v)[1], max(p for _, p, _ in v), min(p for _, p, _ in v), sum(q for *_, q in v), len(v)) for k, v in want.items()}
     assert len(got) == len(want)
 
 
+def test_late_trades_are_kept_counted_and_repaired(spark, fx, tmp_path):
+    """Trades an hour late end in the batch answer; only the candles they touch are written again."""
+    t = fx.trades
+    parts = cut(t.filter("chain_id = 1"), 3)
+    late_ones = parts[0].orderBy("seq").limit(7)
+    files = [parts[0].exceptAll(late_ones), parts[1], parts[2].unionByName(late_ones)]
+    out = str(tmp_path / "out")
+    streams.run(feed(spark, t, str(tmp_path / "in"), files), "k", each=late.candles_with_late_rows(out, 3600), path=out)
+    cols = ["chain_id", "symbol", "open_time", "open", "high", "low", "close", "trade_count"]
+    want = trades.klines(t.filter("chain_id = 1"), {"1h": 3600}).select(cols)
+    assert not same(late.read_candles(spark, out, True).select(cols), want)
+    touched = late_ones.select("symbol", F.col("ts") - F.col("ts") % 3600).distinct().count()
+    assert late.repair_candles(spark, out, 3600) == {"late": 7, "rewritten": touched}
+    assert same(late.read_candles(spark, out, True).select(cols), want)
+    assert late.repair_candles(spark, out, 3600) == {"late": 0, "rewritten": 0}
+
+
+def test_late_repeats_are_not_written_twice(spark, fx, tmp_path):
+    t = fx.trades.filter("chain_id = 1")
+    parts = cut(t, 3)
+    lost, again = parts[0].orderBy("seq").limit(5), parts[0].orderBy(F.col("seq").desc()).limit(4)
+    files = [parts[0].exceptAll(lost), parts[1].unionByName(parts[1].limit(30)), parts[2].unionByName(lost).unionByName(again)]
+    out = str(tmp_path / "out")
+    streams.run(feed(spark, t, str(tmp_path / "in"), files), "k", each=late.dedup_with_late_rows(out, ["trade_id"]), path=out)
+    assert late.repair_dedup(spark, out, ["trade_id"]) == {"late": 9, "added": 5}
+    assert same(late.read_deduped(spark, out).select("trade_id", "seq"), t.select("trade_id", "seq"))
+
+
 def test_restart_continues_from_the_offsets(spark, fx, tmp_path):
     t = fx.trades
     parts = cut(t, 2)

@@ -7,7 +7,7 @@ from tickforge.fixtures import AS_OF, Fixtures
 from tickforge.functions.columns import r
 from tickforge.registry.core import query, r2, r4, rounded, view
 from tickforge.session import scratch_path
-from tickforge.streaming import streams
+from tickforge.streaming import late, stateful, streams
 
 
 class StreamFixtures(Fixtures):
@@ -85,10 +85,16 @@ query("stream_klines", _K.format(i="1h"))(lambda fx: _klines(fx, "1 hour"))
 query("stream_klines_1m", _K.format(i="1m"))(lambda fx: _klines(fx, "1 minute"))
 
 
+def _sunk(fx, df, name, merge):
+    """Drained into a compacted table."""
+    path = scratch_path(fx.spark, name)
+    streams.run(df, name, each=stateful.merged_sink(path, merge), path=path)
+    return path
+
+
 @query("stream_depth", "SELECT chain_id, pool_id, side, price, quantity, order_count FROM fx_depth_inc WHERE quantity > 0")
 def stream_depth(fx):
-    path, _ = streams.run(streams.stream_depth(live(fx).event_log), "depth", "update")
-    return streams.read_depth(fx.spark, path)
+    return stateful.read_depth(fx.spark, _sunk(fx, stateful.stream_depth(live(fx).event_log), "depth", stateful.merge_levels))
 
 
 query("stream_trades", """SELECT 'trade' AS event, ts * 1000 AS event_ms, upper(symbol) AS symbol, trade_id, price, quantity, side = 'Sell' AS buyer_is_maker FROM fx_trades""")(
@@ -116,26 +122,36 @@ def stream_execution_reports(fx):
                                                   F.lower("commission_asset").alias("commission_asset"), "is_working")
 
 
-@query("stream_balances", "SELECT user_id, currency, amount AS available, locked, last_updated AS timestamp FROM fx_balances")
+@query("stream_balances", "SELECT chain_id, user_id, currency, amount AS available, locked, last_updated AS timestamp FROM fx_balances")
 def stream_balances(fx):
-    path, _ = streams.run(streams.stream_balances(live(fx).ledger_events), "balances", "update")
-    return streams.read_latest(fx.spark, path, ["user_id", "currency"])
+    path = _sunk(fx, stateful.stream_balances(live(fx).ledger_events), "balances", stateful.merge_balances)
+    return stateful.read_merged(fx.spark, path, stateful.merge_balances).drop("_batch")
+
+
+query("stream_mini_ticker", """SELECT chain_id, symbol, as_of, arg_max(price, seq) AS close, max(price) AS high, min(price) AS low, round(sum(quantity) + 1e-9, 2) AS volume, count(*) AS trade_count
+  FROM (SELECT *, unnest(range(ts - ts % 60 + 60, ts - ts % 60 + 86401, 60)) AS as_of FROM fx_trades) WHERE as_of <= (SELECT (max(ts) - 600) // 60 * 60 FROM fx_trades) GROUP BY 1, 2, 3""")(
+    lambda fx: rounded(drained(fx, stateful.stream_mini_ticker(live(fx).trades), "ticker"), "volume"))
 
 
-@query("stream_mini_ticker", """SELECT symbol, g.as_of, arg_max(price, (ts, seq, chain_id)) AS close, max(price) AS high, min(price) AS low, round(sum(quantity) + 1e-9, 2) AS volume, count(*) AS trade_count
-  FROM fx_trades t JOIN (SELECT DISTINCT unnest([ts - ts % 21600 + 21600 * k for k in range(1, 5)]) AS as_of FROM fx_trades) g ON t.ts >= g.as_of - 86400 AND t.ts < g.as_of GROUP BY 1, 2""")
-def stream_mini_ticker(fx):
-    """24-hour windows that slide by six hours (by a minute in production)."""
-    path, _ = streams.run(streams.stream_mini_ticker(live(fx).trades, slide="6 hours"), "ticker", "update")
-    return rounded(streams.read_latest(fx.spark, path, ["symbol", "as_of"]), "volume")
+def _in_pieces(fx):
+    """The trades as a stream of four files in time order; every fiftieth arrives with the last file, whatever its time."""
+    path, t = scratch_path(fx.spark, "pieces"), fx.trades
+    lo, hi = t.agg(F.min("ts"), F.max("ts")).head()
+    piece = F.when(F.col("trade_id") % 50 == 0, 3).otherwise(F.least(F.lit(3), F.floor((F.col("ts") - lo) * 4 / (hi - lo + 1))))
+    for k in range(4):
+        t.filter(piece == k).coalesce(1).write.parquet(f"{path}/p{k}")
+    reader = fx.spark.readStream.schema(t.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true")
+    return reader.parquet(path)
 
 
-@query("stream_mini_ticker_minutely", """SELECT symbol, as_of, arg_max(price, (ts, seq, chain_id)) AS close, max(price) AS high, min(price) AS low, round(sum(quantity) + 1e-9, 2) AS volume, count(*) AS trade_count
-  FROM (SELECT *, unnest(range(ts - ts % 60 + 60, ts - ts % 60 + 86401, 60)) AS as_of FROM fx_trades) GROUP BY 1, 2""")
-def stream_mini_ticker_minutely(fx):
-    """24-hour windows that slide by a minute, from the stream's one-minute rows."""
-    path, _ = streams.run(streams.stream_minutes(live(fx).trades), "minutes", "update")
-    return rounded(streams.ticker_of_minutes(streams.read_latest(fx.spark, path, ["symbol", "minute"])), "volume")
+@query("stream_klines_late", _K.format(i="1h"))
+def stream_klines_late(fx):
+    """Candles of a stream with late trades, repaired: the batch answer."""
+    path = scratch_path(fx.spark, "late-candles")
+    streams.run(_in_pieces(fx), "late-candles", each=late.candles_with_late_rows(path, 3600), path=path)
+    late.repair_candles(fx.spark, path, 3600)
+    rows = late.read_candles(fx.spark, path, with_open=True).withColumn("close_time", F.col("open_time") + 3599).drop("first_seq", "last_seq")
+    return rounded(rows, "volume quote_volume taker_buy_base_volume")
 
 
 query("stream_price_updates", "SELECT token, price, coalesce(decimals, 18) AS decimals, coalesce(source, 'CHAINLINK') AS source, ts FROM fx_oracle_events")(
@@ -151,9 +167,12 @@ query("stream_yield", "SELECT user_id AS user, token, CASE WHEN action = 'SUPPLY
 
 @query("stream_dedup", "SELECT trade_id, symbol, ts, price FROM fx_trades")
 def stream_dedup(fx):
-    """Every message delivered twice; the ids make it once."""
-    twice = live(fx).trades.withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2))))
-    return drained(fx, streams.stream_dedup(twice, ["trade_id"]), "dedup").select("trade_id", "symbol", "ts", "price")
+    """Every message delivered twice, some late: written once each."""
+    path = scratch_path(fx.spark, "dedup")
+    twice = _in_pieces(fx).withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2))))
+    streams.run(twice, "dedup", each=late.dedup_with_late_rows(path, ["trade_id"]), path=path)
+    late.repair_dedup(fx.spark, path, ["trade_id"])
+    return late.read_deduped(fx.spark, path).select("trade_id", "symbol", "ts", "price")
 
 
 @query("stream_lag_report", "SELECT 'ticks' AS query, count(*) AS input_rows FROM fx_trades")

@@ -1,8 +1,8 @@
 """The folds and projections of the batch plans on unbounded inputs.
 
 Every function takes and returns a DataFrame that may be streaming; ``run`` drains one into a Parquet
-folder with a checkpoint. Watermarks default to ten minutes; later rows are dropped, and the batch plans
-remain the truth for them.
+folder with a checkpoint. Watermarks default to ten minutes; later rows are dropped here. ``late`` has candles and
+deduplication that keep and repair them, ``stateful`` the streams with state of their own.
 """
 
 from __future__ import annotations
@@ -14,9 +14,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tickforge.functions.columns import is_buy
-from tickforge.plans.books import best_levels, order_deltas
-from tickforge.plans.ledger import ledger_deltas
-from tickforge.plans.orders import ORDER, POOL
 from tickforge.session import scratch_path
 
 WATERMARK = "10 minutes"
@@ -94,51 +91,6 @@ def stream_klines(trades: DataFrame, interval: str, watermark: str = WATERMARK)
                       "quote_volume", "trade_count", "taker_buy_base_volume")
 
 
-def stream_mini_ticker(trades: DataFrame, span: str = "24 hours", slide: str = "1 minute", watermark: str = WATERMARK) -> DataFrame:
-    """Rolling close, high, low and volume per symbol."""
-    timed = with_event_time(trades, "ts", watermark)
-    agg = timed.groupBy(F.window("event_time", span, slide), "symbol").agg(
-        F.max_by("price", "seq").alias("close"), F.max("price").alias("high"), F.min("price").alias("low"),
-        F.sum("quantity").alias("volume"), F.count(F.lit(1)).alias("trade_count"))
-    return agg.select("symbol", F.unix_timestamp("window.end").alias("as_of"), "close", "high", "low", "volume", "trade_count")
-
-
-def stream_minutes(trades: DataFrame, watermark: str = WATERMARK) -> DataFrame:
-    """One row per symbol and minute with trades: what a mini ticker is combined from. The state is one row per symbol and
-    open minute."""
-    timed = trades if "event_time" in trades.columns else with_event_time(trades, "ts", watermark)
-    agg = timed.groupBy(F.window("event_time", "1 minute"), "symbol").agg(
-        F.max_by("price", "seq").alias("close"), F.max("seq").alias("seq"), F.max("price").alias("high"), F.min("price").alias("low"),
-        F.sum("quantity").alias("volume"), F.count(F.lit(1)).alias("trade_count"))
-    return agg.select("symbol", F.unix_timestamp("window.start").alias("minute"), "close", "seq", "high", "low", "volume", "trade_count")
-
-
-def ticker_of_minutes(minutes: DataFrame) -> DataFrame:
-    """Close, high, low and volume per symbol of the 24 hours before every minute, from ``stream_minutes``.
-
-    The span is the end of its first hour, 23 whole hours and the beginning of its last one. So a minute is copied to the
-    minutes of two hours and an hour to 23 hours, not each minute to 1,440 spans.
-    """
-    hour, of = F.col("minute") - F.col("minute") % 3600, ["symbol", "as_of"]
-    values = [F.max_by("close", "seq").alias("close"), F.max("seq").alias("seq"), F.max("high").alias("high"), F.min("low").alias("low"),
-              F.sum("volume").alias("volume"), F.sum("trade_count").alias("trade_count")]
-    names = ["symbol", "as_of", "close", "seq", "high", "low", "volume", "trade_count"]
-    spread = lambda df, first, last, step: df.withColumn(
-        "as_of", F.explode(F.when(last >= first, F.sequence(first, last, F.lit(step).cast("long"))))).select(names)
-    begun = spread(minutes, F.col("minute") + 60, hour + 3540, 60)
-    ended = spread(minutes, hour + 86400, F.col("minute") + 86400, 60)
-    hours = minutes.withColumn("as_of", hour).groupBy(of).agg(*values)
-    whole = spread(hours, F.col("as_of") + 3600, F.col("as_of") + 23 * 3600, 3600).groupBy(of).agg(*values)
-    whole = spread(whole, F.col("as_of"), F.col("as_of") + 3540, 60)
-    return begun.unionByName(ended).unionByName(whole).groupBy(of).agg(*values).drop("seq")
-
-
-def stream_balances(ledger: DataFrame) -> DataFrame:
-    """Running free and locked amount per account; update mode emits each changed account."""
-    return ledger_deltas(ledger).groupBy("user_id", "currency").agg(
-        F.sum("d_amount").alias("available"), F.sum("d_locked").alias("locked"), F.max("ts").alias("timestamp"))
-
-
 def stream_trades(trades: DataFrame) -> DataFrame:
     """Public trade tick."""
     return trades.select(
@@ -257,19 +209,6 @@ def quarantine(kind: str, required: tuple[str, ...], good_path: str, bad_path: s
     return write
 
 
-def stream_depth(log: DataFrame) -> DataFrame:
-    """What every order contributes to its level, kept per order in state; update mode emits changed orders."""
-    return order_deltas(log)
-
-
-def read_depth(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
-    """Book from the newest contribution of every order, optionally the best levels per side."""
-    orders = read_latest(spark, path, ORDER)
-    levels = orders.groupBy(*POOL, "side", "price").agg(
-        F.sum("d_qty").cast("long").alias("quantity"), F.sum("d_count").cast("long").alias("order_count")).filter(F.col("quantity") > 0)
-    return levels if limit is None else best_levels(levels, limit)
-
-
 def stream_lag_report(spark: SparkSession, queries: list[StreamingQuery]) -> DataFrame:
     """Rows read, rate and files still behind per query, from its recent progress."""
     rows = []
