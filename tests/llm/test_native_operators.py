@@ -75,12 +75,23 @@ def test_mix_odd_rows(spark):
     assert {r.target for r in source_mixing.copies(docs.withColumn("text", F.lit(" "))).collect()} == {0.0}
 
 
-def test_line_dedup_odd_rows(spark):
-    docs = odd_docs(spark).withColumn("_row", F.lit("clash")).withColumn("_drop", F.lit(1)).withColumn("_n_lines", F.lit(2))
-    out = line_dedup.drop_lines(docs, F.col("source"), counts=("h", "n", "gone"))
+def plain_lines(docs, ratio, least=2):
+    """Texts without the lines on more than ``ratio`` of their source's documents."""
+    blank, pages = line_dedup.BLANKS, Counter(d.source or "" for d in docs)
+    lines = lambda d: {x.strip(blank) for x in (d.text or "").split("\n")} - {""}
+    holds = Counter((d.source or "", k) for d in docs for k in lines(d))
+    gone = {k for k, n in holds.items() if n >= least and n / pages[k[0]] > ratio}
+    return gone, [None if d.text is None else "\n".join(x for x in d.text.split("\n") if (d.source or "", x.strip(blank)) not in gone) for d in docs]
+
+
+@pytest.mark.parametrize("most", [0, 1000])
+def test_line_dedup_odd_rows(spark, most):
+    docs = odd_docs(spark).withColumn("_row", F.lit("clash")).withColumn("_drop", F.lit(1)).withColumn("_n_lines", F.lit(2)).withColumn("_salt", F.lit(3))
+    out = line_dedup.drop_lines(docs, F.col("source"), counts=("h", "n", "gone"), most_hashes=most)
     assert out.columns == [*docs.columns, "h", "n", "gone"] and out.count() == docs.count()
-    assert Counter(r.text for r in out.collect()) == Counter(d.text for d in docs.collect())  # nothing is frequent
-    assert line_dedup.drop_lines(empty(docs), F.col("source")).count() == 0
+    gone, want = plain_lines(docs.collect(), line_dedup.MAX_RATIO)
+    assert gone and Counter(r.text for r in out.collect()) == Counter(want)
+    assert line_dedup.drop_lines(empty(docs), F.col("source"), most_hashes=most).count() == 0
 
 
 def test_line_dedup_drops_by_host_ratio(spark):
@@ -95,7 +106,7 @@ def test_line_dedup_drops_by_host_ratio(spark):
 def test_line_dedup_by_ratio_on_small_hosts(spark, tmp_path):
     rows = [(10 * n + i, f"https://h{n}.example/{i}", f"<p>menu</p><p>own {i}</p><p>{'some' if i < 2 else 'rest'}</p>") for n in (1, 2, 3, 4, 20, 30) for i in range(n)]
     spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
-    out = {r.page_id: r for r in queries.QUERIES["op8_line_dedup_by_ratio"](spark, str(tmp_path)).collect()}
+    out = {r.page_id: r for r in queries.QUERIES["op8_line_dedup"](spark, str(tmp_path)).collect()}
     assert "menu" in out[10].text and out[10].n_dropped == 0  # a host of one page repeats nothing
     for n in (2, 3, 4):
         assert all("menu" not in out[10 * n + i].text and f"own {i}" in out[10 * n + i].text for i in range(n))
@@ -108,6 +119,9 @@ def test_pages_with_nulls_and_odd_urls(spark):
     out = {r.page_id: r for r in line_dedup.dedup_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert (out[1].host, out[1].n_lines) == ("", 1) and (out[2].host, out[2].text) == ("host.example", None)
     assert out[3].text == "text only" and out[None].text == "\n<b>&lt;"
+    same = spark.createDataFrame([(7, "https://h.example/a", "<p>x</p><p>y</p>")] * 2, "page_id long, url string, html string")
+    assert [(r.n_lines, r.n_dropped) for r in line_dedup.dedup_pages(same).collect()] == [(2, 2)] * 2  # repeated rows are pages
+    assert line_dedup.dedup_pages(empty(same)).count() == 0
 
 
 def test_license_scan_odd_rows_and_notices(spark):

@@ -24,9 +24,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tickforge.llm.common import bucketed, fields, text_list
+from tickforge.llm.common import bucketed, fields, give_back, lean, text_list
 
-BLOCK_CHARS = 8_000_000  # texts of a block, and so the memory of one cogroup; one longer text is a block of its own
+BLOCK_CHARS = 6_000_000  # texts of a block, and so the memory of one cogroup; one longer text is a block of its own
 DECODED_ROWS = 500  # rows decoded at once
 END = b"\xff"  # a byte that UTF-8 never contains, between the words of a pack
 PLANES = 4  # bytes of a pre-token's number, stored byte by byte because the upper ones are nearly constant
@@ -74,6 +74,7 @@ def blocks(docs: DataFrame, pattern: str, buckets: int, id_col: str = "doc_id",
            block_chars: int = BLOCK_CHARS) -> DataFrame:
     """One row per block: block, ids, sizes (pre-tokens of each document), numbers (the pre-token at each
     position), and by bucket its distinct words and their numbers."""
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find, part, count = regex.compile(pattern).findall, TaskContext.get().partitionId(), 0
         held = _Numbering()
@@ -124,6 +125,7 @@ def word_ids(packs: DataFrame, path: str, pattern: str) -> DataFrame:
     encoded once. Memory is one bucket's distinct words; a word stands at most once in a pack, so frequent
     words weigh little more than others.
     """
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, bucket, known = _word_encoder(path, pattern), None, {}
         for batch in batches:
@@ -177,6 +179,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
         at = np.repeat((begins[flat] - ends[:-1]).astype("i4"), widths[flat]) + np.arange(ends[-1], dtype="i4")
         ends = ends[np.concatenate([[0], np.cumsum(np.array(block["sizes"][0].as_py(), "i8"))])]
         ids = pa.array(block["ids"][0].as_py(), to_arrow_schema(kind).field(0).type)
+        give_back()
         return pa.table({id_col: ids, "ids": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(tokens[at].astype("i4")))})
 
     return held.select("block", "ids", "sizes", "numbers", "places").groupBy("block").cogroup(found.groupBy("block")).applyInArrow(
@@ -186,6 +189,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
 def decode(rows: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """id, ids and the bytes they stand for, by a map-side join with the token-byte table (one row per entry of
     the vocabulary file, which bounds it). Null ids give no bytes; an id outside the vocabulary is an error."""
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         text, begins, widths = token_bytes(path)
         for whole in batches:

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tickforge.llm.common import bucketed, bytes_list, fields, slices, spare, staged
+from tickforge.llm.common import bucketed, bytes_list, fields, lean, slices, spare, staged
 from tickforge.llm.words import WordHashes, windows
 
 SHINGLE_WORDS = 5
@@ -95,6 +95,7 @@ def _node(found: np.ndarray) -> int | None:
 
 def nodes_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """id, _text (hash of the text), n_shingles and node (hash of the set, null for none) of every row."""
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in slices(batches, ROWS):
@@ -111,6 +112,7 @@ def shingle_sets(docs: DataFrame, text_col: str) -> DataFrame:
 
     A task passes a set on once, so a set with any number of copies is at most one row per task.
     """
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, seen = WordHashes(), set()
         for batch in slices(batches, ROWS):
@@ -136,6 +138,7 @@ def _flat(column: pa.Array) -> list[np.ndarray]:
 
 def pivots(sets: DataFrame) -> DataFrame:
     """(node, pivot): followers and the pivot they are to be measured against."""
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, ROWS):
             first = [h[:ANCHORS].astype("i8") for h in _flat(batch.column(1))]
@@ -166,6 +169,7 @@ def central(chosen: DataFrame, sets: DataFrame) -> DataFrame:
     inside = chosen.join(large, F.col("pivot") == F.col("old")).select(F.col("node").alias("of"), "old").unionByName(
         large.select(F.col("old").alias("of"), "old"))
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, ROWS):
             held = _flat(batch.column(2))
@@ -211,6 +215,7 @@ def measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     joined = _with_blobs(pairs, sets)
     names = [*joined.columns[:-2], "inter", "na", "nb"]
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, ROWS):
             sizes = [(len(np.intersect1d(x, y)), len(x), len(y)) for x, y in _both(batch)]
@@ -223,6 +228,7 @@ def outside(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     joined = _with_blobs(pairs, sets)
     names = [*joined.columns[:-2], "shingle"]
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, ROWS):
             extra = [np.setdiff1d(x, y) for x, y in _both(batch)]
@@ -242,6 +248,7 @@ def _shown(sets: DataFrame, everything: bool, role: int) -> DataFrame:
     A node shows what its smallest possible partner counts, and counts what its largest possible one shows. ``info``
     is twice the node's size, plus one where it counts the shingle.
     """
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, ROWS):
             held = _flat(batch.column(1))
@@ -275,6 +282,7 @@ def _shared(rows: DataFrame, limit: int | None = None) -> DataFrame:
     """
     limit = limit or REGIONS
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[tuple[int, int | None], int] = {}
         spans: dict[int, tuple[int, int]] = {}
@@ -282,10 +290,15 @@ def _shared(rows: DataFrame, limit: int | None = None) -> DataFrame:
         last, open_shingle, many = None, None, False
 
         def flush() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array([k[0] for k in counts], pa.int64()), pa.array([k[1] for k in counts], pa.int64()),
-                                              pa.array(list(counts.values()), pa.int64())], names=["node", "label", "c"])
+            """One row per node with all it shares: tasks meet a pair again and again, so rows per pair would be many."""
+            by_node: dict[int, tuple[list, list]] = {}
+            for (node, label), c in counts.items():
+                labels, shared = by_node.setdefault(node, ([], []))
+                labels.append(label)
+                shared.append(c)
             counts.clear()
-            return out
+            return pa.RecordBatch.from_arrays([pa.array(list(by_node), pa.int64()), *(pa.array([x[i] for x in by_node.values()], pa.list_(pa.int64())) for i in range(2))],
+                                              names=["node", "labels", "shared"])
 
         def searched(node: int, label: int, n: int) -> None:
             if many:
@@ -336,8 +349,30 @@ def _shared(rows: DataFrame, limit: int | None = None) -> DataFrame:
         told()
         if counts:
             yield flush()
+
+    @lean
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, dict[int | None, int]] = {}
+        kept = 0
+        for batch in batches:
+            for node, labels, shared in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if node not in held and kept > KEPT_COUNTS:
+                    kept = 0
+                    yield told(held)  # rows of a node follow each other, so those held are complete
+                mine, kept = held.setdefault(node, {}), kept + len(labels)
+                for label, c in zip(labels, shared, strict=True):
+                    mine[label] = mine.get(label, 0) + c
+        if held:
+            yield told(held)
+
+    def told(held: dict[int, dict[int | None, int]]) -> pa.RecordBatch:
+        out = pa.RecordBatch.from_arrays([pa.array([n for n, m in held.items() for _ in m], pa.int64()), pa.array([x for m in held.values() for x in m], pa.int64()),
+                                          pa.array([c for m in held.values() for c in m.values()], pa.int64())], names=["node", "label", "c"])
+        held.clear()
+        return out
     met = rows.repartition("shingle").sortWithinPartitions("shingle", "role", "label", "node")
-    return met.mapInArrow(run, "node long, label long, c long").groupBy("node", "label").agg(F.sum("c").alias("c"))
+    parts = met.mapInArrow(run, "node long, labels array<long>, shared array<long>").repartition("node").sortWithinPartitions("node")
+    return parts.mapInArrow(add_up, "node long, label long, c long")
 
 
 def components(edges: DataFrame) -> DataFrame:

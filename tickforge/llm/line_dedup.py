@@ -3,8 +3,9 @@
 For every host, the share of its pages that contain a line is the line's boilerplate ratio; lines above a
 ratio go. Lines are counted by a 64-bit hash per (host, line) with map-side combining, so neither a large host nor
 a frequent line meets in one task. The lines that go are few per host by construction: their ratios add up to at
-most the mean number of different lines on a page, so there are at most that many over the ratio. They come back
-as one array per host, and pages are rewritten where they are, without being shuffled line by line.
+most the mean number of different lines on a page, so there are at most that many over the ratio. They are written as
+one array per host. Up to ``MOST_HASHES`` of them are broadcast and pages are rewritten where they are; beyond that, pages
+meet them by host and salt, so that a host's pages are spread over tasks.
 """
 
 from __future__ import annotations
@@ -12,9 +13,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tickforge.llm.common import staged
+
 MAX_RATIO = 0.1
-MIN_PAGES = 5  # a line on fewer pages of its host is no boilerplate, whatever its ratio
-REPEATED = 2  # with this least number the ratio alone decides: a line on a single page repeats nothing
+MIN_PAGES = 2  # the ratio alone decides, but a line on a single page repeats nothing
+MOST_HASHES = 2_000_000  # of all hosts, and as many hosts, that are broadcast: 16 MB and the host names
+SALTS = 32
 BLANKS = " \t\n\r\x0b\x0c"
 FILLED = "(?m)^[ \\t\\r\\x0B\\f]*[^ \\t\\n\\r\\x0B\\f][^\\n]*$"  # a line that is not blank
 
@@ -63,7 +67,8 @@ def boilerplate(docs: DataFrame, host: Column, text: Column, max_ratio: float =
 
 
 def drop_lines(docs: DataFrame, host: Column, text_col: str = "text", max_ratio: float = MAX_RATIO,
-               min_pages: int = MIN_PAGES, text: Column | None = None, counts: tuple[str, str, str] | None = None) -> DataFrame:
+               min_pages: int = MIN_PAGES, text: Column | None = None, counts: tuple[str, str, str] | None = None,
+               most_hashes: int = MOST_HASHES) -> DataFrame:
     """``docs`` with ``text_col`` rewritten; ``counts`` names further columns for the host and the numbers of lines that
     are not blank and of those dropped.
 
@@ -73,9 +78,16 @@ def drop_lines(docs: DataFrame, host: Column, text_col: str = "text", max_ratio:
     agree would be taken for one.
     """
     host, text = F.coalesce(host, F.lit("")), F.col(text_col) if text is None else text
-    drop = boilerplate(docs, host, text, max_ratio, min_pages)
+    drop = staged(boilerplate(docs, host, text, max_ratio, min_pages), "boilerplate")
     own = docs.select(F.struct(*docs.columns).alias("_row"), host.alias("_own_host"), text.alias("_own_text"))
-    joined = own.join(drop, F.col("_own_host") == F.col("_host"), "left")
+    size = drop.agg(F.coalesce(F.sum(F.size("_drop") + F.length("_host") / 8 + 1), F.lit(0))).head()[0]
+    same_host = F.col("_own_host") == F.col("_host")
+    if size <= most_hashes:
+        joined = own.join(F.broadcast(drop), same_host, "left")
+    else:
+        salted = drop.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = own.withColumn("_own_salt", F.pmod(F.xxhash64("_own_text"), F.lit(SALTS)).cast("int")).join(
+            salted, same_host & (F.col("_own_salt") == F.col("_salt")), "left")
     mine, gone = F.col("_own_text"), F.coalesce(F.col("_drop"), F.array().cast("array<bigint>"))
     kept = F.filter(F.split(mine, "\n", -1), lambda x: (_trimmed(x) == "") | ~F.array_contains(gone, F.xxhash64(_trimmed(x))))
     rewritten = F.when(F.col("_drop").isNull(), mine).otherwise(F.array_join(kept, "\n"))

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tickforge.llm.common import bytes_list, fields, is_held_out, spare
+from tickforge.llm.common import bytes_list, fields, is_held_out
 
 DICTIONARY_BYTES = 112_640
 DICTIONARY_TEXTS = 300  # per class
@@ -122,28 +122,27 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return dataclasses.replace(model, offset=offset, slope=slope)
 
 
-def score(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col: str = "text", keep: str | None = None) -> DataFrame:
+def _scores(texts: pa.Array, model: QualityModel) -> np.ndarray:
+    z = model.offset + model.slope * differences(bytes_list(texts), model)
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
+def score(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, score (0 to 1, from the whole text alone) and predicted (1 from 0.5 on) for every row.
 
     Null and empty texts get the score of the mean difference. Repeated rows and null ids give a row each.
-    With ``keep`` all columns of ``docs`` come back beside ``predicted`` under that name instead.
     """
-    at = (docs.columns if keep else [id_col, text_col]).index(text_col)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            z = model.offset + model.slope * differences(bytes_list(batch.column(at)), model)
-            p = pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))))
-            chosen = pa.array((p.to_numpy() >= 0.5).astype("i4"))
-            yield (batch.append_column(keep, chosen) if keep else
-                   pa.RecordBatch.from_arrays([batch.column(0), p, chosen], names=[id_col, "score", "predicted"]))
-    if keep:
-        return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(keep, T.IntegerType())]))
+            p = _scores(batch.column(1), model)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p), pa.array((p >= 0.5).astype("i4"))], names=[id_col, "score", "predicted"])
     return docs.select(id_col, text_col).mapInArrow(run, T.StructType([
         *fields(docs, id_col), T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]))
 
 
 def accepted(docs: DataFrame, model: QualityModel, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, with all their columns, whose text is predicted good."""
-    name = spare(docs, "_predicted")
-    return score(docs, model, text_col=text_col, keep=name).filter(F.col(name) == 1).drop(name)
+    """The rows of ``docs``, with all their columns, whose text is predicted good. Only the text leaves the JVM."""
+    @F.arrow_udf(T.BooleanType())
+    def good(texts: pa.Array) -> pa.Array:
+        return pa.array(_scores(texts, model) >= 0.5)
+    return docs.filter(good(F.col(text_col)))

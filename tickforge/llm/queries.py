@@ -83,12 +83,6 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_pages(table(spark, sf_dir, "pages"))
 
 
-@register("op8_line_dedup_by_ratio", line_dedup.sql(min_pages=line_dedup.REPEATED))
-def op8_by_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every page's text without the repeated lines over the ratio of its host, however few pages the host has."""
-    return line_dedup.dedup_pages(table(spark, sf_dir, "pages"), min_pages=line_dedup.REPEATED)
-
-
 @register("op9_license_scan", license_scan.SQL)
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The licence notice that each document carries."""
