@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tickforge.llm import byte_bpe, jaccard_join, line_dedup, quality_classifier, source_mixing
 from tickforge.llm.common import staged, table
 
-#: A line on at least ``line_dedup.MIN_PAGES`` documents and more than this share of those of its source is boilerplate.
+#: A repeated line on more than this share of the documents of its source is boilerplate.
 #: Shared lines of `documents` stand on up to a tenth of a source's documents and most on more than a hundredth; a line
 #: that is there in a few copies of a text only stays below, the more so the larger the source.
 LINE_RATIO = 0.01
@@ -22,7 +22,8 @@ RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the compression classifier accepts."""
+    """Documents that the compression classifier accepts. Null and empty texts have the mean document's score and go or stay
+    by it; repeated rows are decided alike and all stay or go."""
     model = quality_classifier.fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return quality_classifier.accepted(docs, model)
 
@@ -30,24 +31,27 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the lines that are boilerplate in their source; ``n_chars`` follows the text.
 
-    A document that consists of such lines alone stays, with an empty text.
+    A document that consists of such lines alone stays, with an empty text. Null texts stay null, with a null ``n_chars``;
+    rows without a source are one source; repeated rows are documents of their own.
     """
     out = line_dedup.drop_lines(docs, F.col("source"), "text", LINE_RATIO)
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
+    """One document of each group of near copies, the one with the smallest id. Null, empty and blank texts are copies of
+    nothing and stay, but equal rows become one."""
     return jaccard_join.one_of_each(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the target weights of their sources ask for."""
+    """Documents as often as the target weights of their sources ask for. Rows without a source are one source; texts without
+    words have no size and are taken by the same draw."""
     return source_mixing.mixed(docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every text and the sha256 of the bytes that they decode to, one row per row."""
+    """Token ids of every text and the sha256 of the bytes that they decode to, one row per row; none for null and empty texts."""
     decoded = byte_bpe.decode(byte_bpe.encode(docs, RANKS, public_tokenizers.PATTERN), RANKS)
     return decoded.select("doc_id", "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
