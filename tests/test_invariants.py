@@ -95,10 +95,30 @@ def test_book_histories_over_the_whole_span(spark, sf, fx):
     from tickforge.registry import load
 
     run = load().spark_queries()
-    whole, days = run["book_history_hourly_all"](spark, sf), run["book_history_hourly"](spark, sf)
+    whole = run["book_history_hourly"](spark, sf)
     first = fx.order_history.agg(F.min("ts")).head()[0]
-    start = days.agg(F.min("hour")).head()[0]
-    early = whole.filter(F.col("hour") < start)
-    assert whole.agg(F.min("hour")).head()[0] < first + 86400 < start and early.count() > 0
-    assert whole.filter(F.col("hour") >= start).select(days.columns).exceptAll(days).count() == 0 and whole.count() == early.count() + days.count()
-    assert run["liquidity_metrics_all"](spark, sf).filter(F.col("snapshot_ts") <= start).count() > 0
+    start = AS_OF - 3 * 86400
+    days = books.book_history_hourly(fx.orders, fx.order_history, start, AS_OF)
+    assert whole.agg(F.min("hour")).head()[0] < first + 86400 < start
+    assert whole.filter(F.col("hour") >= start).select(days.columns).exceptAll(days).count() == 0 and whole.filter(F.col("hour") >= start).count() == days.count()
+    assert run["liquidity_metrics"](spark, sf).filter(F.col("snapshot_ts") <= start).count() > 0
+
+
+def test_an_emptied_newest_day_goes(spark, fx, tmp_path):
+    from tickforge.sources import tables
+
+    path, count = str(tmp_path / "t"), lambda t: t.groupBy((F.col("ts") - F.col("ts") % 60).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+    tables.incremental_since_max(fx.trades, path, count)
+    last = fx.trades.agg(F.max("ts")).head()[0]
+    tables.incremental_since_max(fx.trades.filter(F.col("ts") < last - last % 86400), path, count)
+    assert tables.read_table(spark, path).agg(F.max("bucket")).head()[0] < last - last % 86400
+
+
+def test_listings_above_the_broadcast_bound_are_the_same(spark):
+    from tickforge.plans import lending
+
+    users = spark.range(40).select(F.col("id").cast("string").alias("user_id"), F.lit(100.0).alias("supplied"))
+    assets = spark.range(2500).select(F.lit(1).alias("chain_id"), F.concat(F.lit("t"), "id").alias("token"), F.lit(8000).alias("collateral_factor"),
+                                      F.lit(9000).alias("liquidation_threshold"), (F.col("id") % 5 > 0).alias("is_active"))
+    few, many = (lending.lending_available_to_borrow(users, assets, most) for most in (50_000, 10))
+    assert few.count() == 40 * 2000 and few.exceptAll(many).count() == 0 and many.exceptAll(few).count() == 0

@@ -5,7 +5,7 @@ import os
 from pyspark.sql import functions as F
 
 from tickforge.plans import books, ledger, trades
-from tickforge.streaming import late, stateful, streams
+from tickforge.streaming import late, monitor, retries, stateful, streams
 
 
 def feed(spark, df, path, files):
@@ -167,13 +167,44 @@ def test_restart_continues_from_the_offsets(spark, fx, tmp_path):
     assert first == parts[0].count() and spark.read.parquet(out).count() == t.count()
 
 
-def test_quarantine_keeps_the_reason(spark, tmp_path):
-    raw = spark.createDataFrame([
-        ("chain:1:trades", {"symbol": "a", "price": "1.5", "quantity": "2", "timestamp": "7"}), ("chain:1:trades", {"symbol": "a", "price": "x", "quantity": "2", "timestamp": "7"}),
-        ("chain:1:trades", {"symbol": "a", "price": "1", "timestamp": "7"})], "topic string, fields map<string,string>")
-    good, bad = str(tmp_path / "good"), str(tmp_path / "bad")
-    write = streams.quarantine("trades", ("price", "quantity", "timestamp"), good, bad)
+def test_quarantine_tries_again_and_gives_up(spark, tmp_path):
+    fields = [{"symbol": "a", "price": "1.5", "quantity": "2", "timestamp": "7"}, {"symbol": "b", "price": "x", "quantity": "2", "timestamp": "7"},
+              {"symbol": "c", "price": "1", "timestamp": "7"}]
+    raw = spark.createDataFrame([("chain:1:trades", f) for f in fields], "topic string, fields map<string,string>")
+    good, bad, needed = str(tmp_path / "good"), str(tmp_path / "bad"), ("price", "quantity", "timestamp")
+    write = retries.quarantine("trades", needed, good, bad)
     write(raw, 0)
     write(raw, 0)  # a replayed batch changes nothing
-    assert spark.read.parquet(good).count() == 1
-    assert sorted(r["error"] for r in spark.read.parquet(bad).collect()) == ["missing or malformed price", "missing or malformed quantity"]
+    write(raw.limit(1), 1)  # nor does a message that comes twice
+    assert [(r.symbol, r.price) for r in spark.read.parquet(good).collect()] == [("a", 1.5)]
+    assert sorted(r.error for r in retries.quarantined(spark, bad).collect()) == ["missing or malformed price", "missing or malformed quantity"]
+    assert retries.retry(spark, "trades", needed, good, bad, 59) == {"delivered": 0, "waiting": 0, "dead": 0}  # not due yet
+    mended = F.when(F.col("fields")["symbol"] == "b", F.map_concat(F.map_filter("fields", lambda k, _: k != "price"), F.create_map(F.lit("price"), F.lit("9")))).otherwise(F.col("fields"))
+    for _ in range(2):
+        assert retries.retry(spark, "trades", needed, good, bad, 60, lambda due: due.withColumn("fields", mended)) == {"delivered": 1, "waiting": 1, "dead": 0}
+    assert sorted((r.symbol, r.price, r.quantity) for r in spark.read.parquet(good).collect()) == [("a", 1.5, 2.0), ("b", 9.0, 2.0)]
+    assert retries.retry(spark, "trades", needed, good, bad, 500) == {"delivered": 0, "waiting": 0, "dead": 1}
+    assert retries.retry(spark, "trades", needed, good, bad, 5000) == {"delivered": 0, "waiting": 0, "dead": 0}
+    last = {r.payload: (r.attempts, r.status) for r in retries.quarantined(spark, bad).collect()}
+    assert last['{"symbol":"c","price":"1","timestamp":"7"}'] == (3, "dead")
+
+
+def test_progress_beyond_a_hundred_batches(spark, tmp_path):
+    n, path = 105, str(tmp_path / "in")
+    for i in range(n):
+        os.makedirs(path, exist_ok=True)
+        with open(f"{path}/{i:03d}.txt", "w") as f:
+            f.write("x\n" * 3)
+    log = monitor.ProgressLog(spark, str(tmp_path / "log"))
+    spark.streams.addListener(log)
+    try:
+        q = spark.readStream.option("maxFilesPerTrigger", 1).text(path).writeStream.queryName("many").format("noop").option(
+            "checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+        q.awaitTermination()
+        log.wait_for(str(q.runId))
+    finally:
+        spark.streams.removeListener(log)
+    lengths = spark.createDataFrame([("many", 3 * n + 5), ("never", 7)], "query string, length long")
+    rows = {r["query"]: r for r in monitor.lag_report(monitor.read_progress(spark, log.path), lengths, 4_000_000_000).collect()}
+    assert (rows["many"]["batches"], rows["many"]["read"], rows["many"]["pending"]) == (n, 3 * n, 5) and rows["many"]["idle_seconds"] > 0
+    assert (rows["never"]["batches"], rows["never"]["pending"], rows["never"]["idle_seconds"]) == (0, 7, None) and len(q.recentProgress) <= 100

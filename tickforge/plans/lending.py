@@ -10,7 +10,9 @@ from tickforge.functions.columns import (
 )
 from tickforge.operators.keyed import latest_per_key
 
-MAX_LISTED_ASSETS = 10_000  # governance lists assets one by one; more than this is a data error
+PACK = 1_000  # listed assets that meet a user at once
+BROADCAST_ASSETS = 50_000  # some megabytes
+RECOMMENDED = "USDC"  # fixed value
 
 
 def lending_events_log(raw: DataFrame) -> DataFrame:
@@ -129,30 +131,42 @@ def lending_borrows(positions: DataFrame, rates: DataFrame, tokens: DataFrame,
                     "health_factor", band.alias("health_status"))
 
 
-def _listed(configs: DataFrame) -> DataFrame:
-    """The listed assets as one array row: a checked, small dimension, not a join side."""
-    packed = configs.filter("is_active").agg(F.collect_list(F.struct(
-        "token", "chain_id", "collateral_factor", "liquidation_threshold")).alias("assets"))
-    return packed.select(F.when(F.size("assets") <= MAX_LISTED_ASSETS, F.col("assets")).otherwise(
-        F.raise_error(F.lit(f"more than {MAX_LISTED_ASSETS} listed assets"))).alias("assets"))
+def _with_assets(users: DataFrame, configs: DataFrame, most: int = BROADCAST_ASSETS) -> DataFrame:
+    """Every user with every listed asset as ``c``, which is what the listings are.
+
+    Assets meet users in packs. Up to ``most`` assets the packs are broadcast; beyond that they are dealt out with a salt, so
+    that neither the users of a pack nor the packs of a user meet in one task.
+    """
+    listed = configs.filter("is_active")
+    n = listed.count()
+    parts = n // PACK + 1
+    packs = listed.groupBy(F.pmod(F.xxhash64("chain_id", "token"), F.lit(parts)).cast("int").alias("part")).agg(F.collect_list(F.struct(*configs.columns)).alias("pack"))
+    each = users.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    if n <= most:
+        joined = each.join(F.broadcast(packs), "part")
+    else:
+        salts = int(users.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        packs = packs.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        joined = each.withColumn("salt", F.pmod(F.xxhash64("user_id"), F.lit(salts)).cast("int")).join(packs, ["part", "salt"])
+    return joined.select(*users.columns, F.explode("pack").alias("c"))
 
 
-def lending_available_to_supply(users: DataFrame, configs: DataFrame, supplies: DataFrame) -> DataFrame:
-    """Every listed asset per user with what the user already supplies of it."""
-    listed = _listed(configs).scalar()
-    offers = users.select("user_id").distinct().select("user_id", F.explode(listed).alias("c")).select(
-        "user_id", "c.chain_id", "c.token")
-    return offers.join(supplies.select("chain_id", "user_id", "token", "supplied"),
-                       ["chain_id", "user_id", "token"], "left").select(
-        "chain_id", "user_id", "token", F.coalesce("supplied", F.lit(0.0)).alias("supplied"))
+def lending_available_to_supply(users: DataFrame, configs: DataFrame, supplies: DataFrame, rates: DataFrame, tokens: DataFrame,
+                                most: int = BROADCAST_ASSETS) -> DataFrame:
+    """Every listed asset per user: its name, rate and what the user already supplies of it."""
+    shown = _with_tokens(configs, tokens).join(rates.select("chain_id", "token", "supply_rate"), ["chain_id", "token"], "left").select(
+        "chain_id", "token", "asset", format_bps(F.coalesce("supply_rate", F.lit(0))).alias("apy"), "is_active")
+    offers = _with_assets(users.select("user_id").distinct(), shown, most).select("user_id", "c.chain_id", "c.token", "c.asset", "c.apy")
+    return offers.join(supplies.select("chain_id", "user_id", "token", "supplied"), ["chain_id", "user_id", "token"], "left").select(
+        "chain_id", "user_id", "token", "asset", F.coalesce("supplied", F.lit(0.0)).alias("supplied"), "apy", F.lit(True).alias("can_supply"),
+        (F.col("asset") == RECOMMENDED).alias("recommended"))
 
 
-def lending_available_to_borrow(supplies: DataFrame, configs: DataFrame) -> DataFrame:
+def lending_available_to_borrow(supplies: DataFrame, configs: DataFrame, most: int = BROADCAST_ASSETS) -> DataFrame:
     """Borrowing power per user and listed asset: collateral value times loan-to-value, floored."""
-    listed = _listed(configs).scalar()
     power = supplies.groupBy("user_id").agg(F.sum("supplied").alias("collateral")).filter("collateral > 0")
     ltv = F.col("c.collateral_factor") / 10000.0
-    return power.select("user_id", "collateral", F.explode(listed).alias("c")).filter(ltv > 0).select(
+    return _with_assets(power, configs, most).filter(ltv > 0).select(
         "user_id", "c.token", F.floor(F.col("collateral") * ltv).alias("available"), (ltv * 100).alias("collateral_factor"),
         (F.col("c.liquidation_threshold") / 100.0).alias("liquidation_threshold"))
 

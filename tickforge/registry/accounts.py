@@ -138,11 +138,11 @@ _bor = lambda fx: lending.lending_borrows(_positions(fx), _rates(fx), _tokens(fx
 query("lending_supplies", """SELECT chain_id, user_id, token, asset, supplied, format('{:,.2f}', supplied) AS supplied_text,
   '$' || format('{:,.2f}', supplied) AS value_text, rate_bps, format('{:.1f}', rate_bps / 100) || '%' AS apy FROM fx_supplies""")(_sup)
 query("lending_borrows", """SELECT chain_id, user_id, token, asset, borrowed, '$' || format('{:,.2f}', borrowed) AS debt_text, rate_bps,
-  health_factor, CASE WHEN health_factor < 1.5 THEN 'danger' WHEN health_factor < 2.0 THEN 'warning' ELSE 'safe' END AS health_status FROM fx_borrows""")(
-    lambda fx: _bor(fx).drop("apy"))
-query("lending_available_to_supply", """SELECT c.chain_id, u.user_id, c.token, coalesce(s.supplied, 0.0) AS supplied FROM fx_users u
-  CROSS JOIN fx_configs c LEFT JOIN fx_supplies s ON s.user_id = u.user_id AND s.token = c.token AND s.chain_id = c.chain_id""")(
-    lambda fx: lending.lending_available_to_supply(fx.users, _configs(fx), _sup(fx)))
+  format('{:.1f}', round_even(rate_bps / 100, 1)) || '%' AS apy, health_factor, CASE WHEN health_factor < 1.5 THEN 'danger' WHEN health_factor < 2.0 THEN 'warning' ELSE 'safe' END AS health_status FROM fx_borrows""")(_bor)
+query("lending_available_to_supply", f"""SELECT c.chain_id, u.user_id, c.token, {_strip('t.symbol')} AS asset, coalesce(s.supplied, 0.0) AS supplied,
+  format('{{:.1f}}', round_even(coalesce(r.supply_rate, 0) / cast(100 AS double), 1)) || '%' AS apy, true AS can_supply, {_strip('t.symbol')} = 'USDC' AS recommended FROM fx_users u
+  CROSS JOIN fx_configs c LEFT JOIN fx_lend_tokens t ON lower(t.address) = lower(c.token) LEFT JOIN fx_rates r ON r.token = c.token AND r.chain_id = c.chain_id LEFT JOIN fx_supplies s ON s.user_id = u.user_id AND s.token = c.token AND s.chain_id = c.chain_id""")(
+    lambda fx: lending.lending_available_to_supply(fx.users, _configs(fx), _sup(fx), _rates(fx), _tokens(fx)))
 query("lending_available_to_borrow", """SELECT user_id, token, cast(floor(round(collateral, 2) * (collateral_factor / cast(10000 AS double))) AS bigint) AS available,
   round(collateral_factor / cast(10000 AS double) * 100, 4) AS collateral_factor, round(liquidation_threshold / cast(100 AS double), 4) AS liquidation_threshold
   FROM (SELECT user_id, sum(supplied) AS collateral FROM fx_supplies GROUP BY 1) CROSS JOIN fx_configs WHERE collateral > 0""")(

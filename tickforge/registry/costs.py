@@ -54,11 +54,23 @@ _CORE = f"""{r4('avg(slip)', 'avg_slippage')}, {r4('median(slip)', 'median_slipp
   count(*) FILTER (WHERE slip > 1.0) AS impacted_trades, {r4('count(*) FILTER (WHERE slip > 1.0) / count(*) * 100', 'impact_rate')}"""
 _SD0, _SD = r4("coalesce(stddev_samp(slip), 0)", "slippage_std_dev"), r4("stddev_samp(slip)", "slippage_std_dev")
 _Z = lambda c, v="0.0": f"coalesce({c}, {v}) AS {c}"
-query("slippage_series", f"""SELECT g.timestamp, {_Z('avg_slippage')}, {_Z('median_slippage')}, {_Z('max_slippage')}, {_Z('slippage_std_dev')}, {_Z('trade_count', 0)}, {_Z('impacted_trades', 0)}, {_Z('impact_rate')}
-  FROM range({M0}, {AS_OF + 1}, 3600) g(timestamp) LEFT JOIN (SELECT ts - ts % 3600 AS timestamp, {_CORE.format(sd=_SD0)} FROM fx_pct WHERE quote_qty >= 1000 AND quote_qty < 10000 GROUP BY 1) s USING (timestamp)""")(
-    lambda fx: rounded(slippage.slippage_series(fx.trades, "30d", "hourly", AS_OF, RADIUS, size="medium"), four="avg_slippage median_slippage max_slippage slippage_std_dev impact_rate")
-    .select(*[F.when(F.col(c) > 0, F.col(c)).otherwise(F.lit(0)).alias(c) if c != "timestamp" else F.col(c) for c in
-              ["timestamp", "avg_slippage", "median_slippage", "max_slippage", "slippage_std_dev", "trade_count", "impacted_trades", "impact_rate"]]))
+_SIZES = {"all": "true", "small": "quote_qty < 1000", "medium": "quote_qty >= 1000 AND quote_qty < 10000", "large": "quote_qty >= 10000"}
+_SLIP4 = "avg_slippage median_slippage max_slippage slippage_std_dev impact_rate"
+
+
+def _slippage_series(fx):
+    """The series of every trade size."""
+    out = None
+    for size in _SIZES:
+        one = rounded(slippage.slippage_series(fx.trades, "30d", "hourly", AS_OF, RADIUS, size=None if size == "all" else size), four=_SLIP4)
+        one = one.select(F.lit(size).alias("size"), *[F.when(F.col(c) > 0, F.col(c)).otherwise(F.lit(0)).alias(c) if c != "timestamp" else F.col(c) for c in one.columns])
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+query("slippage_series", " UNION ALL ".join(f"""SELECT '{_n}' AS size, g.timestamp, {_Z('avg_slippage')}, {_Z('median_slippage')}, {_Z('max_slippage')}, {_Z('slippage_std_dev')}, {_Z('trade_count', 0)},
+  {_Z('impacted_trades', 0)}, {_Z('impact_rate')} FROM range({M0}, {AS_OF + 1}, 3600) g(timestamp) LEFT JOIN (SELECT ts - ts % 3600 AS timestamp, {_CORE.format(sd=_SD0)} FROM fx_pct WHERE {_w} GROUP BY 1) s USING (timestamp)"""
+    for _n, _w in _SIZES.items()))(_slippage_series)
 query("slippage_overall", f"""SELECT {r4('avg(slip)', 'avg_slippage')}, {r4('median(slip)', 'median_slippage')}, {_QUAL},
   {r4('count(*) FILTER (WHERE slip > 1.0) / count(*) * 100', 'impact_rate')}, {_SCORE} FROM (SELECT round(abs(price - m) / m * 100, 6) AS slip FROM fx_trades,
   (SELECT avg(price) AS m FROM fx_trades WHERE {_MONTH}) WHERE {_MONTH})""")(

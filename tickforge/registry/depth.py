@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from tickforge.fixtures import AS_OF
 from tickforge.plans import books, liquidity
 from tickforge.registry.core import VIEWS, nudged, query, r2, r4, rounded, view
+from tickforge.session import scratch_path
 
 H0 = AS_OF - 24 * 3600
 M0 = AS_OF - 720 * 3600
@@ -41,8 +42,7 @@ view("fx_liq", f"""SELECT * EXCLUDE score, {r4('score', 'liquidity_score')}, CAS
   WHEN score >= 20 THEN 'Low' ELSE 'Very Low' END AS liquidity_rating FROM fx_liq_base""")
 _metrics = lambda fx: rounded(liquidity.liquidity_metrics(_levels(fx), fx.pools, fx.trades, 3600, WINDOW), "bid_depth ask_depth total_depth",
                               "spread_bps liquidity_score avg_trade_volume")
-query("liquidity_metrics", "SELECT * FROM fx_liq")(_metrics)
-# The same metrics over the whole span of the data.
+# The metrics tables cover the whole span of the data; the queries over 24 hours ask for the last day.
 view("fx_all_levels", "SELECT d.*, hour + 3600 AS snapshot_ts, p.coin AS symbol, d.price / cast(100 AS double) AS h_price, d.quantity * (d.price / cast(100 AS double)) AS value FROM fx_book_all d JOIN fx_pools p ON p.chain_id = d.chain_id AND p.order_book = d.pool_id")
 view("fx_liq_base_all", VIEWS["fx_liq_base"].replace("fx_day_levels", "fx_all_levels").replace(
     f"range({H0 + 3600}, {AS_OF + 1}, 3600) g(snapshot_ts)", "(SELECT hour + 3600 AS snapshot_ts FROM fx_all_hours) g"))
@@ -50,17 +50,15 @@ view("fx_liq_all", VIEWS["fx_liq"].replace("fx_liq_base", "fx_liq_base_all"))
 _all = lambda fx: books.book_history_all(fx.orders, fx.order_history, AS_OF).withColumn("snapshot_ts", F.col("hour") + 3600)
 _metrics_all = lambda fx: rounded(liquidity.liquidity_metrics(_all(fx), fx.pools, fx.trades, 3600, WINDOW), "bid_depth ask_depth total_depth",
                                   "spread_bps liquidity_score avg_trade_volume")
-query("liquidity_metrics_all", "SELECT * FROM fx_liq_all")(_metrics_all)
+query("liquidity_metrics", "SELECT * FROM fx_liq_all")(_metrics_all)
 _AVG = ", ".join(r4(f"avg({c})", f"avg_{c}") for c in ("bid_depth", "ask_depth", "total_depth", "spread_bps", "liquidity_score")) + ", count(*) AS data_points"
 _A4 = "avg_bid_depth avg_ask_depth avg_total_depth avg_spread_bps avg_liquidity_score"
-query("liquidity_metrics_hourly", f"SELECT chain_id, symbol, snapshot_ts - snapshot_ts % 3600 AS hour, {_AVG} FROM fx_liq GROUP BY 1, 2, 3")(
-    lambda fx: rounded(liquidity.liquidity_metrics_hourly(_metrics(fx)), four=_A4))
-query("liquidity_metrics_hourly_all", f"SELECT chain_id, symbol, snapshot_ts - snapshot_ts % 3600 AS hour, {_AVG} FROM fx_liq_all GROUP BY 1, 2, 3")(
+query("liquidity_metrics_hourly", f"SELECT chain_id, symbol, snapshot_ts - snapshot_ts % 3600 AS hour, {_AVG} FROM fx_liq_all GROUP BY 1, 2, 3")(
     lambda fx: rounded(liquidity.liquidity_metrics_hourly(_metrics_all(fx)), four=_A4))
 query("liquidity_list", f"SELECT * FROM fx_liq WHERE snapshot_ts BETWEEN {H0} AND {AS_OF} ORDER BY symbol, snapshot_ts DESC, chain_id LIMIT 100")(
     lambda fx: liquidity.liquidity_list(_metrics(fx), "24h", AS_OF))
-query("liquidity_latest", "SELECT * EXCLUDE rn FROM (SELECT *, row_number() OVER (PARTITION BY chain_id, symbol ORDER BY snapshot_ts DESC) AS rn FROM fx_liq) WHERE rn = 1")(
-    lambda fx: liquidity.liquidity_latest(_metrics(fx)))
+query("liquidity_latest", "SELECT * EXCLUDE rn FROM (SELECT *, row_number() OVER (PARTITION BY chain_id, symbol ORDER BY snapshot_ts DESC) AS rn FROM fx_liq_all) WHERE rn = 1")(
+    lambda fx: liquidity.liquidity_latest(_metrics_all(fx)))
 query("liquidity_trends", f"SELECT chain_id, symbol, snapshot_ts - snapshot_ts % 900 AS time_bucket, {_AVG}, max(snapshot_ts) AS latest_time FROM fx_liq WHERE snapshot_ts BETWEEN {H0} AND {AS_OF} GROUP BY 1, 2, 3")(
     lambda fx: rounded(liquidity.liquidity_trends(_metrics(fx), 24, "15m", AS_OF), four=_A4))
 
@@ -93,20 +91,11 @@ query("liquidity_report", f"""SELECT {r2('bid_liquidity')}, {r2('ask_liquidity')
     lambda fx: rounded(liquidity.liquidity_report(_agg(fx), "24h", AS_OF), "bid_liquidity ask_liquidity total_liquidity", "average_spread_percent")
     .withColumn("most_liquid", F.array_join("most_liquid", ",")).withColumn("tightest_spreads", F.array_join("tightest_spreads", ",")))
 
-# Continuing from the last stored hour must give the same book as one full run.
-view("fx_resume", f"""SELECT hour, chain_id, pool_id, side, price, cast(sum(rem) AS bigint) AS quantity, count(*) AS order_count
-  FROM range({AS_OF - 6 * 3600}, {AS_OF}, 3600) g(hour) JOIN fx_order_hours o ON o.ts < hour + 3600 AND o.until >= hour + 3600 WHERE rem > 0 GROUP BY 1, 2, 3, 4, 5""")
-
-
-@query("book_history_resume", "SELECT * FROM fx_resume")
+@query("book_history_resume", f"SELECT * FROM fx_book_all WHERE hour >= (SELECT min(hour) + ({AS_OF} - min(hour)) // 7200 * 3600 FROM fx_all_hours)")
 def book_history_resume(fx):
-    stored = books.book_history_hourly(fx.orders, fx.order_history, AS_OF - 12 * 3600, AS_OF - 6 * 3600)
-    return books.book_history_resume(fx.orders, fx.order_history, stored, AS_OF)
-
-
-@query("book_history_resume_all", f"SELECT * FROM fx_book_all WHERE hour >= (SELECT min(hour) + ({AS_OF} - min(hour)) // 7200 * 3600 FROM fx_all_hours)")
-def book_history_resume_all(fx):
-    """The second half of the whole span, continued from the stored first half."""
+    """The second half of the whole span, continued from the first half as it was stored."""
     first = books.first_hour(fx.order_history)
     middle = AS_OF if first is None else first + (AS_OF - first) // 7200 * 3600
-    return books.book_history_resume(fx.orders, fx.order_history, books.book_history_all(fx.orders, fx.order_history, middle), AS_OF)
+    path = scratch_path(fx.spark, "book-history")
+    books.book_history_all(fx.orders, fx.order_history, middle).write.parquet(path)
+    return books.book_history_resume(fx.orders, fx.order_history, fx.spark.read.parquet(path), AS_OF)

@@ -124,21 +124,16 @@ query("book_snapshot_aggregate", _AGG.format(src="fx_snapshot"))(
     lambda fx: _rounded_book(books.book_snapshot_aggregate(_snap(fx))))
 
 # --- hourly book history -------------------------------------------------------------------------
-HISTORY_FROM, HISTORY_UNTIL = AS_OF - 3 * 86400, AS_OF
+HISTORY_UNTIL = AS_OF
 view("fx_order_hours", f"""SELECT h.chain_id, h.pool_id, h.order_id, o.side, o.price, o.quantity, h.ts, h.seq,
   CASE WHEN h.status IN ('NEW', 'OPEN', 'PARTIALLY_FILLED') THEN greatest(o.quantity - max(h.filled) OVER w, 0) ELSE 0 END AS rem,
   coalesce(lead(h.ts) OVER w, 9999999999) AS until FROM fx_order_history h JOIN fx_orders o USING (chain_id, pool_id, order_id)
   WHERE o.price > 0 WINDOW w AS (PARTITION BY h.chain_id, h.pool_id, h.order_id ORDER BY h.seq)""")
-view("fx_book_hours", f"""SELECT hour, chain_id, pool_id, side, price, cast(sum(rem) AS bigint) AS quantity, count(*) AS order_count
-  FROM range({HISTORY_FROM}, {HISTORY_UNTIL}, 3600) g(hour) JOIN fx_order_hours o ON o.ts < hour + 3600 AND o.until >= hour + 3600
-  WHERE rem > 0 GROUP BY 1, 2, 3, 4, 5""")
-_book = lambda fx: books.book_history_hourly(fx.orders, fx.order_history, HISTORY_FROM, HISTORY_UNTIL)
-query("book_history_hourly", "SELECT * FROM fx_book_hours")(_book)
 view("fx_all_hours", f"SELECT unnest(range(min(ts) - min(ts) % 3600, {HISTORY_UNTIL}, 3600)) AS hour FROM fx_order_history")
 view("fx_book_all", """SELECT hour, chain_id, pool_id, side, price, cast(sum(rem) AS bigint) AS quantity, count(*) AS order_count
   FROM fx_all_hours g JOIN fx_order_hours o ON o.ts < hour + 3600 AND o.until >= hour + 3600
   WHERE rem > 0 GROUP BY 1, 2, 3, 4, 5""")
-query("book_history_hourly_all", "SELECT * FROM fx_book_all")(
+query("book_history_hourly", "SELECT * FROM fx_book_all")(
     lambda fx: books.book_history_all(fx.orders, fx.order_history, HISTORY_UNTIL))
 
 # --- candles -------------------------------------------------------------------------------------

@@ -7,7 +7,7 @@ from tickforge.fixtures import AS_OF, Fixtures
 from tickforge.functions.columns import r
 from tickforge.registry.core import query, r2, r4, rounded, view
 from tickforge.session import scratch_path
-from tickforge.streaming import late, stateful, streams
+from tickforge.streaming import late, monitor, retries, stateful, streams
 
 
 class StreamFixtures(Fixtures):
@@ -53,15 +53,28 @@ query("stream_parse_route", """SELECT topic, symbol, try_cast(price AS double) A
         "topic", "symbol", "price", "quantity", "timestamp", "userId", "side", "tradeId"))
 
 
-@query("stream_quarantine", """SELECT 'bad' AS outcome, 'missing or malformed price' AS error, count(*) AS n FROM fx_raw WHERE topic = 'chain:1:trades' AND price = 'n/a'
-  UNION ALL SELECT 'good', NULL, count(*) FROM fx_raw WHERE topic = 'chain:1:trades' AND price <> 'n/a'""")
+_SENT = "trade_id AS \"tradeId\", symbol, user_id AS \"userId\", side, quantity, timestamp"
+
+
+@query("stream_quarantine", f"""SELECT 'bad' AS outcome, 'missing or malformed price' AS error, 2 AS attempts, price, {_SENT} FROM fx_raw WHERE topic = 'chain:1:trades' AND price = 'n/a' AND cast(trade_id AS bigint) % 2 = 0
+  UNION ALL SELECT 'good', NULL, NULL, '1.0', {_SENT} FROM fx_raw WHERE topic = 'chain:1:trades' AND price = 'n/a' AND cast(trade_id AS bigint) % 2 = 1
+  UNION ALL SELECT 'good', NULL, NULL, 'as sent', {_SENT} FROM fx_raw WHERE topic = 'chain:1:trades' AND price <> 'n/a'""")
 def stream_quarantine(fx):
+    """Messages without a price wait; when they are tried again, every other one has got one."""
     good, bad = scratch_path(fx.spark, "good"), scratch_path(fx.spark, "bad")
-    mine = _raw(fx).filter(F.element_at(F.split("topic", ":"), -1) == "trades")
-    streams.run(mine, "quarantine", each=streams.quarantine("trades", ("price", "quantity", "timestamp"), good, bad))
-    rows = fx.spark.read.parquet(bad).select(F.lit("bad").alias("outcome"), "error").unionByName(
-        fx.spark.read.parquet(good).select(F.lit("good").alias("outcome"), F.lit(None).cast("string").alias("error")))
-    return rows.groupBy("outcome", "error").agg(F.count(F.lit(1)).alias("n"))
+    mine = _raw(fx).filter(F.element_at(F.split("topic", ":"), -1) == "trades").withColumn("message_id", F.col("seq").cast("string"))
+    required = ("price", "quantity", "timestamp")
+    streams.run(mine, "quarantine", each=retries.quarantine("trades", required, good, bad))
+    odd = F.col("message_id").cast("bigint") % 2 == 1
+    priced = F.map_concat(F.map_filter("fields", lambda k, _: k != "price"), F.create_map(F.lit("price"), F.lit("1")))
+    retries.retry(fx.spark, "trades", required, good, bad, 60, lambda due: due.withColumn("fields", F.when(odd, priced).otherwise(F.col("fields"))))
+    names = ["tradeId", "symbol", "userId", "side", "quantity", "timestamp"]
+    kept = fx.spark.read.parquet(good)
+    delivered = kept.select(F.lit("good").alias("outcome"), F.lit(None).cast("string").alias("error"), F.lit(None).cast("int").alias("attempts"),
+                            F.when(F.col("batch") < 0, F.col("price").cast("string")).otherwise("as sent").alias("price"),
+                            *[F.col(c).cast("bigint" if c == "quantity" else kept.schema[c].dataType).cast("string").alias(c) for c in names])
+    waiting = retries.quarantined(fx.spark, bad).join(kept.select("message_id"), "message_id", "left_anti").withColumn("f", F.from_json("payload", retries.FIELDS))
+    return delivered.unionByName(waiting.select(F.lit("bad").alias("outcome"), "error", "attempts", F.col("f")["price"].alias("price"), *[F.col("f")[c].alias(c) for c in names]))
 
 
 @query("topic_fanout_sink", "SELECT 'chain:1:' || symbol AS topic, count(*) AS n, max(seq) AS newest FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY seq DESC) AS rn FROM fx_trades) WHERE rn <= 1000 GROUP BY 1")
@@ -175,7 +188,15 @@ def stream_dedup(fx):
     return late.read_deduped(fx.spark, path).select("trade_id", "symbol", "ts", "price")
 
 
-@query("stream_lag_report", "SELECT 'ticks' AS query, count(*) AS input_rows FROM fx_trades")
+@query("stream_lag_report", "SELECT 'ticks' AS query, count(*) AS length, count(*) AS read, 0 AS pending FROM fx_trades")
 def stream_lag_report(fx):
-    _, q = streams.run(streams.stream_trades(live(fx).trades), "ticks")
-    return streams.stream_lag_report(fx.spark, [q]).groupBy(F.lit("ticks").alias("query")).agg(F.sum("input_rows").alias("input_rows"))
+    """Every progress event of a drained query, against the length of its source."""
+    log = monitor.ProgressLog(fx.spark, scratch_path(fx.spark, "progress"))
+    fx.spark.streams.addListener(log)
+    try:
+        _, q = streams.run(streams.stream_trades(live(fx).trades), "ticks", name="ticks")
+        log.wait_for(str(q.runId))
+    finally:
+        fx.spark.streams.removeListener(log)
+    lengths = fx.trades.groupBy(F.lit("ticks").alias("query")).agg(F.count(F.lit(1)).alias("length"))
+    return monitor.lag_report(monitor.read_progress(fx.spark, log.path), lengths, AS_OF).select("query", "length", "read", "pending")

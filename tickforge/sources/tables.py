@@ -70,11 +70,16 @@ def incremental_bucket_refresh(source: DataFrame, path: str, aggregate: Callable
 
 def incremental_since_max(source: DataFrame, path: str, aggregate: Callable[[DataFrame], DataFrame], ts_col: str = "ts",
                           bucket: str = "bucket") -> int:
-    """Aggregate from the day of the newest stored bucket on (boundary bucket included) and replace those days."""
+    """Aggregate from the day of the newest stored bucket on (boundary bucket included) and replace those days. If that day
+    has no rows any more it is removed; no later day is stored."""
     stored = read_table(source.sparkSession, path)
     last = stored.agg(F.max(bucket)).head()[0] if stored is not None else None
     since = 0 if last is None else last - last % 86400
-    replace_bucket(aggregate(source.filter(F.col(ts_col) >= since)), path, bucket)
+    fresh = aggregate(source.filter(F.col(ts_col) >= since))
+    replace_bucket(fresh, path, bucket)
+    if last is not None:
+        keep = with_date(fresh.filter(F.col(bucket) < since + 86400), bucket).select("date").distinct().collect()  # one day at most
+        clear_days(source.sparkSession, path, since, since + 86400, {r["date"] for r in keep})
     return since
 
 

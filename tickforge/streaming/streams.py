@@ -51,12 +51,12 @@ def topic_key(chain_id: int | Column, kind: str | Column) -> Column:
     return F.concat(F.lit("chain:"), lit(chain_id).cast("string"), F.lit(":"), lit(kind))
 
 
-def stream_parse_route(raw: DataFrame, kind: str) -> DataFrame:
-    """Typed records of one topic from (topic, fields map); the route is the last key segment."""
+def stream_parse_route(raw: DataFrame, kind: str, *more: str) -> DataFrame:
+    """Typed records of one topic from (topic, fields map), with ``more`` columns; the route is the last key segment."""
     cols = [c.strip().split(" ") for c in TOPICS[kind].split(",")]
     mine = raw.filter(F.element_at(F.split("topic", ":"), -1) == kind)
     typed = [F.expr(f"try_cast(fields['{n}'] as {t})").alias(n) for n, t in cols]
-    return mine.select("topic", *typed)
+    return mine.select("topic", *more, *typed)
 
 
 def invalid_reason(kind: str, required: tuple[str, ...]) -> Column:
@@ -147,16 +147,18 @@ def stream_yield(accruals: DataFrame) -> DataFrame:
 
 
 # --- sinks ---------------------------------------------------------------------------------------
-def run(df: DataFrame, name: str, mode: str = "append", each: Callable[[DataFrame, int], None] | None = None,
-        keys: list[str] | None = None, path: str | None = None) -> tuple[str, StreamingQuery]:
+def run(df: DataFrame, label: str, mode: str = "append", each: Callable[[DataFrame, int], None] | None = None,
+        path: str | None = None, name: str | None = None) -> tuple[str, StreamingQuery]:
     """Drain a stream once (availableNow) and return the output folder and the finished query.
 
     Append mode writes files directly. Update and complete mode write every batch with its number, and
     readers keep the newest row per ``keys`` (see ``read_latest``).
     """
     spark = df.sparkSession
-    out = path or scratch_path(spark, name)
+    out = path or scratch_path(spark, label)
     writer = df.writeStream.outputMode(mode).option("checkpointLocation", f"{out}-offsets").trigger(availableNow=True)
+    if name is not None:
+        writer = writer.queryName(name)
     if each is not None:
         q = writer.foreachBatch(each).start()
     elif mode == "append":
@@ -194,26 +196,3 @@ def topic_trim(entries: DataFrame, keep: int = TOPIC_KEEP, keep_depth: int = TOP
     depth = F.element_at(F.split("topic", ":"), -1) == "depth"
     kept = top_per_group(entries, ["topic"], [F.col("seq").desc()], max(keep, keep_depth))
     return kept.filter(F.col("rn") <= F.when(depth, keep_depth).otherwise(keep)).drop("rn")
-
-
-def quarantine(kind: str, required: tuple[str, ...], good_path: str, bad_path: str) -> Callable[[DataFrame, int], None]:
-    """Batch writer: typed records to one table, unusable messages with their error to another."""
-    def write(batch: DataFrame, n: int) -> None:
-        marked = batch.withColumn("error", invalid_reason(kind, required)).withColumn("batch", F.lit(n).cast("long"))
-        options = dict(mode="overwrite", partitionBy=["batch"])
-        good = stream_parse_route(marked.filter(F.col("error").isNull()), kind).withColumn("batch", F.lit(n).cast("long"))
-        bad = marked.filter(F.col("error").isNotNull()).select("topic", F.to_json("fields").alias("payload"), "error", "batch",
-                                                               F.lit(0).alias("retry_count"))
-        good.write.option("partitionOverwriteMode", "dynamic").parquet(good_path, **options)
-        bad.write.option("partitionOverwriteMode", "dynamic").parquet(bad_path, **options)
-    return write
-
-
-def stream_lag_report(spark: SparkSession, queries: list[StreamingQuery]) -> DataFrame:
-    """Rows read, rate and files still behind per query, from its recent progress."""
-    rows = []
-    for q in queries:
-        for p in q.recentProgress:
-            rows.append((q.name or str(q.id), int(p.batchId), int(p.numInputRows), float(p.processedRowsPerSecond or 0.0),
-                         ",".join(s.description for s in p.sources)))
-    return spark.createDataFrame(rows, "query string, batch_id bigint, input_rows bigint, rows_per_second double, sources string")
