@@ -48,7 +48,7 @@ LEAST_ANCHORS = 8  # of them, or half of all for a smaller set, that a follower
 REGIONS = 32  # regions of a shingle that is still counted
 TARGETS = 256  # such regions in the last steps, where few are left; times eight while any node is without an exact count
 SINGLE, REGION, MEMBER = 0, 1, 2  # roles of a row, in the order in which a shingle's rows follow each other
-KEPT_COUNTS = 100_000  # counts a task sums before it passes them on
+KEPT_COUNTS = 400_000  # counts a task sums before it passes them on
 ROWS = 500  # rows unpacked at once
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
@@ -284,29 +284,35 @@ def _shared(rows: DataFrame, limit: int | None = None) -> DataFrame:
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[tuple[int, int | None], int] = {}
-        spans: dict[int, tuple[int, int]] = {}
+        counts: dict[int, int] = {}  # by the numbers of node and label (0: uncounted) in one integer
+        number: dict[int, int] = {}
+        spans: dict[int, tuple[int, int]] = {}  # by number of the label
         singles: list[tuple[int, int]] = []
         last, open_shingle, many = None, None, False
 
+        def numbered(x: int) -> int:
+            return number.setdefault(x, len(number) + 1)
+
         def flush() -> pa.RecordBatch:
             """One row per node with all it shares: tasks meet a pair again and again, so rows per pair would be many."""
             by_node: dict[int, tuple[list, list]] = {}
-            for (node, label), c in counts.items():
-                labels, shared = by_node.setdefault(node, ([], []))
-                labels.append(label)
+            names = [None, *number]
+            for key, c in counts.items():
+                labels, shared = by_node.setdefault(names[key >> 32], ([], []))
+                labels.append(names[key & 0xFFFFFFFF])
                 shared.append(c)
             counts.clear()
             return pa.RecordBatch.from_arrays([pa.array(list(by_node), pa.int64()), *(pa.array([x[i] for x in by_node.values()], pa.list_(pa.int64())) for i in range(2))],
                                               names=["node", "labels", "shared"])
 
         def searched(node: int, label: int, n: int) -> None:
+            key, label = numbered(node) << 32, numbered(label)
             if many:
-                counts[node, None] = counts.get((node, None), 0) + 1
+                counts[key] = counts.get(key, 0) + 1
                 return
             for other, (low, high) in spans.items():
                 if other != label and 100 * high >= MIN_PERCENT * n and MIN_PERCENT * low <= 100 * n:
-                    counts[node, other] = counts.get((node, other), 0) + 1
+                    counts[key | other] = counts.get(key | other, 0) + 1
 
         def told() -> None:
             """Singles are regions and search; they wait until all regions are known."""
@@ -336,7 +342,7 @@ def _shared(rows: DataFrame, limit: int | None = None) -> DataFrame:
                         searched(node, node if label is None else label, info >> 1)
                     continue
                 if not many:
-                    spans[node if label is None else label] = (node, info) if role == REGION else (info >> 1, info >> 1)
+                    spans[numbered(node if label is None else label)] = (node, info) if role == REGION else (info >> 1, info >> 1)
                 if role == SINGLE and info & 1:
                     singles.append((node, info >> 1))
                 if len(spans) > limit:
