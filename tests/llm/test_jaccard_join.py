@@ -142,6 +142,23 @@ def test_many_copies_cost_one_comparison_each(spark):
     assert {r.component_id for r in rows} == {0}
 
 
+def test_families_without_their_middle(spark, monkeypatch):
+    """Near copies of two texts that are not in the table themselves, some linked to each other and some to nobody."""
+    monkeypatch.setattr(jj, "REGIONS", 8)
+    rnd, docs = random.Random(2), []
+    for _ in range(2):
+        base = [f"v{rnd.randrange(9999)}" for _ in range(140)]
+        for _ in range(120):
+            copy = list(base)
+            for _ in range(rnd.randrange(1, 5)):
+                copy[rnd.randrange(140)] = f"x{rnd.randrange(10 ** 6)}"
+            docs.append(" ".join(copy))
+    rnd.shuffle(docs)
+    docs = list(enumerate(docs))
+    want = check(run(spark, docs), docs)
+    assert 2 < len({component for _, _, component in want}) < 120
+
+
 def test_components_of_paths_and_stars(spark):
     path = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)]
     found = {r.node: r.root for r in jj.components(spark.createDataFrame(path, "a long, b long")).collect()}

@@ -9,6 +9,8 @@ far apart in their distance to any third one, the pivot.
   common leads, since it lies in the middle of its copies; a node that follows nobody is a pivot, and the others go to
   the pivot they share most of those shingles with. Its Voronoi region is every follower whose verified distance is at
   most 1/4. All other nodes are regions of their own.
+  Followers out of reach of their pivot that are still many get a middle of their own, again while that takes an
+  eighth of them: copies of a text that is not in the table, or several families behind one pivot.
 * Windows: a node shares at least three quarters of its shingles with anything it is linked to, so counting the
   shingles that it shares with a foreign region, under a common bound of the hash, names without loss every
   region it may reach. The distance to that region's pivot is then computed: within 1/4 it is a link; beyond the
@@ -26,13 +28,14 @@ A group of copies of any size meets as one node or one region, so links inside i
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -162,13 +165,19 @@ def pivots(sets: DataFrame) -> DataFrame:
 
 
 def central(chosen: DataFrame, sets: DataFrame) -> DataFrame:
-    """(node, pivot) where every group of more than ``REGIONS`` followers gets the pivot whose shingles are the most common
-    in the group. All shingles of such a group are counted, which the few smallest cannot replace: the middle of many
-    copies is the one that most of them lie within reach of."""
+    """(node, pivot) where every group of more than ``REGIONS`` followers gets its middle for a pivot; the old pivot follows it."""
     large = chosen.groupBy(F.col("pivot").alias("old")).agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > REGIONS).select("old")
     inside = chosen.join(large, F.col("pivot") == F.col("old")).select(F.col("node").alias("of"), "old").unionByName(
         large.select(F.col("old").alias("of"), "old"))
+    middle = _middles(inside, sets)
+    everyone = chosen.unionByName(middle.select(F.col("group").alias("node"), F.col("group").alias("pivot")))
+    return everyone.join(middle, F.col("pivot") == F.col("group"), "left").select("node", F.coalesce("middle", "pivot").alias("pivot")).filter("node <> pivot")
 
+
+def _middles(inside: DataFrame, sets: DataFrame) -> DataFrame:
+    """(group, middle): of each group (``old``) of nodes (``of``) the one whose shingles are the most common in the group
+    for its size. All shingles are counted, which the few smallest cannot replace: the middle of many copies is the one
+    that most of them lie within reach of. Its score is the mean intersection with the group over the mean union."""
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, ROWS):
@@ -178,10 +187,33 @@ def central(chosen: DataFrame, sets: DataFrame) -> DataFrame:
                                               pa.array(np.concatenate(held).astype("i8"))], names=["of", "old", "shingle"])
     held = sets.join(inside, F.col("node") == F.col("of")).select("of", "old", "blob").mapInArrow(run, "of long, old long, shingle long")
     often = held.groupBy(F.col("old").alias("group"), F.col("shingle").alias("at")).agg(F.count(F.lit(1)).alias("often"))
-    weight = held.join(often, (F.col("old") == F.col("group")) & (F.col("shingle") == F.col("at"))).groupBy("old", "of").agg(F.avg("often").alias("weight"))
-    middle = staged(weight.groupBy(F.col("old").alias("group")).agg(F.max_by("of", F.struct("weight", "of")).alias("middle")), "middles")
-    everyone = chosen.unionByName(middle.select(F.col("group").alias("node"), F.col("group").alias("pivot")))
-    return everyone.join(middle, F.col("pivot") == F.col("group"), "left").select("node", F.coalesce("middle", "pivot").alias("pivot")).filter("node <> pivot")
+    met = held.join(often, (F.col("old") == F.col("group")) & (F.col("shingle") == F.col("at"))).groupBy("old", "of").agg(
+        F.sum("often").alias("inter"), F.count(F.lit(1)).alias("n"))
+    met = staged(met, "in-groups")
+    groups = met.groupBy(F.col("old").alias("group")).agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("total"))
+    weight = met.join(groups, F.col("old") == F.col("group")).select("group", "of", (F.col("inter") / (F.col("c") * F.col("n") + F.col("total") - F.col("inter"))).alias("weight"))
+    return staged(weight.groupBy("group").agg(F.max_by("of", F.struct("weight", "of")).alias("middle")), "middles")
+
+
+def followers_of(sets: DataFrame) -> list[DataFrame]:
+    """Measured pairs of nodes and their pivots, by rounds.
+
+    Nodes out of reach of their pivot that are still more than ``REGIONS`` are a group again and get a middle of their
+    own: copies of a text that is not in the table, or several families behind one pivot. A group goes on while a round
+    takes an eighth of it, so rounds are few; what no round takes are regions of one node, which the counts join exactly.
+    """
+    rounds = [staged(measured(pivots(sets).select(F.col("node").alias("a"), F.col("pivot").alias("b")), sets), "followers")]
+    groups = rounds[0].groupBy(F.col("b").alias("old")).agg(F.count_if(~F.expr(IS_LINK)).alias("c"))
+    while True:
+        groups = staged(groups.filter(F.col("c") > REGIONS).select("old"), "groups")
+        if groups.isEmpty():
+            return rounds
+        apart = rounds[-1].filter(f"not ({IS_LINK})").select(F.col("a").alias("of"), "b").join(groups, F.col("b") == F.col("old")).select("of", "old")
+        apart = staged(apart, "out-of-reach")
+        follow = apart.join(_middles(apart, sets), F.col("old") == F.col("group")).filter("of <> middle")
+        rounds.append(staged(measured(follow.select(F.col("of").alias("a"), F.col("middle").alias("b")), sets), "followers"))
+        groups = rounds[-1].groupBy(F.col("b").alias("old")).agg(
+            F.count_if(~F.expr(IS_LINK)).alias("c"), F.count(F.lit(1)).alias("all")).filter("8 * (all - c) >= all")
 
 
 def _with_blobs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -242,6 +274,10 @@ IS_LINK = f"100 * inter >= {MIN_PERCENT} * (na + nb - inter)"
 DISTANCE = "1 - inter / (na + nb - inter)"
 
 
+def _all(parts: list[DataFrame]) -> DataFrame:
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
 def _shown(sets: DataFrame, everything: bool, role: int) -> DataFrame:
     """(shingle, role, label, node, info) from ``sets`` (node, blob, label); a null label makes the node a single.
 
@@ -273,12 +309,14 @@ def _regions_of(shown: DataFrame) -> DataFrame:
     return spans.select("shingle", F.lit(REGION).alias("role"), "label", "node", "info")
 
 
-def _shared(rows: DataFrame, limit: int | None = None) -> DataFrame:
+def _shared(rows: DataFrame, limit: int | None = None, whole: bool = False) -> DataFrame:
     """(node, label, c): the node shares c shingles with that foreign region; without label, c shingles that are not
     counted because more than ``limit`` regions have them.
 
     The rows of a shingle follow each other, its regions and singles first, so that nothing is held but ``limit`` of
-    those. Only regions that could hold a partner of the node's size count.
+    those. Only regions that could hold a partner of the node's size count. Where ``whole`` sets are shown, a link
+    needs three sevenths of both sizes together: pairs are left out that miss it with all uncounted shingles added, the
+    region's smallest node taken for the other.
     """
     limit = limit or REGIONS
 
@@ -287,6 +325,8 @@ def _shared(rows: DataFrame, limit: int | None = None) -> DataFrame:
         counts: dict[int, int] = {}  # by the numbers of node and label (0: uncounted) in one integer
         number: dict[int, int] = {}
         spans: dict[int, tuple[int, int]] = {}  # by number of the label
+        smallest: dict[int, int] = {}  # size of a label's smallest node met, by its number
+        sizes: dict[int, int] = {}  # of nodes that search, by their number
         singles: list[tuple[int, int]] = []
         last, open_shingle, many = None, None, False
 
@@ -295,18 +335,22 @@ def _shared(rows: DataFrame, limit: int | None = None) -> DataFrame:
 
         def flush() -> pa.RecordBatch:
             """One row per node with all it shares: tasks meet a pair again and again, so rows per pair would be many."""
-            by_node: dict[int, tuple[list, list]] = {}
+            by_node: dict[int, tuple[list, list, list]] = {}
             names = [None, *number]
             for key, c in counts.items():
-                labels, shared = by_node.setdefault(names[key >> 32], ([], []))
-                labels.append(names[key & 0xFFFFFFFF])
+                labels, shared, least = by_node.setdefault(key >> 32, ([], [], []))
+                label = key & 0xFFFFFFFF
+                labels.append(names[label])
                 shared.append(c)
+                least.append(smallest.get(label, 0))
             counts.clear()
-            return pa.RecordBatch.from_arrays([pa.array(list(by_node), pa.int64()), *(pa.array([x[i] for x in by_node.values()], pa.list_(pa.int64())) for i in range(2))],
-                                              names=["node", "labels", "shared"])
+            return pa.RecordBatch.from_arrays([pa.array([names[x] for x in by_node], pa.int64()), pa.array([sizes[x] for x in by_node], pa.int64()),
+                                               *(pa.array([x[i] for x in by_node.values()], pa.list_(pa.int64())) for i in range(3))],
+                                              names=["node", "n", "labels", "shared", "least"])
 
         def searched(node: int, label: int, n: int) -> None:
             key, label = numbered(node) << 32, numbered(label)
+            sizes[key >> 32] = n
             if many:
                 counts[key] = counts.get(key, 0) + 1
                 return
@@ -325,8 +369,8 @@ def _shared(rows: DataFrame, limit: int | None = None) -> DataFrame:
             change = np.flatnonzero(shingle[1:] != shingle[:-1]) + 1
             starts, ends = np.concatenate([[0], change]), np.concatenate([change, [len(shingle)]])
             look = np.flatnonzero((ends - starts > 1) | (starts == 0) | (ends == len(shingle)))
-            at = np.concatenate([np.arange(a, b) for a, b in zip(starts[look], ends[look], strict=True)])
-            kept = batch.take(pa.array(at))  # rows alone with their shingle, here and in the next batch, share nothing
+            rows_of = np.concatenate([np.arange(a, b) for a, b in zip(starts[look], ends[look], strict=True)])
+            kept = batch.take(pa.array(rows_of))  # rows alone with their shingle, here and in the next batch, share nothing
             for row in zip(*(c.to_pylist() for c in kept.columns), strict=True):
                 if row == last:
                     continue  # two equal shortened hashes of one set
@@ -342,7 +386,9 @@ def _shared(rows: DataFrame, limit: int | None = None) -> DataFrame:
                         searched(node, node if label is None else label, info >> 1)
                     continue
                 if not many:
-                    spans[numbered(node if label is None else label)] = (node, info) if role == REGION else (info >> 1, info >> 1)
+                    at = numbered(node if label is None else label)
+                    low, _ = spans[at] = (node, info) if role == REGION else (info >> 1, info >> 1)
+                    smallest[at] = min(low, smallest.get(at, low))
                 if role == SINGLE and info & 1:
                     singles.append((node, info >> 1))
                 if len(spans) > limit:
@@ -359,25 +405,34 @@ def _shared(rows: DataFrame, limit: int | None = None) -> DataFrame:
     @lean
     def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, dict[int | None, int]] = {}
+        sizes: dict[int, tuple[int, dict[int | None, int]]] = {}  # of the node and of the smallest of each label
         kept = 0
+
+        def told() -> pa.RecordBatch:
+            rows = []
+            for node, mine in held.items():
+                n, least = sizes[node]
+                more = mine.get(None, 0)
+                rows += [(node, x, c) for x, c in mine.items() if x is None or not whole or (100 + MIN_PERCENT) * (c + more) >= MIN_PERCENT * (n + least[x])]
+            held.clear()
+            sizes.clear()
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(3)], names=["node", "label", "c"])
+
         for batch in batches:
-            for node, labels, shared in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for node, n, labels, shared, low in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if node not in held and kept > KEPT_COUNTS:
                     kept = 0
-                    yield told(held)  # rows of a node follow each other, so those held are complete
+                    yield told()  # rows of a node follow each other, so those held are complete
                 mine, kept = held.setdefault(node, {}), kept + len(labels)
-                for label, c in zip(labels, shared, strict=True):
+                least = sizes.setdefault(node, (n, {}))[1]
+                for label, c, x in zip(labels, shared, low, strict=True):
                     mine[label] = mine.get(label, 0) + c
+                    least[label] = min(x, least.get(label, x))
         if held:
-            yield told(held)
+            yield told()
 
-    def told(held: dict[int, dict[int | None, int]]) -> pa.RecordBatch:
-        out = pa.RecordBatch.from_arrays([pa.array([n for n, m in held.items() for _ in m], pa.int64()), pa.array([x for m in held.values() for x in m], pa.int64()),
-                                          pa.array([c for m in held.values() for c in m.values()], pa.int64())], names=["node", "label", "c"])
-        held.clear()
-        return out
     met = rows.repartition("shingle").sortWithinPartitions("shingle", "role", "label", "node")
-    parts = met.mapInArrow(run, "node long, labels array<long>, shared array<long>").repartition("node").sortWithinPartitions("node")
+    parts = met.mapInArrow(run, "node long, n long, labels array<long>, shared array<long>, least array<long>").repartition("node").sortWithinPartitions("node")
     return parts.mapInArrow(add_up, "node long, label long, c long")
 
 
@@ -413,7 +468,7 @@ def _towards_pure(sets: DataFrame, nodes: DataFrame, labelled, left: DataFrame)
     while not rest.isEmpty() and not targets.isEmpty():
         some = labelled(sets.join(rest, F.col("node") == F.col("_r"), "left_semi"))
         shown = _shown(some, True, MEMBER).withColumn("role", F.lit(MEMBER))
-        shared = staged(_shared(shown.unionByName(targets), limit), "shared")
+        shared = staged(_shared(shown.unionByName(targets), limit, whole=True), "shared")
         uncounted = shared.filter("label is null").select(F.col("node").alias("_h"), F.col("c").alias("h"))
         state = staged(rest.join(nodes, F.col("_r") == F.col("node")).join(uncounted, F.col("node") == F.col("_h"), "left").selectExpr(
             "_r", f"n - coalesce(h, 0) - n * {100 - MIN_PERCENT} div 100 as quarter"), "left")
@@ -426,7 +481,7 @@ def _towards_pure(sets: DataFrame, nodes: DataFrame, labelled, left: DataFrame)
 def links(sets: DataFrame) -> DataFrame:
     """(a, b): verified links between nodes whose closure is that of all links. ``sets`` has one row per node."""
     nodes = sets.select("node", "n", "m")
-    followers = staged(measured(pivots(sets).select(F.col("node").alias("a"), F.col("pivot").alias("b")), sets), "followers")
+    followers = _all(followers_of(sets))
     members = followers.filter(IS_LINK).selectExpr("a", "b", "na", "inter", f"{DISTANCE} as distance")
     own = members.select(F.col("a").alias("_n"), F.col("b").alias("label"))
     labels = staged(own.unionByName(own.select(F.col("label").alias("_n"), "label").distinct()), "regions")
@@ -435,10 +490,10 @@ def links(sets: DataFrame) -> DataFrame:
     def labelled(some: DataFrame) -> DataFrame:
         return some.join(labels, F.col("node") == F.col("_n"), "left").select("node", "blob", "label")
 
-    def counts(shown: DataFrame, targets: DataFrame, have: DataFrame) -> tuple[DataFrame, DataFrame]:
+    def counts(shown: DataFrame, targets: DataFrame, have: DataFrame, whole: bool) -> tuple[DataFrame, DataFrame]:
         """What nodes share, and what is left of the shingles they count beyond those a linked set may lack: a quarter,
         or a seventh for a partner of at least the same size. ``have``: node, n, m."""
-        shared = staged(_shared(shown.unionByName(targets)), "shared")
+        shared = staged(_shared(shown.unionByName(targets), whole=whole), "shared")
         uncounted = shared.filter("label is null").select(F.col("node").alias("_h"), F.col("c").alias("h"))
         left = have.join(uncounted, F.col("node") == F.col("_h"), "left").selectExpr(
             "node as _r", f"m - coalesce(h, 0) - n * {100 - MIN_PERCENT} div 100 as quarter", "m - coalesce(h, 0) - n div 7 as seventh")
@@ -449,7 +504,7 @@ def links(sets: DataFrame) -> DataFrame:
 
     # all nodes, on the shingles below a bound: singles are regions and search at once, members search
     in_regions = _shown(sets.join(labels, F.col("node") == F.col("_n")).select("node", "blob", "label"), False, MEMBER)
-    left, near = counts(_shown(labelled(sets), False, MEMBER), _regions_of(in_regions), nodes)
+    left, near = counts(_shown(labelled(sets), False, MEMBER), _regions_of(in_regions), nodes, False)
     found = [staged(near, "measured")]
 
     # those with too little left, among themselves and on all shingles
@@ -458,13 +513,11 @@ def links(sets: DataFrame) -> DataFrame:
         some = sets.join(rest, F.col("node") == F.col("_r"), "left_semi")
         whole = nodes.join(rest, F.col("node") == F.col("_r"), "left_semi").selectExpr("node", "n", "n as m")
         in_regions = _shown(some.join(labels, F.col("node") == F.col("_n")).select("node", "blob", "label"), True, MEMBER)
-        left, near = counts(_shown(labelled(some), True, MEMBER), _regions_of(in_regions), whole)
+        left, near = counts(_shown(labelled(some), True, MEMBER), _regions_of(in_regions), whole, True)
         found.append(staged(near, "measured"))
         found += _towards_pure(sets, nodes, labelled, left)
 
-    all_found = found[0]
-    for more in found[1:]:
-        all_found = all_found.unionByName(more)
+    all_found = _all(found)
     edges = staged(members.select("a", "b").unionByName(all_found.filter(IS_LINK).select("a", "b")), "links")
     near = all_found.filter(f"not ({IS_LINK})").withColumn("distance", F.expr(DISTANCE)).join(radius, F.col("b") == F.col("region")).filter(
         F.col("distance") <= F.col("radius") + RADIUS + 1e-9).select("a", "b", "na", "inter", "distance")
@@ -487,8 +540,9 @@ def _boundary_pairs(apart: DataFrame, members: DataFrame, sets: DataFrame) -> Da
     """(a, b): boundary documents and the members of the region that they can be linked to.
 
     Both distances to the pivot are known, so is what each shares with it. The two can share no more of the pivot's
-    shingles than the lesser of that; the rest of the intersection a link needs lies outside the pivot, where
-    documents of a region have little in common and are joined by what they share.
+    shingles than the lesser of that; the rest of the intersection a link needs lies outside the pivot. Of what the
+    boundary document has there, so many must be shared that one of them is left when as many less one, the most common
+    of the region, are put aside: only the others are looked up.
     """
     inside = members.join(apart.select(F.col("b").alias("_b")).distinct(), F.col("b") == F.col("_b"), "left_semi")
     need = F.expr("(3 * (nx + ny) + 6) div 7 - least(ix, iy)")
@@ -499,9 +553,15 @@ def _boundary_pairs(apart: DataFrame, members: DataFrame, sets: DataFrame) -> Da
                            F.col("distance").alias(f"d{x}"), *([F.col("shingle").alias(f"s{x}")] if "shingle" in rows.columns else []))
     same = F.col("rx") == F.col("ry")
     within = named(apart, "x").join(named(inside, "y"), same & fits & (need <= 0)).select("x", "y")
-    shared = named(outside(apart, sets), "x").join(named(outside(inside, sets), "y"), same & (F.col("sx") == F.col("sy")) & fits & (need > 0))
-    enough = shared.groupBy("rx", "x", "y").agg(F.count(F.lit(1)).alias("c"), F.first(need).alias("need")).filter("c >= need").select("x", "y")
-    return within.unionByName(enough).filter("x <> y").distinct().select(F.col("x").alias("a"), F.col("y").alias("b"))
+    own = staged(named(outside(inside, sets), "y"), "outside-members")
+    common = own.groupBy(F.col("ry").alias("region"), F.col("sy").alias("at")).agg(F.count(F.lit(1)).alias("often"))
+    small = inside.groupBy(F.col("b").alias("of")).agg(F.min("na").alias("small"))
+    mine = named(outside(apart, sets), "x").join(common, (F.col("rx") == F.col("region")) & (F.col("sx") == F.col("at")), "left").join(small, F.col("rx") == F.col("of"))
+    least = F.expr(f"greatest(1, (3 * (nx + greatest(small, nx * {MIN_PERCENT} div 100)) + 6) div 7 - ix)")
+    place = F.row_number().over(Window.partitionBy("rx", "x").orderBy(F.coalesce("often", F.lit(0)), "sx"))
+    rare = mine.withColumn("place", place).filter(F.col("often").isNotNull() & (F.col("place") <= F.col("nx") - F.col("ix") - least + 1))
+    shared = rare.join(own, same & (F.col("sx") == F.col("sy")) & fits & (need > 0)).select("x", "y")
+    return within.unionByName(shared).filter("x <> y").distinct().select(F.col("x").alias("a"), F.col("y").alias("b"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
