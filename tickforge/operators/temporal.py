@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickforge.session import checkpoint_dir
@@ -119,6 +119,30 @@ def running_sums(df: DataFrame, by: Sequence[str], order: str, cols: Sequence[st
     return out.drop("_part", *[f"_r_{c}" for c in cols], *[f"_p_{c}" for c in cols])
 
 
+def over_spans(spans: DataFrame, by: Sequence[str], first: str, last: str, out: str, aggs: Sequence[Column], merges: Sequence[Column],
+               step: int = 3600) -> DataFrame:
+    """``aggs`` per (by, instant ``out``) over the spans that hold the instant; no span is expanded into its instants.
+
+    ``first`` and ``last`` are multiples of ``step``. A span is cut into blocks of 1, 2, 4, ... steps that start at multiples of
+    their length, at most two of a length; spans are aggregated per block, and only the block rows meet their instants, where
+    ``merges`` joins them.
+    """
+    by = list(by)
+    low, high = F.floor(F.col(first) / step), F.floor(F.col(last) / step) + 1
+    odd = lambda c: F.col(c).bitwiseAND(F.lit(1)) == 1
+    blocks = (
+        spans.withColumn("_a", low).withColumn("_b", high).filter("_a < _b")
+        .withColumn("_k", F.explode(F.expr("sequence(0, length(bin(_b - _a)) - 1)")))
+        .withColumn("_l", F.expr("shiftright(_a + shiftleft(1L, _k) - 1, _k)")).withColumn("_r", F.expr("shiftright(_b, _k)"))
+        .filter((F.col("_l") < F.col("_r")) & (odd("_l") | odd("_r")))
+        .withColumn("_n", F.explode(F.array(F.when(odd("_l"), F.col("_l")), F.when(odd("_r"), F.col("_r") - 1))))
+        .filter("_n IS NOT NULL")
+    )
+    per_block = blocks.groupBy(*by, "_k", "_n").agg(*aggs)
+    instants = per_block.withColumn("_i", F.explode(F.expr("sequence(shiftleft(_n, _k), shiftleft(_n + 1, _k) - 1)")))
+    return instants.withColumn(out, F.col("_i") * step).groupBy(*by, out).agg(*merges)
+
+
 def islands(points: DataFrame, ts: str, flag: str, weight: str, chunk: int = 86400) -> DataFrame:
     """Runs of equal ``flag`` along ``ts``: start, end, flag, points and weight per run.
 

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from tickforge.functions.columns import above, at_least, is_buy, ratio, scaled, sum_if
 from tickforge.functions.timeutil import bucket, in_period, period_start
 from tickforge.operators.keyed import latest_per_key
-from tickforge.plans.books import DEFAULT_SPREAD
+from tickforge.operators.temporal import over_spans
+from tickforge.plans.books import DEFAULT_SPREAD, snapshot_aggs, with_spread
 from tickforge.plans.volume import _among, _symbol
 from tickforge.plans.orders import POOL
 
@@ -68,10 +69,26 @@ def symbol_liquidity_summary(pools: DataFrame, depth: DataFrame, trades: DataFra
 def liquidity_metrics(levels: DataFrame, pools: DataFrame, trades: DataFrame, step: int = 60, window: int = 300) -> DataFrame:
     """Depth, spread, score and rating per symbol and snapshot, with the trades of the ``window`` before it.
 
-    ``levels`` carries snapshot_ts at multiples of ``step``. Each trade names the snapshots whose window
-    holds it, so trades, summed per second, meet snapshots by equality.
+    ``levels`` carries snapshot_ts at multiples of ``step``.
     """
     book = human_levels(levels.filter(F.col("quantity") > 0), pools).groupBy("snapshot_ts", *POOL, "symbol").agg(*_book_aggs())
+    return _rated(book, trades, step, window)
+
+
+def liquidity_metrics_of_spans(spans: DataFrame, pools: DataFrame, trades: DataFrame, step: int = 3600, window: int = 300) -> DataFrame:
+    """``liquidity_metrics`` at the end of every step of a book that is given as ``books.book_spans``.
+
+    Spans, not the levels of every step, meet the pools: levels multiply behind a size that Spark knows, and it may then
+    take them for the side to broadcast.
+    """
+    sums = [F.sum(c).alias(c) for c in ("bid_depth", "ask_depth", "bid_orders", "ask_orders")]
+    book = over_spans(human_levels(spans, pools), [*POOL, "symbol"], "from", "to", "hour", _book_aggs(),
+                      [*sums, F.max("best_bid").alias("best_bid"), F.min("best_ask").alias("best_ask")], step)
+    return _rated(book.withColumn("snapshot_ts", F.col("hour") + step).drop("hour"), trades, step, window)
+
+
+def _rated(book: DataFrame, trades: DataFrame, step: int, window: int) -> DataFrame:
+    """Each trade names the snapshots whose window holds it, so trades, summed per second, meet snapshots by equality."""
     per_second = trades.groupBy("chain_id", F.col("symbol").alias("pool_id"), "ts").agg(
         F.sum("quote_qty").alias("quote"), F.count(F.lit(1)).alias("n"))
     first = F.ceil(F.col("ts") / step) * step
@@ -125,6 +142,16 @@ def value_history(history: DataFrame, pools: DataFrame, step: int = 3600) -> Dat
         "order_count", F.col("value").alias("liquidity_value"))
 
 
+def value_history_aggregate(spans: DataFrame, pools: DataFrame, step: int = 3600) -> DataFrame:
+    """``books.book_snapshot_aggregate`` of the ``value_history`` of a book that is given as ``books.book_spans``."""
+    valued = human_levels(spans, pools).drop("price").withColumnsRenamed({"h_price": "price", "value": "liquidity_value"})
+    sums = [F.sum(c).alias(c) for c in ("bid_liquidity", "ask_liquidity", "total_liquidity", "bid_orders", "ask_orders")]
+    per_hour = over_spans(valued, [*POOL, "symbol"], "from", "to", "hour", snapshot_aggs(),
+                          [*sums, F.max("best_bid").alias("best_bid"), F.min("best_ask").alias("best_ask")], step)
+    cols = ["snapshot_ts", *POOL, "symbol", "bid_liquidity", "ask_liquidity", "total_liquidity", "bid_orders", "ask_orders", "best_bid", "best_ask"]
+    return with_spread(per_hour.withColumn("snapshot_ts", F.col("hour") + step).select(*cols))
+
+
 def liquidity_over_time(aggregated: DataFrame, period: str, as_of: int, symbol: str | None = None) -> DataFrame:
     a = _symbol(aggregated.filter(in_period("snapshot_ts", period, as_of)), symbol)
     return a.groupBy("snapshot_ts").agg(

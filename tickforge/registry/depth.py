@@ -28,8 +28,7 @@ query("symbol_liquidity_summary", f"""SELECT symbol, chain_id, pool_id, bid_dept
 view("fx_day_hours", f"""SELECT hour + 3600 AS snapshot_ts, chain_id, pool_id, side, price, cast(sum(rem) AS bigint) AS quantity, count(*) AS order_count
   FROM range({H0}, {AS_OF}, 3600) g(hour) JOIN fx_order_hours o ON o.ts < hour + 3600 AND o.until >= hour + 3600 WHERE rem > 0 GROUP BY 1, 2, 3, 4, 5""")
 view("fx_day_levels", "SELECT d.*, p.coin AS symbol, d.price / cast(100 AS double) AS h_price, d.quantity * (d.price / cast(100 AS double)) AS value FROM fx_day_hours d JOIN fx_pools p ON p.chain_id = d.chain_id AND p.order_book = d.pool_id")
-_day = lambda fx: books.book_history_hourly(fx.orders, fx.order_history, H0, AS_OF)
-_levels = lambda fx: _day(fx).withColumn("snapshot_ts", F.col("hour") + 3600)
+_spans = lambda fx: books.book_spans(fx.orders, fx.order_history, H0, AS_OF)
 WINDOW = 7200  # two hours, because the test trades are sparse
 view("fx_liq_base", f"""SELECT b.chain_id, symbol, b.snapshot_ts, bid_depth, ask_depth, {r2('bd + ad', 'total_depth')}, best_bid, best_ask,
   {r4('CASE WHEN best_bid > 0 AND best_ask > 0 THEN (best_ask - best_bid) / best_bid * 10000 ELSE 0 END', 'spread_bps')}, bid_orders, ask_orders,
@@ -40,15 +39,15 @@ view("fx_liq_base", f"""SELECT b.chain_id, symbol, b.snapshot_ts, bid_depth, ask
    ON t.ts BETWEEN g.snapshot_ts - {WINDOW} AND g.snapshot_ts GROUP BY 1, 2, 3) r ON r.snapshot_ts = b.snapshot_ts AND r.chain_id = b.chain_id AND r.pool_id = b.pool_id""")
 view("fx_liq", f"""SELECT * EXCLUDE score, {r4('score', 'liquidity_score')}, CASE WHEN score >= 80 THEN 'Excellent' WHEN score >= 60 THEN 'Good' WHEN score >= 40 THEN 'Moderate'
   WHEN score >= 20 THEN 'Low' ELSE 'Very Low' END AS liquidity_rating FROM fx_liq_base""")
-_metrics = lambda fx: rounded(liquidity.liquidity_metrics(_levels(fx), fx.pools, fx.trades, 3600, WINDOW), "bid_depth ask_depth total_depth",
+_metrics = lambda fx: rounded(liquidity.liquidity_metrics_of_spans(_spans(fx), fx.pools, fx.trades, 3600, WINDOW), "bid_depth ask_depth total_depth",
                               "spread_bps liquidity_score avg_trade_volume")
 # The metrics tables cover the whole span of the data; the queries over 24 hours ask for the last day.
 view("fx_all_levels", "SELECT d.*, hour + 3600 AS snapshot_ts, p.coin AS symbol, d.price / cast(100 AS double) AS h_price, d.quantity * (d.price / cast(100 AS double)) AS value FROM fx_book_all d JOIN fx_pools p ON p.chain_id = d.chain_id AND p.order_book = d.pool_id")
 view("fx_liq_base_all", VIEWS["fx_liq_base"].replace("fx_day_levels", "fx_all_levels").replace(
     f"range({H0 + 3600}, {AS_OF + 1}, 3600) g(snapshot_ts)", "(SELECT hour + 3600 AS snapshot_ts FROM fx_all_hours) g"))
 view("fx_liq_all", VIEWS["fx_liq"].replace("fx_liq_base", "fx_liq_base_all"))
-_all = lambda fx: books.book_history_all(fx.orders, fx.order_history, AS_OF).withColumn("snapshot_ts", F.col("hour") + 3600)
-_metrics_all = lambda fx: rounded(liquidity.liquidity_metrics(_all(fx), fx.pools, fx.trades, 3600, WINDOW), "bid_depth ask_depth total_depth",
+_all = lambda fx: books.book_spans_all(fx.orders, fx.order_history, AS_OF)
+_metrics_all = lambda fx: rounded(liquidity.liquidity_metrics_of_spans(_all(fx), fx.pools, fx.trades, 3600, WINDOW), "bid_depth ask_depth total_depth",
                                   "spread_bps liquidity_score avg_trade_volume")
 query("liquidity_metrics", "SELECT * FROM fx_liq_all")(_metrics_all)
 _AVG = ", ".join(r4(f"avg({c})", f"avg_{c}") for c in ("bid_depth", "ask_depth", "total_depth", "spread_bps", "liquidity_score")) + ", count(*) AS data_points"
@@ -67,7 +66,7 @@ view("fx_snap_agg", """SELECT snapshot_ts, chain_id, pool_id, symbol, round(sum(
   round(CASE WHEN max(CASE WHEN side = 'Buy' THEN h_price END) > 0 AND min(CASE WHEN side = 'Sell' THEN h_price END) > max(CASE WHEN side = 'Buy' THEN h_price END)
    THEN (min(CASE WHEN side = 'Sell' THEN h_price END) - max(CASE WHEN side = 'Buy' THEN h_price END)) / max(CASE WHEN side = 'Buy' THEN h_price END) ELSE 0.0125 END + 1e-9, 6) AS spread
   FROM fx_day_levels GROUP BY 1, 2, 3, 4""")
-_agg = lambda fx: rounded(books.book_snapshot_aggregate(liquidity.value_history(_day(fx), fx.pools)), "bid_liquidity ask_liquidity total_liquidity", six="spread")
+_agg = lambda fx: rounded(liquidity.value_history_aggregate(_spans(fx), fx.pools), "bid_liquidity ask_liquidity total_liquidity", six="spread")
 query("liquidity_over_time", f"""SELECT snapshot_ts, {r2('sum(bid_liquidity)', 'bid_liquidity')}, {r2('sum(ask_liquidity)', 'ask_liquidity')}, {r2('sum(total_liquidity)', 'total_liquidity')},
   count(DISTINCT symbol) AS active_markets, {r4('avg(spread)', 'average_spread')} FROM fx_snap_agg WHERE snapshot_ts BETWEEN {H0} AND {AS_OF} GROUP BY 1""")(
     lambda fx: rounded(liquidity.liquidity_over_time(_agg(fx), "24h", AS_OF), "bid_liquidity ask_liquidity total_liquidity", "average_spread"))
