@@ -162,9 +162,20 @@ def lending_available_to_supply(users: DataFrame, configs: DataFrame, supplies:
         (F.col("asset") == RECOMMENDED).alias("recommended"))
 
 
+def borrowing_base(supplies: DataFrame) -> DataFrame:
+    """Supplied value per user, summed exactly: the noise of a sum of floats would decide what is floored later.
+
+    Sums that do not fit 28 digits before the point are sums of floats.
+    """
+    exact = F.col("supplied").try_cast("decimal(38,10)")
+    fits = F.count(exact) == F.count("supplied")
+    return supplies.groupBy("user_id").agg(
+        F.coalesce(F.when(fits, F.try_sum(exact)).cast("double"), F.sum("supplied")).alias("collateral"))
+
+
 def lending_available_to_borrow(supplies: DataFrame, configs: DataFrame, most: int = BROADCAST_ASSETS) -> DataFrame:
     """Borrowing power per user and listed asset: collateral value times loan-to-value, floored."""
-    power = supplies.groupBy("user_id").agg(F.sum("supplied").alias("collateral")).filter("collateral > 0")
+    power = borrowing_base(supplies).filter("collateral > 0")
     ltv = F.col("c.collateral_factor") / 10000.0
     return _with_assets(power, configs, most).filter(ltv > 0).select(
         "user_id", "c.token", F.floor(F.col("collateral") * ltv).alias("available"), (ltv * 100).alias("collateral_factor"),
