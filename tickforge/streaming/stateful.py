@@ -23,6 +23,9 @@ from tickforge.sources.tables import _folder
 
 DAY, MINUTE = 86400, 60
 COMPACT_EVERY = 8  # batches
+ORDER_BLOCK = 1024  # order ids that share a call of the state
+NO_ORDER = -(2**63)  # stands for a missing order id, which would make floats of all ids in pandas
+ACCOUNT_BLOCKS = 4096  # calls of the state that users share
 
 
 def with_state_store(spark: SparkSession) -> SparkSession:
@@ -58,44 +61,66 @@ def _plain(value):
 class _Orders(_Keyed):
     """What each order adds to its level, as changes; a closed order leaves nothing behind.
 
-    Events of an order that is not known (closed already, or not placed yet) wait for ``patience`` seconds.
+    A key is a block of order ids, because a call per order costs far more than its few rows; inside it every order has a
+    state row of its own. Events of an order that is not known (closed already, or not placed yet) wait for ``patience`` seconds.
     """
 
     def __init__(self, kind: str, patience: int):
-        self.fields = f"side int, price {kind}, placed {kind}, matched {kind}, ended boolean"
+        self.fields = f"side int, price {kind}, placed {kind}, matched {kind}, ended boolean, at bigint"
         self.patience = patience
 
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.state = handle.getMapState("orders", "pool_id string, order_id bigint", self.fields)
+
     @staticmethod
-    def _adds(side, price, placed, matched, ended):
+    def _adds(side, price, placed, matched, ended, at=0):
         if placed is None or ended or placed - matched <= 0:
             return 0, 0
         return placed - matched, 1
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        side, price, placed, matched, ended = self.state.get() if self.state.exists() else (None, None, None, 0, False)
-        before, at = self._adds(side, price, placed, matched, ended), 0
+        held = {tuple(k): tuple(v) for k, v in self.state.iterator()}
+        now: dict[tuple, list] = {}
         for pdf in rows:
-            for kind, side_code, p, q, ends, ts in zip(pdf["kind"], pdf["side_code"], pdf["price"], pdf["quantity"], pdf["ends"], pdf["ts"], strict=True):
+            for pool, oid, kind, side_code, p, q, ends, ts in zip(*[pdf[c].tolist() for c in (
+                    "pool_id", "order_id", "kind", "side_code", "price", "quantity", "ends", "ts")], strict=True):
+                order = now.get((pool, oid))
+                if order is None:
+                    order = now[pool, oid] = [*held.get((pool, oid), (None, None, None, 0, False))[:5], 0]
                 if kind == "OrderPlaced":
-                    side, price, placed = int(side_code), _plain(p), _plain(q)
+                    order[:3] = side_code, p, q
                 elif kind == "OrderMatched":
-                    matched += _plain(q)
-                ended, at = bool(ended or ends), max(at, int(ts))
-        after = self._adds(side, price, placed, matched, ended)
-        closed = placed is not None and after == (0, 0)
-        if closed:
-            self.state.clear()
-        else:
-            self.state.update((side, price, placed, matched, ended))
-            if placed is None:
-                self.wake(at + self.patience)
-        if placed is not None and before != after:
-            yield pd.DataFrame([(key[0], key[1], side, price, after[0] - before[0], after[1] - before[1], at)],
-                               columns=["chain_id", "pool_id", "side_code", "price", "d_qty", "d_count", "last_updated"])
+                    order[3] += q
+                order[4], order[5] = bool(order[4] or ends), max(order[5], ts)
+        changes = []
+        for (pool, oid), order in now.items():
+            old = held.get((pool, oid))
+            before, after = self._adds(*old) if old else (0, 0), self._adds(*order)
+            if order[2] is None or after != (0, 0):
+                self.state.updateValue((pool, oid), tuple(order))
+            elif old:
+                self.state.removeKey((pool, oid))
+            if order[2] is not None and before != after:
+                changes.append((key[0], pool, order[0], order[1], after[0] - before[0], after[1] - before[1], order[5]))
+        if any(order[2] is None for order in now.values()):
+            self._wait(v for v in (held | now).values())
+        if changes:
+            yield pd.DataFrame(changes, columns=["chain_id", "pool_id", "side_code", "price", "d_qty", "d_count", "last_updated"])
+
+    def _wait(self, orders) -> None:
+        """Wake the block when the first of its unknown orders has waited long enough."""
+        unknown = [order[5] for order in orders if order[2] is None]
+        if unknown:
+            self.wake(min(unknown) + self.patience)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.state.exists() and self.state.get()[2] is None:
-            self.state.clear()
+        held = {tuple(k): tuple(v) for k, v in self.state.iterator()}
+        gone = [k for k, v in held.items() if v[2] is None and (v[5] + self.patience) * 1000 <= timerValues.getCurrentWatermarkInMs()]
+        for k in gone:
+            self.state.removeKey(k)
+            del held[k]
+        self._wait(held.values())
         return iter(())
 
 
@@ -109,8 +134,8 @@ def stream_depth(log: DataFrame, watermark: str = "10 minutes", patience: int =
             F.array("order_id"))).alias("order_id"), ev.alias("kind"), *[F.coalesce(c, F.lit(0).cast(kind_of(log, c))).alias(c) for c in (
             "side_code", "price", "quantity")],  # a null would make floats of them in pandas
         F.coalesce(ev.isin(UPDATE_EVENTS) & status_name("status_code").isin("CANCELLED", "EXPIRED", "REJECTED"), F.lit(False)).alias("ends"),
-        F.col("block_timestamp").alias("ts"), "event_time")
-    out = rows.groupBy("chain_id", "pool_id", "order_id").transformWithStateInPandas(
+        F.col("block_timestamp").alias("ts"), "event_time").withColumn("order_id", F.coalesce("order_id", F.lit(NO_ORDER)))
+    out = rows.withColumn("block", F.floor(F.col("order_id") / ORDER_BLOCK)).groupBy("chain_id", "block").transformWithStateInPandas(
         _Orders(kind, patience), f"chain_id int, pool_id string, side_code int, price {kind}, d_qty {kind}, d_count int, last_updated bigint",
         "Append", "EventTime")
     return out.select("chain_id", "pool_id", side_name("side_code").alias("side"), "price", "d_qty", "d_count", "last_updated")
@@ -130,38 +155,58 @@ def read_depth(spark: SparkSession, path: str, limit: int | None = None) -> Data
 
 
 class _Accounts(_Keyed):
-    """Running free and locked amount; an account that holds nothing is forgotten ``idle`` seconds after its last move."""
+    """Running free and locked amount; an account that holds nothing is forgotten ``idle`` seconds after its last move.
+
+    A key is a block of users; every account in it has a state row of its own.
+    """
 
     def __init__(self, kind: str, idle: int):
         self.fields = f"available {kind}, locked {kind}, at bigint"
         self.idle = idle
 
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.state = handle.getMapState("accounts", "user_id string, currency string", self.fields)
+
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        available, locked, at = self.state.get() if self.state.exists() else (0, 0, 0)
+        held = {tuple(k): tuple(v) for k, v in self.state.iterator()}
+        now: dict[tuple, list] = {}
         for pdf in rows:
-            available += _plain(pdf["d_amount"].sum())
-            locked += _plain(pdf["d_locked"].sum())
-            at = max(at, int(pdf["ts"].max()))
-        self.state.update((available, locked, at))
-        if available == 0 and locked == 0:
-            self.wake(at + self.idle)
-        yield pd.DataFrame([(*key, available, locked, at)], columns=["chain_id", "user_id", "currency", "available", "locked", "timestamp"])
+            for user, currency, amount, locked, ts in zip(*[pdf[c].tolist() for c in ("user_id", "currency", "d_amount", "d_locked", "ts")], strict=True):
+                account = now.get((user, currency))
+                if account is None:
+                    account = now[user, currency] = list(held.get((user, currency), (0, 0, 0)))
+                account[0], account[1], account[2] = account[0] + amount, account[1] + locked, max(account[2], ts)
+        for k, account in now.items():
+            self.state.updateValue(k, tuple(account))
+        if any(account[0] == 0 and account[1] == 0 for account in now.values()):
+            self._wait((held | now).values())
+        yield pd.DataFrame([(key[0], *k, *account) for k, account in now.items()], columns=["chain_id", "user_id", "currency", "available", "locked", "timestamp"])
+
+    def _wait(self, accounts) -> None:
+        """Wake the block when the first of its empty accounts has been idle long enough."""
+        empty = [at for available, locked, at in accounts if available == 0 and locked == 0]
+        if empty:
+            self.wake(min(empty) + self.idle)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.state.exists():
-            available, locked, at = self.state.get()
+        held = {tuple(k): tuple(v) for k, v in self.state.iterator()}
+        for k, (available, locked, at) in list(held.items()):
             if available == 0 and locked == 0 and timerValues.getCurrentWatermarkInMs() >= (at + self.idle) * 1000:
-                self.state.clear()
+                self.state.removeKey(k)
+                del held[k]
+        self._wait(held.values())
         return iter(())
 
 
-def stream_balances(ledger: DataFrame, watermark: str = "10 minutes", idle: int = DAY) -> DataFrame:
+def stream_balances(ledger: DataFrame, watermark: str = "10 minutes", idle: int = DAY, blocks: int = ACCOUNT_BLOCKS) -> DataFrame:
     """Free and locked amount of every account that moved."""
     with_state_store(ledger.sparkSession)
     kind = kind_of(ledger, "amount").simpleString()
     moves = ledger_deltas(ledger).withColumn("event_time", F.timestamp_seconds("ts")).withWatermark("event_time", watermark).select(
-        "chain_id", "user_id", "currency", "d_amount", "d_locked", "ts", "event_time")
-    return moves.groupBy("chain_id", "user_id", "currency").transformWithStateInPandas(
+        "chain_id", F.pmod(F.xxhash64("user_id"), F.lit(blocks)).alias("block"), "user_id", "currency",
+        *[F.coalesce(c, F.lit(0).cast(kind)).alias(c) for c in ("d_amount", "d_locked")], "ts", "event_time")
+    return moves.groupBy("chain_id", "block").transformWithStateInPandas(
         _Accounts(kind, idle), f"chain_id int, user_id string, currency string, available {kind}, locked {kind}, timestamp bigint", "Append", "EventTime")
 
 
