@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from tickforge.operators.temporal import range_mean
 from tickforge.plans import lending
 
 
@@ -17,3 +18,15 @@ def test_borrowing_power_of_many_small_supplies(spark):
     got = {r.user_id: r.available for r in lending.lending_available_to_borrow(supplies, configs).filter(F.col("user_id") != "w").collect()}
     assert got == {"u": 1, "v": 1}
     assert lending.borrowing_base(supplies).filter("user_id = 'w'").head().collateral == 1e30
+
+
+def test_mean_of_a_range(spark):
+    """Dense seconds, gaps, repeated seconds, empty values; ranges of none, few and many seconds, without a sliding frame."""
+    rows = [("a" if i % 5 else "b", i * i % 700 + 1000, None if i % 17 == 0 else float(i % 13)) for i in range(400)]
+    df = spark.createDataFrame(rows, "k string, ts long, v double")
+    for radius in (0, 1, 7, 100):
+        out = range_mean(df, ["k"], "ts", "v", radius, "m")
+        for k, ts, _, m in out.collect():
+            near = [v for k2, t, v in rows if k2 == k and abs(t - ts) <= radius and v is not None]
+            assert (m is None and not near) or abs(m - sum(near) / len(near)) < 1e-9, (radius, k, ts)
+    assert "RangeFrame, -" not in out._jdf.queryExecution().optimizedPlan().toString()

@@ -66,25 +66,27 @@ def range_mean(df: DataFrame, by: Sequence[str], ts: str, value: str, radius: in
                chunk: int = 3600) -> DataFrame:
     """Mean of ``value`` over rows of the same key within ``radius`` seconds on either side.
 
-    Rows are first summed per (key, second); each second is copied into the neighbouring chunk only
-    when it lies within ``radius`` of the border, so chunks are independent window partitions.
+    Rows are first summed per (key, second) and cut into blocks of ``radius`` seconds (``chunk`` without a radius). The range
+    around a second is its own block, an end of the block before and a start of the block after. Each block also gets those
+    two, moved onto its own seconds, so both parts are running sums and no range is summed row by row.
     """
     by = list(by)
+    width = radius or chunk
     per_second = df.groupBy(*by, ts).agg(F.sum(value).alias("s"), F.count(value).alias("n"))
-    offset = F.pmod(F.col(ts), F.lit(chunk))
-    own = F.floor(F.col(ts) / chunk)
-    haloed = per_second.withColumn("own", own).withColumn(
-        "chunk",
-        F.explode(F.filter(F.array(
-            own,
-            F.when(offset < radius, own - 1),
-            F.when(offset >= chunk - radius, own + 1),
-        ), lambda c: c.isNotNull())),
-    )
-    w = Window.partitionBy(*by, "chunk").orderBy(ts).rangeBetween(-radius, radius)
+    block = F.floor(F.col(ts) / width)
+    place = lambda role, blocks: F.struct(F.lit(role).alias("role"), (block + blocks).alias("block"), (F.col(ts) + blocks * radius).alias("at"))
+    placed = per_second.withColumn("x", F.explode(F.array(place(0, 0), *([place(-1, 1), place(1, -1)] if radius else []))))
+    in_block = Window.partitionBy(*by, "x.block")
+    upto, since = in_block.orderBy("x.at"), in_block.orderBy(F.desc("x.at"))
+    # Growing ranges with all rows of their last second: rows of the block after up to here, of the block before from here on.
+    grow = lambda w: w.rangeBetween(Window.unboundedPreceding, 0)
+    role = F.col("x.role")
+    def total(c: str) -> Column:
+        part = lambda r, w: F.coalesce(F.sum(F.when(role == r, F.col(c))).over(w), F.lit(0))
+        own = part(0, in_block) if radius else F.coalesce(c, F.lit(0))
+        return part(-1, grow(since)) + own + part(1, grow(upto)) if radius else own
     means = (
-        haloed.withColumn("rs", F.sum("s").over(w)).withColumn("rn", F.sum("n").over(w))
-        .filter(F.col("chunk") == F.col("own"))
+        placed.withColumn("rs", total("s")).withColumn("rn", total("n")).filter(role == 0)
         .select(*by, ts, F.try_divide("rs", "rn").alias(out))
     )
     return df.join(means, [*by, ts], "left")
