@@ -9,14 +9,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickforge.operators.keyed import top_per_group
+from tickforge.operators.keyed import components, top_per_group
 from tickforge.operators.ranking import global_rank
 from tickforge.operators.temporal import asof_lookup, running_sums
 from tickforge.session import settle
 
 # Requests per window, window and cooldown in seconds.
 MAX_REQUESTS, WINDOW, COOLDOWN = 3, 3600, 4 * 3600
-SECONDS_PER_TASK = 1_000_000  # seconds with requests that one identifier may have in one task
+SECONDS_PER_TASK = 1_000_000  # seconds with requests (requests, for coupled identifiers) that may be in one task
 
 
 def _windows(max_requests: int, window: int, cooldown: int):
@@ -165,17 +165,83 @@ def rate_limit(requests: DataFrame, max_requests: int = MAX_REQUESTS, window: in
         F.when(ok | F.col("in_window"), F.col("window_start") + window).otherwise(F.col("cooldown_until")).alias("reset_ts"))
 
 
+def _coupled(max_requests: int, window: int, cooldown: int):
+    """Step over (component, address, ip, ts, seq) rows sorted by component, ts, seq: the decision of every request.
+
+    Only the limiters of the open component are carried, from row to row and from batch to batch.
+    """
+    def meets(at: int, s: tuple[int, int, int] | None) -> str:
+        if s is None or (at - s[1] > window and at >= s[2]):
+            return "new"
+        if at - s[1] > window:
+            return "cooling"
+        return "more" if s[0] < max_requests else "spent"
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        group, states = None, {}
+        for pdf in batches:
+            out = []
+            for g, address, ip, at in zip(pdf["component"].tolist(), pdf["address"].tolist(), pdf["ip"].tolist(), pdf["ts"].tolist()):
+                if g != group:
+                    group, states = g, {}
+                keys = ("a", address), ("i", ip)
+                a, i = states.get(keys[0]), states.get(keys[1])
+                ka, ki = meets(at, a), meets(at, i)
+                if ka in ("new", "more") and ki in ("new", "more"):
+                    for key, kind, s in zip(keys, (ka, ki), (a, i)):
+                        used, start = (1, at) if kind == "new" else (s[0] + 1, s[1])
+                        states[key] = (used, start, at + cooldown if used == max_requests else 0)
+                    a, i = states[keys[0]], states[keys[1]]
+                    out.append((True, None, max_requests - max(a[0], i[0]), min(a[1], i[1]) + window))
+                elif ka == "spent":
+                    out.append((False, "ADDRESS_RATE_LIMIT", 0, a[1] + window))
+                elif ki == "spent":
+                    out.append((False, "IP_RATE_LIMIT", 0, i[1] + window))
+                elif ka == "cooling":
+                    out.append((False, "ADDRESS_COOLDOWN", 0, a[2]))
+                else:
+                    out.append((False, "IP_COOLDOWN", 0, i[2]))
+            made = pd.DataFrame(out, columns=["allowed", "reason", "remaining", "reset_ts"], index=pdf.index)
+            yield pd.concat([pdf[["address", "ip", "ts", "seq"]], made], axis=1)
+    return fold
+
+
 def both_limits(requests: DataFrame, max_requests: int = MAX_REQUESTS, window: int = WINDOW, cooldown: int = COOLDOWN,
                 rows: int = SECONDS_PER_TASK) -> DataFrame:
     """Address and IP limits together, for (address, ip, ts, seq) with a unique seq; addresses compare without case.
 
-    A request passes if both limiters let it pass, and only then does either count it. Whether a request passes depends
-    on earlier accepted ones only, so the accepted requests are the one set that both limiters reproduce: the IP limiter
-    is run over the requests that the address limiter would let pass given the set found before, until the set stays.
+    A request passes if both limiters let it pass, and only then does either count it. Requests affect each other only
+    inside a component of addresses and IPs that requests connect. Components of up to ``rows`` requests are streamed over
+    in time order, each in one task; larger ones are solved as a whole by ``_by_rounds``. Requests without an address or an
+    IP are left out.
+    """
+    r = requests.select(F.lower("address").alias("address"), "ip", "ts", "seq").filter("address IS NOT NULL AND ip IS NOT NULL")
+    pairs = settle(r.groupBy("address", "ip").agg(F.count(F.lit(1)).alias("n")))
+    named = components(pairs.select(F.concat(F.lit("a"), "address").alias("u"), F.concat(F.lit("i"), "ip").alias("v")))
+    of = named.filter(F.col("node").startswith("a")).select(F.substring("node", 2, 2**31 - 1).alias("address"), "component")
+    sizes = pairs.groupBy("address").agg(F.sum("n").alias("n")).join(of, "address").groupBy("component").agg(F.sum("n").alias("n"))
+    large = settle(of.join(sizes.filter(F.col("n") > rows), "component", "left_semi").select("address"))
+    kinds = {f.name: f.dataType.simpleString() for f in r.schema}
+    fields = ", ".join([*[f"{c} {kinds[c]}" for c in ("address", "ip", "ts", "seq")],
+                        "allowed boolean, reason string, remaining bigint, reset_ts bigint"])
+    stepped = lambda some: some.join(of, "address").repartition("component").sortWithinPartitions("component", "ts", "seq").select(
+        "component", "address", "ip", "ts", "seq").mapInPandas(_coupled(max_requests, window, cooldown), fields)
+    if large.isEmpty():
+        return stepped(r)
+    hot = _by_rounds(r.join(large, "address", "left_semi"), max_requests, window, cooldown, rows)
+    return stepped(r.join(large, "address", "left_anti")).unionByName(hot)
+
+
+def _by_rounds(requests: DataFrame, max_requests: int, window: int, cooldown: int, rows: int) -> DataFrame:
+    """``both_limits`` for components of any size, without a task that holds one.
+
+    Whether a request passes depends on earlier accepted ones only, so the accepted requests are the one set that both
+    limiters reproduce: the IP limiter is run over the requests that the address limiter would let pass given the set found
+    before, until the set stays.
     Every round settles at least the first request that was decided wrongly.
     """
     settings = (max_requests, window, cooldown, rows)
-    ranked = global_rank(requests.select(F.lower("address").alias("address"), "ip", "ts", "seq"), [F.col("ts").asc(), F.col("seq").asc()], "pos")
+    ranked = global_rank(requests, [F.col("ts").asc(), F.col("seq").asc()], "pos")
     r = settle(ranked)
 
     def limited(some: DataFrame, by: str) -> DataFrame:
