@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from tickforge.fixtures import AS_OF
 from tickforge.plans import books, liquidity
+from tickforge.plans.orders import ORDER
 from tickforge.registry.core import VIEWS, nudged, query, r2, r4, rounded, view
 from tickforge.session import scratch_path
 
@@ -90,11 +91,18 @@ query("liquidity_report", f"""SELECT {r2('bid_liquidity')}, {r2('ask_liquidity')
     lambda fx: rounded(liquidity.liquidity_report(_agg(fx), "24h", AS_OF), "bid_liquidity ask_liquidity total_liquidity", "average_spread_percent")
     .withColumn("most_liquid", F.array_join("most_liquid", ",")).withColumn("tightest_spreads", F.array_join("tightest_spreads", ",")))
 
+
+def _stored(fx, df, name):
+    """Written once, because several steps read it."""
+    path = scratch_path(fx.spark, name)
+    df.write.parquet(path)
+    return fx.spark.read.parquet(path)
+
+
 @query("book_history_resume", f"SELECT * FROM fx_book_all WHERE hour >= (SELECT min(hour) + ({AS_OF} - min(hour)) // 7200 * 3600 FROM fx_all_hours)")
 def book_history_resume(fx):
-    """The second half of the whole span, continued from the first half as it was stored."""
-    first = books.first_hour(fx.order_history)
+    """The second half of the whole span, continued from the spans of the first half as they were stored."""
+    history, orders = _stored(fx, fx.order_history.drop("tx_hash"), "order-history"), _stored(fx, fx.orders.select(*ORDER, "side", "price", "quantity"), "orders")
+    first = books.first_hour(history)
     middle = AS_OF if first is None else first + (AS_OF - first) // 7200 * 3600
-    path = scratch_path(fx.spark, "book-history")
-    books.book_history_all(fx.orders, fx.order_history, middle).write.parquet(path)
-    return books.book_history_resume(fx.orders, fx.order_history, fx.spark.read.parquet(path), AS_OF)
+    return books.book_history_resume(orders, history, _stored(fx, books.book_spans_all(orders, history, middle), "book-spans"), AS_OF)
