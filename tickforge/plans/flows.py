@@ -22,8 +22,9 @@ def capital_flow(trades: DataFrame, periods: dict[str, int] | None = None, insti
                  institutional_trades: int = 100) -> DataFrame:
     """Flow metrics per symbol, period type and bucket (stamped with the bucket end).
 
-    One pass: trades are summed per (symbol, trader, cell of the base step), and the cells per (symbol, period, bucket,
-    trader). A trader is institutional in a bucket when the trailing seven buckets, all symbols together, exceed both
+    Sums and prices are merged per (symbol, cell of the base step), which combine before the shuffle. Only what depends on
+    the trader is kept per (symbol, trader, cell) and merged per (symbol, period, bucket, trader): volume and trades of
+    both sides. A trader is institutional in a bucket when the trailing seven buckets, all symbols together, exceed both
     thresholds: a window over those sums.
     """
     keys = ["symbol", "period_type", "time_bucket"]
@@ -37,24 +38,30 @@ def capital_flow(trades: DataFrame, periods: dict[str, int] | None = None, insti
         aggs += [i.alias(a), o.alias(b)]
     sums = ["inflow_volume", "outflow_volume", "large_inflows", "large_outflows", "whale_inflows", "whale_outflows",
             "retail_inflows", "retail_outflows"]
-    cells = trades.groupBy("symbol", "user_id", bucket("ts", base_step(periods)).alias("cell")).agg(
-        *aggs, F.count(F.lit(1)).alias("n"), F.count(F.when(buy, 1)).alias("buys"), F.count(F.when(~buy, 1)).alias("sells"),
+    cell = bucket("ts", base_step(periods)).alias("cell")
+    wide = lambda cells: per_interval(cells, "cell", periods).withColumnRenamed("interval_type", "period_type")
+    cells = trades.groupBy("symbol", cell).agg(
+        *aggs, F.count(F.lit(1)).alias("n"),
         F.min_by("price", order).alias("open"), F.min(order).alias("first"), F.max_by("price", order).alias("close"), F.max(order).alias("last"))
-    wide = per_interval(cells, "cell", periods).withColumnRenamed("interval_type", "period_type")
-    per_user = wide.groupBy(*keys, "step", "user_id").agg(
-        *[F.sum(c).alias(c) for c in [*sums, "n", "buys", "sells"]], F.min_by("open", "first").alias("open"), F.min("first").alias("first"),
-        F.max_by("close", "last").alias("close"), F.max("last").alias("last"))
+    totals = wide(cells).groupBy(*keys).agg(
+        *[F.sum(c).alias(c) for c in sums], F.sum("n").alias("trade_count"),
+        F.min_by("open", "first").alias("open"), F.max_by("close", "last").alias("close"))
+    theirs = ["bought", "sold", "buys", "sells", "n"]
+    user_cells = trades.groupBy("symbol", "user_id", cell).agg(
+        sum_if(buy, q).alias("bought"), sum_if(~buy, q).alias("sold"), F.count(F.when(buy, 1)).alias("buys"),
+        F.count(F.when(~buy, 1)).alias("sells"), F.count(F.lit(1)).alias("n"))
+    per_user = wide(user_cells).groupBy(*keys, "step", "user_id").agg(*[F.sum(c).alias(c) for c in theirs])
     trail = Window.partitionBy("user_id", "period_type").orderBy("slot").rangeBetween(1 - LOOKBACK_PERIODS, 0)
-    traded = F.col("inflow_volume") + F.col("outflow_volume")
     per_user = per_user.withColumn("slot", F.floor(F.col("time_bucket") / F.col("step"))).withColumn(
-        "inst", (F.sum(traded).over(trail) > institutional_volume) & (F.sum("n").over(trail) > institutional_trades))
-    net = F.col("inflow_volume") - F.col("outflow_volume")
-    flows = per_user.groupBy(*keys).agg(
-        *[F.sum(c).alias(c) for c in sums], F.sum("n").alias("trade_count"),
+        "inst", (F.sum(F.col("bought") + F.col("sold")).over(trail) > institutional_volume) & (F.sum("n").over(trail) > institutional_trades))
+    traders = per_user.groupBy(*keys).agg(
         F.count(F.when(F.col("buys") > 0, 1)).alias("unique_inflow_addresses"),
         F.count(F.when(F.col("sells") > 0, 1)).alias("unique_outflow_addresses"),
-        sum_if(F.col("inst"), net).alias("institutional_flow"),
-        F.min_by("open", "first").alias("open"), F.max_by("close", "last").alias("close"))
+        sum_if(F.col("inst"), F.col("bought") - F.col("sold")).alias("institutional_flow"))
+    net = F.col("inflow_volume") - F.col("outflow_volume")
+    t, u = totals.alias("t"), traders.alias("u")  # a missing symbol is a group as well
+    flows = t.join(u, [F.col(f"t.{k}").eqNullSafe(F.col(f"u.{k}")) for k in keys]).select(
+        "t.*", "unique_inflow_addresses", "unique_outflow_addresses", "institutional_flow")
     flows = flows.withColumn("net_flow", net).withColumn("volume", F.col("inflow_volume") + F.col("outflow_volume"))
     flows = flows.withColumn("market", F.sum("volume").over(Window.partitionBy("period_type", "time_bucket")))
     whales = F.col("whale_inflows") + F.col("whale_outflows")
