@@ -34,3 +34,13 @@ def test_history_folds_by_hash(fx):
         with contextlib.redirect_stdout(out):
             df.explain("simple")
         assert "SortAggregate" not in out.getvalue() and "HashAggregate" in out.getvalue()
+
+
+def test_hashes_of_any_form_stay_apart(spark):
+    log = spark.createDataFrame([("OrderPlaced", 1, "p", 7, h, 10 * n, 0, 0, n) for n, h in enumerate(["ab", "AB", "abc", "0abc", "", None, "zz", "ab"])],
+                                "event_name string, chain_id int, address string, order_id long, tx_hash string, block_timestamp long, filled long, status_code int, seq long"
+                                ).selectExpr("*", "1L AS quantity")
+    got = {r.tx_hash: r.seq for r in order_history_log(log).collect()}
+    assert got == {"ab": 7, "AB": 1, "abc": 2, "0abc": 3, "": 4, None: 5, "zz": 6}
+    keys = order_history_log(log)._jdf.queryExecution().optimizedPlan().toString()
+    assert "unhex" in keys
