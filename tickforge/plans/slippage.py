@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,9 +30,13 @@ def trade_size_filter(trades: DataFrame, size: str | None) -> DataFrame:
     """Half-open size bands, so a trade of exactly 1000 is medium and belongs to one band only."""
     if size not in SIZE_BANDS:
         return trades
+    return trades.filter(_in_band(size))
+
+
+def _in_band(size: str) -> Column:
     low, high = SIZE_BANDS[size]
-    out = trades.filter(F.col("quote_qty") >= low)
-    return out if high is None else out.filter(F.col("quote_qty") < high)
+    over = F.col("quote_qty") >= low
+    return over if high is None else over & (F.col("quote_qty") < high)
 
 
 def mid_price_asof(trades: DataFrame, snapshots: DataFrame, tolerance: int = 30) -> DataFrame:
@@ -108,12 +114,29 @@ def _percent(trades: DataFrame) -> DataFrame:
     return trades.filter(mid > 0).withColumn("slip", F.round(F.abs(F.col("price") - mid) / mid * 100, 6))
 
 
+def _cells(t: DataFrame, keys: list[str]) -> DataFrame:
+    """Equal values of ``slip`` per key, counted and summed."""
+    return t.groupBy(*keys, "slip").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("quote_qty").alias("q"), F.min("quote_qty").alias("q_min"),
+        F.max("quote_qty").alias("q_max"), F.count(F.when(is_buy(), 1)).alias("buys"), F.min("ts").alias("t_min"), F.max("ts").alias("t_max"))
+
+
+def _merged(cells: DataFrame, keys: list[str]) -> DataFrame:
+    """Cells of the same value and key as one."""
+    return cells.groupBy(*keys, "slip").agg(
+        *[F.sum(c).alias(c) for c in ("n", "q")], F.min("q_min").alias("q_min"), F.max("q_max").alias("q_max"), F.sum("buys").alias("buys"),
+        F.min("t_min").alias("t_min"), F.max("t_max").alias("t_max"))
+
+
 def _stats(t: DataFrame, keys: list[str]) -> DataFrame:
-    """Statistics of ``slip`` per key. Equal values collapse first; that frame feeds both the sums and the median."""
+    """Statistics of ``slip`` per key. Equal values collapse first."""
+    return _cell_stats(_cells(t, keys), keys)
+
+
+def _cell_stats(cells: DataFrame, keys: list[str]) -> DataFrame:
+    """Statistics from counted values; that frame feeds both the sums and the median."""
     x, n = F.col("slip"), F.col("n")
-    cells = settle(t.groupBy(*keys, "slip").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("quote_qty").alias("q"), F.min("quote_qty").alias("q_min"),
-        F.max("quote_qty").alias("q_max"), F.count(F.when(is_buy(), 1)).alias("buys"), F.min("ts").alias("t_min"), F.max("ts").alias("t_max")))
+    cells = settle(cells)
     s = cells.groupBy(*keys).agg(
         F.sum(x * n).alias("sx"), F.sum(x * x * n).alias("xx"), F.max("slip").alias("max_slippage"), F.sum("n").alias("trade_count"),
         F.sum(F.when(x > 1.0, n).otherwise(F.lit(0))).alias("impacted_trades"), (F.sum("q") / F.sum("n")).alias("avg_trade_value"),
@@ -133,14 +156,28 @@ def _stats(t: DataFrame, keys: list[str]) -> DataFrame:
 def slippage_series(trades: DataFrame, period: str, interval: str, as_of: int, radius: int = 60, symbol: str | None = None,
                     size: str | None = None) -> DataFrame:
     """Gap-filled series of slippage against nearby trades; buckets without trades report zeros."""
+    return slippage_series_by_size(trades, period, interval, as_of, [size], radius, symbol).drop("size")
+
+
+def slippage_series_by_size(trades: DataFrame, period: str, interval: str, as_of: int, sizes: Sequence[str | None], radius: int = 60,
+                            symbol: str | None = None) -> DataFrame:
+    """``slippage_series`` of every size, with ``size`` in front; the mid prices are found once for all of them.
+
+    Bands that lie inside each other are merged from counted values, no trade is copied per size.
+    """
     step = interval_seconds(interval)
     start = series_start(trades, period, as_of, step)
     t = _percent(mid_price_window(_symbol(trades.filter(in_period("ts", period, as_of)), symbol), radius))
-    t = trade_size_filter(t, size).withColumn("idx", bucket_index("ts", start, step))
-    s = _stats(t, ["idx"])
+    t = t.withColumn("idx", bucket_index("ts", start, step))
+    member = lambda size: F.lit(True) if size not in SIZE_BANDS else _in_band(size)
+    bands = F.array_compact(F.array(*[F.when(member(size), F.lit(n)) for n, size in enumerate(sizes)]))
+    cells = _cells(t.withColumn("bands", bands), ["idx", "bands"]).withColumn("band", F.explode("bands")).drop("bands")
+    s = _cell_stats(_merged(cells, ["band", "idx"]), ["band", "idx"])
     z = lambda c, v=0.0: F.coalesce(F.col(c), F.lit(v)).alias(c)
-    return spine(trades.sparkSession, start, as_of, step).join(s, "idx", "left").select(
-        "timestamp", z("avg_slippage"), z("median_slippage"), z("max_slippage"), z("slippage_std_dev"),
+    line = spine(trades.sparkSession, start, as_of, step).withColumn("band", F.explode(F.array(*[F.lit(n) for n in range(len(sizes))])))
+    name = F.element_at(F.array(*[F.lit(size).cast("string") for size in sizes]), F.col("band") + 1)
+    return line.join(s, ["band", "idx"], "left").select(
+        name.alias("size"), "timestamp", z("avg_slippage"), z("median_slippage"), z("max_slippage"), z("slippage_std_dev"),
         z("trade_count", 0), z("impacted_trades", 0), z("impact_rate"))
 
 

@@ -60,12 +60,10 @@ _SLIP4 = "avg_slippage median_slippage max_slippage slippage_std_dev impact_rate
 
 def _slippage_series(fx):
     """The series of every trade size."""
-    out = None
-    for size in _SIZES:
-        one = rounded(slippage.slippage_series(fx.trades, "30d", "hourly", AS_OF, RADIUS, size=None if size == "all" else size), four=_SLIP4)
-        one = one.select(F.lit(size).alias("size"), *[F.when(F.col(c) > 0, F.col(c)).otherwise(F.lit(0)).alias(c) if c != "timestamp" else F.col(c) for c in one.columns])
-        out = one if out is None else out.unionByName(one)
-    return out
+    sizes = [None if size == "all" else size for size in _SIZES]
+    s = rounded(slippage.slippage_series_by_size(fx.trades, "30d", "hourly", AS_OF, sizes, RADIUS), four=_SLIP4)
+    return s.select(F.coalesce("size", F.lit("all")).alias("size"), "timestamp",
+                    *[F.when(F.col(c) > 0, F.col(c)).otherwise(F.lit(0)).alias(c) for c in s.columns if c not in ("size", "timestamp")])
 
 
 query("slippage_series", " UNION ALL ".join(f"""SELECT '{_n}' AS size, g.timestamp, {_Z('avg_slippage')}, {_Z('median_slippage')}, {_Z('max_slippage')}, {_Z('slippage_std_dev')}, {_Z('trade_count', 0)},
