@@ -146,14 +146,22 @@ query("stream_mini_ticker", """SELECT chain_id, symbol, as_of, arg_max(price, se
     lambda fx: rounded(drained(fx, stateful.stream_mini_ticker(live(fx).trades), "ticker"), "volume"))
 
 
+PER_FILE = 1_000_000  # trades in one file of a piece
+
+
 def _in_pieces(fx):
-    """The trades as a stream of four files in time order; every fiftieth arrives with the last file, whatever its time."""
+    """The trades as a stream of four pieces in time order; every fiftieth arrives with the last piece, whatever its time.
+
+    A piece is one file per million trades of a mean piece, so that larger tables make more tasks.
+    """
     path, t = scratch_path(fx.spark, "pieces"), fx.trades
-    lo, hi = t.agg(F.min("ts"), F.max("ts")).head()
+    lo, hi, n = t.agg(F.min("ts"), F.max("ts"), F.count(F.lit(1))).head()
+    files = max(1, -(-n // (4 * PER_FILE)))
     piece = F.when(F.col("trade_id") % 50 == 0, 3).otherwise(F.least(F.lit(3), F.floor((F.col("ts") - lo) * 4 / (hi - lo + 1))))
     for k in range(4):
-        t.filter(piece == k).coalesce(1).write.parquet(f"{path}/p{k}")
-    reader = fx.spark.readStream.schema(t.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true")
+        mine = t.filter(piece == k)
+        (mine.coalesce(1) if files == 1 else mine.repartition(files)).write.parquet(f"{path}/p{k}")
+    reader = fx.spark.readStream.schema(t.schema).option("maxFilesPerTrigger", files).option("recursiveFileLookup", "true")
     return reader.parquet(path)
 
 

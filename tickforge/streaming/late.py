@@ -128,7 +128,9 @@ def dedup_with_late_rows(path: str, keys: list[str], delay: int = DELAY, ts: str
         if stored is not None:
             recent = stored.filter((F.col("batch") < n) & (F.lit(before is None) | (F.col("hour") >= F.lit((before or 0) - (before or 0) % step))))
             fresh = fresh.join(recent.select(*keys), keys, "left_anti")
-        fresh.withColumn("batch", F.lit(n).cast("long")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
+        # hours side by side, so that every task writes few folders; a large hour is still several tasks
+        fresh = fresh.withColumn("batch", F.lit(n).cast("long")).hint("rebalance", "hour")
+        fresh.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
             "batch", "hour").parquet(f"{path}/rows")
         _mark(batch, path, n, before, ts, delay)
         batch.unpersist()
