@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tickforge.llm.common import bucketed, bytes_list, fields, lean, slices, spare, staged
-from tickforge.llm.words import WordHashes, windows
+from tickforge.llm.words import windows
 
 SHINGLE_WORDS = 5
 MIN_PERCENT = 75  # of the union, in the intersection
@@ -52,23 +52,32 @@ REGIONS = 32  # regions of a shingle that is still counted
 TARGETS = 256  # such regions in the last steps, where few are left; times eight while any node is without an exact count
 SINGLE, REGION, MEMBER = 0, 1, 2  # roles of a row, in the order in which a shingle's rows follow each other
 KEPT_COUNTS = 400_000  # counts a task sums before it passes them on
+LEAST_PACKS = 64  # groups of nodes whose counts are passed on together, or as many as there are shuffle partitions
 ROWS = 500  # rows unpacked at once
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
-def shingles(raw: bytes, hashes: WordHashes) -> np.ndarray:
+def _distinct(ordered: np.ndarray) -> np.ndarray:
+    """A sorted array without repeats."""
+    return ordered[np.concatenate([[True], ordered[1:] != ordered[:-1]])] if len(ordered) else ordered
+
+
+def shingles(raw: bytes) -> np.ndarray:
     """Sorted distinct 64-bit shingle hashes of a text; one for the whole sequence if it has fewer words."""
     words = raw.translate(LOWER).split()
-    found = windows(hashes.of(words), min(SHINGLE_WORDS, len(words))) if words else np.empty(0, "u8")
-    if 0 < len(words) < SHINGLE_WORDS:
+    if not words:
+        return np.empty(0, "u8")
+    hashes = np.frombuffer(b"".join(map(xxhash.xxh3_64_digest, words)), ">u8").astype("u8")
+    found = windows(hashes, min(SHINGLE_WORDS, len(words)))
+    if len(words) < SHINGLE_WORDS:
         found = found ^ np.uint64(len(words) << 56)  # another hash than that of any longer run
-    return np.unique(found)
+    return _distinct(np.sort(found))
 
 
-def _blob(hashes: np.ndarray) -> bytes:
+def _blob(hashes: np.ndarray, packer: zstandard.ZstdCompressor) -> bytes:
     """The upper bits of sorted hashes, byte by byte, because the first byte hardly varies along them."""
     kept = np.ascontiguousarray(hashes >> np.uint64(64 - BITS))
-    return zstandard.compress(kept.view("u1").reshape(-1, 8)[:, :BYTES].T.tobytes())
+    return packer.compress(kept.view("u1").reshape(-1, 8)[:, :BYTES].T.tobytes())
 
 
 def _unblob(blob: bytes) -> np.ndarray:
@@ -96,42 +105,39 @@ def _node(found: np.ndarray) -> int | None:
     return _signed(xxhash.xxh3_64_intdigest(found.tobytes())) if len(found) else None
 
 
-def nodes_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, _text (hash of the text), n_shingles and node (hash of the set, null for none) of every row."""
-    @lean
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
-        for batch in slices(batches, ROWS):
-            found = [shingles(raw, hashes) for raw in bytes_list(batch.column(2))]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array([len(x) for x in found], pa.int64()), pa.array([_node(x) for x in found], pa.int64())],
-                names=[id_col, "_text", "n_shingles", "node"])
-    schema = T.StructType([*fields(docs, id_col), *(T.StructField(c, T.LongType()) for c in ("_text", "n_shingles", "node"))])
-    return docs.select(id_col, F.xxhash64(text_col).alias("_text"), text_col).mapInArrow(run, schema)
-
-
-def shingle_sets(docs: DataFrame, text_col: str) -> DataFrame:
-    """One row per node: node, n (shingles), m (those it counts at the first level) and blob; bucketed by node.
+def document_sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """One row per document: id, _text (hash of the text), n_shingles, node (hash of the set, null for none), m (shingles
+    that the set counts at the first level) and blob. Texts are read and cut once.
 
-    A task passes a set on once, so a set with any number of copies is at most one row per task.
+    A task gives the blob of a set with the first of its copies alone, so a set has at most one per task.
     """
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, seen = WordHashes(), set()
+        packer, seen = zstandard.ZstdCompressor(), set()
         for batch in slices(batches, ROWS):
             rows = []
-            for raw in bytes_list(batch.column(0)):
-                found = shingles(raw, hashes)
-                node = _node(found)
-                if node is not None and node not in seen:
+            for raw in bytes_list(batch.column(2)):
+                found = shingles(raw)
+                node, n = _node(found), len(found)
+                if node is None or node in seen:
+                    rows.append((n, node, None, None))
+                else:
                     seen.add(node)
-                    rows.append((node, len(found), _below(found >> np.uint64(64 - BITS), _share(len(found))), _blob(found)))
+                    rows.append((n, node, _below(found >> np.uint64(64 - BITS), _share(n)), _blob(found, packer)))
             if len(seen) > 1_000_000:
                 seen.clear()
-            yield pa.RecordBatch.from_arrays([*(pa.array([r[i] for r in rows], pa.int64()) for i in range(3)), pa.array([r[3] for r in rows], pa.binary())],
-                                             names=["node", "n", "m", "blob"])
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sets = docs.select(text_col).mapInArrow(run, "node long, n long, m long, blob binary").repartition(n, "node")
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:2], *(pa.array([r[i] for r in rows], pa.int64()) for i in range(3)), pa.array([r[3] for r in rows], pa.binary())],
+                names=[id_col, "_text", "n_shingles", "node", "m", "blob"])
+    schema = T.StructType([*fields(docs, id_col), *(T.StructField(c, T.LongType()) for c in ("_text", "n_shingles", "node", "m")),
+                           T.StructField("blob", T.BinaryType())])
+    return docs.select(id_col, F.xxhash64(text_col).alias("_text"), text_col).mapInArrow(run, schema)
+
+
+def shingle_sets(rows: DataFrame) -> DataFrame:
+    """One row per node of ``document_sets``: node, n (shingles), m and blob; bucketed by node."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sets = rows.filter("blob is not null").select("node", F.col("n_shingles").alias("n"), "m", "blob").repartition(n, "node")
     return bucketed(sets.dropDuplicates(["node"]), "node", "shingle_sets", "uncompressed")
 
 
@@ -242,6 +248,11 @@ def _both(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield _unblob(x), other
 
 
+def _held(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Which values of one sorted array the other, which is not empty, has as well."""
+    return y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x
+
+
 def measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """``pairs`` with ``inter``, ``na`` and ``nb``: sizes of intersection and sets."""
     joined = _with_blobs(pairs, sets)
@@ -250,7 +261,7 @@ def measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, ROWS):
-            sizes = [(len(np.intersect1d(x, y)), len(x), len(y)) for x, y in _both(batch)]
+            sizes = [(int(_held(x, y).sum()), len(x), len(y)) for x, y in _both(batch)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-2], *(pa.array([r[i] for r in sizes], pa.int64()) for i in range(3))], names=names)
     return joined.mapInArrow(run, T.StructType([*joined.schema.fields[:-2], *(T.StructField(c, T.LongType()) for c in names[-3:])]))
 
@@ -263,7 +274,7 @@ def outside(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, ROWS):
-            extra = [np.setdiff1d(x, y) for x, y in _both(batch)]
+            extra = [x[~_held(x, y)] for x, y in _both(batch)]
             repeat = pa.array(np.repeat(np.arange(len(extra)), [len(e) for e in extra]))
             yield pa.RecordBatch.from_arrays([*(c.take(repeat) for c in batch.columns[:-2]), pa.array(np.concatenate(extra).astype("i8"))],
                                              names=names)
@@ -319,6 +330,7 @@ def _shared(rows: DataFrame, limit: int | None = None, whole: bool = False) -> D
     region's smallest node taken for the other.
     """
     limit = limit or REGIONS
+    packs = max(LEAST_PACKS, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -334,19 +346,24 @@ def _shared(rows: DataFrame, limit: int | None = None, whole: bool = False) -> D
             return number.setdefault(x, len(number) + 1)
 
         def flush() -> pa.RecordBatch:
-            """One row per node with all it shares: tasks meet a pair again and again, so rows per pair would be many."""
-            by_node: dict[int, tuple[list, list, list]] = {}
-            names = [None, *number]
-            for key, c in counts.items():
-                labels, shared, least = by_node.setdefault(key >> 32, ([], [], []))
-                label = key & 0xFFFFFFFF
-                labels.append(names[label])
-                shared.append(c)
-                least.append(smallest.get(label, 0))
+            """Rows of all that a task has counted for a pack of nodes: rows per pair, or per node, would be as many in
+            every task again, since each task meets most nodes."""
+            size = len(number) + 1
+            names, n, least = np.zeros(size, "i8"), np.zeros(size, "i4"), np.zeros(size, "i4")
+            names[1:] = np.fromiter(number, "i8", len(number))
+            for column, held in ((n, sizes), (least, smallest)):
+                column[np.fromiter(held, "i8", len(held))] = np.fromiter(held.values(), "i8", len(held))
+            keys, c = np.fromiter(counts, "i8", len(counts)), np.fromiter(counts.values(), "i4", len(counts))
             counts.clear()
-            return pa.RecordBatch.from_arrays([pa.array([names[x] for x in by_node], pa.int64()), pa.array([sizes[x] for x in by_node], pa.int64()),
-                                               *(pa.array([x[i] for x in by_node.values()], pa.list_(pa.int64())) for i in range(3))],
-                                              names=["node", "n", "labels", "shared", "least"])
+            pack = names[keys >> 32] % packs
+            order = np.lexsort((keys, pack))
+            keys, c, pack = keys[order], c[order], pack[order]
+            node, label = keys >> 32, keys & 0xFFFFFFFF
+            starts = np.concatenate([[0], np.flatnonzero(pack[1:] != pack[:-1]) + 1])
+            offsets = pa.array(np.append(starts, len(pack)).astype("i4"))
+            columns = names[node], n[node], names[label], np.where(label == 0, -c, c), least[label]
+            return pa.RecordBatch.from_arrays([pa.array(pack[starts]), *(pa.ListArray.from_arrays(offsets, pa.array(x)) for x in columns)],
+                                              names=["pack", "nodes", "n", "labels", "shared", "least"])
 
         def searched(node: int, label: int, n: int) -> None:
             key, label = numbered(node) << 32, numbered(label)
@@ -380,6 +397,11 @@ def _shared(rows: DataFrame, limit: int | None = None, whole: bool = False) -> D
                     told()
                     open_shingle, many = key, False
                     spans.clear()
+                    if len(number) > KEPT_COUNTS:  # no shingle is open that uses the numbers
+                        if counts:
+                            yield flush()
+                        for x in (number, smallest, sizes):
+                            x.clear()
                 if role == MEMBER:
                     told()
                     if info & 1:
@@ -404,36 +426,53 @@ def _shared(rows: DataFrame, limit: int | None = None, whole: bool = False) -> D
 
     @lean
     def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, dict[int | None, int]] = {}
-        sizes: dict[int, tuple[int, dict[int | None, int]]] = {}  # of the node and of the smallest of each label
-        kept = 0
+        held: list[pa.RecordBatch] = []  # of one pack; its rows follow each other
 
-        def told() -> pa.RecordBatch:
-            rows = []
-            for node, mine in held.items():
-                n, least = sizes[node]
-                more = mine.get(None, 0)
-                rows += [(node, x, c) for x, c in mine.items() if x is None or not whole or (100 + MIN_PERCENT) * (c + more) >= MIN_PERCENT * (n + least[x])]
+        def told() -> Iterator[pa.RecordBatch]:
+            node, n, label, c, low = (np.concatenate([x.column(i).flatten().to_numpy() for x in held]) for i in range(1, 6))
             held.clear()
-            sizes.clear()
-            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(3)], names=["node", "label", "c"])
-
+            none = np.flatnonzero(c < 0)
+            none = none[np.argsort(node[none], kind="stable")]
+            first = _starts(node[none])
+            bare, uncounted = node[none][first], -np.add.reduceat(c[none], first, dtype="i8") if len(first) else np.empty(0, "i8")
+            some = np.flatnonzero(c > 0)
+            some = some[np.lexsort((label[some], node[some]))]
+            first = _starts(node[some], label[some])
+            pairs, both = some[first], np.add.reduceat(c[some], first, dtype="i8") if len(first) else np.empty(0, "i8")
+            if whole and len(first):
+                more = np.zeros(len(pairs), "i8")
+                if len(bare):
+                    at = np.minimum(np.searchsorted(bare, node[pairs]), len(bare) - 1)
+                    more = np.where(bare[at] == node[pairs], uncounted[at], 0)
+                fit = (100 + MIN_PERCENT) * (both + more) >= MIN_PERCENT * (n[pairs].astype("i8") + np.minimum.reduceat(low[some], first))
+                pairs, both = pairs[fit], both[fit]
+            nulls = np.arange(len(bare) + len(pairs)) < len(bare)
+            out = pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate([bare, node[pairs]])), pa.array(np.concatenate([bare, label[pairs]]), mask=nulls),
+                 pa.array(np.concatenate([uncounted, both]))], names=["node", "label", "c"])
+            yield from slices([out], ROWS * 20)
+
+        last = None
         for batch in batches:
-            for node, n, labels, shared, low in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if node not in held and kept > KEPT_COUNTS:
-                    kept = 0
-                    yield told()  # rows of a node follow each other, so those held are complete
-                mine, kept = held.setdefault(node, {}), kept + len(labels)
-                least = sizes.setdefault(node, (n, {}))[1]
-                for label, c, x in zip(labels, shared, low, strict=True):
-                    mine[label] = mine.get(label, 0) + c
-                    least[label] = min(x, least.get(label, x))
+            pack = batch.column(0).to_numpy()
+            for start, end in zip(first := _starts(pack), [*first[1:], len(pack)], strict=True):
+                if held and pack[start] != last:
+                    yield from told()
+                last = pack[start]
+                held.append(batch.slice(start, end - start))
         if held:
-            yield told()
+            yield from told()
 
     met = rows.repartition("shingle").sortWithinPartitions("shingle", "role", "label", "node")
-    parts = met.mapInArrow(run, "node long, n long, labels array<long>, shared array<long>, least array<long>").repartition("node").sortWithinPartitions("node")
-    return parts.mapInArrow(add_up, "node long, label long, c long")
+    parts = met.mapInArrow(run, "pack long, nodes array<long>, n array<int>, labels array<long>, shared array<int>, least array<int>")
+    return parts.repartition("pack").sortWithinPartitions("pack").mapInArrow(add_up, "node long, label long, c long")
+
+
+def _starts(*columns: np.ndarray) -> np.ndarray:
+    """Where a run of equal values begins in columns that are sorted."""
+    if not len(columns[0]):
+        return np.empty(0, "i8")
+    return np.concatenate([[0], np.flatnonzero(np.logical_or.reduce([x[1:] != x[:-1] for x in columns])) + 1])
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -571,8 +610,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     with equal sets are linked; repeated rows and equal ids are kept. A null id is the smallest only where no other id
     is reachable. Other columns of ``docs`` are not read.
     """
-    roots = components(links(shingle_sets(docs, text_col))).select(F.col("node").alias("_n"), "root")
-    rows = staged(nodes_of(docs, id_col, text_col), "document-nodes")
+    whole = staged(document_sets(docs, id_col, text_col), "document-sets")
+    rows = whole.select(id_col, "_text", "n_shingles", "node")
+    roots = components(links(shingle_sets(whole))).select(F.col("node").alias("_n"), "root")
     smallest = rows.filter("node is not null").groupBy("node").agg(F.min(id_col).alias("_id")).join(
         roots, F.col("node") == F.col("_n"), "left").select("node", F.coalesce("root", "node").alias("root"), "_id")
     smallest = staged(smallest, "node-ids")
