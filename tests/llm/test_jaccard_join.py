@@ -163,3 +163,35 @@ def test_components_of_paths_and_stars(spark):
     path = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)]
     found = {r.node: r.root for r in jj.components(spark.createDataFrame(path, "a long, b long")).collect()}
     assert {found[i] for i in range(41)} == {0} and {found[100 + i] for i in range(30)} == {100}
+
+
+def test_texts_are_read_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def seen(text):
+        read.add(1)
+        return text
+    docs = hard_documents(5)[:60]
+    df = spark.createDataFrame([(i, t, None, None, None) for i, t in docs], DOCS)
+    check(jj.near_duplicates(df.withColumn("text", seen.asNondeterministic()("text"))).select("doc_id", "n_shingles", "component_id").collect(), docs)
+    assert read.value == len(docs)
+
+
+def test_counts_do_not_make_a_row_per_node_and_task(spark, monkeypatch):
+    """400 nodes with 40 common shingles each, counted by 40 tasks."""
+    made, nodes, tasks = [], 400, 40
+    rows = spark.range(nodes).selectExpr("id as node", "explode(sequence(1L, 40L)) as shingle").selectExpr(
+        "shingle", "0 as role", "cast(null as long) as label", "node", "81L as info")
+    real = type(rows).mapInArrow
+    monkeypatch.setattr(type(rows), "mapInArrow", lambda self, *a, **k: made.append(real(self, *a, **k)) or made[-1])
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", tasks)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        found = {r.node: (r.label, r.c) for r in jj._shared(rows).collect()}
+        assert found == {n: (None, 40) for n in range(nodes)}
+        assert made[0].count() <= tasks * jj.LEAST_PACKS
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
