@@ -114,9 +114,9 @@ def _percent(trades: DataFrame) -> DataFrame:
     return trades.filter(mid > 0).withColumn("slip", F.round(F.abs(F.col("price") - mid) / mid * 100, 6))
 
 
-def _cells(t: DataFrame, keys: list[str]) -> DataFrame:
-    """Equal values of ``slip`` per key, counted and summed."""
-    return t.groupBy(*keys, "slip").agg(
+def _cells(t: DataFrame, keys: list[str], value: str = "slip") -> DataFrame:
+    """Equal values of ``value`` per key, counted and summed."""
+    return t.groupBy(*keys, value).agg(
         F.count(F.lit(1)).alias("n"), F.sum("quote_qty").alias("q"), F.min("quote_qty").alias("q_min"),
         F.max("quote_qty").alias("q_max"), F.count(F.when(is_buy(), 1)).alias("buys"), F.min("ts").alias("t_min"), F.max("ts").alias("t_max"))
 
@@ -202,10 +202,20 @@ def slippage_overall(trades: DataFrame, period: str, as_of: int, symbol: str | N
 
 def symbol_slippage_summary(trades: DataFrame, period: str, as_of: int, symbols: list[str] | None = None,
                             size: str | None = None) -> DataFrame:
-    """Per symbol against the symbol's own mean price of the period."""
+    """Per symbol against the symbol's own mean price of the period.
+
+    Trades are counted per symbol and price first; only these counts meet their symbol's mean, dealt out with a salt, so that
+    no task has all trades or all prices of a symbol.
+    """
     t = _among(trades.filter(in_period("ts", period, as_of)), symbols)
-    mean = t.groupBy("symbol").agg(F.avg("price").alias("mid_price"))
-    return _stats(_percent(trade_size_filter(t.join(mean, "symbol"), size)), ["symbol"])
+    taken = _in_band(size) if size in SIZE_BANDS else F.lit(True)
+    prices = settle(_cells(t.withColumn("taken", taken), ["symbol", "taken"], "price"))
+    price, n = F.col("price"), F.col("n")
+    salts = int(trades.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    mean = prices.groupBy("symbol").agg((F.sum(price * n) / F.sum(F.when(price.isNotNull(), n))).alias("mid_price")).withColumn(
+        "salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    met = prices.filter("taken").withColumn("salt", F.pmod(F.xxhash64("price"), F.lit(salts)).cast("int")).join(mean, ["symbol", "salt"])
+    return _cell_stats(_merged(_percent(met), ["symbol"]), ["symbol"])
 
 
 def slippage_by_symbol_nested(series: DataFrame, summary: DataFrame) -> DataFrame:
